@@ -80,7 +80,7 @@ def curve_residuals(centers: DataFrame, keys: list[str], degree: int) -> DataFra
     whole cluster.  ``loo_residual`` always refits without the item.  ``deployed_residual`` is
     the mixed form: in sample for regions, leave-one-out where the whole cluster is used.
     """
-    entry = F.struct("ord", "region", F.col("x").cast("double"), F.col("y").cast("double"))
+    entry = F.struct("ord", "region", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     packed = centers.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("pts"))
     types = dict(centers.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + (
@@ -294,16 +294,16 @@ def paired_injection(scored: DataFrame, cluster: list[str]) -> DataFrame:
 def threshold_sweep(scored: DataFrame, cluster: list[str], thresholds: list[float]) -> DataFrame:
     """Item and cluster rates at every threshold, from residuals computed once."""
     steps = F.array(*[F.lit(float(t)) for t in thresholds])
-    rows = scored.withColumn("at", F.explode(steps)).withColumn("flagged", flag(F.col("at")))
+    rows = scored.withColumn("z_cut", F.explode(steps)).withColumn("flagged", flag(F.col("z_cut")))
     usable = F.col("tested").isNotNull() & F.col("tested_mm").isNotNull()
-    per = rows.groupBy("variant", "rule", "at", *cluster).agg(
+    per = rows.groupBy("variant", "rule", "z_cut", *cluster).agg(
         F.count_if(usable).alias("items"),
         F.count_if("flagged").alias("flags"),
         F.bool_or("flagged").alias("hit"),
         F.bool_or(F.col("flagged") & F.col("perturbed")).alias("found"),
     )
     n = F.count(F.lit(1))
-    return per.groupBy("variant", "rule", "at").agg(
+    return per.groupBy("variant", "rule", "z_cut").agg(
         n.cast("bigint").alias("n"),
         ratio(F.sum("flags"), F.sum("items")).alias("item_rate"),
         ratio(F.count_if("hit"), n).alias("cluster_rate"),

@@ -140,12 +140,12 @@ def roc_points(scored: DataFrame, keys: list[str]) -> DataFrame:
     Here the positive class is the error and a high score marks it.
     """
     counts = cut(score_counts(scored, keys))
-    total = counts.groupBy(*keys).agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    total = counts.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     run = Ordered(counts, keys, ["-score"])
     steps = run.prefix({"tp": F.col("p"), "fp": F.col("n")})
     steps = Ordered(steps, keys, ["-score"]).position("place")
     joined = steps.join(total, keys) if keys else steps.select(
-        "*", total.select("P").scalar().alias("P"), total.select("N").scalar().alias("N")
+        "*", total.select("n_pos").scalar().alias("n_pos"), total.select("n_neg").scalar().alias("n_neg")
     )
     tp, fp = F.col("tp"), F.col("fp")
     curve = joined.select(
@@ -154,11 +154,11 @@ def roc_points(scored: DataFrame, keys: list[str]) -> DataFrame:
         F.col("score").alias("threshold"),
         "p",
         "n",
-        ratio(tp, F.col("P")).alias("tpr"),
-        ratio(fp, F.col("N")).alias("fpr"),
+        ratio(tp, F.col("n_pos")).alias("tpr"),
+        ratio(fp, F.col("n_neg")).alias("fpr"),
         ratio(tp, tp + fp).alias("precision"),
-        "P",
-        "N",
+        "n_pos",
+        "n_neg",
     )
     zero = total.select(
         *keys,
@@ -169,8 +169,8 @@ def roc_points(scored: DataFrame, keys: list[str]) -> DataFrame:
         F.lit(0.0).alias("tpr"),
         F.lit(0.0).alias("fpr"),
         F.lit(1.0).alias("precision"),
-        "P",
-        "N",
+        "n_pos",
+        "n_neg",
     )
     return curve.unionByName(zero)
 
@@ -180,19 +180,19 @@ def pr_summary(points: DataFrame, keys: list[str], operating: float) -> DataFram
 
     A point's step back is known from its own p and n, so no neighbour lookup is needed.
     """
-    P, N = F.col("P"), F.col("N")
-    up = F.coalesce(ratio(F.col("p"), P), F.lit(0.0))
-    right = F.coalesce(ratio(F.col("n"), N), F.lit(0.0))
+    pos, neg = F.col("n_pos"), F.col("n_neg")
+    up = F.coalesce(ratio(F.col("p"), pos), F.lit(0.0))
+    right = F.coalesce(ratio(F.col("n"), neg), F.lit(0.0))
     over = F.col("threshold") > operating
     hits, falls = F.sum(F.when(over, F.col("p"))), F.sum(F.when(over, F.col("n")))
     return points.groupBy(*keys).agg(
         F.sum(right * (F.col("tpr") - up / F.lit(2.0))).alias("auc"),
         F.sum(up * F.col("precision")).alias("average_precision"),
-        F.max(ratio(P, P + N)).alias("prevalence"),
-        F.max(P).cast("bigint").alias("n_pos"),
-        F.max(N).cast("bigint").alias("n_neg"),
-        ratio(F.coalesce(hits, F.lit(0)), F.max(P)).alias("op_tpr"),
-        ratio(F.coalesce(falls, F.lit(0)), F.max(N)).alias("op_fpr"),
+        F.max(ratio(pos, pos + neg)).alias("prevalence"),
+        F.max(pos).cast("bigint").alias("n_pos"),
+        F.max(neg).cast("bigint").alias("n_neg"),
+        ratio(F.coalesce(hits, F.lit(0)), F.max(pos)).alias("op_tpr"),
+        ratio(F.coalesce(falls, F.lit(0)), F.max(neg)).alias("op_fpr"),
         ratio(hits, hits + falls).alias("op_ppv"),
     )
 

@@ -281,8 +281,8 @@ gap2 AS (
   SELECT *, lag(gap) OVER (PARTITION BY cluster ORDER BY seq) AS before,
     median(gap) OVER (PARTITION BY cluster) AS med, count(*) OVER (PARTITION BY cluster) AS n FROM gaps),
 spaced AS (
-  SELECT vec_id, CASE WHEN n >= 3 AND med > 0 THEN -greatest(coalesce(abs(ln(greatest(gap, 1e-6) / med)), 0),
-    coalesce(abs(ln(greatest(before, 1e-6) / med)), 0)) END AS spacing_regularity FROM gap2),
+  SELECT vec_id, CASE WHEN n >= 3 AND med > 0 THEN -greatest(coalesce(abs(ln(CASE WHEN gap IS NOT NULL THEN greatest(gap, 1e-6) END / med)), 0),
+    coalesce(abs(ln(CASE WHEN before IS NOT NULL THEN greatest(before, 1e-6) END / med)), 0)) END AS spacing_regularity FROM gap2),
 reference_wide AS (
   SELECT r.vec_id, r.cluster, r.matched, r.present, r.wrong, entropy_inv,
     CASE WHEN v > 0 AND a.med IS NOT NULL THEN -abs(ln(v / a.med)) END AS size_regularity, spacing_regularity
@@ -299,14 +299,14 @@ reference_long AS (
 def centers(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem")
     return rows.groupBy(F.col("l_orderkey").alias("cluster"), F.col("l_linenumber").alias("ord")).agg(
-        F.avg("l_quantity").alias("x"), F.avg(F.col("l_extendedprice") / 1000).alias("y")
+        F.avg("l_quantity").alias("x"), F.avg(F.col("l_extendedprice") / 997).alias("y")
     ).withColumn("region", F.when(F.col("ord") <= 4, "A").otherwise("B"))
 
 
 SQL_CENTERS = """
 centers AS (
   SELECT l_orderkey AS cluster, l_linenumber AS ord, CASE WHEN l_linenumber <= 4 THEN 'A' ELSE 'B' END AS region,
-    avg(l_quantity) AS x, avg(l_extendedprice / 1000) AS y FROM lineitem GROUP BY ALL)"""
+    avg(l_quantity) AS x, avg(l_extendedprice / 997) AS y FROM lineitem GROUP BY ALL)"""
 
 
 def sql_residuals(source: str, keys: str) -> str:
