@@ -9,6 +9,7 @@ are carried from piece to piece.  Both ways give the same rows.
 from __future__ import annotations
 
 import math
+from copy import copy
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,12 +72,21 @@ class Grouped:
         self.spark = df.sparkSession
         self.limit = limit or setting(self.spark, GROUP_ROWS)
         self.keys = list(keys) or [ALL]
-        self.df = df if keys else df.withColumn(ALL, F.lit(0))
+        self.df = self._keyed(df)
         sizes = self.df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n"))
         big = sizes.filter(F.col("__n") > self.limit)
         # at most rows/limit keys can be oversized
         self.big = cut(big) if big.take(1) else None
 
+    def _keyed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(ALL, F.lit(0)) if self.keys == [ALL] else df
+
+    def on(self, df: DataFrame):
+        """The same groups over the same rows with other columns; nothing is counted again."""
+        twin = copy(self)
+        twin.df = twin._keyed(df)
+        return twin
+
     def _drop(self, df: DataFrame) -> DataFrame:
         return df.drop(PIECE, ALL, "__n", "__salt")
 
@@ -87,14 +97,14 @@ class Grouped:
             stats = stats.withColumn(ALL, F.lit(0))
         if self.big is None:
             return self._drop(self.df.join(stats, self.keys, "left"))
-        spread = self.big.withColumn("__s", F.ceil(F.col("__n") / self.limit).cast("int")).drop("__n")
+        spread = self.big.withColumn("__copies", F.ceil(F.col("__n") / self.limit).cast("int")).drop("__n")
         rows = self.df.join(small(spread), self.keys, "left").withColumn(
             "__salt",
-            F.coalesce(F.pmod(F.xxhash64(*salt), F.col("__s").cast("long")), F.lit(0)).cast("int"),
-        ).drop("__s")
+            F.coalesce(F.pmod(F.xxhash64(*salt), F.col("__copies").cast("long")), F.lit(0)).cast("int"),
+        ).drop("__copies")
         copies = stats.join(small(spread), self.keys, "left").withColumn(
-            "__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__s") - 1, F.lit(0))))
-        ).drop("__s")
+            "__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__copies") - 1, F.lit(0))))
+        ).drop("__copies")
         return self._drop(rows.join(copies, [*self.keys, "__salt"], "left"))
 
     def with_stats(self, aggs: dict[str, Column], salt: list[str]) -> DataFrame:
@@ -124,7 +134,8 @@ class Grouped:
             .groupBy(*self.keys, value)
             .agg(F.count(F.lit(1)).alias("__c"))
         )
-        total = counts.groupBy(*self.keys).agg(F.sum("__c").alias("__t"))
+        counts = cut(counts)
+        total = cut(counts.groupBy(*self.keys).agg(F.sum("__c").alias("__t")))
         run = Ordered(counts, self.keys, [value], self.limit).prefix({"__upto": F.col("__c")})
         run = run.join(small(total), self.keys)
 
@@ -157,8 +168,17 @@ class Ordered(Grouped):
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], limit: int | None = None):
         super().__init__(df, keys, limit)
         self.order = order
+        self.splits: list[tuple[str, list[str], DataFrame]] = []
         self.pieced = self._pieces() if self.big is not None else None
 
+    def on(self, df: DataFrame):
+        twin = super().on(df)
+        if self.pieced is not None:
+            twin.pieced = twin.df.withColumn(PIECE, F.lit(0).cast("long"))
+            for spec, keys, edges in self.splits:
+                twin.pieced = twin._split(twin.pieced, spec, keys, edges)
+        return twin
+
     def _edges(self, df: DataFrame, keys: list[str], big: DataFrame, measure: Column) -> DataFrame:
         top = big.agg(F.max("__n")).first()[0]
         count = min(_MAX_PIECES, max(2, 2 * math.ceil(top / self.limit)))
@@ -171,13 +191,16 @@ class Ordered(Grouped):
         # smaller groups keep only as many edges as they need, so all edges together
         # stay within twice rows/limit
         stride = F.greatest(F.lit(1), F.floor(count * self.limit / (2 * F.col("__n")))).cast("int")
-        return cut(
-            found.withColumn("__stride", stride).select(
-                *keys,
-                F.array_distinct(
-                    F.filter("__edges", lambda e, i: F.pmod(i + 1, F.col("__stride")) == 0)
-                ).alias("__edges"),
-            )
+        kept = F.filter("__edges", lambda e, i: F.pmod(i + 1, F.col("__stride")) == 0)
+        return cut(found.withColumn("__stride", stride).select(*keys, F.array_distinct(kept).alias("__edges")))
+
+    @staticmethod
+    def _split(df: DataFrame, spec: str, keys: list[str], edges: DataFrame) -> DataFrame:
+        part = _locate(F.col("__edges"), _measure(df, spec))
+        return (
+            df.join(small(edges), keys, "left")
+            .withColumn(PIECE, F.col(PIECE) * (_MAX_PIECES * 2) + F.coalesce(part, F.lit(0)))
+            .drop("__edges")
         )
 
     def _pieces(self) -> DataFrame:
@@ -191,18 +214,12 @@ class Ordered(Grouped):
             big = sizes.filter(F.col("__n") > self.limit)
             for i in range(depth):
                 big = big.filter(F.col(f"__t{i}"))
-            big = big.select(*keys, "__n")
+            big = cut(big.select(*keys, "__n"))
             if not big.take(1):
                 break
-            big = cut(big)
-            measure = _measure(df, spec)
-            edges = self._edges(df, keys, big, measure)
-            part = _locate(F.col("__edges"), measure)
-            df = (
-                df.join(small(edges), keys, "left")
-                .withColumn(PIECE, F.col(PIECE) * (_MAX_PIECES * 2) + F.coalesce(part, F.lit(0)))
-                .drop("__edges")
-            )
+            edges = self._edges(df, keys, big, _measure(df, spec))
+            self.splits.append((spec, keys, edges))
+            df = self._split(df, spec, keys, edges)
         return df
 
     def _window(self):
@@ -221,7 +238,8 @@ class Ordered(Grouped):
         before = (
             Window.partitionBy(*self.keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
         )
-        return per.select(*self.keys, PIECE, *[merge(n).over(before).alias(n) for n in totals])
+        # a few rows per rows/limit, written once
+        return cut(per.select(*self.keys, PIECE, *[merge(n).over(before).alias(n) for n in totals]))
 
     def prefix(self, sums: dict[str, Column]) -> DataFrame:
         """Running totals including the current row."""

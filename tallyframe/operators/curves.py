@@ -152,9 +152,10 @@ def pooled_z(rows: DataFrame, keys: list[str], value: str, floor: Column | float
 def robust_z(rows: DataFrame, keys: list[str], value: str, floor: Column | float, name: str, salt: list[str]) -> DataFrame:
     """Distance from the median in units of 1.4826 times the median absolute deviation."""
     floor = floor if isinstance(floor, Column) else F.lit(float(floor))
-    mid = Grouped(rows, keys).with_quantiles(value, {"__med": 0.5}, salt)
+    groups = Grouped(rows, keys)
+    mid = groups.with_quantiles(value, {"__med": 0.5}, salt)
     mid = mid.withColumn("__dev", F.abs(F.col(value) - F.col("__med")))
-    out = Grouped(mid, keys).with_quantiles("__dev", {"__mad": 0.5}, salt)
+    out = groups.on(mid).with_quantiles("__dev", {"__mad": 0.5}, salt)
     scale = F.greatest(F.lit(1.4826) * F.col("__mad"), floor)
     return out.withColumn(name, (F.col(value) - F.col("__med")) / scale).drop("__med", "__dev", "__mad")
 
@@ -177,7 +178,11 @@ def with_rules(rows: DataFrame, presets: list[tuple] = PRESETS) -> DataFrame:
 
 
 def score_items(resid: DataFrame, keys: list[str], px_mm: float = 1.0) -> DataFrame:
-    """Pooled z of both residuals under each rule's floor, and the pair each rule tests."""
+    """Pooled z of both residuals under each rule's floor, and the pair each rule tests.
+
+    z is rounded to nine places: with two items it is exactly 1, and whether it passes a
+    threshold of 1 must not hang on the order of summation.
+    """
     group = [*keys, "rule"]
     rows = with_rules(resid)
     stats = {
@@ -190,7 +195,8 @@ def score_items(resid: DataFrame, keys: list[str], px_mm: float = 1.0) -> DataFr
     z_loo = F.when(F.col("__lk") >= 2, (F.col("loo_residual") - F.col("__lm")) / F.greatest("__ls", floor))
     rows = rows.withColumn("z", z).withColumn("z_loo", z_loo).drop(*stats)
     loo = F.col("uses") == "z_loo"
-    return rows.withColumn("tested", F.when(loo, F.col("z_loo")).otherwise(F.col("z"))).withColumn(
+    chosen = F.round(F.when(loo, F.col("z_loo")).otherwise(F.col("z")), 9)
+    return rows.withColumn("tested", chosen).withColumn(
         "tested_mm", F.when(loo, F.col("loo_residual")).otherwise(F.col("residual")) * F.lit(float(px_mm))
     )
 
@@ -209,11 +215,10 @@ def inject(centers: DataFrame, keys: list[str], offset_mm: float = 10.0, px_mm:
     offset: the middle item moves sideways.  ``perturbed`` marks changed items, ``site`` the
     middle (or first) one.  Variants a cluster is too short for are left out.
     """
-    rows = Ordered(centers, keys, ["ord"]).neighbours(
-        {"nx": ("x", 1), "ny": ("y", 1), "bx": ("x", -1), "by": ("y", -1)}
-    )
-    rows = Ordered(rows, keys, ["ord"]).position("pos")
-    rows = Grouped(rows, keys).with_stats({"n": F.count(F.lit(1))}, ["ord"])
+    groups = Ordered(centers, keys, ["ord"])
+    rows = groups.neighbours({"nx": ("x", 1), "ny": ("y", 1), "bx": ("x", -1), "by": ("y", -1)})
+    rows = groups.on(rows).position("pos")
+    rows = groups.on(rows).with_stats({"n": F.count(F.lit(1))}, ["ord"])
     pos, n = F.col("pos"), F.col("n")
     mid = F.floor(n / 2)
     x, y = F.col("x"), F.col("y")

@@ -142,8 +142,7 @@ def roc_points(scored: DataFrame, keys: list[str]) -> DataFrame:
     counts = cut(score_counts(scored, keys))
     total = counts.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     run = Ordered(counts, keys, ["-score"])
-    steps = run.prefix({"tp": F.col("p"), "fp": F.col("n")})
-    steps = Ordered(steps, keys, ["-score"]).position("place")
+    steps = run.on(run.prefix({"tp": F.col("p"), "fp": F.col("n")})).position("place")
     joined = steps.join(total, keys) if keys else steps.select(
         "*", total.select("n_pos").scalar().alias("n_pos"), total.select("n_neg").scalar().alias("n_neg")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.ordered import Grouped, Ordered
+from tallyframe.functions.ordered import Ordered
 
 
 def detection_order(items: DataFrame, cluster: list[str], height: str, item: str) -> DataFrame:
@@ -15,8 +15,9 @@ def detection_order(items: DataFrame, cluster: list[str], height: str, item: str
 
 def position_facts(rows: DataFrame, cluster: list[str], order: list[str]) -> DataFrame:
     """Place, group size, whether at an end, and distance from the nearer end."""
-    placed = Ordered(rows, cluster, order).position("idx")
-    sized = Grouped(placed, cluster).with_stats({"group_size": F.count(F.lit(1))}, [o.lstrip("-") for o in order])
+    groups = Ordered(rows, cluster, order)
+    placed = groups.position("idx")
+    sized = groups.on(placed).with_stats({"group_size": F.count(F.lit(1))}, [o.lstrip("-") for o in order])
     last = F.col("group_size") - 1
     return sized.withColumn("endpoint", (F.col("idx") == 0) | (F.col("idx") == last)).withColumn(
         "depth", F.least(F.col("idx"), last - F.col("idx"))
@@ -49,18 +50,19 @@ def spacing_regularity(rows: DataFrame, cluster: list[str], order: list[str], ga
     """
     names = gap.columns
     after = {f"__a_{c}": (c, 1) for c in names}
-    step = Ordered(rows, cluster, order).neighbours(after)
+    groups = Ordered(rows, cluster, order)
+    step = groups.neighbours(after)
     step = step.withColumn("__gap", gap({c: F.col(c) for c in names}, {c: F.col(f"__a_{c}") for c in names}))
     step = step.drop(*after)
     salt = [o.lstrip("-") for o in order]
-    step = Grouped(step, cluster).with_quantiles("__gap", {"__med": 0.5}, salt)
-    step = Ordered(step, cluster, order).neighbours({"__before": ("__gap", -1)})
+    step = groups.on(step).with_quantiles("__gap", {"__med": 0.5}, salt)
+    step = groups.on(step).neighbours({"__before": ("__gap", -1)})
 
     def off(g: Column) -> Column:
         return F.abs(F.ln(F.greatest(g, F.lit(1e-6)) / F.col("__med")))
 
     # two gaps in the group mean three items
-    both = Grouped(step, cluster).with_stats({"__gaps": F.count("__gap")}, salt)
+    both = groups.on(step).with_stats({"__gaps": F.count("__gap")}, salt)
     usable = (F.col("__gaps") >= 2) & (F.col("__med") > 0)
     here = F.when(F.col("__gap").isNotNull(), off(F.col("__gap")))
     back = F.when(F.col("__before").isNotNull(), off(F.col("__before")))
@@ -87,10 +89,10 @@ def log_sessions(lines: DataFrame, source: list[str], order: list[str], header:
 
 def series_regularity(rows: DataFrame, cluster: list[str], place: str, item: str) -> DataFrame:
     """Even spacing of a series: step from the ends, worst residual from that line, worst gap deviation."""
-    placed = Ordered(rows, cluster, [place, item]).position("i")
-    stepped = Ordered(placed, cluster, [place, item]).neighbours({"prev": (place, -1)})
+    groups = Ordered(rows, cluster, [place, item])
+    stepped = groups.on(groups.position("i")).neighbours({"prev": (place, -1)})
     ends = {"n": F.count(F.lit(1)), "first": F.min(place), "last": F.max(place)}
-    out = Grouped(stepped, cluster).with_stats(ends, [item])
+    out = groups.on(stepped).with_stats(ends, [item])
     step = F.try_divide((F.col("last") - F.col("first")).cast("double"), (F.col("n") - 1).cast("double"))
     line = F.abs(F.col(place) - (F.col("first") + F.col("i") * step))
     gap = F.abs(F.col(place) - F.col("prev") - step)

@@ -360,7 +360,7 @@ standard AS (
     CASE WHEN count(loo_residual) OVER w >= 2 THEN (loo_residual - avg(loo_residual) OVER w) / greatest(stddev_pop(loo_residual) OVER w, std_floor) END AS z_loo
   FROM resid r, rules u WINDOW w AS (PARTITION BY {keys}, rule)),
 tested_0 AS (
-  SELECT *, CASE WHEN uses = 'z' THEN z ELSE z_loo END AS tested, CASE WHEN uses = 'z' THEN residual ELSE loo_residual END AS tested_mm FROM standard),
+  SELECT *, round(CASE WHEN uses = 'z' THEN z ELSE z_loo END, 9) AS tested, CASE WHEN uses = 'z' THEN residual ELSE loo_residual END AS tested_mm FROM standard),
 tested AS (SELECT *, coalesce(tested > threshold AND tested_mm >= least_mm, false) AS flagged FROM tested_0)"""
 
 

@@ -159,8 +159,8 @@ moved AS (SELECT off AS variant, cluster, ord, region, x + CASE WHEN pos = n //
   round(avg(flagged::INT) FILTER (WHERE away = 0 AND rule = 'loo'), 6) AS detect_loo, round(avg(flagged::INT) FILTER (WHERE away = 0 AND rule = 'loo_raw'), 6) AS detect_loo_raw FROM tested GROUP BY 1""",
 )
 def masking_curve(spark, sf):
-    rows = Ordered(centers(spark, sf), KEY, ["ord"]).position("pos")
-    rows = Grouped(rows, KEY).with_stats({"n": F.count(F.lit(1))}, ["ord"])
+    groups = Ordered(centers(spark, sf), KEY, ["ord"])
+    rows = groups.on(groups.position("pos")).with_stats({"n": F.count(F.lit(1))}, ["ord"])
     away = (F.col("pos") - F.floor(F.col("n") / 2)).alias("away")
     moved = rows.select(*KEY, "ord", "region", "x", "y", away).withColumn("offset_mm", F.explode(F.array(*[F.lit(o) for o in OFFSETS])))
     moved = cut(moved.withColumn("x", F.col("x") + F.when(F.col("away") == 0, F.col("offset_mm")).otherwise(0.0)))

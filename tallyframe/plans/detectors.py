@@ -109,7 +109,7 @@ def draws_sql(source: str, reps: int = REPS, seed: int = SEED) -> str:
     + draws_sql("feat")
     + ","
     + sql_weighted("scored", "rule", "b")
-    + """ SELECT rule, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi, count(auc)::BIGINT AS reps FROM b WHERE auc IS NOT NULL GROUP BY rule""",
+    + """ SELECT rule, CASE WHEN count(auc) >= 50 THEN round(quantile_cont(auc, 0.025), 6) END AS lo, CASE WHEN count(auc) >= 50 THEN round(quantile_cont(auc, 0.975), 6) END AS hi, count(auc)::BIGINT AS reps FROM b WHERE auc IS NOT NULL GROUP BY rule""",
 )
 def auc_cluster_bootstrap(spark, sf):
     feats = cut(doc_features(spark, sf))
