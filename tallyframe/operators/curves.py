@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,31 +45,91 @@ def _fit(points: np.ndarray, asked: np.ndarray, degree: int) -> tuple[np.ndarray
     chord = np.concatenate([np.zeros((count, 1)), np.cumsum(steps, axis=1)], axis=1)
     good = np.flatnonzero(chord[:, -1] > 0)
     k = min(degree, m - 1)
-    grid = np.linspace(0.0, 1.0, SAMPLES)[:, None] ** np.arange(k + 1)
-    for at in range(0, len(good), _BATCH):
-        pick = good[at : at + _BATCH]
+    width = _BATCH if k > 1 else 64 * _BATCH
+    for at in range(0, len(good), width):
+        pick = good[at : at + width]
         t = chord[pick] / chord[pick, -1:]
         basis = t[:, :, None] ** np.arange(k + 1)
-        coef = np.linalg.pinv(basis) @ points[pick]
-        curve = grid[None] @ coef
-        gaps = ((asked[pick][:, :, None, :] - curve[:, None]) ** 2).sum(axis=3)
-        resid[pick] = np.sqrt(gaps.min(axis=2))
+        if k == 1:
+            coef = _line(t, points[pick])
+            resid[pick] = _to_line(coef, asked[pick])
+        else:
+            coef = np.linalg.pinv(basis) @ points[pick]
+            curve = (np.linspace(0.0, 1.0, SAMPLES)[:, None] ** np.arange(k + 1))[None] @ coef
+            gaps = ((asked[pick][:, :, None, :] - curve[:, None]) ** 2).sum(axis=3)
+            resid[pick] = np.sqrt(gaps.min(axis=2))
         rms[pick] = np.sqrt(((points[pick] - basis @ coef) ** 2).mean(axis=1))
     return resid, rms
 
 
-def _solve(sets: list[tuple[np.ndarray, np.ndarray]], degree: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Fit many (points, asked) sets, solving sets of equal shape together."""
-    out: list = [None] * len(sets)
-    shapes: dict[tuple[int, int], list[int]] = {}
-    for i, (points, asked) in enumerate(sets):
-        shapes.setdefault((len(points), len(asked)), []).append(i)
-    for members in shapes.values():
-        resid, rms = _fit(
-            np.stack([sets[i][0] for i in members]), np.stack([sets[i][1] for i in members]), degree
-        )
-        for j, i in enumerate(members):
-            out[i] = (resid[j], rms[j])
+def _line(t: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Straight least-squares fit: (B, 2, 2) with intercepts first."""
+    mid_t, mid = t.mean(axis=1, keepdims=True), points.mean(axis=1)
+    off = t - mid_t
+    slope = (off[:, :, None] * (points - mid[:, None])).sum(axis=1) / (off**2).sum(axis=1)[:, None]
+    return np.stack([mid - slope * mid_t, slope], axis=1)
+
+
+def _to_line(coef: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Distance to the nearest of the samples of a line: the sample next to the foot point."""
+    start, slope = coef[:, :1], coef[:, 1:]
+    size = (slope**2).sum(axis=2)
+    along = ((asked - start) * slope).sum(axis=2)
+    foot = np.divide(along, size, out=np.zeros_like(along), where=size > 0)
+    at = np.rint(np.clip(foot, 0.0, 1.0) * (SAMPLES - 1)) / (SAMPLES - 1)
+    return np.sqrt(((asked - start - slope * at[:, :, None]) ** 2).sum(axis=2))
+
+
+def _without(index: np.ndarray) -> np.ndarray:
+    """(S, m) index rows -> (S, m, m-1): each row once without each of its members."""
+    m = index.shape[1]
+    rest = np.array([[j for j in range(m) if j != i] for i in range(m)], dtype=int).reshape(m, m - 1)
+    return index[:, rest]
+
+
+def _residual_arrays(cluster: np.ndarray, region: np.ndarray, xy: np.ndarray, degree: int) -> dict[str, np.ndarray]:
+    """Residual facts for points sorted by (cluster, ord); region -1 means the point only shapes fits."""
+    n = len(cluster)
+    out = {k: np.full(n, np.nan) for k in ("residual", "loo_residual", "rms_x", "rms_y")}
+    out |= {k: np.zeros(n, dtype=np.int32) for k in ("idx", "region_size", "n_fit")}
+
+    def settle(index: np.ndarray, keep: np.ndarray) -> None:
+        """Fit each row of `index`; results go to the members marked in `keep`."""
+        m = index.shape[1]
+        resid, rms = _fit(xy[index], xy[index], degree)
+        rows, cols = np.nonzero(keep)
+        to = index[rows, cols]
+        out["residual"][to] = resid[rows, cols]
+        out["rms_x"][to], out["rms_y"][to] = rms[rows, 0], rms[rows, 1]
+        out["n_fit"][to] = m
+        rest = _without(index)[rows, cols]
+        out["loo_residual"][to] = _fit(xy[rest], xy[to][:, None], degree)[0][:, 0]
+
+    def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.zeros(len(keys[0]), dtype=bool)
+        edge[:1] = True
+        for key in keys:
+            edge[1:] |= key[1:] != key[:-1]
+        start = np.flatnonzero(edge)
+        return start, np.diff(np.r_[start, len(edge)])
+
+    order = np.lexsort((np.arange(n), region, cluster))
+    start, size = runs(cluster[order], region[order])
+    named = region[order][start] >= 0
+    for m in np.unique(size[named]):
+        index = order[start[named & (size == m)][:, None] + np.arange(m)]
+        out["idx"][index] = np.arange(m)
+        out["region_size"][index] = m
+        if m >= MIN_REGION:
+            settle(index, np.ones(index.shape, dtype=bool))
+    small_region = (region >= 0) & (out["region_size"] < MIN_REGION)
+    start, size = runs(cluster)
+    for m in np.unique(size):
+        index = start[size == m][:, None] + np.arange(m)
+        keep = small_region[index]
+        used = keep.any(axis=1)
+        if used.any():
+            settle(index[used], keep[used])
     return out
 
 
@@ -82,54 +142,35 @@ def curve_residuals(centers: DataFrame, keys: list[str], degree: int) -> DataFra
     """
     entry = F.struct("ord", "region", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     packed = centers.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("pts"))
-    types = dict(centers.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + (
-        f", ord {types['ord']}, region {types['region']}, idx int, region_size int, endpoint boolean, scope string,"
-        " n_fit int, residual double, loo_residual double, deployed_residual double, rms_x double, rms_y double"
-    )
-    columns = [c.strip().split(" ")[0].strip("`") for c in schema.split(",")]
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            facts, sets, slots = [], [], []
-            for row in pdf.itertuples(index=False):
-                head, pts = row[:-1], row[-1]
-                place = np.array([(p["x"], p["y"]) for p in pts])
-                regions = [p["region"] for p in pts]
-                whole, scored = np.arange(len(pts)), [r for r in dict.fromkeys(regions) if r is not None]
-                used_whole = None
-                for name in scored:
-                    members = np.array([i for i, r in enumerate(regions) if r == name])
-                    local = len(members) >= MIN_REGION
-                    base = members if local else whole
-                    if local:
-                        fit = len(sets)
-                        sets.append((place[base], place[members]))
-                    else:
-                        if used_whole is None:
-                            used_whole = len(sets)
-                            sets.append((place[whole], place[whole]))
-                        fit = used_whole
-                    for idx, i in enumerate(members):
-                        rest = base[base != i]
-                        slots.append((fit, idx if local else i, len(sets)))
-                        sets.append((place[rest], place[[i]]))
-                        edge = idx in (0, len(members) - 1)
-                        facts.append(
-                            (*head, pts[i]["ord"], name, idx, len(members), edge, "region" if local else "global", len(base))
-                        )
-            solved = _solve(sets, degree)
-            rows = []
-            for fact, (fit, at, loo) in zip(facts, slots):
-                inside, left = solved[fit][0][at], solved[loo][0][0]
-                shown = inside if fact[-2] == "region" else left
-                rows.append((*fact, inside, left, shown, *solved[fit][1]))
-            yield pd.DataFrame(rows, columns=columns)
-
-    out = packed.mapInPandas(solve, schema)
-    for name in ("residual", "loo_residual", "deployed_residual", "rms_x", "rms_y"):
+    kinds = {f.name: f.dataType.simpleString() for f in centers.schema.fields}
+    facts = "idx int, region_size int, n_fit int, residual double, loo_residual double, rms_x double, rms_y double"
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*keys, "ord", "region"]], facts])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("pts")
+            flat = lists.flatten()
+            cluster = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            name = flat.field("region")
+            code = np.nan_to_num(name.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(float), nan=-1).astype(int)
+            xy = np.stack([flat.field(a).to_numpy(zero_copy_only=False) for a in "xy"], axis=1)
+            found = _residual_arrays(cluster, code, xy, degree)
+            keep = np.flatnonzero(code >= 0)
+            columns = [batch.column(k).take(pa.array(cluster[keep])) for k in keys]
+            columns += [flat.field(c).take(pa.array(keep)) for c in ("ord", "region")]
+            names = ["idx", "region_size", "n_fit", "residual", "loo_residual", "rms_x", "rms_y"]
+            columns += [pa.array(found[c][keep]) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "ord", "region", *names])
+
+    out = packed.mapInArrow(solve, schema)
+    for name in ("residual", "loo_residual", "rms_x", "rms_y"):
         out = out.withColumn(name, defined(name))
-    return out
+    local = F.col("region_size") >= MIN_REGION
+    return (
+        out.withColumn("endpoint", (F.col("idx") == 0) | (F.col("idx") == F.col("region_size") - 1))
+        .withColumn("scope", F.when(local, "region").otherwise("global"))
+        .withColumn("deployed_residual", F.when(local, F.col("residual")).otherwise(F.col("loo_residual")))
+    )
 
 
 def pooled_z(rows: DataFrame, keys: list[str], value: str, floor: Column | float, name: str, salt: list[str]) -> DataFrame:

@@ -254,12 +254,15 @@ def item_scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reference_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Three scores that know no rule: inverse entropy, size regularity, spacing regularity."""
+    """Three scores that know no rule: inverse entropy, size regularity, spacing regularity.
+
+    The regularities are rounded to nine places so that equal ratios tie.
+    """
     rows = cut(analysis_items(spark, sf))
     sure = mapping_free(rows.withColumn("p", F.transform("channels", lambda c: c["mean"])), ["vec_id"], "p")
-    sized = neighbour_ratio(rows, ["cluster"], ["seq"], "n_cells").select("vec_id", F.col("ratio_score").alias("size_regularity"))
+    sized = neighbour_ratio(rows, ["cluster"], ["seq"], "n_cells").select("vec_id", F.round("ratio_score", 9).alias("size_regularity"))
     gap = Gap(["x", "y", "z"], lambda a, b: distance([b[c] for c in "xyz"], [a[c] for c in "xyz"]))
-    spaced = spacing_regularity(rows, ["cluster"], ["seq"], gap).select("vec_id", F.col("spacing_score").alias("spacing_regularity"))
+    spaced = spacing_regularity(rows, ["cluster"], ["seq"], gap).select("vec_id", F.round("spacing_score", 9).alias("spacing_regularity"))
     out = rows.join(sure.select("vec_id", "entropy_inv"), "vec_id").join(sized, "vec_id").join(spaced, "vec_id")
     return out.select("vec_id", "cluster", "category", "matched", "present", "wrong", "entropy_inv", "size_regularity", "spacing_regularity")
 
@@ -285,7 +288,7 @@ spaced AS (
     coalesce(abs(ln(CASE WHEN before IS NOT NULL THEN greatest(before, 1e-6) END / med)), 0)) END AS spacing_regularity FROM gap2),
 reference_wide AS (
   SELECT r.vec_id, r.cluster, r.matched, r.present, r.wrong, entropy_inv,
-    CASE WHEN v > 0 AND a.med IS NOT NULL THEN -abs(ln(v / a.med)) END AS size_regularity, spacing_regularity
+    CASE WHEN v > 0 AND a.med IS NOT NULL THEN round(-abs(ln(v / a.med)), 9) END AS size_regularity, round(spacing_regularity, 9) AS spacing_regularity
   FROM ready r JOIN sure USING (vec_id) JOIN around a USING (vec_id) JOIN spaced USING (vec_id)),
 reference_long AS (
   SELECT vec_id, cluster, matched, present, wrong, 'entropy_inv' AS rule, entropy_inv AS score FROM reference_wide
