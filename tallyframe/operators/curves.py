@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import count_if, defined, ratio
-from tallyframe.functions.ordered import Grouped, Ordered
+from tallyframe.functions.ordered import Grouped
 
 MIN_POINTS = 4
 MIN_REGION = 4
@@ -133,18 +133,22 @@ def _residual_arrays(cluster: np.ndarray, region: np.ndarray, xy: np.ndarray, de
     return out
 
 
-def curve_residuals(centers: DataFrame, keys: list[str], degree: int) -> DataFrame:
+def curve_residuals(centers: DataFrame, keys: list[str], degree: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Residual facts per item of (keys, ord, region, x, y); items without a region only shape fits.
 
+    There is one row per cluster and category, so a cluster is a short list whatever the table's
+    size.  Columns named in ``carry`` ride along.
+
     A region of at least four members is fitted on its own, in sample; smaller ones use the
     whole cluster.  ``loo_residual`` always refits without the item.  ``deployed_residual`` is
     the mixed form: in sample for regions, leave-one-out where the whole cluster is used.
     """
-    entry = F.struct("ord", "region", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    place = [F.col(a).cast("double").alias(a) for a in "xy"]
+    entry = F.struct("ord", "region", *place, *carry)
     packed = centers.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("pts"))
     kinds = {f.name: f.dataType.simpleString() for f in centers.schema.fields}
     facts = "idx int, region_size int, n_fit int, residual double, loo_residual double, rms_x double, rms_y double"
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*keys, "ord", "region"]], facts])
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*keys, "ord", "region", *carry]], facts])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,10 +161,10 @@ def curve_residuals(centers: DataFrame, keys: list[str], degree: int) -> DataFra
             found = _residual_arrays(cluster, code, xy, degree)
             keep = np.flatnonzero(code >= 0)
             columns = [batch.column(k).take(pa.array(cluster[keep])) for k in keys]
-            columns += [flat.field(c).take(pa.array(keep)) for c in ("ord", "region")]
+            columns += [flat.field(c).take(pa.array(keep)) for c in ("ord", "region", *carry)]
             names = ["idx", "region_size", "n_fit", "residual", "loo_residual", "rms_x", "rms_y"]
             columns += [pa.array(found[c][keep]) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "ord", "region", *names])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "ord", "region", *carry, *names])
 
     out = packed.mapInArrow(solve, schema)
     for name in ("residual", "loo_residual", "rms_x", "rms_y"):
@@ -221,25 +225,25 @@ def with_rules(rows: DataFrame, presets: list[tuple] = PRESETS) -> DataFrame:
 def score_items(resid: DataFrame, keys: list[str], px_mm: float = 1.0) -> DataFrame:
     """Pooled z of both residuals under each rule's floor, and the pair each rule tests.
 
-    z is rounded to nine places: with two items it is exactly 1, and whether it passes a
-    threshold of 1 must not hang on the order of summation.
+    Mean and deviation do not depend on the rule, so they are taken once per cluster (one row
+    per category) before the rules multiply the rows.  z is rounded to nine places: with two
+    items it is exactly 1, and whether it passes a threshold of 1 must not hang on the order
+    of summation.
     """
-    group = [*keys, "rule"]
-    rows = with_rules(resid)
-    stats = {
-        "__m": F.avg("residual"), "__s": F.stddev_pop("residual"), "__k": F.count("residual"),
-        "__lm": F.avg("loo_residual"), "__ls": F.stddev_pop("loo_residual"), "__lk": F.count("loo_residual"),
-    }
-    rows = Grouped(rows, group).with_stats(stats, ["ord"])
-    floor = F.col("std_floor")
-    z = F.when(F.col("__k") >= 2, (F.col("residual") - F.col("__m")) / F.greatest("__s", floor))
-    z_loo = F.when(F.col("__lk") >= 2, (F.col("loo_residual") - F.col("__lm")) / F.greatest("__ls", floor))
-    rows = rows.withColumn("z", z).withColumn("z_loo", z_loo).drop(*stats)
+    over = Window.partitionBy(*keys)
+    stats = {}
+    for name, col in (("r", "residual"), ("l", "loo_residual")):
+        stats |= {f"__{name}m": F.avg(col), f"__{name}s": F.stddev_pop(col), f"__{name}k": F.count(col)}
+    rows = with_rules(resid.select("*", *[a.over(over).alias(n) for n, a in stats.items()]))
+
+    def z(col: str, name: str) -> Column:
+        scale = F.greatest(F.col(f"__{name}s"), F.col("std_floor"))
+        return F.round(F.when(F.col(f"__{name}k") >= 2, (F.col(col) - F.col(f"__{name}m")) / scale), 9)
+
     loo = F.col("uses") == "z_loo"
-    chosen = F.round(F.when(loo, F.col("z_loo")).otherwise(F.col("z")), 9)
-    return rows.withColumn("tested", chosen).withColumn(
-        "tested_mm", F.when(loo, F.col("loo_residual")).otherwise(F.col("residual")) * F.lit(float(px_mm))
-    )
+    mm = F.when(loo, F.col("loo_residual")).otherwise(F.col("residual")) * F.lit(float(px_mm))
+    tested = F.when(loo, z("loo_residual", "l")).otherwise(z("residual", "r"))
+    return rows.withColumn("tested", tested).withColumn("tested_mm", mm).drop(*stats)
 
 
 def flag(threshold: Column | None = None) -> Column:
@@ -254,12 +258,13 @@ def inject(centers: DataFrame, keys: list[str], offset_mm: float = 10.0, px_mm:
     level shift: from the middle on, items take the next item's place and the last is dropped;
     swap: the middle item and the next exchange places; off by one: a shift from the first item;
     offset: the middle item moves sideways.  ``perturbed`` marks changed items, ``site`` the
-    middle (or first) one.  Variants a cluster is too short for are left out.
+    middle (or first) one.  Variants a cluster is too short for are left out.  Centres hold one
+    row per cluster and category, so the windows are short.
     """
-    groups = Ordered(centers, keys, ["ord"])
-    rows = groups.neighbours({"nx": ("x", 1), "ny": ("y", 1), "bx": ("x", -1), "by": ("y", -1)})
-    rows = groups.on(rows).position("pos")
-    rows = groups.on(rows).with_stats({"n": F.count(F.lit(1))}, ["ord"])
+    along, whole = Window.partitionBy(*keys).orderBy("ord"), Window.partitionBy(*keys)
+    near = [f(c, 1).over(along).alias(n) for n, f, c in (("nx", F.lead, "x"), ("ny", F.lead, "y"), ("bx", F.lag, "x"), ("by", F.lag, "y"))]
+    place = (F.row_number().over(along) - 1).alias("pos")
+    rows = centers.select("*", *near, place, F.count(F.lit(1)).over(whole).alias("n"))
     pos, n = F.col("pos"), F.col("n")
     mid = F.floor(n / 2)
     x, y = F.col("x"), F.col("y")
@@ -313,16 +318,19 @@ def false_positives(scored: DataFrame, cluster: list[str]) -> DataFrame:
 
 
 def paired_injection(scored: DataFrame, cluster: list[str]) -> DataFrame:
-    """Detection per corruption and rule, next to the same clusters before corruption."""
-    rows = scored.withColumn("flagged", flag())
-    clean = rows.filter("variant = 'clean'").select(*cluster, "ord", "rule", F.col("flagged").alias("was_flagged"))
-    marked = rows.filter("variant <> 'clean'").join(clean, [*cluster, "ord", "rule"], "left")
-    was = F.coalesce("was_flagged", F.lit(False))
+    """Detection per corruption and rule, next to the same clusters before corruption.
+
+    All variants of a cluster are brought together once; everything after is local to it.
+    """
+    rows = scored.repartition(*cluster).withColumn("flagged", flag())
+    before = F.max(F.when(F.col("variant") == "clean", F.col("flagged")))
+    pair = Window.partitionBy(*cluster, "ord", "rule")
+    marked = rows.withColumn("was", F.coalesce(before.over(pair), F.lit(False))).filter("variant <> 'clean'")
     per = marked.groupBy("variant", "rule", *cluster).agg(
         F.bool_or(F.col("flagged") & F.col("site")).alias("site_hit"),
-        F.bool_or(was & F.col("site")).alias("site_was"),
+        F.bool_or(F.col("was") & F.col("site")).alias("site_was"),
         F.bool_or(F.col("flagged") & F.col("perturbed")).alias("any_hit"),
-        F.bool_or(was & F.col("perturbed")).alias("any_was"),
+        F.bool_or(F.col("was") & F.col("perturbed")).alias("any_was"),
         F.count_if(~F.col("perturbed")).alias("rest"),
         F.count_if(F.col("flagged") & ~F.col("perturbed")).alias("rest_hit"),
     )
@@ -338,20 +346,29 @@ def paired_injection(scored: DataFrame, cluster: list[str]) -> DataFrame:
 
 
 def threshold_sweep(scored: DataFrame, cluster: list[str], thresholds: list[float]) -> DataFrame:
-    """Item and cluster rates at every threshold, from residuals computed once."""
-    steps = F.array(*[F.lit(float(t)) for t in thresholds])
-    rows = scored.withColumn("z_cut", F.explode(steps)).withColumn("flagged", flag(F.col("z_cut")))
+    """Item and cluster rates at every threshold, from residuals computed once.
+
+    A cluster is hit at a threshold when its largest eligible z exceeds it, so one maximum per
+    cluster answers all thresholds; only the item counts are kept per threshold.
+    """
     usable = F.col("tested").isNotNull() & F.col("tested_mm").isNotNull()
-    per = rows.groupBy("variant", "rule", "z_cut", *cluster).agg(
+    eligible = F.when(F.col("tested_mm") >= F.col("least_mm"), F.col("tested"))
+    cuts = [(f"__f{i}", float(t)) for i, t in enumerate(thresholds)]
+    per = scored.groupBy("variant", "rule", *cluster).agg(
         F.count_if(usable).alias("items"),
-        F.count_if("flagged").alias("flags"),
-        F.bool_or("flagged").alias("hit"),
-        F.bool_or(F.col("flagged") & F.col("perturbed")).alias("found"),
-    )
-    n = F.count(F.lit(1))
-    return per.groupBy("variant", "rule", "z_cut").agg(
-        n.cast("bigint").alias("n"),
-        ratio(F.sum("flags"), F.sum("items")).alias("item_rate"),
-        ratio(F.count_if("hit"), n).alias("cluster_rate"),
-        ratio(F.count_if("found"), n).alias("detection"),
+        F.max(eligible).alias("top"),
+        F.max(F.when(F.col("perturbed"), eligible)).alias("top_changed"),
+        *[F.count_if(eligible > t).alias(n) for n, t in cuts],
     )
+    n, items = F.count(F.lit(1)), F.sum("items")
+    entries = [
+        F.struct(
+            F.lit(t).alias("z_cut"),
+            ratio(F.sum(name), items).alias("item_rate"),
+            ratio(F.count_if(F.col("top") > t), n).alias("cluster_rate"),
+            ratio(F.count_if(F.col("top_changed") > t), n).alias("detection"),
+        )
+        for name, t in cuts
+    ]
+    out = per.groupBy("variant", "rule").agg(n.cast("bigint").alias("n"), F.array(*entries).alias("__e"))
+    return out.withColumn("__e", F.explode("__e")).select("variant", "rule", "n", "__e.*")

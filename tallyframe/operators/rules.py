@@ -108,11 +108,6 @@ def channel_mean(channel: Column) -> Column:
     return F.when(channel.isNotNull(), F.coalesce(hit["mean"], F.lit(0.0)))
 
 
-def channel_confidence(channel: Column, n_cells: Column) -> Column:
-    hit = F.get(F.filter("channels", lambda c: c["channel"] == channel), F.lit(0))
-    return F.when(channel.isNotNull(), confidence(hit["mean"], hit["p95"], hit["n_gt"], n_cells))
-
-
 def ranked_channels() -> Column:
     """Channels by falling mean; equal means keep the lower channel first."""
     flipped = F.transform(
@@ -121,32 +116,44 @@ def ranked_channels() -> Column:
     return F.array_sort(flipped)
 
 
-def rule_columns(seq: str = "seq", phase: str = "phase", n_cells: str = "n_cells") -> dict[str, Column]:
-    """The registry: a rule is a Column over a packed item row."""
-    name, place, cells = F.col("category"), F.col(seq), F.greatest(F.lit(1), F.col(n_cells))
+def rule_columns(seq: str = "seq", phase: str = "phase") -> dict[str, tuple[str, Column]]:
+    """The registry: a rule either names the channel it reads or gives its score outright."""
+    name, place = F.col("category"), F.col(seq)
     order = ranked_channels()
-    first = F.get(order, F.lit(0))
-    second = F.get(order, F.lit(1))
+    first, second = F.get(order, F.lit(0)), F.get(order, F.lit(1))
     return {
-        "region_retired": channel_confidence(channel_by_region(name), cells),
-        "parity_name": channel_confidence(channel_by_name(name), cells),
-        "parity_region_deployed": channel_confidence(channel_by_number(name), cells),
-        "parity_sequence": channel_confidence(channel_by_parity(name, place), cells),
-        "parity_sequence_inverted": channel_confidence(channel_by_parity(name, place + 1), cells),
-        "parity_sequence_phased": channel_confidence(channel_by_parity(name, place + F.col(phase)), cells),
-        "mapping_free_top1": -first["down"],
-        "mapping_free_margin": -first["down"] + F.coalesce(second["down"], F.lit(0.0)),
-        "argmax_mean": channel_confidence(first["channel"], cells),
+        "region_retired": ("channel", channel_by_region(name)),
+        "parity_name": ("channel", channel_by_name(name)),
+        "parity_region_deployed": ("channel", channel_by_number(name)),
+        "parity_sequence": ("channel", channel_by_parity(name, place)),
+        "parity_sequence_inverted": ("channel", channel_by_parity(name, place + 1)),
+        "parity_sequence_phased": ("channel", channel_by_parity(name, place + F.col(phase))),
+        "mapping_free_top1": ("score", -first["down"]),
+        "mapping_free_margin": ("score", -first["down"] + F.coalesce(second["down"], F.lit(0.0))),
+        "argmax_mean": ("channel", first["channel"]),
     }
 
 
-def score_rules(items: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
-    """Long form: every item once per rule, score NULL where the rule is undefined."""
+def score_rules(items: DataFrame, rules: dict[str, tuple[str, Column]] | None = None, n_cells: str = "n_cells") -> DataFrame:
+    """Long form: every item once per rule, score NULL where the rule is undefined.
+
+    Rows are multiplied first, so the chosen channel is looked up once per item and rule.
+    """
     rules = rules or rule_columns()
-    pairs = F.array(*[F.struct(F.lit(n).alias("rule"), defined(c).alias("score")) for n, c in rules.items()])
-    return items.withColumn("__r", F.explode(pairs)).select(
-        *[c for c in items.columns if c != "channels"], "__r.rule", "__r.score"
-    )
+    none = {"channel": F.lit(None).cast("int"), "score": F.lit(None).cast("double")}
+
+    def entry(name: str, kind: str, col: Column) -> Column:
+        given = none | {kind: col.cast("int") if kind == "channel" else defined(col)}
+        return F.struct(F.lit(name).alias("rule"), *[c.alias(f"__{k}") for k, c in given.items()])
+
+    rest = [c for c in items.columns if c != "channels"]
+    rows = items.withColumn("__r", F.explode(F.array(*[entry(n, k, c) for n, (k, c) in rules.items()])))
+    rows = rows.select(*items.columns, "__r.*")
+    rows = rows.withColumn("__hit", F.get(F.filter("channels", lambda c: c["channel"] == F.col("__channel")), F.lit(0)))
+    hit = F.col("__hit")
+    made = confidence(hit["mean"], hit["p95"], hit["n_gt"], F.greatest(F.lit(1), F.col(n_cells)))
+    score = F.when(F.col("__channel").isNotNull(), defined(made)).otherwise(F.col("__score"))
+    return rows.select(*rest, "rule", score.alias("score"))
 
 
 def undefined_counts(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import r6
-from tallyframe.functions.ordered import Grouped, Ordered
+from tallyframe.functions.ordered import Grouped
 from tallyframe.operators import curves as C
 from tallyframe.plans.base import (
     SQL_CENTERS,
@@ -30,16 +31,14 @@ def residuals(spark, sf, degree=1):
 
 
 def tested(spark, sf):
-    return C.score_items(cut(residuals(spark, sf)), KEY)
+    return C.score_items(residuals(spark, sf), KEY)
 
 
 def tested_variants(spark, sf, offset=10.0):
     """Every corruption fitted once; the marks of changed items ride along."""
-    rows = cut(C.inject(centers(spark, sf), KEY, offset))
+    rows = C.inject(centers(spark, sf), KEY, offset)
     keys = ["variant", *KEY]
-    fitted = C.curve_residuals(rows.drop("perturbed", "site"), keys, 1)
-    marks = rows.select(*keys, "ord", "perturbed", "site")
-    return C.score_items(cut(fitted.join(marks, [*keys, "ord"])), keys)
+    return C.score_items(C.curve_residuals(rows, keys, 1, ("perturbed", "site")), keys)
 
 
 RESIDUAL_COLUMNS = "cluster, ord::BIGINT AS ord, region, scope, n_fit::BIGINT AS n_fit, round(residual, 5) AS residual"
@@ -119,7 +118,7 @@ SELECT variant, rule, count(*)::BIGINT AS n, round(avg(s::INT), 6) AS site_rate,
   round(sum(rh) / nullif(sum(r), 0), 6) AS fp_on_rest FROM per GROUP BY ALL""",
 )
 def paired_injection(spark, sf):
-    out = C.paired_injection(cut(tested_variants(spark, sf)), KEY)
+    out = C.paired_injection(tested_variants(spark, sf), KEY)
     return rounded(out, "site_rate", "site_rate_clean", "any_rate", "any_rate_clean", "fp_on_rest")
 
 
@@ -135,7 +134,7 @@ per AS (SELECT variant, rule, z_cut, cluster, count(*) FILTER (WHERE tested IS N
 SELECT variant, rule, z_cut::DOUBLE AS z_cut, count(*)::BIGINT AS n, round(sum(flags) / nullif(sum(items), 0), 6) AS item_rate, round(avg(hit::INT), 6) AS cluster_rate, round(avg(found::INT), 6) AS detection FROM per GROUP BY ALL""",
 )
 def threshold_sweep(spark, sf):
-    out = C.threshold_sweep(cut(tested_variants(spark, sf)), KEY, THRESHOLDS)
+    out = C.threshold_sweep(tested_variants(spark, sf), KEY, THRESHOLDS)
     return rounded(out, "item_rate", "cluster_rate", "detection")
 
 
@@ -159,14 +158,15 @@ moved AS (SELECT off AS variant, cluster, ord, region, x + CASE WHEN pos = n //
   round(avg(flagged::INT) FILTER (WHERE away = 0 AND rule = 'loo'), 6) AS detect_loo, round(avg(flagged::INT) FILTER (WHERE away = 0 AND rule = 'loo_raw'), 6) AS detect_loo_raw FROM tested GROUP BY 1""",
 )
 def masking_curve(spark, sf):
-    groups = Ordered(centers(spark, sf), KEY, ["ord"])
-    rows = groups.on(groups.position("pos")).with_stats({"n": F.count(F.lit(1))}, ["ord"])
-    away = (F.col("pos") - F.floor(F.col("n") / 2)).alias("away")
-    moved = rows.select(*KEY, "ord", "region", "x", "y", away).withColumn("offset_mm", F.explode(F.array(*[F.lit(o) for o in OFFSETS])))
-    moved = cut(moved.withColumn("x", F.col("x") + F.when(F.col("away") == 0, F.col("offset_mm")).otherwise(0.0)))
+    along, whole = Window.partitionBy(*KEY).orderBy("ord"), Window.partitionBy(*KEY)
+    away = (F.row_number().over(along) - 1 - F.floor(F.count(F.lit(1)).over(whole) / 2)).alias("away")
+    rows = centers(spark, sf).select("*", away)
+    moved = rows.withColumn("offset_mm", F.explode(F.array(*[F.lit(o) for o in OFFSETS])))
+    moved = moved.withColumn("x", F.col("x") + F.when(F.col("away") == 0, F.col("offset_mm")).otherwise(0.0))
     keys = ["offset_mm", *KEY]
-    fitted = C.curve_residuals(moved.drop("away"), keys, 1).join(moved.select(*keys, "ord", "away"), [*keys, "ord"])
-    scored = cut(C.score_items(cut(fitted), keys).withColumn("flagged", C.flag().cast("double")))
+    scored = C.score_items(C.curve_residuals(moved, keys, 1, ("away",)), keys).withColumn("flagged", C.flag().cast("double"))
+    # only the moved item and its two neighbours are reported
+    scored = cut(scored.filter(F.abs("away") <= 1).select("offset_mm", "away", "rule", "residual", "loo_residual", "flagged"))
     site, one = F.col("away") == 0, F.col("rule") == "deployed"
     near = F.abs("away") == 1
     facts = scored.filter(one).select(

@@ -155,7 +155,8 @@ SELECT (count(*) FILTER (WHERE NOT matched))::BIGINT AS unmatched, (count(*) FIL
   (count(*) FILTER (WHERE NOT matched AND NOT present AND z < -0.1))::BIGINT AS absent_flagged FROM wide""",
 )
 def excluded_profile(spark, sf):
-    rows = analysis_items(spark, sf).withColumn("score", R.rule_columns()["parity_region_deployed"])
+    shipped = {"parity_region_deployed": R.rule_columns()["parity_region_deployed"]}
+    rows = R.score_rules(analysis_items(spark, sf), shipped)
     rows = cut(rows.select("matched", "present", "wrong", "score", "z"))
     out = ~F.col("matched")
     gone = out & ~F.col("present")
