@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import count_if, defined, first_of, ratio
-from tallyframe.functions.ordered import Ordered
+from tallyframe.functions.ordered import Ordered, small
 from tallyframe.session import cut
 
 
@@ -140,10 +140,10 @@ def roc_points(scored: DataFrame, keys: list[str]) -> DataFrame:
     Here the positive class is the error and a high score marks it.
     """
     counts = cut(score_counts(scored, keys))
-    total = counts.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    total = cut(counts.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg")))
     run = Ordered(counts, keys, ["-score"])
     steps = run.on(run.prefix({"tp": F.col("p"), "fp": F.col("n")})).position("place")
-    joined = steps.join(total, keys) if keys else steps.select(
+    joined = steps.join(small(total), keys) if keys else steps.select(
         "*", total.select("n_pos").scalar().alias("n_pos"), total.select("n_neg").scalar().alias("n_neg")
     )
     tp, fp = F.col("tp"), F.col("fp")
@@ -198,6 +198,6 @@ def pr_summary(points: DataFrame, keys: list[str], operating: float) -> DataFram
 
 def thin(points: DataFrame, keys: list[str], place: str, keep: int = 400) -> DataFrame:
     """Every k-th point of each curve, k = max(1, points div keep)."""
-    n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    n = cut(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / keep))
-    return points.join(n, keys).filter(F.pmod(F.col(place), step) == 0).drop("__n")
+    return points.join(small(n), keys).filter(F.pmod(F.col(place), step) == 0).drop("__n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import count_if, first_of, ratio
+from tallyframe.functions.ordered import Grouped
 
 # Line shapes of the checker, in the order they are tried.
 MISSING = r"^Error - Missing attribute Type (\S+) \S+ Element=<([^>]+)> Module=<([^>]+)>"
@@ -57,7 +58,7 @@ def parse_checker(lines: DataFrame, source: str) -> DataFrame:
         F.coalesce(part(ERROR, 1, "error"), part(WARNING, 1, "warning")).alias("message"),
     )
     first = rows.filter("kind = 'type'").groupBy(source).agg(F.min("line_no").alias("__first"))
-    rows = rows.join(first, source, "left")
+    rows = Grouped(rows, [source]).join_stats(first, ["line_no"])
     return rows.filter((F.col("kind") != "type") | (F.col("line_no") == F.col("__first"))).drop("__first")
 
 

@@ -132,7 +132,7 @@ def nearest(
     best = best.select(
         *block, *[F.col(f"q_{a}").alias(a) for a in axes], F.col("__m.nearest").alias("nearest"), F.col("__m.dist").alias("dist")
     )
-    salt = [c for c in pred.columns if c not in block]
+    salt = [c for c, kind in pred.dtypes if c not in block and not kind.startswith("map")]
     return Grouped(pred, [*block, *axes]).join_stats(best, salt)
 
 
@@ -150,7 +150,9 @@ def match(
 def has_own(pred: DataFrame, ref: DataFrame, keys: list[str], name: str = "present") -> DataFrame:
     """Whether the prediction's own label exists anywhere in its block's reference."""
     known = ref.select(*keys).distinct().withColumn(name, F.lit(True))
-    return pred.join(known, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    salt = [c for c, kind in pred.dtypes if c not in keys and not kind.startswith("map")] or keys
+    out = Grouped(pred, keys).join_stats(known, salt)
+    return out.withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def identification_hits(

@@ -55,7 +55,7 @@ def weighted_auc(counts: DataFrame, clusters: DataFrame, cluster: str, weights:
     spark = counts.sparkSession
     indexed = counts.join(small(clusters), cluster).drop(cluster)
     total = clusters.count()
-    if total * columns <= setting(spark, BROADCAST_ROWS) * 20:
+    if total * columns <= setting(spark, BROADCAST_ROWS) * 10:
         parts = _weighted_pieces(indexed, total, weights, columns, keys)
     else:
         parts = _weighted_joined(indexed, weights, keys)

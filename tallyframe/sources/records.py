@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions.ordered import small
+from tallyframe.session import cut
+
 CHANNEL = "struct<mean:double,median:double,p75:double,p95:double,max:double,min:double,std:double,n_gt_0p7:bigint>"
 ITEM = (
     "struct<label:int,name:string,n_voxels:bigint,centroid_world_ras_mm:array<double>,"
@@ -39,7 +42,7 @@ def scan_cases(cases: DataFrame, truth: DataFrame, masks: DataFrame | None = Non
     ``truth`` holds one row per case with its number of landmarks ``n_truth``.  Reasons follow the
     order of the checks: unreadable, the case's own status, no items, no reference, empty reference.
     """
-    joined = cases.join(truth.select("case", "n_truth"), "case", "left")
+    joined = cases.join(small(cut(truth.select("case", "n_truth"))), "case", "left")
     status = F.coalesce("status", F.lit("?"))
     reason = (
         F.when(F.col("_corrupt_record").isNotNull(), "unreadable")
