@@ -29,6 +29,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= setting(df.sparkSession, BROADCAST_ROWS) else df
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Partition by key for work that is heavy per row: a fixed number of partitions keeps
+    the adaptive planner from folding small but costly groups into one task."""
+    spark = df.sparkSession
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(count, *keys)
+
+
 def _name(spec: str) -> str:
     return spec.lstrip("-")
 

@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.ordered import small
+from tallyframe.functions.columns import defined
+from tallyframe.functions.ordered import small, spread
 from tallyframe.operators.detection import auc
 from tallyframe.session import cut
 
-BINS = 2048
+BINS = 16384
 SWEEPS = 8
 GAIN = 1e-12
 
@@ -23,96 +24,156 @@ def best_fixed_channel(scored: DataFrame, keys: list[str], channel: str = "chann
     return best.select(*keys, F.col(f"__b.{channel}").alias(channel), (-F.col("__b.down")).alias("auc"), "__b.n_wrong", "__b.n_right")
 
 
-def binned_counts(scored: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
-    """(keys, category, channel, bin) -> errors and correct rows, bins shared by all channels.
+def with_bins(scored: DataFrame, bins: int = BINS) -> DataFrame:
+    """Number the scores, all channels on one scale.
 
-    With no more distinct scores than bins every score has its own bin; otherwise bins are
-    quantile ranges and the search works on them, while reported AUCs stay exact.
+    With no more distinct scores than bins every score has its own bin and nothing is lost;
+    otherwise bins are quantile ranges and the search works on them, while reported AUCs stay
+    exact.
     """
-    counts = cut(
-        scored.filter("score IS NOT NULL AND wrong IS NOT NULL")
-        .groupBy(*keys, "category", "channel", "score")
-        .agg(F.count_if("wrong").alias("p"), F.count_if(~F.col("wrong")).alias("n"))
-    )
-    distinct = counts.select("score").distinct().limit(bins + 1)
+    ready = scored.withColumn("score", defined("score")).filter("score IS NOT NULL")
+    distinct = ready.select("score").distinct().limit(bins + 1)
     if distinct.count() <= bins:
-        edges = [r[0] for r in distinct.orderBy("score").collect()]
+        edges = distinct.toPandas()["score"].sort_values().to_numpy()
     else:
         cuts = [i / bins for i in range(1, bins)]
-        edges = sorted(set(counts.select(F.percentile_approx("score", cuts, 10 * bins)).first()[0]))
-    shared = counts.sparkSession.sparkContext.broadcast(np.array(edges, dtype=float))
+        edges = np.unique(ready.select(F.percentile_approx("score", cuts, 10 * bins)).first()[0])
+    shared = scored.sparkSession.sparkContext.broadcast(np.asarray(edges, dtype=float))
 
     @F.pandas_udf("int")
     def locate(score: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(shared.value, score.to_numpy(), side="left").astype("int32"))
 
-    tagged = counts.withColumn("bin", locate("score"))
-    return tagged.groupBy(*keys, "category", "channel", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-
-
-def _area(p: np.ndarray, n: np.ndarray) -> float:
-    size_p, size_n = p.sum(), n.sum()
-    if size_p == 0 or size_n == 0:
-        return -1.0
-    return float((p * (size_n - np.cumsum(n) + 0.5 * n)).sum() / (size_p * size_n))
-
-
-def _climb(p: np.ndarray, n: np.ndarray, start: int) -> tuple[float, np.ndarray]:
-    """From one channel everywhere, move single categories while the overall AUC gains."""
-    cats, chans = p.shape[:2]
-    pick = np.full(cats, start)
-    total_p, total_n = p[:, start].sum(axis=0), n[:, start].sum(axis=0)
-    best = _area(total_p, total_n)
-    for _ in range(SWEEPS):
-        moved = False
-        for cat in range(cats):
-            rest_p, rest_n = total_p - p[cat, pick[cat]], total_n - n[cat, pick[cat]]
-            for chan in range(chans):
-                if chan == pick[cat]:
-                    continue
-                area = _area(rest_p + p[cat, chan], rest_n + n[cat, chan])
-                if area > best + GAIN:
-                    best, pick[cat], moved = area, chan, True
-            total_p, total_n = rest_p + p[cat, pick[cat]], rest_n + n[cat, pick[cat]]
-        if not moved:
-            break
-    return best, pick
+    return ready.withColumn("bin", locate("score"))
+
+
+class _Climber:
+    """Coordinate ascent over sparse histograms: cells of (category, channel, bin) with p and n.
+
+    With one category set aside, the gain of each of its channels is a sum over that category's
+    own cells against running totals of the rest, so no candidate is evaluated from scratch.
+    """
+
+    def __init__(self, cat: np.ndarray, chan: np.ndarray, bin_: np.ndarray, p: np.ndarray, n: np.ndarray):
+        order = np.lexsort((bin_, chan, cat))
+        cat, chan, self.bin, self.p, self.n = (v[order] for v in (cat, chan, bin_, p, n))
+        self.cats, self.chans, self.bins = cat.max() + 1, chan.max() + 1, bin_.max() + 1
+        flat = cat * self.chans + chan
+        self.start = np.searchsorted(flat, np.arange(self.cats * self.chans + 1))
+        size = self.cats * self.chans
+        # pairs inside one (category, channel): errors against its own correct rows above them
+        run = np.cumsum(self.n)
+        before = np.r_[0.0, run][self.start[:-1]][flat]
+        total_n = np.bincount(flat, weights=self.n, minlength=size)[flat]
+        own = self.p * (total_n - (run - before) + 0.5 * self.n)
+        self.own = np.bincount(flat, weights=own, minlength=size).reshape(self.cats, self.chans)
+        self.sum_p = np.bincount(flat, weights=self.p, minlength=size).reshape(self.cats, self.chans)
+        self.sum_n = np.bincount(flat, weights=self.n, minlength=size).reshape(self.cats, self.chans)
+        self.chan = chan
+
+    def _cells(self, cat: int, chan: int) -> slice:
+        at = cat * self.chans + chan
+        return slice(self.start[at], self.start[at + 1])
+
+    def climb(self, begin: int) -> tuple[float, np.ndarray]:
+        """From one channel everywhere, move single categories while the overall AUC gains."""
+        pick = np.full(self.cats, begin)
+        p, n = np.zeros(self.bins), np.zeros(self.bins)
+        for cat in range(self.cats):
+            cells = self._cells(cat, begin)
+            p[self.bin[cells]] += self.p[cells]
+            n[self.bin[cells]] += self.n[cells]
+        best = -1.0
+        for sweep in range(SWEEPS):
+            moved = False
+            for cat in range(self.cats):
+                mine = self._cells(cat, pick[cat])
+                p[self.bin[mine]] -= self.p[mine]
+                n[self.bin[mine]] -= self.n[mine]
+                up_n, up_p = np.cumsum(n), np.cumsum(p)
+                over, under = up_n[-1] - up_n + 0.5 * n, up_p - 0.5 * p
+                every = slice(self.start[cat * self.chans], self.start[(cat + 1) * self.chans])
+                b = self.bin[every]
+                cross = np.bincount(
+                    self.chan[every], weights=self.p[every] * over[b] + self.n[every] * under[b], minlength=self.chans
+                )
+                wins = float(p @ over) + cross + self.own[cat]
+                pairs = (up_p[-1] + self.sum_p[cat]) * (up_n[-1] + self.sum_n[cat])
+                area = np.divide(wins, pairs, out=np.full(self.chans, -1.0), where=pairs > 0)
+                if sweep == 0 and cat == 0:
+                    best = area[pick[cat]]
+                for chan in range(self.chans):
+                    if chan != pick[cat] and area[chan] > best + GAIN:
+                        best, pick[cat], moved = area[chan], chan, True
+                mine = self._cells(cat, pick[cat])
+                p[self.bin[mine]] += self.p[mine]
+                n[self.bin[mine]] += self.n[mine]
+            if not moved:
+                break
+        return float(best), pick
+
+    def best(self) -> tuple[float, np.ndarray]:
+        """The best of the restarts from every fixed channel."""
+        tried = [self.climb(c) for c in range(self.chans)]
+        return max(tried, key=lambda t: t[0])
 
 
 def best_mapping(scored: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
     """One channel per category, found by coordinate ascent from every fixed channel.
 
-    The rows are reduced in Spark to a histogram of fixed size (categories x channels x bins)
-    per key, of which there is at least one (a replicate, a fold); every key and every restart
-    is its own group.  The result is attained by the mapping, never a bound.  Returns (keys, category, channel, search_auc).
+    The rows are reduced in Spark to a histogram of bounded size (categories x channels x bins)
+    per key, of which there is at least one (a replicate, a fold); each key is searched on its
+    own.  The result is attained by the mapping, never a bound.  Returns (keys, category,
+    channel, search_auc).
     """
-    counts = cut(binned_counts(scored, keys, bins))
-    starts = counts.groupBy(*keys).agg(F.collect_set("channel").alias("start"))
-    restarts = counts.join(small(starts), keys).withColumn("start", F.explode("start"))
+    counts = (
+        with_bins(scored.filter("wrong IS NOT NULL"), bins)
+        .groupBy(*keys, "category", "channel", "bin")
+        .agg(F.count_if("wrong").cast("double").alias("p"), F.count_if(~F.col("wrong")).cast("double").alias("n"))
+    )
 
-    def climb(head: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(head: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cats, c = np.unique(pdf["category"].to_numpy(str), return_inverse=True)
         chans, h = np.unique(pdf["channel"].to_numpy(), return_inverse=True)
-        _, b = np.unique(pdf["bin"].to_numpy(), return_inverse=True)
-        shape = (len(cats), len(chans), b.max() + 1)
-        p, n = np.zeros(shape), np.zeros(shape)
-        np.add.at(p, (c, h, b), pdf["p"].to_numpy(float))
-        np.add.at(n, (c, h, b), pdf["n"].to_numpy(float))
-        where = np.flatnonzero(chans == head[-1])
-        area, pick = _climb(p, n, int(where[0]))
-        out = pd.DataFrame({"start": head[-1], "category": cats, "channel": chans[pick], "search_auc": area})
+        area, pick = _Climber(c, h, pdf["bin"].to_numpy(), pdf["p"].to_numpy(), pdf["n"].to_numpy()).best()
+        out = pd.DataFrame({"category": cats, "channel": chans[pick], "search_auc": area})
         for name, value in zip(keys, head):
             out[name] = value
-        return out[[*keys, "start", "category", "channel", "search_auc"]]
+        return out[[*keys, "category", "channel", "search_auc"]]
 
-    types = dict(restarts.dtypes)
-    schema = ", ".join(
-        [*[f"`{k}` {types[k]}" for k in keys], f"start {types['channel']}, category string, channel {types['channel']}, search_auc double"]
-    )
-    tried = cut(restarts.groupBy(*keys, "start").applyInPandas(climb, schema))
-    top = tried.groupBy(*keys).agg(F.min(F.struct((-F.col("search_auc")).alias("down"), "start")).alias("__b"))
-    top = top.select(*keys, F.col("__b.start").alias("start"))
-    return tried.join(small(top), [*keys, "start"]).drop("start")
+    types = dict(counts.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"category string, channel {types['channel']}, search_auc double"])
+    return spread(counts, keys).groupBy(*keys).applyInPandas(search, schema)
+
+
+def mapping_null(scored: DataFrame, labels: DataFrame, item: str, bins: int = BINS) -> DataFrame:
+    """The mapping search on every replicate of permuted labels: (rep, auc).
+
+    ``scored`` holds (item, category, channel, score), ``labels`` (rep, item, wrong).  The
+    histogram of all rows is the same in every replicate and goes to the tasks once; a replicate
+    only brings the cells of its errors.
+    """
+    binned = cut(with_bins(scored, bins).select(item, "category", "channel", "bin"))
+    whole = binned.groupBy("category", "channel", "bin").agg(F.count(F.lit(1)).cast("double").alias("all"))
+    table = whole.toPandas()  # at most categories x channels x bins cells
+    cats, c = np.unique(table["category"].to_numpy(str), return_inverse=True)
+    chans, h = np.unique(table["channel"].to_numpy(), return_inverse=True)
+    shared = scored.sparkSession.sparkContext.broadcast((c, h, table["bin"].to_numpy(), table["all"].to_numpy()))
+    code = pd.DataFrame({"category": cats[c], "channel": chans[h], "bin": table["bin"], "cell": np.arange(len(table))})
+    cells = scored.sparkSession.createDataFrame(code)
+    marked = binned.join(small(cells), ["category", "channel", "bin"]).groupBy(item).agg(F.collect_list("cell").alias("cells"))
+    errors = labels.filter("wrong").select("rep", item)
+    hits = errors.join(marked, item).select("rep", F.explode("cells").alias("cell"))
+    counts = hits.groupBy("rep", "cell").agg(F.count(F.lit(1)).cast("double").alias("p"))
+
+    def search(head: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        c, h, b, total = shared.value
+        p = np.zeros(len(total))
+        p[pdf["cell"].to_numpy()] = pdf["p"].to_numpy()
+        area, _ = _Climber(c, h, b, p, total - p).best()
+        return pd.DataFrame({"rep": [head[0]], "auc": [area]})
+
+    return spread(counts, ["rep"]).groupBy("rep").applyInPandas(search, f"rep {dict(counts.dtypes)['rep']}, auc double")
 
 
 def mapping_auc(scored: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:

@@ -86,18 +86,19 @@ def dice(truth: DataFrame, pred: DataFrame, cluster: list[str], cell: list[str],
     keys = [*cluster, *cell]
     a = truth.select(*keys, F.col(label).alias("__a"))
     b = pred.select(*keys, F.col(label).alias("__b"))
-    both = cut(a.join(b, keys, "full_outer"))
-    n_a, n_b = F.count("__a"), F.count("__b")
-    inter = F.count_if(F.col("__a").isNotNull() & F.col("__b").isNotNull())
-    fore = both.groupBy(*cluster).agg(
-        F.coalesce(ratio(inter * 2, n_a + n_b), F.lit(1.0)).alias("dice_fg")
-    )
     marks = F.array_distinct(F.array_compact(F.array("__a", "__b")))
-    per = both.withColumn(label, F.explode(marks)).groupBy(*cluster, label).agg(
-        F.count_if(F.col("__a") == F.col(label)).alias("in_a"),
-        F.count_if(F.col("__b") == F.col(label)).alias("in_b"),
-        F.count_if((F.col("__a") == F.col(label)) & (F.col("__b") == F.col(label))).alias("in_both"),
+    rows = a.join(b, keys, "full_outer").withColumn(label, F.explode(marks))
+    in_a, in_b = F.col("__a") == F.col(label), F.col("__b") == F.col(label)
+    # a cell marked on both sides counts towards the foreground once, under its reference label
+    per = rows.groupBy(*cluster, label).agg(
+        F.count_if(in_a).alias("in_a"),
+        F.count_if(in_b).alias("in_b"),
+        F.count_if(in_a & in_b).alias("in_both"),
+        F.count_if(in_a & F.col("__b").isNotNull()).alias("marked_twice"),
     )
+    per = cut(per)
+    size = F.sum("in_a") + F.sum("in_b")
+    fore = per.groupBy(*cluster).agg(F.coalesce(ratio(F.sum("marked_twice") * 2, size), F.lit(1.0)).alias("dice_fg"))
     per = per.filter("in_a > 0").select(
         *cluster, label, ratio(F.col("in_both") * 2, F.col("in_a") + F.col("in_b")).alias("dice")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import hashed, ratio
-from tallyframe.functions.ordered import PIECE, Ordered, small
+from tallyframe.functions.ordered import PIECE, Ordered, small, spread
 from tallyframe.operators.detection import score_counts
 from tallyframe.session import BROADCAST_ROWS, cut, setting
 
@@ -108,7 +108,7 @@ def _weighted_pieces(indexed: DataFrame, total: int, weights: DataFrame, columns
 
     types = dict(rows.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "rep int, piece bigint, u double, p double, n double"])
-    return rows.groupBy(*keys, PIECE).applyInPandas(weigh, schema)
+    return spread(rows, [*keys, PIECE]).groupBy(*keys, PIECE).applyInPandas(weigh, schema)
 
 
 def bootstrap_auc(scored: DataFrame, cluster: str, keys: list[str], reps: int, seed: int, population: DataFrame | None = None) -> DataFrame:

@@ -400,13 +400,37 @@ def permutation_draws(spark, sf):
     return rounded(out, "auc")
 
 
+MAPPING_REPS = 100
+
+
 @query("mapping_null")
 def mapping_null(spark, sf):
-    """Permutation null of the mapping search: every replicate and restart is its own group."""
-    _, shuffled = permuted_scores(spark, sf, "cluster", 21)
-    found = C.best_mapping(cut(shuffled.select("rep", "category", "channel", "score", "wrong")), ["rep"])
-    draws = found.select("rep", "search_auc").distinct()
-    return rounded(draws, "search_auc").select(F.col("rep").cast("bigint").alias("rep"), F.col("search_auc").alias("auc"))
+    """Null of the mapping search over matched items: labels permuted within each cluster."""
+    return mapping_null_draws(spark, sf, MAPPING_REPS)
+
+
+def mapping_null_draws(spark, sf, reps):
+    rows = cut(analysis_items(spark, sf).filter("matched").select("vec_id", "cluster", "category", "wrong", "n_cells", "channels"))
+    perm = B.permute_within(rows, ["cluster"], "vec_id", "wrong", reps, 31)
+    return rounded(C.mapping_null(item_channels(rows), perm, "vec_id"), "auc").withColumn("rep", F.col("rep").cast("bigint"))
+
+
+def item_channels(rows):
+    """The confidence formula on every channel of every item."""
+    long = rows.select("vec_id", "category", "n_cells", F.explode("channels").alias("c"))
+    score = R.confidence(F.col("c.mean"), F.col("c.p95"), F.col("c.n_gt"), F.greatest(F.lit(1), F.col("n_cells")))
+    return long.select("vec_id", "category", "c.channel", score.alias("score"))
+
+
+@query("best_item_mapping")
+def best_item_mapping(spark, sf):
+    """Best channel per level over matched items, with the exact AUC it attains."""
+    rows = cut(analysis_items(spark, sf).filter("matched").select("vec_id", "category", "wrong", "n_cells", "channels"))
+    scored = cut(item_channels(rows).join(rows.select("vec_id", "wrong"), "vec_id").withColumn("rep", F.lit(0)))
+    found = cut(C.best_mapping(scored, ["rep"]))
+    exact = C.mapping_auc(scored, found, ["rep"])
+    out = found.join(small(exact.select("rep", "auc")), "rep").drop("rep")
+    return rounded(out.withColumn("channel", F.col("channel").cast("bigint")), "search_auc", "auc")
 
 
 @query("heldout_mapping")
