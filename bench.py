@@ -20,6 +20,7 @@ HEADLINE = [
     "split_half_selection",
     "permutation_null",
     "mapping_null",
+    "best_item_mapping",
     "match_nearest",
     "rule_scores",
     "channel_statistics",

@@ -184,9 +184,10 @@ def analysis_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items matched, ordered, phased: what every rule and evaluation reads."""
     rows = items(spark, sf)
     ref = reference_points(rows)
-    out = match(rows, ref, ["cluster"], ["x", "y", "z"], "category", "category", TOLERANCE)
+    # written once: the steps below count groups before they choose a plan
+    out = cut(match(rows, ref, ["cluster"], ["x", "y", "z"], "category", "category", TOLERANCE))
     out = has_own(out, ref, ["cluster", "category"])
-    out = detection_order(out, ["cluster"], "z", "vec_id")
+    out = cut(detection_order(out, ["cluster"], "z", "vec_id"))
     phases = R.phase_estimate(out, ["cluster"]).select("cluster", "phase")
     return out.join(small(phases), "cluster")
 

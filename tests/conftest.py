@@ -13,7 +13,7 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session()
+    session = local_session(partitions="4")
     yield session
     session.stop()
 
