@@ -159,6 +159,19 @@ def violations(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return counted.select(F.explode(pairs).alias("__p")).select("__p.*")
 
 
+def drop_out_of_range(rows: DataFrame, label: str, least: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with a usable label, and how often each unusable label was dropped."""
+    inside = F.coalesce(F.col(label).between(least, most), F.lit(False))
+    dropped = rows.filter(~inside).groupBy(label).agg(F.count(F.lit(1)).cast("bigint").alias("n_dropped"))
+    return rows.filter(inside), dropped
+
+
+def isotropic(rows: DataFrame, steps: list[str]) -> DataFrame:
+    """How many rows have equal steps along every axis."""
+    same = F.size(F.array_distinct(F.array(*steps))) == 1
+    return rows.agg(count_if(same).alias("n_isotropic"), F.count(F.lit(1)).cast("bigint").alias("of"))
+
+
 def require_clean(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Pass rows through, failing the job on the first row that breaks a check."""
     out = rows

@@ -45,9 +45,13 @@ def half_weights(clusters: DataFrame, cluster: str, reps: int, seed: int) -> Dat
     return placed.select("idx", (F.col("rep") * 2 + side).alias("rep"), F.lit(1).cast("bigint").alias("w"))
 
 
-def weighted_auc(counts: DataFrame, clusters: DataFrame, cluster: str, weights: DataFrame, columns: int, keys: list[str]) -> DataFrame:
+def weighted_auc(
+    counts: DataFrame, clusters: DataFrame, cluster: str, weights: DataFrame, columns: int, keys: list[str], name: str = "rep"
+) -> DataFrame:
     """AUC per key and replicate from (key, cluster, score) counts and per-cluster weights.
 
+    The weights number their replicates in ``rep``; the result calls that column ``name``.
+
     When clusters x replicates fit a checked bound, the weight table goes to every task and a
     task weighs one score range for all replicates with NumPy: nothing is multiplied in the
     shuffle.  Otherwise weights are joined and summed per replicate in Spark.
@@ -56,30 +60,32 @@ def weighted_auc(counts: DataFrame, clusters: DataFrame, cluster: str, weights:
     indexed = counts.join(small(clusters), cluster).drop(cluster)
     total = clusters.count()
     if total * columns <= setting(spark, BROADCAST_ROWS) * 10:
-        parts = _weighted_pieces(indexed, total, weights, columns, keys)
+        parts = _weighted_pieces(indexed, total, weights, columns, keys, name)
     else:
-        parts = _weighted_joined(indexed, weights, keys)
-    run = Ordered(cut(parts), [*keys, "rep"], ["piece"]).prefix({"upto": F.col("n")})
-    done = run.groupBy(*keys, "rep").agg(
+        parts = _weighted_joined(indexed, weights.withColumnRenamed("rep", name), keys, name)
+    run = Ordered(cut(parts), [*keys, name], ["piece"]).prefix({"upto": F.col("n")})
+    done = run.groupBy(*keys, name).agg(
         F.sum(F.col("u") - F.col("p") * F.col("upto")).alias("__u"), F.sum("p").alias("__p"), F.sum("n").alias("__n")
     )
     pairs = F.col("__p") * F.col("__n")
     # u counts wins inside the piece plus a full piece; upto removes what is not above
-    return done.select(*keys, "rep", F.try_divide(F.col("__u") + pairs, pairs).alias("auc"))
+    return done.select(*keys, name, F.try_divide(F.col("__u") + pairs, pairs).alias("auc"))
 
 
-def _weighted_joined(indexed: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+def _weighted_joined(indexed: DataFrame, weights: DataFrame, keys: list[str], name: str) -> DataFrame:
     w = F.col("w")
     summed = (
         indexed.join(weights, "idx")
-        .groupBy(*keys, "rep", "score")
+        .groupBy(*keys, name, "score")
         .agg(F.sum(F.col("p") * w).cast("double").alias("p"), F.sum(F.col("n") * w).cast("double").alias("n"))
     )
     half = F.col("p") * F.col("n") * F.lit(0.5)
-    return summed.select(*keys, "rep", F.col("score").alias("piece"), half.alias("u"), "p", "n")
+    return summed.select(*keys, name, F.col("score").alias("piece"), half.alias("u"), "p", "n")
 
 
-def _weighted_pieces(indexed: DataFrame, total: int, weights: DataFrame, columns: int, keys: list[str]) -> DataFrame:
+def _weighted_pieces(
+    indexed: DataFrame, total: int, weights: DataFrame, columns: int, keys: list[str], name: str
+) -> DataFrame:
     dense = np.zeros((total, columns), dtype=np.int32)
     table = weights.toPandas()  # at most total x columns entries, checked by the caller
     dense[table["idx"], table["rep"]] = table["w"]
@@ -101,13 +107,13 @@ def _weighted_pieces(indexed: DataFrame, total: int, weights: DataFrame, columns
             wins = (wp * (size_n - below + 0.5 * wn)).sum(axis=0)
             blocks.append((wins, size_p, size_n))
         wins, size_p, size_n = (np.concatenate(x) for x in zip(*blocks))
-        out = pd.DataFrame({"rep": np.arange(columns), "u": wins, "p": size_p, "n": size_n})
-        for name, value in zip([*keys, "piece"], head):
-            out[name] = value
-        return out[[*keys, "rep", "piece", "u", "p", "n"]]
+        out = pd.DataFrame({name: np.arange(columns), "u": wins, "p": size_p, "n": size_n})
+        for key, value in zip([*keys, "piece"], head):
+            out[key] = value
+        return out[[*keys, name, "piece", "u", "p", "n"]]
 
     types = dict(rows.dtypes)
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "rep int, piece bigint, u double, p double, n double"])
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"{name} int, piece bigint, u double, p double, n double"])
     return spread(rows, [*keys, PIECE]).groupBy(*keys, PIECE).applyInPandas(weigh, schema)
 
 
@@ -174,15 +180,21 @@ def bootstrap_rate(rows: DataFrame, cluster: str, keys: list[str], num: Column,
     )
 
 
-def split_half(scored: DataFrame, cluster: str, rule: str, reps: int, seed: int) -> DataFrame:
-    """Pick the best rule on one half of the clusters, score it on the other; both directions."""
-    counts = cut(score_counts(scored, [rule], [cluster]))
+def split_half(scored: DataFrame, cluster: str, rule: str, reps: int, seed: int, keys: list[str] | None = None) -> DataFrame:
+    """Pick the best rule on one half of the clusters, score it on the other; both directions.
+
+    ``keys`` repeats the whole selection per key, for instance per replicate of permuted labels.
+    """
+    keys = keys or []
+    counts = cut(score_counts(scored, [*keys, rule], [cluster]))
     clusters = index_clusters(scored, cluster)
     weights = half_weights(clusters, cluster, reps, seed)
-    halves = cut(weighted_auc(counts, clusters, cluster, weights, 2 * reps, [rule]).filter("auc IS NOT NULL"))
-    best = halves.groupBy("rep").agg(F.min(F.struct((-F.col("auc")).alias("down"), F.col(rule))).alias("__b"))
-    chosen = best.select(F.col(f"__b.{rule}").alias(rule), F.col("rep").alias("fold"), F.expr("rep ^ 1").alias("rep"))
-    return chosen.join(halves, [rule, "rep"]).select("fold", rule, F.col("auc").alias("held_auc"))
+    halves = weighted_auc(counts, clusters, cluster, weights, 2 * reps, [*keys, rule], "fold").filter("auc IS NOT NULL")
+    halves = cut(halves)
+    best = halves.groupBy(*keys, "fold").agg(F.min(F.struct((-F.col("auc")).alias("down"), F.col(rule))).alias("__b"))
+    chosen = best.select(*keys, F.col(f"__b.{rule}").alias(rule), F.col("fold").alias("__from"), F.expr("fold ^ 1").alias("fold"))
+    held = chosen.join(halves, [*keys, rule, "fold"])
+    return held.select(*keys, F.col("__from").alias("fold"), rule, F.col("auc").alias("held_auc"))
 
 
 def permute_within(rows: DataFrame, group: list[str], item: str, label: str, reps: int, seed: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import count_if, r6
@@ -18,6 +20,7 @@ from tallyframe.plans.joins import AXES, SQL_HITS, landmarks
 from tallyframe.plans.registry import query
 from tallyframe.plans.scans import LINE_SHAPES
 from tallyframe.sources.tables import table
+from tallyframe.streaming.progress import run_progress_stream
 
 
 @query("label_histogram", "SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
@@ -475,3 +478,59 @@ def median_findings(spark, sf):
     return rounded(mid.join(size, "c_mktsegment"), "median_findings")
 
 
+
+
+@query(
+    "cell_channel_statistics",
+    """
+WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS p, generate_subscripts(embedding, 1) - 1 AS channel FROM embeddings),
+c AS (SELECT label, channel, p FROM p JOIN embeddings USING (vec_id))
+SELECT label::BIGINT AS label, channel::BIGINT AS channel, round(avg(p), 6) AS mean, round(median(p), 6) AS median, round(quantile_cont(p, 0.75), 6) AS p75, round(quantile_cont(p, 0.95), 6) AS p95,
+  round(max(p), 6) AS max, round(min(p), 6) AS min, round(stddev_pop(p), 6) AS std, (count(*) FILTER (WHERE p > 0.1))::BIGINT AS n_high FROM c GROUP BY ALL""",
+)
+def cell_channel_statistics(spark, sf):
+    """Cell labels joined to cell probabilities, then summarised per item and channel."""
+    vec = table(spark, sf, "embeddings")
+    probs = vec.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("channel", "p"))
+    labels = vec.select("vec_id", F.col("label").cast("bigint").alias("label"))
+    cells = probs.join(labels, "vec_id").select("label", F.col("channel").cast("bigint").alias("channel"), "p")
+    return A.channel_statistics(cells, ["label", "channel"], "p", 0.1)
+
+
+@query(
+    "dropped_labels",
+    "SELECT l_linenumber::BIGINT AS label, count(*)::BIGINT AS n_dropped FROM lineitem WHERE l_linenumber NOT BETWEEN 2 AND 5 GROUP BY 1",
+)
+def dropped_labels(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("label"))
+    return P.drop_out_of_range(rows, "label", 2, 5)[1]
+
+
+@query(
+    "isotropic_count",
+    "SELECT (count(*) FILTER (WHERE round(l_discount * 100) = round(l_tax * 100) AND round(l_tax * 100) = l_linenumber))::BIGINT AS n_isotropic, count(*)::BIGINT AS \"of\" FROM lineitem",
+)
+def isotropic_count(spark, sf):
+    cents = [F.round(F.col(c) * 100).cast("int").alias(c) for c in ("l_discount", "l_tax")]
+    return P.isotropic(table(spark, sf, "lineitem").select(*cents, "l_linenumber"), ["l_discount", "l_tax", "l_linenumber"])
+
+
+@query(
+    "run_progress_stream",
+    """
+WITH l AS (SELECT user_id, arg_max(event_type, (ts, event_type)) AS status, max(value) AS wall FROM events GROUP BY 1),
+a AS (SELECT count(*) AS n, avg(wall) AS mean, median(wall) AS med, max(wall) AS mx FROM l)
+SELECT status, count(*)::BIGINT AS n, round(count(*) / any_value(a.n), 6) AS share, round(any_value(mean), 6) AS mean_wall, round(any_value(med), 6) AS median_wall,
+  any_value(mx) AS max_wall, greatest(0, 5000 - any_value(a.n))::BIGINT AS remaining, round(greatest(0, 5000 - any_value(a.n)) * any_value(med) / 3600, 6) AS remaining_hours
+FROM l, a GROUP BY status""",
+)
+def progress_stream(spark, sf):
+    """The events written out as a run log, followed by the stream, read back from its table."""
+    events = table(spark, sf, "events")
+    folder = f"{spark.sparkContext.getCheckpointDir()}/run-log-{uuid.uuid4().hex}"
+    lines = events.select(
+        F.col("user_id").cast("string").alias("case"), F.col("event_type").alias("status"), F.col("value").alias("wall_seconds"), F.col("ts").cast("string").alias("utc")
+    )
+    lines.write.json(f"{folder}/log")
+    run_progress_stream(spark, f"{folder}/log", f"{folder}/out", f"{folder}/state", 5000).awaitTermination()
+    return rounded(spark.read.parquet(f"{folder}/out"), "share", "mean_wall", "median_wall", "max_wall", "remaining_hours")

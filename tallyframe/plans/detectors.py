@@ -336,7 +336,7 @@ NULL_REPS = 20
 
 def sql_permuted(group: str, seed: int) -> str:
     return f"""
-base AS (SELECT doc_id, {group} AS grp, wrong, row_number() OVER (PARTITION BY {group} ORDER BY doc_id) AS k FROM feat),
+base AS (SELECT doc_id, cluster, {group} AS grp, wrong, row_number() OVER (PARTITION BY {group} ORDER BY doc_id) AS k FROM feat),
 shuffled AS (SELECT rep, doc_id, grp, row_number() OVER (PARTITION BY rep, grp ORDER BY ('0x' || substr(md5(concat_ws('|', {seed}, rep, doc_id)), 1, 8))::BIGINT, doc_id) AS k
   FROM base, (SELECT range AS rep FROM range({NULL_REPS}))),
 perm AS (SELECT s.rep, s.doc_id, b.wrong FROM shuffled s JOIN base b ON s.k = b.k AND s.grp IS NOT DISTINCT FROM b.grp),
@@ -345,7 +345,7 @@ null_scored AS (SELECT p.rep, s.rule, s.score, p.wrong FROM perm p JOIN scored s
 
 def permuted_scores(spark, sf, group, seed):
     feats = cut(doc_features(spark, sf))
-    perm = cut(B.permute_within(feats, [group], "doc_id", "wrong", NULL_REPS, seed))
+    perm = cut(B.permute_within(feats, [group] if group else [], "doc_id", "wrong", NULL_REPS, seed))
     long = long_rules(feats.drop("wrong", "cluster", "category", "toxic"), DOC_RULES, "channel")
     category = feats.select("doc_id", "category")
     return feats, long.join(category, "doc_id").join(perm.select("rep", "doc_id", "wrong"), "doc_id")
@@ -385,6 +385,35 @@ def permutation_null_category(spark, sf):
     return null_summary(spark, sf, "category", 22)
 
 
+@query("permutation_null_free", sql_null("'all'", 23))
+def permutation_null_free(spark, sf):
+    return null_summary(spark, sf, None, 23)
+
+
+@query(
+    "heldout_null",
+    "WITH"
+    + SQL_DOC
+    + ","
+    + sql_permuted("category", 22)
+    + """ ids AS (SELECT DISTINCT cluster FROM feat),
+halves AS (SELECT cluster, r, row_number() OVER (PARTITION BY r ORDER BY ('0x' || substr(md5(concat_ws('|', 3, r, cluster)), 1, 8))::BIGINT, cluster) - 1 AS k, (SELECT count(*) FROM ids) AS n
+  FROM ids, (SELECT range AS r FROM range(5))),
+weights AS (SELECT cluster, r * 2 + CASE WHEN k < n // 2 THEN 0 ELSE 1 END AS fold FROM halves),
+folded AS (SELECT p.rep, w.fold, s.rule, s.score, p.wrong FROM perm p JOIN scored s USING (doc_id) JOIN weights w ON w.cluster = s.cluster),"""
+    + sql_auc("folded", "rep, fold, rule", "b")
+    + """, best AS (SELECT * FROM (SELECT rep, fold, rule, row_number() OVER (PARTITION BY rep, fold ORDER BY auc DESC, rule) AS k FROM b WHERE auc IS NOT NULL) WHERE k = 1)
+SELECT best.rep::BIGINT AS rep, count(*)::BIGINT AS folds, round(avg(b.auc), 6) AS held_mean FROM best JOIN b ON b.rep = best.rep AND b.rule = best.rule AND b.fold = xor(best.fold, 1) WHERE b.auc IS NOT NULL GROUP BY 1""",
+)
+def heldout_null(spark, sf):
+    """Held-out mean of the best score under labels permuted within language."""
+    feats, shuffled = permuted_scores(spark, sf, "category", 22)
+    rows = shuffled.join(feats.select("doc_id", "cluster"), "doc_id")
+    held = B.split_half(rows, "cluster", "channel", 5, 3, ["rep"])
+    out = held.groupBy(F.col("rep").cast("bigint").alias("rep")).agg(F.count(F.lit(1)).alias("folds"), r6(F.avg("held_auc")).alias("held_mean"))
+    return out
+
+
 @query(
     "permutation_draws",
     "WITH"
