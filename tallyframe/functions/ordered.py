@@ -74,7 +74,10 @@ def _locate(edges: Column, value: Column) -> Column:
 
 
 class Grouped:
-    """A table with a group key, and the knowledge of which groups are oversized."""
+    """A table with a group key, and the knowledge of which groups are oversized.
+
+    Key columns must not be NULL.
+    """
 
     def __init__(self, df: DataFrame, keys: list[str], limit: int | None = None):
         self.spark = df.sparkSession

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import defined
 from tallyframe.functions.ordered import small, spread
 from tallyframe.operators.detection import auc
-from tallyframe.session import cut
+from tallyframe.session import BROADCAST_ROWS, cut, setting, ship
+
+ship(__name__)
 
 BINS = 16384
 SWEEPS = 8
@@ -155,7 +157,12 @@ def mapping_null(scored: DataFrame, labels: DataFrame, item: str, bins: int = BI
     """
     binned = cut(with_bins(scored, bins).select(item, "category", "channel", "bin"))
     whole = binned.groupBy("category", "channel", "bin").agg(F.count(F.lit(1)).cast("double").alias("all"))
-    table = whole.toPandas()  # at most categories x channels x bins cells
+    whole = cut(whole)
+    if whole.count() > setting(scored.sparkSession, BROADCAST_ROWS) * 10:
+        # a vocabulary too large to share: every replicate brings its whole histogram instead
+        found = best_mapping(scored.join(labels, item), ["rep"], bins)
+        return found.select("rep", F.col("search_auc").alias("auc")).distinct()
+    table = whole.toPandas()
     cats, c = np.unique(table["category"].to_numpy(str), return_inverse=True)
     chans, h = np.unique(table["channel"].to_numpy(), return_inverse=True)
     shared = scored.sparkSession.sparkContext.broadcast((c, h, table["bin"].to_numpy(), table["all"].to_numpy()))

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import count_if, defined, ratio
 from tallyframe.functions.ordered import Grouped
+from tallyframe.session import ship
+
+ship(__name__)
 
 MIN_POINTS = 4
 MIN_REGION = 4

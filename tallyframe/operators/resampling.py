@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import hashed, ratio
 from tallyframe.functions.ordered import PIECE, Ordered, small, spread
 from tallyframe.operators.detection import score_counts
-from tallyframe.session import BROADCAST_ROWS, cut, setting
+from tallyframe.session import BROADCAST_ROWS, cut, setting, ship
+
+ship(__name__)
 
 _STRIP = 64  # replicates handled together in memory
 PIECE_ROWS = 100_000  # score counts one task weighs at a time

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Rows of one group that a single task may sort; larger groups are cut into pieces.
-GROUP_ROWS = ("spark.tallyframe.groupRows", 4_000_000)
+GROUP_ROWS = ("spark.tallyframe.groupRows", 1_000_000)
 # Rows of a table that may be broadcast, checked by counting before the hint is used.
 BROADCAST_ROWS = ("spark.tallyframe.broadcastRows", 500_000)
 
 
+def ship(module: str) -> None:
+    """Send a module's functions to Python workers by value, so executors need no install."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
     name, default = entry
     return int(spark.conf.get(name, str(default)))

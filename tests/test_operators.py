@@ -376,3 +376,23 @@ def test_quantiles_are_linear(spark):
     df = spark.range(10).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
     row = Grouped(df, ["k"]).quantiles("v", {"a": 0.95, "b": 0.5}).first()
     assert (row.a, row.b) == (pytest.approx(8.55), 4.5)
+
+
+def test_mapping_null_without_shared_histogram(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"v{i % 4}", j, float(np.round(rng.random(), 2))) for i in range(60) for j in range(3)]
+    df = spark.createDataFrame(rows, "id int, category string, channel int, score double")
+    labels = spark.createDataFrame([(r, i, bool(rng.random() < 0.4)) for r in range(3) for i in range(60)], "rep int, id int, wrong boolean")
+    one = {r.rep: r.auc for r in C.mapping_null(df, labels, "id").collect()}
+    spark.conf.set("spark.tallyframe.broadcastRows", "1")
+    try:
+        two = {r.rep: r.auc for r in C.mapping_null(df, labels, "id").collect()}
+    finally:
+        spark.conf.unset("spark.tallyframe.broadcastRows")
+    assert one == pytest.approx(two)
+
+
+def test_worker_functions_travel_by_value():
+    from pyspark import cloudpickle
+
+    assert {K.__name__, C.__name__, B.__name__} <= set(cloudpickle.list_registry_pickle_by_value())
