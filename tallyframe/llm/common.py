@@ -98,10 +98,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+GLUE = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+
+
 def text_blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets): whole documents, each followed by one space. Nulls are empty."""
     for low, high in cuts(column, limit):
-        part = pc.binary_join_element_wise(column.slice(low, high - low).cast(pa.large_string()).fill_null(""), "", " ")
+        part = pc.binary_join_element_wise(column.slice(low, high - low).cast(pa.large_string()).fill_null(""), *GLUE)
         offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
         data = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         yield low, high, data, offsets - offsets[0]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from tallyframe.llm.packing import op4_pack_nnls
+from tallyframe.llm.substrings import op10_induced_suffixes
 from tallyframe.llm.token_files import op2_token_orc
 
 QUERIES = {
     "op2_token_orc": (op2_token_orc, None),
     "op4_pack_nnls": (op4_pack_nnls, None),
+    "op10_induced_suffixes": (op10_induced_suffixes, None),
 }
