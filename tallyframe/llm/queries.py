@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyframe.llm.minhash import op5_minhash_bayes
 from tallyframe.llm.packing import op4_pack_nnls
 from tallyframe.llm.substrings import op10_induced_suffixes
 from tallyframe.llm.token_files import op2_token_orc
@@ -9,5 +10,6 @@ from tallyframe.llm.token_files import op2_token_orc
 QUERIES = {
     "op2_token_orc": (op2_token_orc, None),
     "op4_pack_nnls": (op4_pack_nnls, None),
+    "op5_minhash_bayes": (op5_minhash_bayes, None),
     "op10_induced_suffixes": (op10_induced_suffixes, None),
 }
