@@ -23,13 +23,13 @@ ship(__name__)
 
 END_ID = 2
 # Distinct pieces a task remembers before it starts over; bounds its memory, never its result.
-REMEMBERED = 2_000_000
+REMEMBERED = 700_000
 # White space that is not in SPACE, and special tokens.
 WHOLE = r"<\|\w+\|>|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Kinds of bytes: 1 white space, 2 punctuation, 3 letters and digits, 4 parts of longer characters, 0 the rest.
 KINDS = np.array([1 if SPACE[b] else 4 if b > 127 else 3 if chr(b).isalnum() else 2 if 32 < b < 127 and b != 39 else 0 for b in range(256)], np.uint8)
-# Pieces encoded in one call, apart from each other by the tokenizer's own end marker.
-TOGETHER = 256
+# Pieces encoded in one string, apart from each other by the tokenizer's own end marker, and strings in one call.
+TOGETHER, STRINGS = 256, 32
 
 
 def tokenizer_path(name: str) -> str:
@@ -72,13 +72,15 @@ class Encoder:
     def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
         lengths = []
-        for one in self.tokenizer.encode_batch_fast([self.marker.join(g) for g in groups], add_special_tokens=False):
-            ids = np.array(one.ids, np.int32)
+        joined = [self.marker.join(g) for g in groups]
+        calls = (joined[i : i + STRINGS] for i in range(0, len(joined), STRINGS))
+        for one in (e.ids for call in calls for e in self.tokenizer.encode_batch_fast(call, add_special_tokens=False)):
+            ids = np.array(one, np.int32)
             apart = ids == self.marker_id
             lengths.append(np.diff(np.concatenate([[-1], np.flatnonzero(apart), [len(ids)]])) - 1)
             ids = ids[~apart]
             if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) // 2 + len(ids), np.int32)])
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) // 4 + len(ids), np.int32)])
             self.flat[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
         length = np.concatenate(lengths)
