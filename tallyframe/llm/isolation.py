@@ -28,6 +28,7 @@ SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SAMPLE = 20_000  # most clean labelled documents that the forest is grown on
 TREES, ROWS, DEPTH = 100, 256, 8
+MARGIN = 0.5  # how far beyond its rows' range a split may fall, in ranges
 FALSE_ALARMS = 0.002
 SEED = 8
 
@@ -116,7 +117,9 @@ class Forest:
                     self.length[tree, node] = level + mean_path(np.array(len(part)))
                     continue
                 f = draw.choice(open_features)
-                at = draw.uniform(part[:, f].min(), part[:, f].max())
+                low, high = part[:, f].min(), part[:, f].max()
+                # beyond the rows' own range, so that what lies outside it is set apart early
+                at = draw.uniform(low - MARGIN * (high - low), high + MARGIN * (high - low))
                 self.feature[tree, node], self.value[tree, node] = f, at
                 parts[2 * node + 1], parts[2 * node + 2] = part[part[:, f] < at], part[part[:, f] >= at]
 

@@ -16,6 +16,7 @@ rows give no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import KEY, keyed, list_array, running, written
-from tallyframe.llm.token_files import crc_of_ids, token_rows
-from tallyframe.llm.tokens import tokenizer_path
+from tallyframe.llm.token_files import id_type, token_rows
+from tallyframe.llm.tokens import loaded, tokenizer_path
 from tallyframe.session import ship
 
 ship(__name__)
@@ -152,10 +153,15 @@ def place(plan: Plan, tokens: np.ndarray, rank: np.ndarray, blocks_before: np.nd
     return tuple(c[order] for c in columns)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, frequent: int = FREQUENT, steps: int = STEPS) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``."""
-    tokens = written(token_rows(keyed(docs.select("doc_id", "text")), tokenizer))
-    lengths = tokens.select(KEY, F.size("ids").cast("long").alias("n"))
+def pack(
+    docs: DataFrame, tokenizer: str, window: int = WINDOW, frequent: int = FREQUENT, steps: int = STEPS, digest: bool = False
+) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``.
+
+    digest: the pieces' CRC-32 as ``ids_crc32`` in place of their ids.
+    """
+    tokens = written(token_rows(keyed(docs.select("doc_id", "text")), tokenizer, packed=True))
+    lengths = tokens.select(KEY, "n")
     lengths = lengths.select(
         KEY, "n", (F.col("n") % window).alias("rest"), F.floor(F.col("n") / window).cast("long").alias("blocks"), F.lit(1).alias("one")
     )
@@ -174,41 +180,36 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, frequent: int =
             lists = [list_array(pa.array(c), offsets) for c in columns]
             yield pa.RecordBatch.from_arrays([pa.array(key), *lists], [KEY, *names])
 
+    kind = id_type(loaded(tokenizer).get_vocab_size())
+    heads = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 rows = batch.slice(low, 256)
-                ids, offsets = rows.column(1), rows.column(1).offsets.to_numpy()
-                lists = rows.columns[2:]
+                lists = rows.columns[3:]
                 ends = lists[0].offsets.to_numpy()
                 owner = np.repeat(np.arange(rows.num_rows), np.diff(ends))
                 start, length, sequence, offset = (x.values.to_numpy()[ends[0] : ends[-1]] for x in lists)
-                total = np.concatenate([[0], np.cumsum(length)])
-                where = np.arange(total[-1]) + np.repeat(offsets[owner] + start - total[:-1], length)
-                columns = [start, length, np.diff(offsets)[owner].astype(np.int64), sequence, offset]
-                values = pa.array(ids.values.to_numpy(zero_copy_only=False)[where])
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(pa.array(owner)), *map(pa.array, columns), list_array(values, total)],
-                    ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-                )
+                whole = [np.frombuffer(x.as_buffer(), kind) for x in rows.column(2)]
+                parts = [whole[i][a : a + n].astype("<u4") for i, a, n in zip(owner.tolist(), start.tolist(), length.tolist())]
+                if digest:
+                    last = pa.array([zlib.crc32(x) for x in parts], pa.int64())
+                else:
+                    ids = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+                    last = list_array(pa.array(ids.view(np.int32)), np.concatenate([[0], np.cumsum(length)]))
+                columns = [start, length, rows.column(1).to_numpy()[owner], sequence, offset]
+                found = [rows.column(0).take(pa.array(owner)), *map(pa.array, columns), last]
+                yield pa.RecordBatch.from_arrays(found, [*heads, "ids_crc32" if digest else "ids"])
 
     kinds = ", ".join(f"{c} array<bigint>" for c in names)
     placed = ranked.select(KEY, "n", "rank", "blocks_before").mapInArrow(pieces, f"{KEY} bigint, {kinds}")
-    both = tokens.join(placed, KEY).select("doc_id", "ids", *names)
-    return both.mapInArrow(
-        cut, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids array<int>"
-    )
-
-
-def with_piece_crc(pieces: DataFrame) -> DataFrame:
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], crc_of_ids(batch.column(6))], [*batch.schema.names[:-1], "ids_crc32"])
-
-    kinds = ", ".join(f"{c} bigint" for c in pieces.columns[:-1])
-    return pieces.mapInArrow(digest, f"{kinds}, ids_crc32 bigint")
+    # one row per document on both sides, shuffled whatever their sizes
+    both = tokens.join(placed.hint("merge"), KEY).select("doc_id", "n", "ids", *names)
+    last = "ids_crc32 bigint" if digest else "ids array<int>"
+    return both.mapInArrow(cut, ", ".join(f"{c} bigint" for c in heads) + ", " + last)
 
 
 def op4_pack_nnls(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = pack(spark.read.parquet(f"{folder}/documents.parquet"), tokenizer_path("word_bpe_49k.json"), WINDOW)
-    return with_piece_crc(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), WINDOW, digest=True).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

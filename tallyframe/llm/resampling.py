@@ -2,9 +2,10 @@
 
 Texts are bags of hashed features: words, and runs of five bytes. One generative model is counted over the clean
 labelled documents of a bounded sample (the target), the other over all documents (raw). A document's log weight is the
-log ratio of its probability under both. Its key adds Gumbel noise, drawn from a hash of its key; the documents with
-the k largest keys are a sample without replacement in proportion to the weights. k is the number of documents whose
-weight reaches a bound calibrated on every labelled document outside the target sample.
+log ratio of its probability under both, over the square root of its number of features, so that a long text's noise
+does not outweigh what it says. Its key is the weight times ``SHARPNESS`` plus Gumbel noise, drawn from a hash of its
+key; the documents with the k largest keys are a sample without replacement. k is the number of documents whose weight
+reaches a bound calibrated on every labelled document outside the target sample.
 
 Both models have ``BUCKETS`` counts whatever the corpus: tasks send dense parts of their count vectors, which are added
 up as a stream.
@@ -36,6 +37,7 @@ PART = 1 << 14  # counts sent together
 SAMPLE = 20_000  # most clean labelled documents that the target is counted on
 SMOOTHING = 0.5
 FALSE_ALARMS = 0.002
+SHARPNESS = 50.0  # the inverse temperature of the sampling
 SEED = 7
 
 
@@ -107,11 +109,13 @@ def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.zeros(batch.num_rows)
+            score, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for low, high, data, offsets in text_blocks(batch.column(2)):
                 for buckets, first in features(data, offsets):
                     total = np.concatenate([[0], np.cumsum(ratio[buckets], dtype=np.float64)])
                     score[low:high] += np.diff(total[first])
+                    size[low:high] += np.diff(first)
+            score /= np.sqrt(np.maximum(size, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(score, 6))], [KEY, "doc_id", "log_weight"])
 
     chosen = docs.select(KEY, F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -122,7 +126,9 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, false_ala
     """``__key, doc_id, log_weight, gumbel_key, kept`` of keyed documents."""
     docs = docs.select(KEY, "doc_id", F.col("text").cast("string").alias("text"))
     known = written(verdicts(labels))
-    target = written(known.filter("clean").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample).select("doc_id"))
+    draw = F.xxhash64(F.lit(seed), "doc_id")  # half of the clean rows may be the target, the others calibrate
+    target = known.filter(F.col("clean") & (F.pmod(draw, F.lit(2)) == 0)).orderBy(draw, "doc_id").limit(sample).select("doc_id")
+    target = written(target)
     flagged = docs.join(F.broadcast(target.withColumn("target", F.lit(True))), "doc_id", "left")  # at most ``sample`` ids
     ratio = np.zeros(BUCKETS, np.float32)
     if target.take(1):
@@ -134,7 +140,7 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, false_ala
         bound = lower_bound(weights.join(known, "doc_id").select(F.col("log_weight").alias("score"), "clean"), false_alarms)
     k = weights.count() if bound is None else weights.filter(F.col("log_weight") >= bound).count()
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), KEY), 11) + 0.5) / float(1 << 53)
-    gumbel = weights.withColumn("gumbel_key", F.round(F.col("log_weight") - F.log(-F.log(uniform)), 6))
+    gumbel = weights.withColumn("gumbel_key", F.round(SHARPNESS * F.col("log_weight") - F.log(-F.log(uniform)), 6))
     gumbel = gumbel.withColumns({"__down": -F.col("gumbel_key"), "__one": F.lit(1)})
     ranked = running(gumbel, ["__down", KEY], {"__rank": "__one"})
     return ranked.select(KEY, "doc_id", "log_weight", "gumbel_key", (F.col("__rank") < k).alias("kept"))

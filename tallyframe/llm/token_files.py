@@ -31,20 +31,33 @@ ROW_GROUP = 1000
 FILE_COLUMNS = "doc_id bigint, seq bigint, part int, ids array<int>"
 
 
-def token_rows(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """``__key, doc_id, ids``: the ids of each whole text and ``end_id``; ``docs`` are keyed."""
+def token_rows(docs: DataFrame, tokenizer: str, end_id: int = END_ID, packed: bool = False) -> DataFrame:
+    """``__key, doc_id, n, ids``: the ids of each whole text and ``end_id``; ``docs`` are keyed.
+
+    packed: ``ids`` as bytes, two or four per id as the vocabulary needs, for rows that are shuffled.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared_encoder(tokenizer)
+        kind = id_type(held.tokenizer.get_vocab_size())
         for batch in batches:
             for low, high, ids, offsets in encoded(batch.column(2), held, end_id):
                 rows = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), list_array(pa.array(ids), offsets)], [KEY, "doc_id", "ids"]
-                )
+                if packed:
+                    data = pa.py_buffer(ids.astype(kind))
+                    ends = pa.py_buffer((offsets * np.dtype(kind).itemsize).astype(np.int32))
+                    values = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, ends, data])
+                else:
+                    values = list_array(pa.array(ids), offsets)
+                columns = [rows.column(0), rows.column(1), pa.array(np.diff(offsets).astype(np.int64)), values]
+                yield pa.RecordBatch.from_arrays(columns, [KEY, "doc_id", "n", "ids"])
 
     chosen = docs.select(KEY, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(encode, f"{KEY} bigint, doc_id bigint, ids array<int>")
+    return chosen.mapInArrow(encode, f"{KEY} bigint, doc_id bigint, n bigint, ids {'binary' if packed else 'array<int>'}")
+
+
+def id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
