@@ -97,11 +97,12 @@ def counts(docs: DataFrame) -> np.ndarray:
 def log_ratio(both: np.ndarray) -> np.ndarray:
     """Log of target probability over raw probability of each feature, smoothed; 0 where raw has none."""
     raw, target = both.astype(float)
-    share = raw / max(raw.sum(), 1)
+    if not raw.any():
+        return np.zeros(BUCKETS, np.float32)
     # the target's missing features fall back on their raw share, worth SMOOTHING occurrences or less
     p = (target + SMOOTHING * np.minimum(1, raw)) / (target.sum() + SMOOTHING * (raw > 0).sum())
     q = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * (raw > 0).sum())
-    return np.where(share > 0, np.log(np.maximum(p, 1e-300) / q), 0).astype(np.float32)
+    return np.where(raw > 0, np.log(np.maximum(p, 1e-300) / q), 0).astype(np.float32)
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
