@@ -6,9 +6,10 @@
    probability (1 - threshold^rows)^bands, 3e-6 by default.
 3. Within a bucket not all pairs are formed. A hub is compared with every member, what is similar joins its component,
    then another hub with those outside its component. Buckets that still hold several components are compared block
-   by block, members of different components only, and only survivors leave the block: first the few most similar for
-   each document and component, then all that are left. So no link between components is lost, and copies of one text
-   cost a row each.
+   by block, members of different components only; what leaves a block is, for each document and component, the few
+   most similar survivors. Where those are confirmed the component is joined. Where none is, the document is compared
+   with the whole component, its full sets in blocks too, and one link is enough. So no link between components is
+   lost, copies of one text cost a row each, and near copies a few.
 4. A pair is compared 16 hashes at a time and given up once the posterior probability that its similarity reaches the
    threshold is below ``miss``. Survivors are confirmed on their full sets.
 
@@ -37,7 +38,7 @@ ship(__name__)
 
 STEP = 16  # hashes compared before the next look at the posterior
 SIDE = 2048  # members of a bucket on one side of a block
-NEAREST = 4  # survivors per document and component in the first pass over blocks
+NEAREST = 4  # survivors per document and component that leave a block of signatures
 
 
 @dataclass(frozen=True)
@@ -156,7 +157,6 @@ class Search:
         self.signatures = written(full.join(some, KEY).select(KEY, "n", "signature"))
         self.sets = self.full_sets(docs.join(some, KEY))
         self.links: DataFrame | None = None
-        self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def full_sets(self, docs: DataFrame) -> DataFrame:
@@ -208,22 +208,20 @@ class Search:
         both = pairs.join(self.side(self.sets, "b"), "b").join(self.side(self.sets, "a"), "a")
         return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a bigint, b bigint")
 
-    def add(self, survivors: DataFrame) -> None:
-        """Confirm pairs not tested before and bring the components up to date."""
-        survivors = survivors.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.tested is not None:
-            survivors = survivors.join(self.tested, ["a", "b"], "left_anti")
-        survivors = written(survivors)
-        self.tested = survivors if self.tested is None else self.tested.unionByName(survivors)
-        links = written(self.confirmed(survivors))
-        if self.labels is not None:
-            links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        self.labels = components(links)
+    def add(self, links: DataFrame) -> None:
+        """Take in confirmed links and bring the labels nearer to the components."""
+        links = written(links)
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.labels = written(components(self.links, rounds=2))
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the label of ``__key``; unlinked documents are their own."""
+        both = rows.join(self.labels.withColumnRenamed("node", KEY), KEY, "left")
+        return both.withColumn("label", F.coalesce("label", KEY))
 
     def open_members(self) -> DataFrame:
-        """``bucket, __key, label`` of the buckets that hold several components and pairs never compared."""
-        rows = self.members.filter("size > 2").join(self.labels.withColumnRenamed("node", KEY), KEY, "left")
-        rows = rows.select("bucket", KEY, F.coalesce("label", KEY).alias("label"))
+        """``bucket, __key, label`` of the buckets that hold several labels and pairs never compared."""
+        rows = self.labelled(self.members.filter("size > 2").select("bucket", KEY))
         mixed_buckets = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
         return written(rows.join(mixed_buckets.select("bucket"), "bucket"))
 
@@ -233,8 +231,8 @@ class Search:
         pairs = rows.join(hubs, "bucket").filter("label <> hub_label")
         return self.survivors(pairs.select(F.least("a", KEY).alias("a"), F.greatest("a", KEY).alias("b")).distinct())
 
-    def by_block(self, rows: DataFrame, nearest: int | None) -> DataFrame:
-        """Survivors among members of different components, found block by block."""
+    def by_block(self, rows: DataFrame) -> DataFrame:
+        """``a, b, label``: a member, the label of others, and the few members of that label nearest to it by signature."""
         sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         sizes = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
         grid = sizes.select("bucket", "main", F.ceil(F.col("all") / SIDE).cast("int").alias("across"), F.ceil((F.col("all") - F.col("most")) / SIDE).cast("int").alias("down"))
@@ -248,19 +246,8 @@ class Search:
         needed, width, percent = self.needed, self.how.hashes, self.how.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rest: list[pa.RecordBatch] = []
-            for batch in batches:
-                ids = [batch.column(i).to_numpy() for i in range(3)]
-                change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-                if len(change) and rest and sum(r.num_rows for r in rest) > SIDE:
-                    # up to the last change the groups are whole
-                    rest.append(batch.slice(0, change[-1]))
-                    yield from compare(pa.Table.from_batches(rest).combine_chunks())
-                    rest = [batch.slice(change[-1])]
-                else:
-                    rest.append(batch)
-            if rest:
-                yield from compare(pa.Table.from_batches(rest).combine_chunks())
+            for table in whole_groups(batches, 3):
+                yield from compare(table)
 
         def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if not table.num_rows:
@@ -280,29 +267,104 @@ class Search:
                     i, j = i[fits], j[fits]
                     alive, matches = surviving(signature, signature, i, j, needed)
                     i, j = i[alive], j[alive]
-                    if nearest is not None and len(i):
+                    if len(i):
                         order = pd.DataFrame({"i": i, "c": label[j], "m": -matches}).sort_values(["i", "c", "m"])
-                        top = order.groupby(["i", "c"], sort=False).head(nearest).index.to_numpy()
+                        top = order.groupby(["i", "c"], sort=False).head(NEAREST).index.to_numpy()
                         i, j = i[top], j[top]
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(keys[j])], ["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[i], keys[j], label[j])], ["a", "b", "label"])
 
         columns = ["bucket", "x", "y", KEY, "label", "n", "main", "probe", "signature"]
+        return dealt.select(*columns).mapInArrow(run, "a bigint, b bigint, label bigint")
+
+    def by_component(self, asked: DataFrame) -> DataFrame:
+        """Links ``a, b`` of documents ``a`` with any member of the component ``label``: one per block at most."""
+        now = self.labels.select(F.col("node").alias("label"), F.col("label").alias("now"))
+        asked = asked.join(now, "label", "left").select(F.col("a").alias(KEY), F.coalesce("now", "label").alias("with"))
+        asked = written(self.labelled(asked).filter(F.col("label") != F.col("with")).select(KEY, "with").distinct())
+        members = self.labelled(self.signatures.select(KEY)).withColumnRenamed("label", "with")
+        members = members.join(asked.select("with").distinct(), "with")
+        grid = members.groupBy("with").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("across"))
+        builds = members.join(grid, "with").select("with", F.pmod(F.xxhash64(KEY), "across").cast("int").alias("x"), KEY, F.lit(False).alias("probe"))
+        probes = asked.join(grid, "with").select("with", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), KEY, F.lit(True).alias("probe"))
+        full = builds.unionByName(probes).join(self.signatures, KEY).join(self.sets, KEY)
+        dealt = full.repartition("with", "x").sortWithinPartitions("with", "x", F.desc("probe"))
+        needed, width, percent = self.needed, self.how.hashes, self.how.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_groups((b for batch in batches for b in slices(batch)), 2):
+                batch = table.to_batches()[0]
+                group, x = (batch.column(i).to_numpy() for i in range(2))
+                edge = np.flatnonzero((group[1:] != group[:-1]) | (x[1:] != x[:-1])) + 1
+                for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(x)]):
+                    found = linked(batch.slice(a, b - a))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+        def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for low in range(0, batch.num_rows, 500):
+                yield batch.slice(low, 500)
+
+        def linked(rows: pa.RecordBatch) -> list[tuple[int, int]]:
+            keys, n = rows.column(2).to_numpy(), rows.column(4).to_numpy()
+            probe = rows.column(3).to_numpy(zero_copy_only=False)
+            signature = signature_rows(rows.column(5), width)
+            p, q = np.flatnonzero(probe), np.flatnonzero(~probe)
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column(6)]
+            owner = np.repeat(np.arange(len(q)), n[q])
+            hashes = np.concatenate([sets[j] for j in q]) if len(q) else np.zeros(0, np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+            out = []
+            for i in p.tolist():
+                j = q[100 * np.minimum(n[q], n[i]) >= percent * np.maximum(n[q], n[i])]
+                alive, _ = surviving(signature, signature, np.full(len(j), i), j, needed)
+                if not len(alive):
+                    continue
+                low, high = np.searchsorted(hashes, sets[i]), np.searchsorted(hashes, sets[i], side="right")
+                at = np.repeat(low - np.cumsum(np.append(0, (high - low)[:-1])), high - low) + np.arange((high - low).sum())
+                shared = np.bincount(owner[at], minlength=len(q))[np.searchsorted(q, j[alive])]
+                good = np.flatnonzero(100 * shared >= percent * (n[j[alive]] + n[i] - shared))
+                if len(good):
+                    out.append((int(keys[i]), int(keys[j[alive[good[0]]]])))
+            return out
+
+        columns = ["with", "x", KEY, "probe", "n", "signature", "shingles"]
         return dealt.select(*columns).mapInArrow(run, "a bigint, b bigint")
 
     def run(self) -> None:
         first = self.members.filter(F.col(KEY) != F.col("hub")).select(F.col("hub").alias("a"), F.col(KEY).alias("b"))
-        self.add(self.survivors(first.distinct()))
-        for salt in (1, 2):
+        self.add(self.confirmed(self.survivors(first.distinct())))
+        rows = self.open_members()
+        if rows.take(1):
+            self.add(self.confirmed(self.by_hub(rows, 1)))
             rows = self.open_members()
-            if not rows.take(1):
-                return
-            self.add(self.by_hub(rows, salt))
-        for nearest in (NEAREST, None):
-            rows = self.open_members()
-            if not rows.take(1):
-                return
-            self.add(self.by_block(rows, nearest))
+        if rows.take(1):
+            near = written(self.by_block(rows))
+            pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            self.add(self.confirmed(pairs))
+            self.add(self.by_component(near.select("a", "label").distinct()))
+        self.labels = components(self.links)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """Rows sorted by the first columns, in tables that hold every group they touch in full."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = [batch.column(i).to_numpy() for i in range(columns)]
+        change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+        if rest and any(rest[-1].column(i)[rest[-1].num_rows - 1].as_py() != batch.column(i)[0].as_py() for i in range(columns)):
+            change = np.append(0, change)
+        if rest and len(change) and sum(r.num_rows for r in rest) >= SIDE:
+            if change[-1]:
+                rest.append(batch.slice(0, change[-1]))
+            yield pa.Table.from_batches(rest).combine_chunks()
+            rest = [batch.slice(change[-1])]
+        else:
+            rest.append(batch)
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
 
 
 def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:

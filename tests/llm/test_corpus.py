@@ -135,7 +135,8 @@ def test_near_duplicates(spark, size):
 def test_near_duplicates_block_by_block(spark, monkeypatch):
     """Groups in one bucket that are not similar to each other; without hubs, only blocks can link them."""
     monkeypatch.setattr(minhash, "SIDE", 8)
-    monkeypatch.setattr(minhash.Search, "by_hub", lambda self, rows, salt: self.by_block(rows, 1))
+    monkeypatch.setattr(minhash, "NEAREST", 1)
+    monkeypatch.setattr(minhash.Search, "by_hub", lambda self, rows, salt: self.survivors(self.members.select(F.col(KEY).alias("a"), F.col(KEY).alias("b")).limit(1)))
     docs = near_corpus()
     how = minhash.NearDuplicates(shingle=4, rows=1, bands=32)
     found = {r[KEY]: r["component"] for r in rows(minhash.near_duplicates(keyed(frame(spark, docs)), how))}
