@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import KEY, LOWER, SPACE, keyed, shuffle_partitions, spans, text_blocks, word_hashes, written
+from tallyframe.llm.common import KEY, LOWER, SPACE, keyed, mixed, shuffle_partitions, spans, text_blocks, word_hashes, written
 from tallyframe.session import ship
 
 ship(__name__)
@@ -67,7 +67,7 @@ def packed(slices: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     for column in columns:
         values = column[order]
         out.append(pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()))
-    return pa.RecordBatch.from_arrays(out, ["slice", "a", "b"])
+    return pa.RecordBatch.from_arrays(out, ["slice", "a", "b", "c", "d"][: len(out)])
 
 
 def merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -351,8 +351,8 @@ def scored(docs, words, model: Clustered, pairs: np.ndarray, once: int, n_all: i
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, h, c = None, None, None
+        found, size = [], 0
         for batch in batches:
-            found = []
             for number, kind, a, b in zip(*(x.to_pylist() for x in batch.columns)):
                 if kind == 0:
                     now, h, c = number, np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)
@@ -366,15 +366,46 @@ def scored(docs, words, model: Clustered, pairs: np.ndarray, once: int, n_all: i
                 codes, keys = pd.factorize(owner)
                 logs = np.log10(np.maximum(n, 1))
                 found.append((keys, *(np.bincount(codes, x, len(keys)) for x in (n > 0, np.log10(n + 1), logs))))
-            if found:
-                keys, known, plus, logs = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(known.astype(np.int64)), pa.array(plus), pa.array(logs)], [KEY, "known", "plus", "logs"])
+                size += len(keys)
+                if size > GATHERED // 4:
+                    yield by_document(found)
+                    found, size = [], 0
+        if found:
+            yield by_document(found)
+
+    def by_document(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, *sums = added(found)
+        return packed(slice_of(mixed(keys.view(np.uint64)), slices), keys, *sums)
+
+    def added(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        keys, *sums = (np.concatenate(x) for x in zip(*found))
+        codes, unique = pd.factorize(keys)
+        return unique, *(np.bincount(codes, x, len(unique)) for x in sums)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found = None, []
+        for batch in batches:
+            for number, a, *sums in zip(*(x.to_pylist() for x in batch.columns)):
+                if number != now and found:
+                    yield per_document(added(found))
+                    found = []
+                now = number
+                found.append((np.frombuffer(a, np.int64), *(np.frombuffer(x, np.float64) for x in sums)))
+                if len(found) > 64:
+                    found = [added(found)]
+        if found:
+            yield per_document(added(found))
+
+    def per_document(sums: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        keys, known, plus, logs = sums
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(known.astype(np.int64)), pa.array(plus), pa.array(logs)], [KEY, "known", "plus", "logs"])
 
     asked = passed.filter("slice is not null").select("slice", F.lit(1).alias("kind"), "a", "b")
     held = words.select("slice", F.lit(0).alias("kind"), F.col("words").alias("a"), F.col("counts").alias("b"))
     dealt = held.unionByName(asked).repartition("slice").sortWithinPartitions("slice", "kind")
-    rare = dealt.mapInArrow(look_up, f"{KEY} bigint, known bigint, plus double, logs double")
-    rare = rare.groupBy(KEY).agg(*[F.sum(x).alias(x) for x in ("known", "plus", "logs")])
+    # what a slice says about a document is sent on packed, to the slice of the document's key
+    parts = dealt.mapInArrow(look_up, "slice int, a binary, b binary, c binary, d binary")
+    rare = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(add_up, f"{KEY} bigint, known bigint, plus double, logs double")
 
     whole = passed.filter("slice is null").select(KEY, "n_tokens", "n_rare", "base", "model").join(rare, KEY, "left")
     whole = whole.fillna({"known": 0, "plus": 0.0, "logs": 0.0}).join(docs.select(KEY, "doc_id", "held_out"), KEY)
