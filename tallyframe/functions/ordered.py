@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.session import BROADCAST_ROWS, GROUP_ROWS, cut, setting
+from tallyframe.session import BROADCAST_BYTES, GROUP_ROWS, cut, setting, stored_bytes
 
 PIECE = "__piece"
 ALL = "__all"
@@ -24,9 +24,9 @@ _MAX_PIECES = 2**_LEVELS
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast only when counting proves the table short enough."""
-    n = df.limit(setting(df.sparkSession, BROADCAST_ROWS) + 1).count()
-    return F.broadcast(df) if n <= setting(df.sparkSession, BROADCAST_ROWS) else df
+    """Hint a broadcast when the table was written and its stored size is within the bound; else Spark decides."""
+    size = stored_bytes(df)
+    return F.broadcast(df) if size is not None and size <= setting(df.sparkSession, BROADCAST_BYTES) else df
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import defined
-from tallyframe.functions.ordered import small, spread
+from tallyframe.functions.ordered import Ordered, small, spread
 from tallyframe.operators.detection import auc
 from tallyframe.session import BROADCAST_ROWS, cut, setting, ship
 
 ship(__name__)
 
-BINS = 16384
 SWEEPS = 8
 GAIN = 1e-12
 
@@ -26,27 +25,11 @@ def best_fixed_channel(scored: DataFrame, keys: list[str], channel: str = "chann
     return best.select(*keys, F.col(f"__b.{channel}").alias(channel), (-F.col("__b.down")).alias("auc"), "__b.n_wrong", "__b.n_right")
 
 
-def with_bins(scored: DataFrame, bins: int = BINS) -> DataFrame:
-    """Number the scores, all channels on one scale.
-
-    With no more distinct scores than bins every score has its own bin and nothing is lost;
-    otherwise bins are quantile ranges and the search works on them, while reported AUCs stay
-    exact.
-    """
+def with_bins(scored: DataFrame) -> DataFrame:
+    """Number the distinct scores in order, all channels on one scale; every score has a number of its own."""
     ready = scored.withColumn("score", defined("score")).filter("score IS NOT NULL")
-    distinct = ready.select("score").distinct().limit(bins + 1)
-    if distinct.count() <= bins:
-        edges = distinct.toPandas()["score"].sort_values().to_numpy()
-    else:
-        cuts = [i / bins for i in range(1, bins)]
-        edges = np.unique(ready.select(F.percentile_approx("score", cuts, 10 * bins)).first()[0])
-    shared = scored.sparkSession.sparkContext.broadcast(np.asarray(edges, dtype=float))
-
-    @F.pandas_udf("int")
-    def locate(score: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, score.to_numpy(), side="left").astype("int32"))
-
-    return ready.withColumn("bin", locate("score"))
+    numbers = Ordered(ready.select("score").distinct(), [], ["score"]).position("bin")
+    return ready.join(numbers, "score").withColumn("bin", F.col("bin").cast("int"))
 
 
 class _Climber:
@@ -114,22 +97,24 @@ class _Climber:
                 break
         return float(best), pick
 
-    def best(self) -> tuple[float, np.ndarray]:
-        """The best of the restarts from every fixed channel."""
-        tried = [self.climb(c) for c in range(self.chans)]
-        return max(tried, key=lambda t: t[0])
+    def best(self) -> tuple[float | None, np.ndarray, int]:
+        """The best of the restarts from every fixed channel, with where it started; None without both classes."""
+        tried = [(*self.climb(c), c) for c in range(self.chans)]
+        area, pick, start = max(tried, key=lambda t: t[0])
+        return (area if area >= 0 else None), pick, start
 
 
-def best_mapping(scored: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
+def best_mapping(scored: DataFrame, keys: list[str]) -> DataFrame:
     """One channel per category, found by coordinate ascent from every fixed channel.
 
-    The rows are reduced in Spark to a histogram of bounded size (categories x channels x bins)
-    per key, of which there is at least one (a replicate, a fold); each key is searched on its
-    own.  The result is attained by the mapping, never a bound.  Returns (keys, category,
-    channel, search_auc).
+    The rows are reduced in Spark to counts per (category, channel, distinct score) and key; each
+    key (a replicate, a fold) is searched on its own.  The result is attained by the mapping,
+    never a bound, and NULL where a key has one class only.  Returns (keys, category, channel,
+    search_auc, start); ``start`` is the channel the search began from, which categories without
+    a row of their own keep.
     """
     counts = (
-        with_bins(scored.filter("wrong IS NOT NULL"), bins)
+        with_bins(scored.filter("wrong IS NOT NULL"))
         .groupBy(*keys, "category", "channel", "bin")
         .agg(F.count_if("wrong").cast("double").alias("p"), F.count_if(~F.col("wrong")).cast("double").alias("n"))
     )
@@ -137,31 +122,32 @@ def best_mapping(scored: DataFrame, keys: list[str], bins: int = BINS) -> DataFr
     def search(head: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cats, c = np.unique(pdf["category"].to_numpy(str), return_inverse=True)
         chans, h = np.unique(pdf["channel"].to_numpy(), return_inverse=True)
-        area, pick = _Climber(c, h, pdf["bin"].to_numpy(), pdf["p"].to_numpy(), pdf["n"].to_numpy()).best()
-        out = pd.DataFrame({"category": cats, "channel": chans[pick], "search_auc": area})
+        area, pick, start = _Climber(c, h, pdf["bin"].to_numpy(), pdf["p"].to_numpy(), pdf["n"].to_numpy()).best()
+        out = pd.DataFrame({"category": cats, "channel": chans[pick], "search_auc": pd.Series([area] * len(cats), dtype=float), "start": chans[start]})
         for name, value in zip(keys, head):
             out[name] = value
-        return out[[*keys, "category", "channel", "search_auc"]]
+        return out[[*keys, "category", "channel", "search_auc", "start"]]
 
     types = dict(counts.dtypes)
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"category string, channel {types['channel']}, search_auc double"])
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"category string, channel {types['channel']}, search_auc double, start {types['channel']}"])
     return spread(counts, keys).groupBy(*keys).applyInPandas(search, schema)
 
 
-def mapping_null(scored: DataFrame, labels: DataFrame, item: str, bins: int = BINS) -> DataFrame:
+def mapping_null(scored: DataFrame, labels: DataFrame, item: str) -> DataFrame:
     """The mapping search on every replicate of permuted labels: (rep, auc).
 
     ``scored`` holds (item, category, channel, score), ``labels`` (rep, item, wrong).  The
     histogram of all rows is the same in every replicate and goes to the tasks once; a replicate
-    only brings the cells of its errors.
+    only brings the cells of its errors.  A replicate without both classes has a NULL auc.
     """
-    binned = cut(with_bins(scored, bins).select(item, "category", "channel", "bin"))
+    reps = labels.select("rep").distinct()
+    binned = cut(with_bins(scored).select(item, "category", "channel", "bin"))
     whole = binned.groupBy("category", "channel", "bin").agg(F.count(F.lit(1)).cast("double").alias("all"))
     whole = cut(whole)
     if whole.count() > setting(scored.sparkSession, BROADCAST_ROWS) * 10:
         # a vocabulary too large to share: every replicate brings its whole histogram instead
-        found = best_mapping(scored.join(labels, item), ["rep"], bins)
-        return found.select("rep", F.col("search_auc").alias("auc")).distinct()
+        found = best_mapping(scored.join(labels, item), ["rep"])
+        return reps.join(found.select("rep", F.col("search_auc").alias("auc")).distinct(), "rep", "left")
     table = whole.toPandas()
     cats, c = np.unique(table["category"].to_numpy(str), return_inverse=True)
     chans, h = np.unique(table["channel"].to_numpy(), return_inverse=True)
@@ -177,15 +163,17 @@ def mapping_null(scored: DataFrame, labels: DataFrame, item: str, bins: int = BI
         c, h, b, total = shared.value
         p = np.zeros(len(total))
         p[pdf["cell"].to_numpy()] = pdf["p"].to_numpy()
-        area, _ = _Climber(c, h, b, p, total - p).best()
-        return pd.DataFrame({"rep": [head[0]], "auc": [area]})
+        area, _, _ = _Climber(c, h, b, p, total - p).best()
+        return pd.DataFrame({"rep": [head[0]], "auc": pd.Series([area], dtype=float)})
 
-    return spread(counts, ["rep"]).groupBy("rep").applyInPandas(search, f"rep {dict(counts.dtypes)['rep']}, auc double")
+    found = spread(counts, ["rep"]).groupBy("rep").applyInPandas(search, f"rep {dict(counts.dtypes)['rep']}, auc double")
+    return reps.join(found, "rep", "left")
 
 
 def mapping_auc(scored: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact AUC of a mapping over the whole scored table."""
-    chosen = scored.withColumn("category", F.col("category").cast("string")).join(
-        small(mapping.select(*keys, "category", "channel")), [*keys, "category", "channel"]
-    )
-    return auc(chosen, keys)
+    """Exact AUC of a mapping over the whole scored table; categories it does not know read its start channel."""
+    starts = mapping.groupBy(*keys).agg(F.first("start").alias("__start"))
+    picks = mapping.select(*keys, "category", F.col("channel").alias("__pick"))
+    rows = scored.withColumn("category", F.col("category").cast("string"))
+    rows = rows.join(starts, keys).join(picks, [*keys, "category"], "left")
+    return auc(rows.filter(F.col("channel") == F.coalesce("__pick", "__start")).drop("__pick", "__start"), keys)

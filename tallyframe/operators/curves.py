@@ -225,19 +225,29 @@ def with_rules(rows: DataFrame, presets: list[tuple] = PRESETS) -> DataFrame:
     return rows.withColumn("__r", F.explode(options)).select(*rows.columns, "__r.*")
 
 
-def score_items(resid: DataFrame, keys: list[str], px_mm: float = 1.0) -> DataFrame:
+def score_items(resid: DataFrame, keys: list[str], px_mm: float = 1.0, presets: list[tuple] = PRESETS) -> DataFrame:
     """Pooled z of both residuals under each rule's floor, and the pair each rule tests.
 
     Mean and deviation do not depend on the rule, so they are taken once per cluster (one row
-    per category) before the rules multiply the rows.  z is rounded to nine places: with two
+    per category) before the rules multiply the rows.  ``z_robust`` takes median and 1.4826 times the median
+    absolute deviation of the cluster instead. z is rounded to nine places: with two
     items it is exactly 1, and whether it passes a threshold of 1 must not hang on the order
     of summation.
     """
+    unknown = {uses for _, uses, *_ in presets} - {"z", "z_loo", "z_robust"}
+    if unknown:
+        raise ValueError(f"unknown scores: {sorted(unknown)}")
     over = Window.partitionBy(*keys)
     stats = {}
     for name, col in (("r", "residual"), ("l", "loo_residual")):
         stats |= {f"__{name}m": F.avg(col), f"__{name}s": F.stddev_pop(col), f"__{name}k": F.count(col)}
-    rows = with_rules(resid.select("*", *[a.over(over).alias(n) for n, a in stats.items()]))
+    rows = resid.select("*", *[a.over(over).alias(n) for n, a in stats.items()])
+    if any(uses == "z_robust" for _, uses, *_ in presets):
+        rows = rows.withColumn("__med", F.percentile("residual", F.lit(0.5)).over(over))
+        rows = rows.withColumn("__mad", F.percentile(F.abs(F.col("residual") - F.col("__med")), F.lit(0.5)).over(over))
+    else:
+        rows = rows.withColumns({"__med": F.lit(None).cast("double"), "__mad": F.lit(None).cast("double")})
+    rows = with_rules(rows, presets)
 
     def z(col: str, name: str) -> Column:
         scale = F.greatest(F.col(f"__{name}s"), F.col("std_floor"))
@@ -245,8 +255,10 @@ def score_items(resid: DataFrame, keys: list[str], px_mm: float = 1.0) -> DataFr
 
     loo = F.col("uses") == "z_loo"
     mm = F.when(loo, F.col("loo_residual")).otherwise(F.col("residual")) * F.lit(float(px_mm))
-    tested = F.when(loo, z("loo_residual", "l")).otherwise(z("residual", "r"))
-    return rows.withColumn("tested", tested).withColumn("tested_mm", mm).drop(*stats)
+    scale = F.greatest(F.lit(1.4826) * F.col("__mad"), F.col("std_floor"))
+    robust = F.round((F.col("residual") - F.col("__med")) / scale, 9)
+    tested = F.when(loo, z("loo_residual", "l")).when(F.col("uses") == "z_robust", robust).otherwise(z("residual", "r"))
+    return rows.withColumn("tested", tested).withColumn("tested_mm", mm).drop(*stats, "__med", "__mad")
 
 
 def flag(threshold: Column | None = None) -> Column:

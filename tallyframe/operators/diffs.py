@@ -6,21 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import count_if
-from tallyframe.functions.ordered import Ordered
-
-NESTED_CAP = 20  # nested keys listed per object, as the report defines
-
 
 def dataset_diff(sent: DataFrame, got: DataFrame, item: str, key: str, value: str) -> DataFrame:
-    """One row per removed, added or changed key; nested keys never count as changed.
+    """One row per removed, added or changed key of the top level, and per key lost below it.
 
-    ``nested`` marks values that are structures.
+    Keys below the top level are paths with a slash. ``nested`` marks values that are structures: these are removed or
+    added like any other, but never count as changed.
     """
     a = sent.select(item, key, F.col(value).alias("__a"), F.col("nested").alias("__na"), F.lit(True).alias("__ia"))
     b = got.select(item, key, F.col(value).alias("__b"), F.lit(True).alias("__ib"))
     both = a.join(b, [item, key], "full_outer")
+    below = F.contains(F.col(key), F.lit("/"))
     kind = (
-        F.when(F.col("__ib").isNull(), F.when(F.col("__na"), "nested_lost").otherwise("removed"))
+        F.when(below, F.when(F.col("__ib").isNull(), "nested_lost"))
+        .when(F.col("__ib").isNull(), "removed")
         .when(F.col("__ia").isNull(), "added")
         .when(~F.col("__na") & ~F.col("__a").eqNullSafe(F.col("__b")), "changed")
     )
@@ -28,11 +27,10 @@ def dataset_diff(sent: DataFrame, got: DataFrame, item: str, key: str, value: st
 
 
 def diff_report(diff: DataFrame, item: str, key: str) -> DataFrame:
-    """Sorted key lists per object and kind; nested losses list the first twenty keys."""
-    placed = Ordered(diff, [item, "kind"], [key]).position("__k")
-    kept = placed.filter((F.col("kind") != "nested_lost") | (F.col("__k") < NESTED_CAP))
-    lists = kept.groupBy(item, "kind").agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("listed"))
-    return lists
+    """Sorted key lists per object and kind, and how many there are: as many as the object has keys."""
+    return diff.groupBy(item, "kind").agg(
+        F.array_join(F.array_sort(F.collect_list(key)), ",").alias("listed"), F.count(F.lit(1)).alias("n")
+    )
 
 
 def roundtrip(sent: DataFrame, got: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -134,7 +134,7 @@ def flag_census(sessions: DataFrame, n: str, penalties: str, top_z: str) -> Data
         F.sum(penalties).cast("bigint").alias("n_penalties"),
         F.max(top_z).alias("max_z"),
         top["n"].cast("bigint").alias("max_z_n"),
-        F.round(F.sqrt((top["n"] - 1).cast("double")), 4).alias("max_z_bound"),
+        F.when(top["n"] >= 1, F.round(F.sqrt((top["n"] - 1).cast("double")), 4)).alias("max_z_bound"),
         count_if(F.col(top_z) > bound + 1e-9).alias("over_bound"),
     )
 

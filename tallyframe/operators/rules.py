@@ -109,9 +109,9 @@ def channel_mean(channel: Column) -> Column:
 
 
 def ranked_channels() -> Column:
-    """Channels by falling mean; equal means keep the lower channel first."""
+    """Channels by falling mean, an undefined mean counting as 0; equal means keep the lower channel first."""
     flipped = F.transform(
-        "channels", lambda c: F.struct((-c["mean"]).alias("down"), c["channel"].alias("channel"))
+        "channels", lambda c: F.struct((-F.coalesce(c["mean"], F.lit(0.0))).alias("down"), c["channel"].alias("channel"))
     )
     return F.array_sort(flipped)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -20,7 +19,8 @@ from tallyframe.plans.joins import AXES, SQL_HITS, landmarks
 from tallyframe.plans.registry import query
 from tallyframe.plans.scans import LINE_SHAPES
 from tallyframe.sources.tables import table
-from tallyframe.streaming.progress import run_progress_stream
+from tallyframe.session import shared_path
+from tallyframe.streaming.progress import latest_progress, run_progress_stream
 
 
 @query("label_histogram", "SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
@@ -527,10 +527,10 @@ FROM l, a GROUP BY status""",
 def progress_stream(spark, sf):
     """The events written out as a run log, followed by the stream, read back from its table."""
     events = table(spark, sf, "events")
-    folder = f"{spark.sparkContext.getCheckpointDir()}/run-log-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "run-log")
     lines = events.select(
         F.col("user_id").cast("string").alias("case"), F.col("event_type").alias("status"), F.col("value").alias("wall_seconds"), F.col("ts").cast("string").alias("utc")
     )
     lines.write.json(f"{folder}/log")
     run_progress_stream(spark, f"{folder}/log", f"{folder}/out", f"{folder}/state", 5000).awaitTermination()
-    return rounded(spark.read.parquet(f"{folder}/out"), "share", "mean_wall", "median_wall", "max_wall", "remaining_hours")
+    return rounded(latest_progress(spark, f"{folder}/out"), "share", "mean_wall", "median_wall", "max_wall", "remaining_hours")

@@ -76,6 +76,27 @@ def flag_rules(spark, sf):
     )
 
 
+ROBUST = [("robust", "z_robust", 1.5, 0.1, 0.0), ("robust_guarded", "z_robust", 1.5, 1.0, 3.0)]
+
+
+@query(
+    "flag_rules_robust",
+    "WITH"
+    + SQL_RESID
+    + """, med AS (SELECT cluster, median(residual) AS med FROM resid GROUP BY 1),
+mad AS (SELECT cluster, any_value(med) AS med, median(abs(residual - med)) AS mad FROM resid JOIN med USING (cluster) GROUP BY 1),
+rz AS (SELECT rule, residual, least_mm, round((residual - med) / greatest(1.4826 * mad, floor_), 9) AS z
+  FROM resid JOIN mad USING (cluster), (VALUES ('robust', 0.1::DOUBLE, 0.0::DOUBLE), ('robust_guarded', 1.0::DOUBLE, 3.0::DOUBLE)) AS p(rule, floor_, least_mm))
+SELECT rule, count(*)::BIGINT AS n, count(z)::BIGINT AS n_tested, (count(*) FILTER (WHERE z > 1.5 AND residual >= least_mm))::BIGINT AS n_flagged, round(avg(z), 4) AS mean_z FROM rz GROUP BY rule""",
+)
+def flag_rules_robust(spark, sf):
+    """The decision rules on robust z."""
+    scored = C.score_items(residuals(spark, sf), KEY, presets=ROBUST)
+    return scored.groupBy("rule").agg(
+        F.count(F.lit(1)).alias("n"), F.count("tested").alias("n_tested"), F.count_if(C.flag()).alias("n_flagged"), F.round(F.avg("tested"), 4).alias("mean_z")
+    )
+
+
 @query(
     "fp_profile",
     "WITH"

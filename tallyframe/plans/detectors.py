@@ -328,7 +328,7 @@ def best_mapping(spark, sf):
     rows = cut(channel_scored(spark, sf).withColumn("rep", F.lit(0)).select("rep", "category", "channel", "score", "wrong"))
     found = cut(C.best_mapping(rows, ["rep"]))
     exact = C.mapping_auc(rows, found, ["rep"])
-    return rounded(found.join(small(exact.select("rep", "auc")), "rep").drop("rep"), "search_auc", "auc")
+    return rounded(found.join(small(exact.select("rep", "auc")), "rep").drop("rep", "start"), "search_auc", "auc")
 
 
 NULL_REPS = 20
@@ -458,7 +458,7 @@ def best_item_mapping(spark, sf):
     scored = cut(item_channels(rows).join(rows.select("vec_id", "wrong"), "vec_id").withColumn("rep", F.lit(0)))
     found = cut(C.best_mapping(scored, ["rep"]))
     exact = C.mapping_auc(scored, found, ["rep"])
-    out = found.join(small(exact.select("rep", "auc")), "rep").drop("rep")
+    out = found.join(small(exact.select("rep", "auc")), "rep").drop("rep", "start")
     return rounded(out.withColumn("channel", F.col("channel").cast("bigint")), "search_auc", "auc")
 
 
@@ -516,6 +516,16 @@ def roc_curve(spark, sf):
     return points.select("rule", "place", *[r6(c).alias(c) for c in ("tpr", "fpr", "precision")])
 
 
+@query(
+    "roc_curve_full",
+    "WITH" + SQL_ROC + """ SELECT rule, place::BIGINT AS place, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(precision, 6) AS "precision" FROM curve""",
+)
+def roc_curve_full(spark, sf):
+    """Every point of the curve, nothing thinned."""
+    points = D.roc_points(doc_scored(spark, sf), ["rule"])
+    return points.select("rule", "place", *[r6(c).alias(c) for c in ("tpr", "fpr", "precision")])
+
+
 @query(
     "pr_summary",
     "WITH"

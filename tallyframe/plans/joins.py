@@ -111,7 +111,7 @@ def order_attributes(spark, sf, changed: bool):
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
     value = F.when(F.pmod(key, F.lit(5)) == 0, price + 1).otherwise(price) if changed else price
     drop = F.pmod(key, F.lit(7)) == 0
-    lost = F.pmod(key, F.lit(3)) == 0
+    lost, deep = F.pmod(key, F.lit(3)) == 0, F.pmod(key, F.lit(13)) == 0
 
     def entry(name, col, nested=False):
         return F.struct(F.lit(name).alias("key"), col.cast("string").alias("value"), F.lit(nested).alias("nested"))
@@ -122,20 +122,22 @@ def order_attributes(spark, sf, changed: bool):
         attrs += [
             F.when(~drop, entry("priority", F.col("o_orderpriority"))),
             F.when(~lost, entry("history", F.col("o_custkey") + 1, True)),
+            F.when(~deep, entry("history/first", F.col("o_custkey"))),
             F.when(F.pmod(key, F.lit(11)) == 0, entry("extra", key)),
         ]
     else:
-        attrs += [entry("priority", F.col("o_orderpriority")), entry("history", F.col("o_custkey"), True)]
+        attrs += [entry("priority", F.col("o_orderpriority")), entry("history", F.col("o_custkey"), True), entry("history/first", F.col("o_custkey"))]
     return orders.select("o_orderkey", F.explode(F.array_compact(F.array(*attrs))).alias("a")).select("o_orderkey", "a.*")
 
 
 @query(
     "dataset_diff",
     """
-SELECT o_orderkey, 'changed' AS kind, 'price' AS listed FROM orders WHERE o_orderkey % 5 = 0
-UNION ALL SELECT o_orderkey, 'removed', 'priority' FROM orders WHERE o_orderkey % 7 = 0
-UNION ALL SELECT o_orderkey, 'nested_lost', 'history' FROM orders WHERE o_orderkey % 3 = 0
-UNION ALL SELECT o_orderkey, 'added', 'extra' FROM orders WHERE o_orderkey % 11 = 0""",
+SELECT o_orderkey, 'changed' AS kind, 'price' AS listed, 1::BIGINT AS n FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, 'removed', concat_ws(',', CASE WHEN o_orderkey % 3 = 0 THEN 'history' END, CASE WHEN o_orderkey % 7 = 0 THEN 'priority' END), (o_orderkey % 3 = 0)::BIGINT + (o_orderkey % 7 = 0)::BIGINT
+  FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey, 'nested_lost', 'history/first', 1 FROM orders WHERE o_orderkey % 13 = 0
+UNION ALL SELECT o_orderkey, 'added', 'extra', 1 FROM orders WHERE o_orderkey % 11 = 0""",
 )
 def dataset_diff(spark, sf):
     diff = D.dataset_diff(order_attributes(spark, sf, False), order_attributes(spark, sf, True), "o_orderkey", "key", "value")

@@ -223,24 +223,38 @@ def alternate_labels(spark, sf):
 @query(
     "subset_violations",
     """
-SELECT DISTINCT user_id, event_type, 'missing' AS problem FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')
-UNION ALL SELECT DISTINCT user_id, event_type, 'extra' FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')""",
+WITH e AS (SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE event_type IN ('purchase', 'view'))
+SELECT user_id, day, 'missing' AS problem FROM e WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM e v WHERE v.event_type = 'view' AND v.user_id = e.user_id AND v.day = e.day)
+UNION ALL SELECT user_id, day, 'extra' FROM e WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM e p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.day = e.day)""",
 )
 def subset_violations(spark, sf):
-    pairs = table(spark, sf, "events").select("user_id", "event_type").distinct()
-    bought, joined = pairs.filter("event_type = 'purchase'"), pairs.filter("event_type = 'signup'")
+    """Days on which a user bought without viewing, and the other way round."""
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    rows = table(spark, sf, "events").select("user_id", "event_type", day).distinct()
+    bought, viewed = rows.filter("event_type = 'purchase'"), rows.filter("event_type = 'view'")
 
-    def listed(part, whole, name, kind):
-        out = L.subset_violations(part, whole, ["user_id"])
-        return out.select("user_id", F.lit(kind).alias("event_type"), F.lit(name).alias("problem"))
+    def listed(part, whole, name):
+        return L.subset_violations(part, whole, ["user_id", "day"]).select("user_id", "day", F.lit(name).alias("problem"))
 
-    return listed(bought, joined, "missing", "purchase").unionByName(listed(joined, bought, "extra", "signup"))
+    return listed(bought, viewed, "missing").unionByName(listed(viewed, bought, "extra"))
 
 
-@query("contamination", "SELECT DISTINCT sha256(b.text) AS digest FROM benchmark b WHERE b.text IN (SELECT text FROM documents)")
+@query(
+    "contamination",
+    r"""
+WITH b AS (SELECT DISTINCT trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\r]+', ' ', 'g')) AS line FROM benchmark),
+d AS (SELECT DISTINCT trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\r]+', ' ', 'g')) AS line FROM documents)
+SELECT sha256(line) AS digest FROM b WHERE line <> '' AND line IN (SELECT line FROM d)""",
+)
 def contamination(spark, sf):
-    digest = F.sha2("text", 256).alias("digest")
-    return table(spark, sf, "benchmark").select(digest).intersect(table(spark, sf, "documents").select(digest))
+    """Digests of the benchmark's lines, white space aside, that documents hold too."""
+
+    def digests(name):
+        lines = table(spark, sf, name).select(F.explode(F.split("text", "\n")).alias("line"))
+        line = F.trim(F.regexp_replace("line", r"[ \t\r]+", " "))
+        return lines.select(line.alias("line")).filter("line <> ''").select(F.sha2("line", 256).alias("digest"))
+
+    return digests("benchmark").intersect(digests("documents"))
 
 
 @query(

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Rows of one group that a single task may sort; larger groups are cut into pieces.
 GROUP_ROWS = ("spark.tallyframe.groupRows", 1_000_000)
-# Rows of a table that may be broadcast, checked by counting before the hint is used.
+# Bytes of a written table, as stored, that may be broadcast. Other tables are left to the adaptive planner.
+BROADCAST_BYTES = ("spark.tallyframe.broadcastBytes", 8 << 20)
+# Entries of a table that a driver-side step may hold.
 BROADCAST_ROWS = ("spark.tallyframe.broadcastRows", 500_000)
 
 
@@ -38,10 +43,42 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; what is left there goes when Python ends."""
+    prepare(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/tallyframe-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone with its folder
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write an expensive intermediate once, reliably, and read it back from there."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an expensive intermediate once, as Parquet in the shared folder, and read it back from there.
+
+    Columns can be pruned and sizes are known; ``stored_bytes`` tells how much was written.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_bytes = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return out
+
+
+def stored_bytes(df: DataFrame) -> int | None:
+    """Bytes of a table that ``cut`` wrote; None for any other table."""
+    return getattr(df, "_stored_bytes", None)
 
 
 def local_session(cpus: str = "8", partitions: str = "8") -> SparkSession:

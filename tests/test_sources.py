@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.rules import pack_channels
 from tallyframe.sources import records as S
-from tallyframe.streaming.progress import latest_by_case, run_progress_stream
+from tallyframe.streaming.progress import latest_by_case, latest_progress, run_progress_stream
 from tallyframe.operators.profiling import run_progress
 
 
@@ -71,7 +71,12 @@ def test_stream_equals_batch(spark, folder):
     out = str(folder / "out")
     run_progress_stream(spark, logs, out, str(folder / "cp"), 10).awaitTermination(120)
     batch = run_progress(latest_by_case(df), "case", "status", "wall_seconds", F.lit(10))
-    assert sorted(spark.read.parquet(out).collect()) == sorted(batch.collect())
+    assert sorted(latest_progress(spark, out).collect()) == sorted(batch.collect())
+    more = spark.createDataFrame([("b", "ok", 4.0, "2026-01-01T00:05:00Z"), ("c", "ok", 1.0, "2026-01-01T00:06:00Z")], df.schema)
+    more.write.mode("append").json(logs)
+    run_progress_stream(spark, logs, out, str(folder / "cp"), 10).awaitTermination(120)
+    batch = run_progress(latest_by_case(df.unionByName(more)), "case", "status", "wall_seconds", F.lit(10))
+    assert sorted(latest_progress(spark, out).collect()) == sorted(batch.collect())
 
 
 def test_pack_channels(spark):
