@@ -396,3 +396,72 @@ def test_worker_functions_travel_by_value():
     from pyspark import cloudpickle
 
     assert {K.__name__, C.__name__, B.__name__} <= set(cloudpickle.list_registry_pickle_by_value())
+
+
+def test_robust_preset_uses_median_and_deviation(spark):
+    from tallyframe.operators.curves import score_items
+
+    rows = [("a", float(v), float(v)) for v in (1, 2, 3, 4, 100)]
+    df = spark.createDataFrame(rows, "cluster string, residual double, loo_residual double")
+    out = score_items(df, ["cluster"], presets=[("r", "z_robust", 1.5, 0.1, 0.0), ("p", "z", 1.5, 0.1, 0.0)])
+    got = {(r.rule, r.residual): r.tested for r in out.collect()}
+    assert got["r", 100.0] == pytest.approx(97 / 1.4826, abs=1e-8) and got["p", 100.0] < 2.1
+    with pytest.raises(ValueError, match="unknown"):
+        score_items(df, ["cluster"], presets=[("x", "z_other", 1.5, 0.1, 0.0)])
+
+
+def test_null_channel_mean_counts_as_zero(spark):
+    from tallyframe.operators.rules import score_rules
+
+    df = spark.createDataFrame(
+        [(1, "T5", 0, 0, 10, [(6, None, None, 0), (7, 0.9, 0.95, 5)])],
+        "item int, category string, seq int, phase int, n_cells int, channels array<struct<channel:int,mean:double,p95:double,n_gt:int>>",
+    )
+    got = {r.rule: r.score for r in score_rules(df).collect()}
+    assert got["mapping_free_top1"] == 0.9 and got["mapping_free_margin"] == 0.9 and got["argmax_mean"] is not None
+
+
+def test_diff_files_structures_under_removed_and_lists_every_lost_key(spark):
+    from tallyframe.operators.diffs import dataset_diff, diff_report
+
+    sent = [("o", "seq", "x", True), ("o", "same", "1", False), ("o", "kept", "y", True)] + [("o", f"kept/{i:02d}", "v", False) for i in range(30)]
+    got = [("o", "same", "2", False), ("o", "kept", "z", True), ("o", "new", "n", False), ("o", "kept/00", "other", False)]
+    kind = "item string, key string, value string, nested boolean"
+    out = diff_report(dataset_diff(spark.createDataFrame(sent, kind), spark.createDataFrame(got, kind), "item", "key", "value"), "item", "key")
+    found = {r.kind: (r.listed, r.n) for r in out.collect()}
+    assert found["removed"] == ("seq", 1) and found["changed"] == ("same", 1) and found["added"] == ("new", 1)
+    assert found["nested_lost"][1] == 29 and found["nested_lost"][0].count(",") == 28
+
+
+def test_mapping_of_one_class_is_undefined_and_unseen_categories_keep_the_start(spark):
+    from tallyframe.operators.ceilings import best_mapping, mapping_auc
+
+    kind = "rep int, category string, channel int, score double, wrong boolean"
+    one = spark.createDataFrame([(0, "a", c, 0.1 * i, True) for c in (1, 2) for i in range(3)], kind)
+    assert {r.search_auc for r in best_mapping(one, ["rep"]).collect()} == {None}
+    fit = [(0, "a", c, s if c == 1 else 0.5, w) for c in (1, 2) for s, w in ((0.1, True), (0.9, False), (0.2, True), (0.8, False))]
+    found = best_mapping(spark.createDataFrame(fit, kind), ["rep"])
+    held = fit + [(0, "b", c, 0.3, True) for c in (1, 2)]
+    assert mapping_auc(spark.createDataFrame(held, kind), found, ["rep"]).first().n_wrong == 3
+
+
+def test_mapping_null_keeps_replicates_without_errors(spark):
+    from tallyframe.operators.ceilings import mapping_null
+
+    scored = spark.createDataFrame([(i, "a", c, float(i * c % 7)) for i in range(12) for c in (1, 2)], "item int, category string, channel int, score double")
+    labels = [(r, i, r == 1 and i % 3 == 0) for r in (0, 1) for i in range(12)]
+    df = spark.createDataFrame(labels, "rep int, item int, wrong boolean")
+    usual = {r.rep: r.auc for r in mapping_null(scored, df, "item").collect()}
+    spark.conf.set("spark.tallyframe.broadcastRows", "0")
+    try:
+        other = {r.rep: r.auc for r in mapping_null(scored, df, "item").collect()}
+    finally:
+        spark.conf.unset("spark.tallyframe.broadcastRows")
+    assert usual[0] is None and other[0] is None and other[1] == pytest.approx(usual[1])
+
+
+def test_census_of_nothing_has_no_bound(spark):
+    from tallyframe.operators.logs import flag_census
+
+    df = spark.createDataFrame([(0, 0, 1.0)], "n int, p int, z double")
+    assert flag_census(df, "n", "p", "z").first().max_z_bound is None
