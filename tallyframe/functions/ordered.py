@@ -19,8 +19,6 @@ from tallyframe.session import BROADCAST_BYTES, GROUP_ROWS, cut, setting, stored
 
 PIECE = "__piece"
 ALL = "__all"
-_LEVELS = 12  # up to 2**12 edges per level
-_MAX_PIECES = 2**_LEVELS
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -45,38 +43,21 @@ def sort_columns(order: list[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def _measure(df: DataFrame, spec: str) -> Column:
-    """A double that never decreases along the sort direction of one sort column."""
-    col, kind = F.col(_name(spec)), df.schema[_name(spec)].dataType
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0")
-        number = F.conv(head, 16, 10).cast("double")
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        number = F.unix_micros(col.cast("timestamp")).cast("double")
-    elif isinstance(kind, T.DateType):
-        number = F.unix_date(col).cast("double")
-    else:
-        number = col.cast("double")
-    return -number if spec.startswith("-") else number
-
-
-def _locate(edges: Column, value: Column) -> Column:
-    """Slot of value among ascending edges, by binary search; edge values get slots of their own."""
-
-    def probe(at: Column, step: Column) -> Column:
-        nxt = at + step
-        inside = nxt <= F.size(edges)
-        return F.when(inside & (F.get(edges, nxt - 1) < value), nxt).otherwise(at)
-
-    steps = F.array(*[F.lit(2**k) for k in range(_LEVELS, -1, -1)])
-    below = F.aggregate(steps, F.lit(0), probe)
-    return F.coalesce(below * 2 + (F.get(edges, below) == value).cast("int"), below * 2, F.lit(0))
+def matched(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys that may be NULL; ``other``'s keys are not kept."""
+    there = other.select(*[F.col(c).alias(f"__k_{c}") if c in keys else F.col(c) for c in other.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    size = stored_bytes(other)
+    if size is not None and size <= setting(df.sparkSession, BROADCAST_BYTES):
+        there = F.broadcast(there)
+    out = df.join(there, same, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"__k_{k}" for k in keys])
 
 
 class Grouped:
     """A table with a group key, and the knowledge of which groups are oversized.
 
-    Key columns must not be NULL.
+    NULL is a key like any other where rows are ordered; statistics are joined on keys that are not NULL.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], limit: int | None = None):
@@ -179,59 +160,29 @@ class Ordered(Grouped):
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], limit: int | None = None):
         super().__init__(df, keys, limit)
         self.order = order
-        self.splits: list[tuple[str, list[str], DataFrame]] = []
         self.pieced = self._pieces() if self.big is not None else None
 
     def on(self, df: DataFrame):
         twin = super().on(df)
         if self.pieced is not None:
-            twin.pieced = twin.df.withColumn(PIECE, F.lit(0).cast("long"))
-            for spec, keys, edges in self.splits:
-                twin.pieced = twin._split(twin.pieced, spec, keys, edges)
+            twin.pieced = twin._pieces()
         return twin
 
-    def _edges(self, df: DataFrame, keys: list[str], big: DataFrame, measure: Column) -> DataFrame:
-        top = big.agg(F.max("__n")).first()[0]
-        count = min(_MAX_PIECES, max(2, 2 * math.ceil(top / self.limit)))
-        cuts = [i / count for i in range(1, count)]
-        found = (
-            df.join(small(big), keys)
-            .groupBy(*keys)
-            .agg(F.percentile_approx(measure, cuts, 10 * count).alias("__edges"), F.max("__n").alias("__n"))
-        )
-        # smaller groups keep only as many edges as they need, so all edges together
-        # stay within twice rows/limit
-        stride = F.greatest(F.lit(1), F.floor(count * self.limit / (2 * F.col("__n")))).cast("int")
-        kept = F.filter("__edges", lambda e, i: F.pmod(i + 1, F.col("__stride")) == 0)
-        return cut(found.withColumn("__stride", stride).select(*keys, F.array_distinct(kept).alias("__edges")))
-
-    @staticmethod
-    def _split(df: DataFrame, spec: str, keys: list[str], edges: DataFrame) -> DataFrame:
-        part = _locate(F.col("__edges"), _measure(df, spec))
-        return (
-            df.join(small(edges), keys, "left")
-            .withColumn(PIECE, F.col(PIECE) * (_MAX_PIECES * 2) + F.coalesce(part, F.lit(0)))
-            .drop("__edges")
-        )
-
     def _pieces(self) -> DataFrame:
-        """Cut oversized keys along the first sort column, then ties along the next."""
-        df, keys = self.df.withColumn(PIECE, F.lit(0).cast("long")), [*self.keys, PIECE]
-        for depth, spec in enumerate(self.order):
-            # only a piece of equal leading values may be cut along the next column
-            lead = [_name(o) for o in self.order[:depth]]
-            tied = [F.expr(f"min({c}) <=> max({c})").alias(f"__t{i}") for i, c in enumerate(lead)]
-            sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *tied)
-            big = sizes.filter(F.col("__n") > self.limit)
-            for i in range(depth):
-                big = big.filter(F.col(f"__t{i}"))
-            big = cut(big.select(*keys, "__n"))
-            if not big.take(1):
-                break
-            edges = self._edges(df, keys, big, _measure(df, spec))
-            self.splits.append((spec, keys, edges))
-            df = self._split(df, spec, keys, edges)
-        return df
+        """Oversized keys dealt into ranges of the sort columns, each a piece; all other keys are piece -1.
+
+        Ranges work for every type and any number of pieces. Rows that tie on all sort columns are dealt by a hash of
+        the whole row, so that many of them need not be one piece.
+        """
+        names = self.big.select(*self.keys)
+        rest = matched(self.df, names, self.keys, "left_anti").withColumn(PIECE, F.lit(-1))
+        large = matched(self.df, names, self.keys, "left_semi")
+        rows = self.big.agg(F.sum("__n")).first()[0]
+        pieces = max(2, 2 * math.ceil(rows / self.limit))
+        flat = [f.name for f in self.df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        order = [*[F.col(k) for k in self.keys], *sort_columns(self.order), F.xxhash64(*flat)]
+        ranged = large.repartitionByRange(pieces, *order).withColumn(PIECE, F.spark_partition_id())
+        return rest.unionByName(cut(ranged))
 
     def _window(self):
         if self.pieced is None:
@@ -242,7 +193,7 @@ class Ordered(Grouped):
         """Per-piece totals of oversized keys, combined over the earlier pieces."""
         names = self.big.select(*self.keys)
         per = (
-            self.pieced.join(small(names), self.keys, "left_semi")
+            matched(self.pieced, names, self.keys, "left_semi")
             .groupBy(*self.keys, PIECE)
             .agg(*[c.alias(n) for n, c in totals.items()])
         )
@@ -259,7 +210,7 @@ class Ordered(Grouped):
             return self._drop(self.df.select("*", *[F.sum(c).over(run).alias(n) for n, c in sums.items()]))
         base = self._carried({f"__b_{n}": F.sum(c) for n, c in sums.items()}, F.sum)
         rows = self.pieced.select("*", *[F.sum(c).over(run).alias(f"__l_{n}") for n, c in sums.items()])
-        out = rows.join(small(base), [*self.keys, PIECE], "left")
+        out = matched(rows, base, [*self.keys, PIECE], "left")
         for n in sums:
             out = out.withColumn(n, F.col(f"__l_{n}") + F.coalesce(F.col(f"__b_{n}"), F.lit(0)))
             out = out.drop(f"__l_{n}", f"__b_{n}")
@@ -283,7 +234,7 @@ class Ordered(Grouped):
             raise ValueError("carry needs ascending sort columns")
         newest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), order))
         base = self._carried({"__b": newest}, lambda n: F.last(n, ignorenulls=True))
-        out = self.pieced.withColumn("__l", last).join(small(base), [*self.keys, PIECE], "left")
+        out = matched(self.pieced.withColumn("__l", last), base, [*self.keys, PIECE], "left")
         return self._drop(out.withColumn(name, F.coalesce("__l", "__b")).drop("__l", "__b"))
 
     def neighbours(self, picks: dict[str, tuple[str, int]]) -> DataFrame:

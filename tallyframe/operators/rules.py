@@ -17,11 +17,11 @@ LEVEL_OF_CODE = {
     28: "T13",
 }
 CANONICAL = [LEVEL_OF_CODE[i] for i in range(1, 25)] + ["SACRUM"]
-TRANSITIONAL = ("T13", "L6")
 UNKNOWN_ORDINAL = 999
 # Channels for odd levels, even levels, sacrum, canal.
 ODD, EVEN, SACRAL, CANAL = 6, 7, 8, 9
 
+# Names of the rules.
 RULES = [
     "region_retired",
     "parity_name",

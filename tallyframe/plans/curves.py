@@ -143,6 +143,7 @@ def paired_injection(spark, sf):
     return rounded(out, "site_rate", "site_rate_clean", "any_rate", "any_rate_clean", "fp_on_rest")
 
 
+# The grid of thresholds.
 THRESHOLDS = [1.0 + 0.25 * i for i in range(13)]
 
 
@@ -159,6 +160,7 @@ def threshold_sweep(spark, sf):
     return rounded(out, "item_rate", "cluster_rate", "detection")
 
 
+# The grid of offsets.
 OFFSETS = [0.0, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 40.0, 80.0]
 
 

@@ -30,8 +30,7 @@ def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session options results depend on and make sure checkpoints have a home."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Make sure checkpoints have a home; no setting of the session is changed."""
     ctx = spark.sparkContext
     if ctx.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,6 +61,12 @@ def _remove(spark: SparkSession, folder: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def in_utc(spark: SparkSession) -> SparkSession:
+    """Pin the session zone that date functions depend on, once, where a session is started."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write an expensive intermediate once, as Parquet in the shared folder, and read it back from there.
 

@@ -64,3 +64,16 @@ def test_stats_and_quantiles(rows):
         lambda lim: Grouped(rows, ["k"], lim).with_quantiles("v", {"q": 0.25}, ["id"]).select("id", F.round("q", 9))
     )
     assert usual == forced
+
+
+def test_pieces_of_long_prefixes_null_keys_and_one_sort_column(spark):
+    """Strings with a common start, a NULL key and a single sort column are all cut within the limit."""
+    urls = spark.range(4000).select(F.lit("u").alias("k"), F.concat(F.lit("https://x/"), F.format_string("%06d", "id")).alias("t"), F.lit(1).alias("v"))
+    nulls = spark.range(2000).select(F.lit(None).cast("string").alias("k"), F.format_string("%05d", "id").alias("t"), F.lit(1).alias("v"))
+    few = spark.range(9).select(F.lit("s").alias("k"), F.format_string("%05d", "id").alias("t"), F.lit(1).alias("v"))
+    df = urls.unionByName(nulls).unionByName(few)
+    o = Ordered(df, ["k"], ["t"], 100)
+    most = o.pieced.groupBy("k", "__piece").count().agg(F.max("count")).first()[0]
+    assert most <= 100
+    usual = sorted(map(repr, Ordered(df, ["k"], ["t"]).prefix({"s": F.col("v")}).collect()))
+    assert sorted(map(repr, o.prefix({"s": F.col("v")}).collect())) == usual
