@@ -7,7 +7,6 @@ otherwise. ``keyed`` gives each row a key of its own, so repeated rows and null
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.session import prepare, ship
+from tallyframe.session import shared_path, ship
 
 ship(__name__)
 
@@ -27,8 +26,8 @@ BLOCK = 1 << 20
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """The same rows, written as Parquet to the shared checkpoint folder and read back: lineage ends here."""
-    spark = prepare(df.sparkSession)
-    path = f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = shared_path(spark, "llm")
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._llm_path = path

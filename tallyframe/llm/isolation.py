@@ -28,7 +28,7 @@ SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SAMPLE = 20_000  # most clean labelled documents that the forest is grown on
 TREES, ROWS, DEPTH = 100, 256, 8
-MARGIN = 0.5  # how far beyond its rows' range a split may fall, in ranges
+MARGIN = 1.5  # how far beyond its rows' range a split may fall, in ranges
 FALSE_ALARMS = 0.002
 SEED = 8
 
@@ -102,6 +102,7 @@ class Forest:
         draw = np.random.default_rng(seed)
         nodes = (1 << depth + 1) - 1
         self.depth, self.size = depth, min(size, len(rows))
+        spread = np.maximum(np.ptp(rows, axis=0), 0.1)
         self.feature = np.full((trees, nodes), -1)
         self.value = np.zeros((trees, nodes))
         self.length = np.zeros((trees, nodes))
@@ -112,14 +113,14 @@ class Forest:
                 if part is None:
                     continue
                 level = (node + 1).bit_length() - 1
-                open_features = np.flatnonzero(part.max(0) > part.min(0)) if len(part) else []
-                if level == depth or len(part) < 2 or not len(open_features):
+                if level == depth or len(part) < 2:
                     self.length[tree, node] = level + mean_path(np.array(len(part)))
                     continue
-                f = draw.choice(open_features)
+                f = draw.integers(rows.shape[1])
                 low, high = part[:, f].min(), part[:, f].max()
                 # beyond the rows' own range, so that what lies outside it is set apart early
-                at = draw.uniform(low - MARGIN * (high - low), high + MARGIN * (high - low))
+                room = MARGIN * max(high - low, 0.1 * spread[f])
+                at = draw.uniform(low - room, high + room)
                 self.feature[tree, node], self.value[tree, node] = f, at
                 parts[2 * node + 1], parts[2 * node + 2] = part[part[:, f] < at], part[part[:, f] >= at]
 

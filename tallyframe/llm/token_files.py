@@ -11,7 +11,6 @@ but a table without rows. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import KEY, keyed, list_array, shuffle_partitions
 from tallyframe.llm.tokens import END_ID, encoded, shared_encoder, tokenizer_path
-from tallyframe.session import prepare, ship
+from tallyframe.session import shared_path, ship
 
 ship(__name__)
 
@@ -120,7 +119,7 @@ def with_crc(df: DataFrame) -> DataFrame:
 
 
 def op2_token_orc(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{prepare(spark).sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
+    path = shared_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{folder}/documents.parquet"), path, tokenizer_path("byte_bpe_50k.json"))
     digests = with_crc(read_tokens(spark, path))
     return starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
