@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import count_if, first_of, ratio
 from tallyframe.functions.ordered import Grouped
+from tallyframe.operators.sequences import log_sessions
 
 # Line shapes of the checker, in the order they are tried.
 MISSING = r"^Error - Missing attribute Type (\S+) \S+ Element=<([^>]+)> Module=<([^>]+)>"
@@ -161,3 +162,58 @@ def subset_violations(part: DataFrame, whole: DataFrame, keys: list[str]) -> Dat
     return part.select(*keys).distinct().join(whole.select(*keys).distinct(), keys, "left_anti")
 
 
+
+
+# Line shapes of the emitter's log.
+PATIENT = r"Processing patient: pat_(\S+)"
+EXTRACTED = r"Extracted confidence for (\d+) vertebrae"
+SMALL_BOX = r"Excluded small box: vertebrae_(\S+)"
+PENALTY = r"Penalty for (\S+): z-score=([\d.]+)"
+# What the second checker's lines hold.
+AFFECTED = r"Affected attribute:\s*(.*?)\s*$"
+STATE_WARNING = r"^W: (.*(?:presentation state|instanceNumber).*?)\s*$"
+
+
+def emitter_sessions(lines: DataFrame, source: str) -> DataFrame:
+    """One row per source and patient: count extracted (the last one counts), small boxes, penalties (last per label).
+
+    Lines before a source's first patient say nothing; a patient named again goes on where it was.
+    """
+
+    def part(pattern: str, at: int = 1) -> Column:
+        return F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, at))
+
+    tagged = log_sessions(lines, [source], ["line_no"], part(PATIENT))
+    label = part(PENALTY)
+    marked = tagged.select(
+        source, "session", "line_no", part(EXTRACTED).cast("bigint").alias("extracted"), part(SMALL_BOX).alias("small"),
+        label.alias("label"), part(PENALTY, 2).cast("double").alias("z"),
+    )
+    last = marked.filter("label IS NOT NULL").groupBy(source, "session", "label").agg(F.max_by("z", "line_no").alias("z"))
+    penalties = last.groupBy(source, "session").agg(
+        F.count(F.lit(1)).alias("n_penalties"), F.max("z").alias("top_z"), F.map_from_entries(F.collect_list(F.struct("label", "z"))).alias("penalties")
+    )  # as many entries as there are labels
+    seen = marked.groupBy(source, "session").agg(
+        F.max_by("extracted", F.when(F.col("extracted").isNotNull(), F.col("line_no"))).alias("extracted"),
+        F.array_sort(F.collect_set("small")).alias("small_boxes"),
+    )
+    return seen.join(penalties, [source, "session"], "left").fillna({"n_penalties": 0})
+
+
+def parse_second_checker(lines: DataFrame, source: str) -> DataFrame:
+    """(source, verdict, named): PASS, FAIL or ?, and every attribute or presentation-state message it names, once."""
+    named = F.when(F.col("line").rlike(AFFECTED), F.regexp_extract("line", AFFECTED, 1)).otherwise(
+        F.when(F.col("line").rlike(STATE_WARNING), F.regexp_extract("line", STATE_WARNING, 1))
+    )
+    passed, failed = (F.bool_or(F.contains(F.col("line"), F.lit(x))) for x in ("Test passed", "Test failed"))
+    return lines.groupBy(source).agg(
+        F.when(passed, "PASS").when(failed, "FAIL").otherwise("?").alias("verdict"),
+        F.array_sort(F.collect_set(named)).alias("named"),
+    )
+
+
+def disagreements(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys whose value differs between two tables, or that one of them lacks."""
+    left = a.select(*keys, F.col(value).alias("in_a"))
+    both = left.join(b.select(*keys, F.col(value).alias("in_b")), keys, "full_outer")
+    return both.filter(~F.col("in_a").eqNullSafe(F.col("in_b")))

@@ -180,10 +180,14 @@ def require_clean(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return out
 
 
+def regressions(got: DataFrame, expected: DataFrame, keys: list[str], value: str, tolerance: float = 1e-9) -> DataFrame:
+    """(keys, want, got) of recomputed values that are missing or differ from the published ones."""
+    pair = expected.select(*keys, F.col(value).alias("want")).join(got.select(*keys, F.col(value).alias("got")), keys, "left")
+    return pair.filter(F.col("got").isNull() | (F.abs(F.col("got") - F.col("want")) > tolerance))
+
+
 def regression_gate(got: DataFrame, expected: DataFrame, keys: list[str], value: str, tolerance: float = 1e-9) -> None:
-    """Refuse to go on when a recomputed value is missing or differs from the published one."""
-    pair = expected.withColumnRenamed(value, "__want").join(got, keys, "left")
-    bad = pair.filter(F.col(value).isNull() | (F.abs(F.col(value) - F.col("__want")) > tolerance))
-    shown = bad.select(*keys).take(5)
+    """Refuse to go on when there are regressions."""
+    shown = regressions(got, expected, keys, value, tolerance).select(*keys).take(5)
     if shown:
         raise ValueError(f"values do not reproduce: {shown}")

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallyframe.plans.registry import REGISTRY, Query
 
-MODULES = ["scans", "joins", "aggregates", "windows", "detectors", "curves"]
+MODULES = ["scans", "joins", "aggregates", "windows", "detectors", "curves", "files"]
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:

@@ -465,3 +465,29 @@ def test_census_of_nothing_has_no_bound(spark):
 
     df = spark.createDataFrame([(0, 0, 1.0)], "n int, p int, z double")
     assert flag_census(df, "n", "p", "z").first().max_z_bound is None
+
+
+def test_emitter_log(spark):
+    lines = [
+        "Penalty for L1: z-score=9.0", "Processing patient: pat_7", "Extracted confidence for 3 vertebrae", "Excluded small box: vertebrae_T4",
+        "Penalty for L1: z-score=2.5", "Extracted confidence for 5 vertebrae", "Excluded small box: vertebrae_T4", "Penalty for L1: z-score=1.5",
+        "Processing patient: pat_8", "Processing patient: pat_7", "Penalty for L2: z-score=4",
+    ]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(lines)], "file string, line_no int, line string")
+    found = {r.session: r for r in L.emitter_sessions(df, "file").collect()}
+    assert set(found) == {"7", "8"} and found["8"].extracted is None and found["8"].n_penalties == 0
+    seven = found["7"]
+    assert (seven.extracted, seven.small_boxes, seven.n_penalties, seven.top_z, seven.penalties) == (5, ["T4"], 2, 4.0, {"L1": 1.5, "L2": 4.0})
+
+
+def test_second_checker(spark):
+    rows = [("a", "W: meta notice"), ("a", "  Affected attribute: PatientName "), ("a", "W: bad presentation state x"), ("a", "Test failed"), ("b", "Test passed"), ("c", "nothing")]
+    df = spark.createDataFrame(rows, "file string, line string")
+    found = {r.file: (r.verdict, r.named) for r in L.parse_second_checker(df, "file").collect()}
+    assert found == {"a": ("FAIL", ["PatientName", "bad presentation state x"]), "b": ("PASS", []), "c": ("?", [])}
+
+
+def test_disagreements(spark):
+    a = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "case string, n int")
+    b = spark.createDataFrame([("x", 1), ("y", 5), ("w", 1)], "case string, n int")
+    assert sorted(r["case"] for r in L.disagreements(a, b, ["case"], "n").collect()) == ["w", "y", "z"]
