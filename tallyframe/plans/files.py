@@ -35,7 +35,9 @@ def emitter_log(spark, sf):
     )
     path = shared_path(spark, "emitter-log")
     rows = table(spark, sf, "events").select(F.floor(F.col("user_id") / 50).cast("bigint").alias("log"), "ts", "event_id", line.alias("value"))
-    rows.repartition("log").sortWithinPartitions("log", "ts", "event_id").select("log", "value").write.partitionBy("log").text(path)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda e: e["value"])
+    files = rows.groupBy("log").agg(F.array_join(ordered, "\n").alias("value"))  # a log is one file, read whole later
+    files.repartition("log").write.partitionBy("log").text(path)
     found = L.emitter_sessions(read_checker_log(spark, f"{path}/*"), "file")
     n_small = F.size("small_boxes").cast("bigint").alias("n_small")
     return found.select("session", "extracted", n_small, F.col("n_penalties").cast("bigint").alias("n_penalties"), "top_z")
