@@ -38,7 +38,7 @@ def emitter_log(spark, sf):
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda e: e["value"])
     files = rows.groupBy("log").agg(F.array_join(ordered, "\n").alias("value"))  # a log is one file, read whole later
     files.repartition("log").write.partitionBy("log").text(path)
-    found = L.emitter_sessions(read_checker_log(spark, f"{path}/*"), "file")
+    found = L.emitter_sessions(read_checker_log(spark, f"{path}/*"), "path")
     n_small = F.size("small_boxes").cast("bigint").alias("n_small")
     return found.select("session", "extracted", n_small, F.col("n_penalties").cast("bigint").alias("n_penalties"), "top_z")
 

@@ -117,9 +117,10 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_checker_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one log per file, numbered inside the file."""
-    raw = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    return raw.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """Lines of one log per file, numbered inside the file; ``path`` tells files of one name apart."""
+    raw = spark.read.text(path, wholetext=True)
+    raw = raw.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"))
+    return raw.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"), "path")
 
 
 def manifest(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
