@@ -277,25 +277,36 @@ class Search:
         return dealt.select(*columns).mapInArrow(run, "a bigint, b bigint, label bigint")
 
     def by_component(self, asked: DataFrame) -> DataFrame:
-        """Links ``a, b`` of documents ``a`` with any member of the component ``label``: one per block at most."""
+        """Links ``a, b`` of documents ``a`` with members of the components ``label`` they are asked about.
+
+        A document and a component share one link per block at most. Members of a large component are dealt into
+        blocks of their own; small components share blocks, so a document asked about many of them is sent but once to
+        each block.
+        """
         now = self.labels.select(F.col("node").alias("label"), F.col("label").alias("now"))
         asked = asked.join(now, "label", "left").select(F.col("a").alias(KEY), F.coalesce("now", "label").alias("with"))
         asked = written(self.labelled(asked).filter(F.col("label") != F.col("with")).select(KEY, "with").distinct())
         members = self.labelled(self.signatures.select(KEY)).withColumnRenamed("label", "with")
-        members = members.join(asked.select("with").distinct(), "with")
-        grid = members.groupBy("with").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("across"))
-        builds = members.join(grid, "with").select("with", F.pmod(F.xxhash64(KEY), "across").cast("int").alias("x"), KEY, F.lit(False).alias("probe"))
-        probes = asked.join(grid, "with").select("with", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), KEY, F.lit(True).alias("probe"))
+        members = written(members.join(asked.select("with").distinct(), "with"))
+        sizes = members.groupBy("with").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("across"))
+        shared = -(-members.count() // SIDE) or 1
+        block = F.when(F.col("across") > 1, F.xxhash64("with", "part")).otherwise(F.pmod(F.xxhash64("with"), F.lit(shared)))
+        part = F.pmod(F.xxhash64(KEY), "across").cast("int").alias("part")
+        builds = members.join(sizes, "with").select("with", "across", part, KEY)
+        builds = builds.select(block.alias("block"), KEY, F.col("with").alias("label"), F.lit(None).cast("array<bigint>").alias("asked"))
+        probes = asked.join(sizes, "with").select("with", "across", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("part"), KEY)
+        probes = probes.groupBy(block.alias("block"), KEY).agg(F.collect_set("with").alias("asked"))
+        probes = probes.select("block", KEY, F.lit(None).cast("bigint").alias("label"), "asked")
         full = builds.unionByName(probes).join(self.signatures, KEY).join(self.sets, KEY)
-        dealt = full.repartition("with", "x").sortWithinPartitions("with", "x", F.desc("probe"))
+        dealt = full.repartition("block").sortWithinPartitions("block")
         needed, width, percent = self.needed, self.how.hashes, self.how.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in whole_groups((b for batch in batches for b in slices(batch)), 2):
+            for table in whole_groups((b for batch in batches for b in slices(batch)), 1):
                 batch = table.to_batches()[0]
-                group, x = (batch.column(i).to_numpy() for i in range(2))
-                edge = np.flatnonzero((group[1:] != group[:-1]) | (x[1:] != x[:-1])) + 1
-                for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(x)]):
+                group = batch.column(0).to_numpy()
+                edge = np.flatnonzero(group[1:] != group[:-1]) + 1
+                for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(group)]):
                     found = linked(batch.slice(a, b - a))
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
@@ -305,8 +316,9 @@ class Search:
                 yield batch.slice(low, 500)
 
         def linked(rows: pa.RecordBatch) -> list[tuple[int, int]]:
-            keys, n = rows.column(2).to_numpy(), rows.column(4).to_numpy()
-            probe = rows.column(3).to_numpy(zero_copy_only=False)
+            keys, n = rows.column(1).to_numpy(), rows.column(4).to_numpy()
+            label = rows.column(2).fill_null(-1).to_numpy()
+            probe = rows.column(3).is_valid().to_numpy(zero_copy_only=False)
             signature = signature_rows(rows.column(5), width)
             p, q = np.flatnonzero(probe), np.flatnonzero(~probe)
             sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column(6)]
@@ -316,19 +328,20 @@ class Search:
             hashes, owner = hashes[order], owner[order]
             out = []
             for i in p.tolist():
-                j = q[100 * np.minimum(n[q], n[i]) >= percent * np.maximum(n[q], n[i])]
+                wanted = np.isin(label[q], rows.column(3)[i].values.to_numpy())
+                j = q[wanted & (100 * np.minimum(n[q], n[i]) >= percent * np.maximum(n[q], n[i]))]
                 alive, _ = surviving(signature, signature, np.full(len(j), i), j, needed)
                 if not len(alive):
                     continue
                 low, high = np.searchsorted(hashes, sets[i]), np.searchsorted(hashes, sets[i], side="right")
                 at = np.repeat(low - np.cumsum(np.append(0, (high - low)[:-1])), high - low) + np.arange((high - low).sum())
                 shared = np.bincount(owner[at], minlength=len(q))[np.searchsorted(q, j[alive])]
-                good = np.flatnonzero(100 * shared >= percent * (n[j[alive]] + n[i] - shared))
-                if len(good):
-                    out.append((int(keys[i]), int(keys[j[alive[good[0]]]])))
+                good = j[alive[100 * shared >= percent * (n[j[alive]] + n[i] - shared)]]
+                _, first = np.unique(label[good], return_index=True)
+                out += [(int(keys[i]), int(keys[k])) for k in good[first].tolist()]
             return out
 
-        columns = ["with", "x", KEY, "probe", "n", "signature", "shingles"]
+        columns = ["block", KEY, "label", "asked", "n", "signature", "shingles"]
         return dealt.select(*columns).mapInArrow(run, "a bigint, b bigint")
 
     def run(self) -> None:
@@ -383,3 +396,22 @@ def op5_minhash_bayes(spark: SparkSession, folder: str) -> DataFrame:
     ids = docs.select(F.col(KEY).alias("component"), F.col("doc_id").alias("component_id"))
     named = found.join(docs.select(KEY, "doc_id"), KEY).join(ids, "component")
     return named.select("doc_id", "n_shingles", "component_id", (F.col(KEY) == F.col("component")).alias("kept"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g
+  FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM comp LEFT JOIN n USING (doc_id)
+"""

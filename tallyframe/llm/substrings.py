@@ -337,3 +337,19 @@ def op10_induced_suffixes(spark: SparkSession, folder: str) -> DataFrame:
         F.size("starts").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP10_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, substr(x, 2 * i - 1, 200) AS s FROM h, unnest(range(1, length(x) // 2 - 98)) AS u(i) WHERE length(x) >= 200),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+new AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM dup),
+run AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM new),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS b FROM run GROUP BY doc_id, r),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM span),
+kept AS (
+  SELECT h.doc_id, any_value(x) AS x, coalesce(sum(b - a + 1), 0) AS n_removed, count(a) AS n_spans,
+    coalesce(string_agg(substr(x, 2 * since + 1, 2 * (a - 1 - since)), '' ORDER BY a), '') || substr(any_value(x), 2 * coalesce(max(b), 0) + 1) AS y
+  FROM h LEFT JOIN gap USING (doc_id) GROUP BY h.doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(y)) AS kept_sha256 FROM kept
+"""
