@@ -341,7 +341,8 @@ def op10_induced_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-win AS (SELECT doc_id, i, substr(x, 2 * i - 1, 200) AS s FROM h, unnest(range(1, length(x) // 2 - 98)) AS u(i) WHERE length(x) >= 200),
+part AS (SELECT doc_id, 200 * k AS base, substr(x, 400 * k + 1, 598) AS c FROM h, unnest(range(0, (length(x) // 2 + 199) // 200)) AS u(k)),
+win AS (SELECT doc_id, base + j AS i, substr(c, 2 * j - 1, 200) AS s FROM part, unnest(range(1, least(200, length(c) // 2 - 99) + 1)) AS u(j) WHERE length(c) >= 200),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
 new AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM dup),
 run AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM new),
