@@ -208,15 +208,15 @@ class Search:
         both = pairs.join(self.side(self.sets, "b"), "b").join(self.side(self.sets, "a"), "a")
         return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a bigint, b bigint")
 
-    def add(self, links: DataFrame) -> None:
-        """Take in confirmed links and bring the labels nearer to the components."""
+    def add(self, links: DataFrame, rounds: int | None = 2) -> None:
+        """Take in confirmed links and bring the labels nearer to the components; all the way without ``rounds``."""
         links = written(links)
         self.links = links if self.links is None else self.links.unionByName(links)
-        self.labels = written(components(self.links, rounds=2))
+        self.labels = written(components(self.links, rounds))
 
-    def labelled(self, rows: DataFrame) -> DataFrame:
+    def labelled(self, rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         """``rows`` with the label of ``__key``; unlinked documents are their own."""
-        both = rows.join(self.labels.withColumnRenamed("node", KEY), KEY, "left")
+        both = rows.join((labels or self.labels).withColumnRenamed("node", KEY), KEY, "left")
         return both.withColumn("label", F.coalesce("label", KEY))
 
     def open_members(self) -> DataFrame:
@@ -276,17 +276,19 @@ class Search:
         columns = ["bucket", "x", "y", KEY, "label", "n", "main", "probe", "signature"]
         return dealt.select(*columns).mapInArrow(run, "a bigint, b bigint, label bigint")
 
-    def by_component(self, asked: DataFrame) -> DataFrame:
+    def by_component(self, asked: DataFrame, labels: DataFrame) -> DataFrame:
         """Links ``a, b`` of documents ``a`` with members of the components ``label`` they are asked about.
 
+        Members are those of ``labels``, which the question was asked with. The labels of now only tell what has been
+        joined since: nodes that shared a label may carry different ones after a few rounds on more links.
         A document and a component share one link per block at most. Members of a large component are dealt into
         blocks of their own; small components share blocks, so a document asked about many of them is sent but once to
         each block.
         """
         now = self.labels.select(F.col("node").alias("label"), F.col("label").alias("now"))
-        asked = asked.join(now, "label", "left").select(F.col("a").alias(KEY), F.coalesce("now", "label").alias("with"))
-        asked = written(self.labelled(asked).filter(F.col("label") != F.col("with")).select(KEY, "with").distinct())
-        members = self.labelled(self.signatures.select(KEY)).withColumnRenamed("label", "with")
+        asked = asked.join(now, "label", "left").select(F.col("a").alias(KEY), F.col("label").alias("with"), F.coalesce("now", "label").alias("now"))
+        asked = written(self.labelled(asked).filter(F.col("label") != F.col("now")).select(KEY, "with").distinct())
+        members = self.labelled(self.signatures.select(KEY), labels).withColumnRenamed("label", "with")
         members = written(members.join(asked.select("with").distinct(), "with"))
         sizes = members.groupBy("with").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("across"))
         shared = -(-members.count() // SIDE) or 1
@@ -352,10 +354,10 @@ class Search:
             self.add(self.confirmed(self.by_hub(rows, 1)))
             rows = self.open_members()
         if rows.take(1):
-            near = written(self.by_block(rows))
+            near, labels = written(self.by_block(rows)), self.labels
             pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            self.add(self.confirmed(pairs))
-            self.add(self.by_component(near.select("a", "label").distinct()))
+            self.add(self.confirmed(pairs), None)
+            self.add(self.by_component(near.select("a", "label").distinct(), labels))
         self.labels = components(self.links)
 
 

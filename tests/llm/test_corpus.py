@@ -143,6 +143,26 @@ def test_near_duplicates_block_by_block(spark, monkeypatch):
     assert [found[i] for i, _ in docs] == near_by_force([t for _, t in docs], 4)[1]
 
 
+def test_a_component_is_asked_by_the_labels_of_its_blocks(spark, monkeypatch):
+    """first and j share a label when the last document is asked about it; the links found next give them different ones."""
+    words = [f"w{i}" for i in range(400)]
+    chain = [" ".join(words[10 * i : 10 * i + 120]) for i in range(7)]  # neighbours are similar, others are not
+    docs = spark.createDataFrame(list(enumerate(chain)), f"{KEY} bigint, text string")
+    search = minhash.Search(docs, minhash.NearDuplicates(shingle=1))
+    assert search.signatures.count() == 7
+    d, c, b, a, first, j, last = range(7)
+    near = [(a, first, first), (b, a, a), (c, b, b), (d, c, c), *[(last, first, first)] * minhash.NEAREST]
+    partial = spark.createDataFrame([(first, j), (a, first), (b, a), (c, b), (d, c)], "a bigint, b bigint")
+    labels = {r["node"]: r["label"] for r in rows(components(partial, rounds=2))}
+    assert labels[first] != labels[j]
+    search.members = spark.createDataFrame([(first, j)], f"hub bigint, {KEY} bigint")
+    monkeypatch.setattr(search, "open_members", lambda: search.members)
+    monkeypatch.setattr(search, "by_hub", lambda rows, salt: spark.createDataFrame([], "a bigint, b bigint"))
+    monkeypatch.setattr(search, "by_block", lambda rows: spark.createDataFrame(near, "a bigint, b bigint, label bigint"))
+    search.run()
+    assert {r["node"]: r["label"] for r in rows(search.labels)} == dict.fromkeys(range(7), d)
+
+
 @pytest.mark.parametrize("make", [odd_documents, list])
 def test_near_duplicates_of_odd_rows(spark, make):
     docs = make()
