@@ -38,6 +38,7 @@ ship(__name__)
 
 STEP = 16  # hashes compared before the next look at the posterior
 SIDE = 2048  # members of a bucket on one side of a block
+HELD = 64 << 20  # bytes of full sets on one side of a block
 NEAREST = 4  # survivors per document and component that leave a block of signatures
 
 
@@ -252,10 +253,8 @@ class Search:
         def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
             if not table.num_rows:
                 return
-            batch = table.to_batches()[0]
-            bucket, x, y, keys, label, n, main = (batch.column(i).to_numpy() for i in range(7))
-            probe = batch.column(7).to_numpy(zero_copy_only=False)
-            signature = signature_rows(batch.column(8), width)
+            bucket, x, y, keys, label, n, main, probe = (table.column(i).to_numpy() for i in range(8))
+            signature = np.concatenate([signature_rows(part, width) for part in table.column(8).chunks])
             edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(bucket)]):
                 p, q = a + np.flatnonzero(probe[a:b]), a + np.flatnonzero(~probe[a:b])
@@ -282,34 +281,41 @@ class Search:
         Members are those of ``labels``, which the question was asked with. The labels of now only tell what has been
         joined since: nodes that shared a label may carry different ones after a few rounds on more links.
         A document and a component share one link per block at most. Members of a large component are dealt into
-        blocks of their own; small components share blocks, so a document asked about many of them is sent but once to
-        each block.
+        parts of their own; small components share parts, so a document asked about many of them is sent but once to
+        each part. The documents asked about a part are dealt too: a block is a part of members and a part of those,
+        each of about SIDE documents and HELD bytes of full sets.
         """
         now = self.labels.select(F.col("node").alias("label"), F.col("label").alias("now"))
         asked = asked.join(now, "label", "left").select(F.col("a").alias(KEY), F.col("label").alias("with"), F.coalesce("now", "label").alias("now"))
         asked = written(self.labelled(asked).filter(F.col("label") != F.col("now")).select(KEY, "with").distinct())
-        members = self.labelled(self.signatures.select(KEY), labels).withColumnRenamed("label", "with")
+        members = self.labelled(self.signatures.select(KEY, "n"), labels).withColumnRenamed("label", "with")
         members = written(members.join(asked.select("with").distinct(), "with"))
-        sizes = members.groupBy("with").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("across"))
-        shared = -(-members.count() // SIDE) or 1
-        block = F.when(F.col("across") > 1, F.xxhash64("with", "part")).otherwise(F.pmod(F.xxhash64("with"), F.lit(shared)))
+        number = F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(F.sum("n") * 8 / HELD)).cast("int")
+        sizes = members.groupBy("with").agg(number.alias("across"))
+        shared = members.agg(number).first()[0] or 1
+        whole = F.when(F.col("across") > 1, F.xxhash64("with", "part")).otherwise(F.pmod(F.xxhash64("with"), F.lit(shared)))
         part = F.pmod(F.xxhash64(KEY), "across").cast("int").alias("part")
         builds = members.join(sizes, "with").select("with", "across", part, KEY)
-        builds = builds.select(block.alias("block"), KEY, F.col("with").alias("label"), F.lit(None).cast("array<bigint>").alias("asked"))
+        builds = builds.select(whole.alias("whole"), KEY, F.col("with").alias("label"), F.lit(None).cast("array<bigint>").alias("asked"))
         probes = asked.join(sizes, "with").select("with", "across", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("part"), KEY)
-        probes = probes.groupBy(block.alias("block"), KEY).agg(F.collect_set("with").alias("asked"))
-        probes = probes.select("block", KEY, F.lit(None).cast("bigint").alias("label"), "asked")
+        probes = probes.groupBy(whole.alias("whole"), KEY).agg(F.collect_set("with").alias("asked"))
+        probes = written(probes.join(self.signatures.select(KEY, "n"), KEY))
+        down = probes.groupBy("whole").agg(number.alias("down"))
+        block = F.xxhash64("whole", "y").alias("block")
+        every = F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y")
+        builds = builds.join(down, "whole").select("whole", KEY, "label", "asked", every).select(block, KEY, "label", "asked")
+        probes = probes.join(down, "whole").select("whole", KEY, "asked", F.pmod(F.xxhash64(KEY), "down").cast("int").alias("y"))
+        probes = probes.select(block, KEY, F.lit(None).cast("bigint").alias("label"), "asked")
         full = builds.unionByName(probes).join(self.signatures, KEY).join(self.sets, KEY)
         dealt = full.repartition("block").sortWithinPartitions("block")
         needed, width, percent = self.needed, self.how.hashes, self.how.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in whole_groups((b for batch in batches for b in slices(batch)), 1):
-                batch = table.to_batches()[0]
-                group = batch.column(0).to_numpy()
+                group = table.column(0).to_numpy()
                 edge = np.flatnonzero(group[1:] != group[:-1]) + 1
                 for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(group)]):
-                    found = linked(batch.slice(a, b - a))
+                    found = linked(table.slice(a, b - a).to_batches())
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
@@ -317,20 +323,21 @@ class Search:
             for low in range(0, batch.num_rows, 500):
                 yield batch.slice(low, 500)
 
-        def linked(rows: pa.RecordBatch) -> list[tuple[int, int]]:
-            keys, n = rows.column(1).to_numpy(), rows.column(4).to_numpy()
-            label = rows.column(2).fill_null(-1).to_numpy()
-            probe = rows.column(3).is_valid().to_numpy(zero_copy_only=False)
-            signature = signature_rows(rows.column(5), width)
+        def linked(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+            keys, n = (np.concatenate([rows.column(c).to_numpy() for rows in parts]) for c in (1, 4))
+            label = np.concatenate([rows.column(2).fill_null(-1).to_numpy() for rows in parts])
+            probe = np.concatenate([rows.column(3).is_valid().to_numpy(zero_copy_only=False) for rows in parts])
+            asked = [v for rows in parts for v in rows.column(3)]
+            signature = np.concatenate([signature_rows(rows.column(5), width) for rows in parts])
             p, q = np.flatnonzero(probe), np.flatnonzero(~probe)
-            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column(6)]
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for rows in parts for v in rows.column(6)]
             owner = np.repeat(np.arange(len(q)), n[q])
             hashes = np.concatenate([sets[j] for j in q]) if len(q) else np.zeros(0, np.uint64)
             order = np.argsort(hashes, kind="stable")
             hashes, owner = hashes[order], owner[order]
             out = []
             for i in p.tolist():
-                wanted = np.isin(label[q], rows.column(3)[i].values.to_numpy())
+                wanted = np.isin(label[q], asked[i].values.to_numpy())
                 j = q[wanted & (100 * np.minimum(n[q], n[i]) >= percent * np.maximum(n[q], n[i]))]
                 alive, _ = surviving(signature, signature, np.full(len(j), i), j, needed)
                 if not len(alive):
@@ -374,12 +381,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa
         if rest and len(change) and sum(r.num_rows for r in rest) >= SIDE:
             if change[-1]:
                 rest.append(batch.slice(0, change[-1]))
-            yield pa.Table.from_batches(rest).combine_chunks()
+            yield pa.Table.from_batches(rest)
             rest = [batch.slice(change[-1])]
         else:
             rest.append(batch)
     if rest:
-        yield pa.Table.from_batches(rest).combine_chunks()
+        yield pa.Table.from_batches(rest)
 
 
 def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:

@@ -163,6 +163,26 @@ def test_a_component_is_asked_by_the_labels_of_its_blocks(spark, monkeypatch):
     assert {r["node"]: r["label"] for r in rows(search.labels)} == dict.fromkeys(range(7), d)
 
 
+@pytest.mark.parametrize("side, held", [(8, 64 << 20), (2048, 8 * 8 * 150)])
+def test_documents_asked_about_a_component_are_dealt(spark, monkeypatch, side, held):
+    monkeypatch.setattr(minhash, "SIDE", side)
+    monkeypatch.setattr(minhash, "HELD", held, raising=False)
+    base = prose(50, 150)
+    docs = spark.createDataFrame([(i, edited(base, i, 1)) for i in range(60)], f"{KEY} bigint, text string")
+    search = minhash.Search(docs, minhash.NearDuplicates(shingle=4))
+    search.labels = spark.createDataFrame([(i, 0) for i in range(20)], "node bigint, label bigint")
+    asked = spark.createDataFrame([(i, 0) for i in range(20, 60)], "a bigint, label bigint")
+    mapped, kind = [], type(docs)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *how: mapped.append(self) or plain(self, *how))
+    links = rows(search.by_component(asked, search.labels))
+    assert {r["a"] for r in links} == set(range(20, 60)) and all(r["b"] < 20 for r in links)
+    blocks = rows(mapped[-1].groupBy("block").agg(F.count("asked").alias("asked"), F.count("label").alias("members")))
+    assert max(r["asked"] for r in blocks) <= 20 and max(r["members"] for r in blocks) < 20
+    pairs = sum(r["asked"] * r["members"] for r in blocks)
+    assert pairs == 40 * 20
+
+
 @pytest.mark.parametrize("make", [odd_documents, list])
 def test_near_duplicates_of_odd_rows(spark, make):
     docs = make()
