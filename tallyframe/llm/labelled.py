@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS = 4096
+from tallyframe.llm.common import running, written
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
@@ -23,21 +22,18 @@ def lower_bound(scores: DataFrame, false_alarms: float) -> float | None:
     """The score below which documents are rejected, from all rows of ``score, clean``; None without clean rows.
 
     Rejects most rows that are not clean while at most the share ``false_alarms`` of the clean ones goes; in the middle
-    of the gap if there is one. Scores are counted in bins on the driver, so the labels may be any number.
+    between two scores. Counts of the distinct scores are summed up in score order by Spark, so the labels may be any
+    number and outlying scores make the bound no coarser.
     """
-    ends = scores.agg(F.min("score"), F.max("score"), F.sum(F.col("clean").cast("long"))).first()
-    if not ends[2]:
+    counts = scores.groupBy("score").agg(F.count_if("clean").alias("clean"), F.count_if(~F.col("clean")).alias("other"))
+    counts = written(counts)
+    total = counts.agg(F.sum("clean")).first()[0]
+    if not total:
         return None
-    low, width = ends[0], max((ends[1] - ends[0]) / BINS, 1e-9)
-    place = F.least(F.floor((F.col("score") - low) / width), F.lit(BINS - 1))
-    counts = np.zeros((2, BINS + 1), np.int64)
-    for row in scores.groupBy(place.cast("int").alias("bin"), "clean").count().collect():  # at most 2 x BINS rows
-        counts[int(row["clean"]), row["bin"]] = row["count"]
-    # at edge e everything in the bins below it is rejected
-    gone = np.concatenate([[0], np.cumsum(counts[1])[:-1]])
-    caught = np.concatenate([[0], np.cumsum(counts[0])[:-1]])
-    allowed = gone <= false_alarms * counts[1].sum()
-    gain = np.where(allowed, caught - gone, -1)
-    best = np.flatnonzero(gain == gain.max())
-    run = best[: 1 + int(np.argmax(np.append(np.diff(best) > 1, True)))]
-    return float(low + width * (run[0] + run[-1]) / 2)
+    # at each score everything below it is rejected
+    edges = running(counts, ["score"], {"gone": "clean", "caught": "other"}).filter(F.col("gone") <= false_alarms * total)
+    edge = edges.agg(F.max(F.struct((F.col("caught") - F.col("gone")).alias("gain"), (-F.col("score")).alias("down"))).alias("best"))
+    high = -edge.select("best.down").first()[0]
+    low = counts.filter(F.col("score") < high).agg(F.max("score")).first()[0]
+    middle = high if low is None else low + (high - low) / 2
+    return float(high if middle == low else middle)  # low itself is rejected

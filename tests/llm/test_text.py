@@ -160,6 +160,12 @@ def test_lower_bound(spark):
     assert labelled.lower_bound(spark.createDataFrame([(1.0, False)], "score double, clean boolean"), 0.0) is None
 
 
+def test_lower_bound_beside_an_outlier(spark):
+    values = [(i / 1000, True) for i in range(100, 200)] + [(i / 1000, False) for i in range(0, 50)] + [(1e6, False)]
+    bound = labelled.lower_bound(spark.createDataFrame(values, "score double, clean boolean"), 0.002)
+    assert 0.049 < bound <= 0.1
+
+
 def test_resampling(spark):
     docs = [(i, prose(i, 200) + (" vile scum vile scum" if i % 5 == 0 else "")) for i in range(200)] + [(None, None), (7, ""), (7, "")]
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(0, 160)], "doc_id bigint, quality int, toxic int")
