@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from tallyframe.llm.alignment import op12_galloping
 from tallyframe.llm.brown import op1_brown_classes
 from tallyframe.llm.decontaminate import OP9_SQL, op9_prefix_join
 from tallyframe.llm.isolation import op8_isolation_forest
 from tallyframe.llm.licenses import op6_license_diagonals
 from tallyframe.llm.minhash import OP5_SQL, op5_minhash_bayes
 from tallyframe.llm.packing import op4_pack_nnls
+from tallyframe.llm.ranking import OP13_SQL, op13_best_position
 from tallyframe.llm.resampling import op7_importance_resampling
 from tallyframe.llm.substrings import OP10_SQL, op10_induced_suffixes
 from tallyframe.llm.token_files import op2_token_orc
@@ -24,4 +26,6 @@ QUERIES = {
     "op8_isolation_forest": (op8_isolation_forest, None),
     "op9_prefix_join": (op9_prefix_join, OP9_SQL),
     "op10_induced_suffixes": (op10_induced_suffixes, OP10_SQL),
+    "op12_galloping": (op12_galloping, None),
+    "op13_best_position": (op13_best_position, OP13_SQL),
 }
