@@ -5,6 +5,7 @@ from __future__ import annotations
 from tallyframe.llm.alignment import op12_galloping
 from tallyframe.llm.brown import op1_brown_classes
 from tallyframe.llm.decontaminate import OP9_SQL, op9_prefix_join
+from tallyframe.llm.deobfuscate import op11_noisy_channel
 from tallyframe.llm.isolation import op8_isolation_forest
 from tallyframe.llm.licenses import op6_license_diagonals
 from tallyframe.llm.minhash import OP5_SQL, op5_minhash_bayes
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_isolation_forest": (op8_isolation_forest, None),
     "op9_prefix_join": (op9_prefix_join, OP9_SQL),
     "op10_induced_suffixes": (op10_induced_suffixes, OP10_SQL),
+    "op11_noisy_channel": (op11_noisy_channel, None),
     "op12_galloping": (op12_galloping, None),
     "op13_best_position": (op13_best_position, OP13_SQL),
 }
