@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import count_if, penalty, r6
+from tallyframe.functions.draws import sql_drawn
 from tallyframe.functions.ordered import Grouped, small
 from tallyframe.operators import ceilings as C
 from tallyframe.operators import detection as D
@@ -13,6 +14,7 @@ from tallyframe.operators import rules as R
 from tallyframe.operators.curves import pooled_z
 from tallyframe.operators.matching import identification_hits
 from tallyframe.operators.reductions import dice
+from tallyframe.operators.replicates import Halves, Labels, LabelsInHalves, replicate_auc
 from tallyframe.plans.base import (
     DOC_RULES,
     SCENARIOS_SQL,
@@ -35,7 +37,7 @@ from tallyframe.plans.registry import query
 from tallyframe.session import cut
 from tallyframe.sources.tables import table
 
-REPS, SEED = 50, 7
+REPS, SEED, SPLITS = 2000, 7, 20
 
 AUC_COLUMNS = "n_wrong, n_right, round(auc, 6) AS auc"
 
@@ -79,14 +81,6 @@ def auc_verdict(spark, sf):
     return rounded(out.withColumn("verdict", D.verdict(F.col("auc"))), "auc")
 
 
-SQL_DRAWS = """
-ids AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM {src})),
-draws AS (
-  SELECT rep, ('0x' || substr(md5(concat_ws('|', {seed}, rep, j)), 1, 8))::BIGINT % n AS idx
-  FROM (SELECT range AS rep FROM range({reps})), (SELECT any_value(n) AS n, unnest(range(any_value(n))) AS j FROM ids)),
-weights AS (SELECT rep, cluster, count(*) AS w FROM draws JOIN ids USING (idx) GROUP BY ALL)"""
-
-
 def sql_weighted(source: str, keys: str, name: str, weights: str = "weights") -> str:
     """CTE of AUC per (keys, rep) from weighted rows."""
     return f"""
@@ -98,7 +92,39 @@ def sql_weighted(source: str, keys: str, name: str, weights: str = "weights") ->
 
 
 def draws_sql(source: str, reps: int = REPS, seed: int = SEED) -> str:
-    return SQL_DRAWS.format(src=source, reps=reps, seed=seed)
+    """CTEs: clusters drawn with replacement, ``weights`` (rep, cluster, w)."""
+    return f"""
+ids AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM {source})),
+places AS (SELECT any_value(n) AS n, unnest(range(any_value(n))) AS j FROM ids),{sql_drawn("numbers", "places", "j", seed, reps, "n")},
+weights AS (SELECT rep, cluster, count(*) AS w FROM (SELECT rep, draw % n AS idx FROM numbers) JOIN ids USING (idx) GROUP BY ALL)"""
+
+
+def halves_sql(splits: int, seed: int = 3) -> str:
+    """CTEs: random halves of the clusters, ``weights`` (cluster, rep, w) with rep 2r and 2r + 1 for split r."""
+    return f"""
+ids AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM feat)),{sql_drawn("sides", "ids", "idx", seed, splits, "cluster, n")},
+placed AS (SELECT cluster, n, rep AS r, row_number() OVER (PARTITION BY rep ORDER BY draw) - 1 AS k FROM sides),
+weights AS (SELECT cluster, r * 2 + CASE WHEN k < n // 2 THEN 0 ELSE 1 END AS rep, 1 AS w FROM placed)"""
+
+
+def interval_sql(source: str, keys: str, name: str) -> str:
+    """CTE ``name`` (keys, n_wrong, n_right, auc, lo, hi, reps) of scored rows with a cluster."""
+    known = f"(SELECT * FROM {source} WHERE score IS NOT NULL AND wrong IS NOT NULL)"
+    same = " AND ".join(f"{name}_a.{k.strip()} IS NOT DISTINCT FROM {name}_i.{k.strip()}" for k in keys.split(","))
+    return (
+        draws_sql(known)
+        + ","
+        + sql_weighted(source, keys, f"{name}_b")
+        + ","
+        + sql_auc(source, keys, f"{name}_a")
+        + f""",
+{name}_i AS (SELECT {keys}, CASE WHEN count(auc) >= 50 THEN quantile_cont(auc, 0.025) END AS lo, CASE WHEN count(auc) >= 50 THEN quantile_cont(auc, 0.975) END AS hi,
+  count(auc)::BIGINT AS reps FROM {name}_b WHERE auc IS NOT NULL GROUP BY {keys}),
+{name} AS (SELECT {name}_a.*, lo, hi, coalesce(reps, 0) AS reps FROM {name}_a LEFT JOIN {name}_i ON {same})"""
+    )
+
+
+INTERVAL_COLUMNS = f"{AUC_COLUMNS}, round(lo, 6) AS lo, round(hi, 6) AS hi, reps"
 
 
 @query(
@@ -134,13 +160,13 @@ def auc_paired_delta(spark, sf):
     return rounded(B.paired_delta(draws, "rule", "words", "density"), "lo", "hi", "p_le_zero")
 
 
-SQL_SCEN = SQL_RULES + "," + SCENARIOS_SQL.format(src="long_rule") + "," + sql_auc("scenario_scored", "scenario, rule", "a")
+SQL_SCEN = SQL_RULES + "," + SCENARIOS_SQL.format(src="long_rule") + "," + interval_sql("scenario_scored", "scenario, rule", "a")
 
 
-@query("auc_scenarios", "WITH" + SQL_SCEN + f" SELECT scenario, rule, {AUC_COLUMNS} FROM a")
+@query("auc_scenarios", "WITH" + SQL_SCEN + f" SELECT scenario, rule, {INTERVAL_COLUMNS} FROM a")
 def auc_scenarios(spark, sf):
     rows = D.scenarios(item_scored(spark, sf), F.col("matched"), F.col("present"))
-    return rounded(D.auc(rows, ["scenario", "rule"]), "auc")
+    return rounded(B.auc_interval(rows, "cluster", ["scenario", "rule"], REPS, SEED), "auc", "lo", "hi")
 
 
 @query(
@@ -181,13 +207,14 @@ def excluded_profile(spark, sf):
     + ","
     + SCENARIOS_SQL.format(src="reference_long")
     + ", kept AS (SELECT * FROM scenario_scored WHERE scenario IN ('as_published', 'worst_case')),"
-    + sql_auc("kept", "scenario, rule", "a")
-    + f" SELECT scenario, rule, {AUC_COLUMNS} FROM a",
+    + interval_sql("kept", "scenario, rule", "a")
+    + f" SELECT scenario, rule, {INTERVAL_COLUMNS} FROM a",
 )
 def reference_score_aucs(spark, sf):
     wide = reference_scores(spark, sf)
     rows = D.scenarios(long_rules(wide, ["entropy_inv", "size_regularity", "spacing_regularity"]), F.col("matched"), F.col("present"))
-    return rounded(D.auc(rows.filter("scenario IN ('as_published', 'worst_case')"), ["scenario", "rule"]), "auc")
+    kept = rows.filter("scenario IN ('as_published', 'worst_case')")
+    return rounded(B.auc_interval(kept, "cluster", ["scenario", "rule"], REPS, SEED), "auc", "lo", "hi")
 
 
 @query(
@@ -238,6 +265,31 @@ def flag_metrics(spark, sf):
     return rounded(out, "firing_rate", "sensitivity", "specificity", "ppv", "npv", "prevalence")
 
 
+@query(
+    "flag_metric_intervals",
+    "WITH"
+    + SQL_FLAGGED
+    + ","
+    + draws_sql("fl")
+    + """, m AS (SELECT category, cluster, 'firing_rate' AS metric, flag AS num, true AS den FROM fl UNION ALL SELECT category, cluster, 'sensitivity', flag, wrong FROM fl
+  UNION ALL SELECT category, cluster, 'specificity', NOT flag, NOT wrong FROM fl UNION ALL SELECT category, cluster, 'ppv', wrong, flag FROM fl UNION ALL SELECT category, cluster, 'npv', NOT wrong, NOT flag FROM fl),
+per AS (SELECT category, metric, cluster, count(*) FILTER (WHERE num AND den) AS num, count(*) FILTER (WHERE den) AS den FROM m GROUP BY ALL),
+v AS (SELECT category, metric, rep, sum(num * w)::DOUBLE / nullif(sum(den * w), 0) AS rate FROM per JOIN weights USING (cluster) GROUP BY ALL),
+i AS (SELECT category, metric, quantile_cont(rate, 0.025) AS lo, quantile_cont(rate, 0.975) AS hi, count(rate)::BIGINT AS reps FROM v WHERE rate IS NOT NULL GROUP BY ALL)
+SELECT p.category, p.metric, round(sum(num)::DOUBLE / nullif(sum(den), 0), 6) AS value, sum(num)::BIGINT AS num, sum(den)::BIGINT AS den, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, any_value(reps) AS reps
+FROM per p LEFT JOIN i ON p.category IS NOT DISTINCT FROM i.category AND p.metric = i.metric GROUP BY p.category, p.metric""",
+)
+def flag_metric_intervals(spark, sf):
+    """Every rate of a flag with its clustered interval."""
+    rows = flagged_docs(spark, sf)
+    flag, wrong = F.col("flag"), F.col("wrong")
+    rates = {"firing_rate": (flag, F.lit(True)), "sensitivity": (flag, wrong), "specificity": (~flag, ~wrong), "ppv": (wrong, flag), "npv": (~wrong, ~flag)}
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), a.alias("num"), b.alias("den")) for m, (a, b) in rates.items()])
+    long = cut(rows.select("category", "cluster", F.explode(each).alias("m")).select("category", "cluster", "m.*"))
+    out = B.bootstrap_rate(long, "cluster", ["category", "metric"], F.col("num"), F.col("den"), REPS, SEED)
+    return rounded(out, "value", "lo", "hi")
+
+
 @query(
     "rate_cluster_bootstrap",
     "WITH"
@@ -267,15 +319,16 @@ def clusters_flagged(spark, sf):
     "WITH"
     + SQL_DOC
     + """, z AS (SELECT *, (chars - avg(chars) OVER w) / greatest(stddev_pop(chars) OVER w, 0.1) AS z, count(*) OVER w AS k FROM feat WINDOW w AS (PARTITION BY cluster)),
-s AS (SELECT wrong, 'displayed' AS rule, density * CASE WHEN k >= 2 AND z > 1.5 THEN greatest(0.3, 1 - (z - 1.5) * 0.4) ELSE 1 END AS score FROM z
-  UNION ALL SELECT wrong, 'minus_z', CASE WHEN k >= 2 THEN -z END FROM z),"""
-    + sql_auc("s", "rule", "a")
-    + f" SELECT rule, {AUC_COLUMNS} FROM a",
+s AS (SELECT cluster, wrong, 'displayed' AS rule, density * CASE WHEN k >= 2 AND z > 1.5 THEN greatest(0.3, 1 - (z - 1.5) * 0.4) ELSE 1 END AS score FROM z
+  UNION ALL SELECT cluster, wrong, 'minus_z', CASE WHEN k >= 2 THEN -z END FROM z),"""
+    + interval_sql("s", "rule", "a")
+    + f" SELECT rule, {INTERVAL_COLUMNS} FROM a",
 )
 def penalised_auc(spark, sf):
     rows = pooled_z(doc_features(spark, sf), ["cluster"], "chars", 0.1, "z", ["doc_id"])
     rows = rows.withColumn("displayed", F.col("density") * penalty(F.col("z"))).withColumn("minus_z", -F.col("z"))
-    return rounded(D.auc(long_rules(rows.select("wrong", "displayed", "minus_z"), ["displayed", "minus_z"]), ["rule"]), "auc")
+    scored = long_rules(rows.select("cluster", "wrong", "displayed", "minus_z"), ["displayed", "minus_z"])
+    return rounded(B.auc_interval(scored, "cluster", ["rule"], REPS, SEED), "auc", "lo", "hi")
 
 
 def channel_scored(spark, sf):
@@ -300,10 +353,9 @@ def best_fixed_channel(spark, sf):
     "split_half_selection",
     "WITH"
     + SQL_DOC
-    + """, ids AS (SELECT DISTINCT cluster FROM feat),
-halves AS (SELECT cluster, r, row_number() OVER (PARTITION BY r ORDER BY ('0x' || substr(md5(concat_ws('|', 3, r, cluster)), 1, 8))::BIGINT, cluster) - 1 AS k, (SELECT count(*) FROM ids) AS n
-  FROM ids, (SELECT range AS r FROM range(20))),
-weights AS (SELECT cluster, r * 2 + CASE WHEN k < n // 2 THEN 0 ELSE 1 END AS rep, 1 AS w FROM halves),"""
+    + ","
+    + halves_sql(SPLITS)
+    + ","
     + sql_weighted("scored", "rule", "b")
     + """, best AS (SELECT * FROM (SELECT rep, rule, row_number() OVER (PARTITION BY rep ORDER BY auc DESC, rule) AS k FROM b WHERE auc IS NOT NULL) WHERE k = 1),
 held AS (SELECT best.rep AS fold, best.rule, b.auc FROM best JOIN b ON b.rule = best.rule AND b.rep = xor(best.rep, 1) WHERE b.auc IS NOT NULL)
@@ -311,7 +363,7 @@ SELECT rule, count(*)::BIGINT AS times_chosen, round(avg(auc), 6) AS held_mean,
 FROM held GROUP BY rule""",
 )
 def split_half_selection(spark, sf):
-    held = cut(B.split_half(doc_scored(spark, sf), "cluster", "rule", 20, 3))
+    held = cut(B.split_half(doc_scored(spark, sf), "cluster", "rule", SPLITS, 3))
     whole = held.agg(F.count(F.lit(1)).alias("folds"), F.avg("held_auc").alias("mean"), F.stddev_samp("held_auc").alias("sd"))
     return held.groupBy("rule").agg(
         F.count(F.lit(1)).alias("times_chosen"),
@@ -331,24 +383,30 @@ def best_mapping(spark, sf):
     return rounded(found.join(small(exact.select("rep", "auc")), "rep").drop("rep", "start"), "search_auc", "auc")
 
 
-NULL_REPS = 20
+NULL_REPS, HELD_REPS = 1000, 200
 
 
-def sql_permuted(group: str, seed: int) -> str:
+def sql_permuted(group: str, seed: int, reps: int = NULL_REPS) -> str:
+    """CTEs: labels permuted within groups, ``perm`` (rep, doc_id, wrong) and ``null_scored``."""
     return f"""
-base AS (SELECT doc_id, cluster, {group} AS grp, wrong, row_number() OVER (PARTITION BY {group} ORDER BY doc_id) AS k FROM feat),
-shuffled AS (SELECT rep, doc_id, grp, row_number() OVER (PARTITION BY rep, grp ORDER BY ('0x' || substr(md5(concat_ws('|', {seed}, rep, doc_id)), 1, 8))::BIGINT, doc_id) AS k
-  FROM base, (SELECT range AS rep FROM range({NULL_REPS}))),
-perm AS (SELECT s.rep, s.doc_id, b.wrong FROM shuffled s JOIN base b ON s.k = b.k AND s.grp IS NOT DISTINCT FROM b.grp),
+base AS (SELECT doc_id, {group} AS grp, row_number() OVER (ORDER BY doc_id) - 1 AS j, count(*) FILTER (WHERE wrong) OVER (PARTITION BY {group}) AS errors FROM feat),{sql_drawn("numbers", "base", "j", seed, reps, "doc_id, grp, errors")},
+perm AS (SELECT rep, doc_id, row_number() OVER (PARTITION BY rep, grp ORDER BY draw) <= errors AS wrong FROM numbers),
 null_scored AS (SELECT p.rep, s.rule, s.score, p.wrong FROM perm p JOIN scored s USING (doc_id)),"""
 
 
-def permuted_scores(spark, sf, group, seed):
+def masked_scores(spark, sf, group, seed, reps=NULL_REPS):
+    """The documents, and every channel's scores with the permuted labels as bits."""
     feats = cut(doc_features(spark, sf))
-    perm = cut(B.permute_within(feats, [group] if group else [], "doc_id", "wrong", NULL_REPS, seed))
-    long = long_rules(feats.drop("wrong", "cluster", "category", "toxic"), DOC_RULES, "channel")
-    category = feats.select("doc_id", "category")
-    return feats, long.join(category, "doc_id").join(perm.select("rep", "doc_id", "wrong"), "doc_id")
+    masks = B.permuted_masks(feats, [group] if group else [], "doc_id", "wrong", reps, seed).select("doc_id", "mask")
+    names = [r for r in DOC_RULES if r in feats.columns]
+    rows = feats.join(masks, "doc_id").select("doc_id", "cluster", "mask", *names)
+    long = long_rules(rows, names, "channel").filter("score IS NOT NULL")
+    return feats, cut(long)
+
+
+def null_draws(rows, reps=NULL_REPS):
+    """AUC of every channel under every replicate's labels."""
+    return replicate_auc(rows, ["channel"], Labels(reps)).filter("auc IS NOT NULL")
 
 
 def sql_null(group: str, seed: int) -> str:
@@ -367,11 +425,12 @@ SELECT count(best)::BIGINT AS reps, round(avg(best), 6) AS mean, round(stddev_sa
 
 
 def null_summary(spark, sf, group, seed):
-    feats, shuffled = permuted_scores(spark, sf, group, seed)
-    draws = cut(C.best_fixed_channel(shuffled, ["rep"]).withColumn("one", F.lit(1)))
+    feats, rows = masked_scores(spark, sf, group, seed)
+    best = null_draws(rows).groupBy("rep").agg(F.max("auc").alias("auc"))
     real = C.best_fixed_channel(long_rules(feats, DOC_RULES, "channel").withColumn("one", F.lit(1)), ["one"])
-    rows = draws.join(small(cut(real.select("one", F.col("auc").alias("observed")))), "one")
-    out = B.monte_carlo(rows.select("one", "auc", F.col("observed").alias("want")), ["one"], "auc", F.col("want"))
+    want = cut(real.select("one", F.col("auc").alias("want")))
+    joined = best.withColumn("one", F.lit(1)).join(small(want), "one")
+    out = B.monte_carlo(joined, ["one"], "auc", F.col("want"))
     return rounded(out.drop("one"), "mean", "sd", "p95", "max", "observed", "monte_carlo_p")
 
 
@@ -395,23 +454,24 @@ def permutation_null_free(spark, sf):
     "WITH"
     + SQL_DOC
     + ","
-    + sql_permuted("category", 22)
-    + """ ids AS (SELECT DISTINCT cluster FROM feat),
-halves AS (SELECT cluster, r, row_number() OVER (PARTITION BY r ORDER BY ('0x' || substr(md5(concat_ws('|', 3, r, cluster)), 1, 8))::BIGINT, cluster) - 1 AS k, (SELECT count(*) FROM ids) AS n
-  FROM ids, (SELECT range AS r FROM range(5))),
-weights AS (SELECT cluster, r * 2 + CASE WHEN k < n // 2 THEN 0 ELSE 1 END AS fold FROM halves),
-folded AS (SELECT p.rep, w.fold, s.rule, s.score, p.wrong FROM perm p JOIN scored s USING (doc_id) JOIN weights w ON w.cluster = s.cluster),"""
+    + sql_permuted("category", 22, HELD_REPS)
+    + halves_sql(SPLITS)
+    + """,
+folded AS (SELECT p.rep, w.rep AS fold, s.rule, s.score, p.wrong FROM perm p JOIN scored s USING (doc_id) JOIN weights w ON w.cluster = s.cluster),"""
     + sql_auc("folded", "rep, fold, rule", "b")
     + """, best AS (SELECT * FROM (SELECT rep, fold, rule, row_number() OVER (PARTITION BY rep, fold ORDER BY auc DESC, rule) AS k FROM b WHERE auc IS NOT NULL) WHERE k = 1)
 SELECT best.rep::BIGINT AS rep, count(*)::BIGINT AS folds, round(avg(b.auc), 6) AS held_mean FROM best JOIN b ON b.rep = best.rep AND b.rule = best.rule AND b.fold = xor(best.fold, 1) WHERE b.auc IS NOT NULL GROUP BY 1""",
 )
 def heldout_null(spark, sf):
     """Held-out mean of the best score under labels permuted within language."""
-    feats, shuffled = permuted_scores(spark, sf, "category", 22)
-    rows = shuffled.join(feats.select("doc_id", "cluster"), "doc_id")
-    held = B.split_half(rows, "cluster", "channel", 5, 3, ["rep"])
-    out = held.groupBy(F.col("rep").cast("bigint").alias("rep")).agg(F.count(F.lit(1)).alias("folds"), r6(F.avg("held_auc")).alias("held_mean"))
-    return out
+    feats, rows = masked_scores(spark, sf, "category", 22, HELD_REPS)
+    clusters = B.index_clusters(feats, "cluster")
+    numbered = cut(rows.join(small(clusters), "cluster"))
+    folds = 2 * SPLITS
+    auc = replicate_auc(numbered, ["channel"], LabelsInHalves(HELD_REPS, Halves(clusters.count(), folds, 3)), "column")
+    auc = auc.withColumn("rep", F.floor(F.col("column") / folds)).withColumn("fold", F.col("column") % folds).drop("column")
+    held = B.held_out(auc, "channel", ["rep"])
+    return held.groupBy(F.col("rep").cast("bigint").alias("rep")).agg(F.count(F.lit(1)).alias("folds"), r6(F.avg("held_auc")).alias("held_mean"))
 
 
 @query(
@@ -421,11 +481,11 @@ def heldout_null(spark, sf):
     + ","
     + sql_permuted("cluster", 21)
     + sql_auc("null_scored", "rep, rule", "n")
-    + " SELECT rep::BIGINT AS rep, rule AS channel, round(auc, 6) AS auc FROM n",
+    + " SELECT rep::BIGINT AS rep, rule AS channel, round(auc, 6) AS auc FROM n WHERE auc IS NOT NULL",
 )
 def permutation_draws(spark, sf):
-    _, shuffled = permuted_scores(spark, sf, "cluster", 21)
-    out = D.auc(shuffled, ["rep", "channel"]).select(F.col("rep").cast("bigint").alias("rep"), "channel", "auc")
+    _, rows = masked_scores(spark, sf, "cluster", 21)
+    out = null_draws(rows).select(F.col("rep").cast("bigint").alias("rep"), "channel", "auc")
     return rounded(out, "auc")
 
 
@@ -467,7 +527,7 @@ def heldout_mapping(spark, sf):
     """Mapping fitted on half the clusters, scored exactly on the other half, both directions."""
     rows = cut(channel_scored(spark, sf).select("cluster", "category", "channel", "score", "wrong"))
     clusters = B.index_clusters(rows, "cluster")
-    sides = B.half_weights(clusters, "cluster", 5, 3).join(small(clusters), "idx").select("cluster", "rep")
+    sides = B.half_weights(clusters, SPLITS, 3).join(small(clusters), "idx").select("cluster", "rep")
     folds = cut(rows.join(small(cut(sides)), "cluster"))
     found = C.best_mapping(folds, ["rep"]).withColumn("fold", F.col("rep")).withColumn("rep", F.expr("rep ^ 1"))
     out = C.mapping_auc(folds, cut(found), ["rep"])
@@ -488,10 +548,9 @@ def heldout_mapping(spark, sf):
 FROM n JOIN o USING (rule) WHERE n.auc IS NOT NULL GROUP BY 1""",
 )
 def monte_carlo_p(spark, sf):
-    feats, shuffled = permuted_scores(spark, sf, "cluster", 21)
-    draws = D.auc(shuffled, ["rep", "channel"]).filter("auc IS NOT NULL")
+    feats, rows = masked_scores(spark, sf, "cluster", 21)
     real = D.auc(long_rules(feats, DOC_RULES, "channel"), ["channel"]).select("channel", F.col("auc").alias("want"))
-    out = B.monte_carlo(draws.join(small(cut(real)), "channel"), ["channel"], "auc", F.col("want"))
+    out = B.monte_carlo(null_draws(rows).join(small(cut(real)), "channel"), ["channel"], "auc", F.col("want"))
     return rounded(out, "mean", "sd", "p95", "max", "observed", "monte_carlo_p")
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import micros, r6
+from tallyframe.functions.draws import sql_drawn
 from tallyframe.operators import logs as L
 from tallyframe.operators import sequences as Q
 from tallyframe.operators.curves import inject, pooled_z, robust_z
 from tallyframe.operators.detection import average_rank
-from tallyframe.operators.resampling import permute_within
+from tallyframe.operators.resampling import mask_totals, permute_within, permuted_masks
 from tallyframe.operators.rules import phase_estimate
 from tallyframe.plans.base import SQL_RULES, SQL_VARIANTS, analysis_items, centers, rounded
 from tallyframe.plans.registry import query
@@ -151,6 +152,26 @@ def permuted(spark, sf):
     return out.select(F.col("rep").cast("bigint").alias("rep"), "source", "doc_id", F.col("quality").cast("bigint").alias("quality"))
 
 
+MASK_REPS = 1000
+
+
+@query(
+    "permutation_masks",
+    """
+WITH b AS (SELECT source, doc_id, quality = 0 AS wrong, row_number() OVER (ORDER BY doc_id) - 1 AS j, count(*) FILTER (WHERE quality = 0) OVER (PARTITION BY source) AS errors
+  FROM documents JOIN labels USING (doc_id)),"""
+    + sql_drawn("numbers", "b", "j", 11, MASK_REPS, "source, doc_id, errors")
+    + """,
+p AS (SELECT rep, source, doc_id, row_number() OVER (PARTITION BY rep, source ORDER BY draw) <= errors AS hit FROM numbers)
+SELECT source, doc_id, (count(*) FILTER (WHERE hit))::BIGINT AS times, coalesce(sum(rep) FILTER (WHERE hit), 0)::BIGINT AS reps_sum FROM p GROUP BY ALL""",
+)
+def permutation_masks(spark, sf):
+    """How often, and in which replicates, a document is an error when labels are permuted within its source."""
+    rows = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("wrong")), "doc_id")
+    masks = permuted_masks(rows, ["source"], "doc_id", "wrong", MASK_REPS, 11)
+    return mask_totals(masks, ["source", "doc_id"], MASK_REPS)
+
+
 @query(
     "series_regularity",
     """

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.functions.ordered import Grouped
+from tallyframe.functions.draws import drawn
 from tallyframe.operators import ceilings as C
 from tallyframe.operators import curves as K
 from tallyframe.operators import detection as D
@@ -15,6 +16,7 @@ from tallyframe.operators import logs as L
 from tallyframe.operators import matching as M
 from tallyframe.operators import profiling as P
 from tallyframe.operators import reductions as A
+from tallyframe.operators import replicates as E
 from tallyframe.operators import resampling as B
 from tallyframe.operators import rules as R
 
@@ -76,32 +78,133 @@ def test_monte_carlo_never_zero(spark):
     assert B.monte_carlo(df, ["k"], "v", F.lit(0.5)).first().monte_carlo_p == pytest.approx(1 / 1001)
 
 
-def test_bootstrap_pieces_and_join_agree(spark, scored):
-    _, df = scored
-    one = {(r.rule, r.rep): r.auc for r in B.bootstrap_auc(df, "cluster", ["rule"], 12, 1).collect()}
-    spark.conf.set("spark.tallyframe.broadcastRows", "1")
-    try:
-        two = {(r.rule, r.rep): r.auc for r in B.bootstrap_auc(df, "cluster", ["rule"], 12, 1).collect()}
-    finally:
-        spark.conf.unset("spark.tallyframe.broadcastRows")
-    assert one.keys() == two.keys()
-    assert all(one[k] == pytest.approx(two[k]) for k in one)
+def weighted_area(score, p, n):
+    """AUC of weighted rows, ties half, by definition."""
+    order = np.unique(score)
+    wp, wn = (np.array([w[score == v].sum() for v in order]) for w in (p, n))
+    before = np.cumsum(wp) - wp
+    pairs = wp.sum() * wn.sum()
+    return (wn * (before + 0.5 * wp)).sum() / pairs if pairs else None
+
+
+@pytest.fixture
+def tied():
+    """Three scores only, so every score lies in many ranges."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"rule": np.where(rng.random(3000) < 0.9, "a", "b"), "cluster": rng.integers(0, 200, 3000), "score": rng.integers(0, 3, 3000) / 2})
+    pdf["wrong"] = rng.random(3000) < 0.3 - 0.1 * pdf.score
+    return pdf
+
+
+@pytest.mark.parametrize("work", [2000, 8_000_000])
+@pytest.mark.parametrize("kind", ["draws", "halves"])
+def test_replicates_with_ties_across_ranges(spark, tied, monkeypatch, work, kind):
+    monkeypatch.setattr(E, "WORK", work)
+    clusters = np.unique(tied.cluster)
+    weigher = E.Draws(len(clusters), 70, 5) if kind == "draws" else E.Halves(len(clusters), 6, 5)
+    idx = np.searchsorted(clusters, tied.cluster)
+    rows = tied.assign(idx=idx, p=tied.wrong.astype(int), n=(~tied.wrong).astype(int))
+    df = spark.createDataFrame(rows[["rule", "score", "idx", "p", "n"]])
+    got = {(r.rule, r.rep): r.auc for r in E.replicate_auc(df, ["rule"], weigher).collect()}
+    assert len(got) == 2 * weigher.columns
+    for (rule, rep), area in got.items():
+        w, mine = weigher.column(rep)[idx], (tied.rule == rule).to_numpy()
+        assert area == pytest.approx(weighted_area(tied.score[mine].to_numpy(), (w * rows.p)[mine].to_numpy(), (w * rows.n)[mine].to_numpy()), abs=1e-12)
+
+
+def test_halves_are_halves():
+    halves = E.Halves(11, 8, 2)
+    for split in range(4):
+        one, two = halves.column(2 * split), halves.column(2 * split + 1)
+        assert one.sum() == 5 and (one + two == 1).all()
+
+
+def test_drawn_numbers_never_tie():
+    for seed, rep in ((1, 0), (7, 1999), (31, 5)):
+        numbers = drawn(seed, rep, np.arange(200_000))
+        assert len(np.unique(numbers)) == 200_000 and 0 <= numbers.min() and numbers.max() < 2147483647
+        assert abs((numbers % 10).mean() - 4.5) < 0.05 and abs(np.corrcoef(numbers[1:], numbers[:-1])[0, 1]) < 0.02
 
 
 def test_bootstrap_matches_resampled_rows(spark, scored):
     pdf, df = scored
     clusters = sorted(set(pdf.cluster))
-    draws = {}
-    for r in B.bootstrap_weights(B.index_clusters(df, "cluster"), 4, 9).collect():
-        draws.setdefault(r.rep, []).extend([clusters[r.idx]] * r.w)
     got = {(r.rule, r.rep): r.auc for r in B.bootstrap_auc(df, "cluster", ["rule"], 4, 9).collect()}
-    for rep, picked in draws.items():
-        assert len(picked) == len(clusters)
+    for rep in range(4):
+        picked = [clusters[i] for i in drawn(9, rep, np.arange(len(clusters))) % len(clusters)]
         rows = pd.concat([pdf[pdf.cluster == c] for c in picked])
         for rule, part in rows.groupby("rule"):
             assert got[rule, rep] == pytest.approx(pairwise(part.score.to_numpy(), part.wrong.to_numpy()))
 
 
+def test_bootstrap_rate_by_hand(spark, scored):
+    pdf, df = scored
+    clusters = sorted(set(pdf.cluster))
+    per = pdf.assign(hit=pdf.wrong & (pdf.score > 0.5)).groupby("cluster").agg(num=("hit", "sum"), den=("wrong", "sum")).loc[clusters]
+    rates = []
+    for rep in range(300):
+        w = np.bincount(drawn(4, rep, np.arange(len(clusters))) % len(clusters), minlength=len(clusters))
+        if (w * per.den).sum():
+            rates.append((w * per.num).sum() / (w * per.den).sum())
+    row = B.bootstrap_rate(df, "cluster", [], F.col("score") > 0.5, F.col("wrong"), 300, 4).first()
+    assert (row.lo, row.hi, row.reps) == (pytest.approx(np.percentile(rates, 2.5)), pytest.approx(np.percentile(rates, 97.5)), len(rates))
+
+
+def bits(mask, reps):
+    return np.unpackbits(np.frombuffer(mask, np.uint8), bitorder="little")[:reps].astype(bool)
+
+
+@pytest.mark.parametrize("limit", ["7", "1000000"])
+def test_masks_hold_the_smallest_draws(spark, limit):
+    """Oversized groups (NULL among them) and small ones, one without errors and one with nothing else."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [None, "x", "y", "z", "none", "all"][min(5, int(rng.integers(0, 9)))], bool(rng.random() < 0.3)) for i in range(150)]
+    rows = [(1000 - i, g, {"none": False, "all": True}.get(g, w)) for i, g, w in rows] + [(5000, "x", None)]
+    df = spark.createDataFrame(rows, "id bigint, g string, wrong boolean")
+    spark.conf.set("spark.tallyframe.groupRows", limit)
+    try:
+        found = {r.id: (r.g, bits(r.mask, 70)) for r in B.permuted_masks(df, ["g"], "id", "wrong", 70, 6).collect()}
+        free = {r.id: bits(r.mask, 5) for r in B.permuted_masks(df, [], "id", "wrong", 5, 6).collect()}
+    finally:
+        spark.conf.unset("spark.tallyframe.groupRows")
+    known = sorted(r for r in rows if r[2] is not None)
+    assert sorted(found) == sorted(free) == [r[0] for r in known]
+    place = {r[0]: j for j, r in enumerate(known)}
+    for name in {r[1] for r in known}:
+        mine = [r for r in known if r[1] == name]
+        errors = sum(r[2] for r in mine)
+        for rep in (0, 1, 64, 69):
+            numbers = drawn(6, rep, np.array([place[r[0]] for r in mine]))
+            want = {mine[i][0] for i in np.argsort(numbers)[:errors]}
+            assert {r[0] for r in mine if found[r[0]][1][rep]} == want and all(found[r[0]][0] == name for r in mine)
+    for rep in range(5):
+        assert sum(m[rep] for m in free.values()) == sum(r[2] for r in known)
+
+
+@pytest.mark.parametrize("work", [3000, 8_000_000])
+def test_permuted_labels_in_halves(spark, tied, monkeypatch, work):
+    monkeypatch.setattr(E, "WORK", work)
+    rows = tied.assign(id=np.arange(len(tied)))
+    clusters = np.unique(rows.cluster)
+    rows["idx"] = np.searchsorted(clusters, rows.cluster)
+    masks = B.permuted_masks(spark.createDataFrame(rows[["id", "rule", "wrong"]]), ["rule"], "id", "wrong", 9, 3)
+    held = {r.id: bits(r.mask, 9) for r in masks.collect()}
+    wrong = np.stack([held[i] for i in rows.id])
+    halves = E.Halves(len(clusters), 4, 1)
+    df = spark.createDataFrame(rows[["id", "rule", "score", "idx"]]).join(masks.select("id", "mask"), "id")
+    plain = {(r.rule, r.rep): r.auc for r in E.replicate_auc(df, ["rule"], E.Labels(9)).collect()}
+    both = {(r.rule, r.rep): r.auc for r in E.replicate_auc(df, ["rule"], E.LabelsInHalves(9, halves)).collect()}
+    for rule in ("a", "b"):
+        mine = (rows.rule == rule).to_numpy()
+        score = rows.score[mine].to_numpy()
+        for rep in range(9):
+            p = wrong[mine, rep].astype(float)
+            assert plain[rule, rep] == pytest.approx(weighted_area(score, p, 1 - p), abs=1e-12)
+            for fold in range(4):
+                w = halves.column(fold)[rows.idx[mine]]
+                assert both[rule, rep * 4 + fold] == pytest.approx(weighted_area(score, w * p, w * (1 - p)), abs=1e-12)
+
+
 def test_permutation_keeps_group_totals(spark, scored, tiny_groups):
     pdf, df = scored
     df = df.withColumn("id", F.monotonically_increasing_id())
