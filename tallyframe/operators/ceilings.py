@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyframe.functions.columns import defined
-from tallyframe.functions.ordered import Ordered, small, spread
+from tallyframe.functions.ordered import spread
 from tallyframe.operators.detection import auc
-from tallyframe.session import BROADCAST_ROWS, cut, setting, ship
+from tallyframe.operators.replicates import Labels, as_arrays, key_runs
+from tallyframe.session import cut, ship
 
 ship(__name__)
 
 SWEEPS = 8
 GAIN = 1e-12
+CELLS = 5_000  # most cells of category and channel; a cube holds the square of that
+CELL_ROWS = 8_000_000  # rows times cells worked on at once
 
 
 def best_fixed_channel(scored: DataFrame, keys: list[str], channel: str = "channel") -> DataFrame:
@@ -25,149 +35,386 @@ def best_fixed_channel(scored: DataFrame, keys: list[str], channel: str = "chann
     return best.select(*keys, F.col(f"__b.{channel}").alias(channel), (-F.col("__b.down")).alias("auc"), "__b.n_wrong", "__b.n_right")
 
 
-def with_bins(scored: DataFrame) -> DataFrame:
-    """Number the distinct scores in order, all channels on one scale; every score has a number of its own."""
-    ready = scored.withColumn("score", defined("score")).filter("score IS NOT NULL")
-    numbers = Ordered(ready.select("score").distinct(), [], ["score"]).position("bin")
-    return ready.join(numbers, "score").withColumn("bin", F.col("bin").cast("int"))
+class Once:
+    """Every row as it is: rows with ``p, n``."""
+
+    payload = ("p", "n")
+    columns = 1
+
+    def weights(self, rows: dict[str, np.ndarray], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        return rows["p"].astype(float)[:, None], rows["n"].astype(float)[:, None]
+
+
+@dataclass
+class Cells:
+    """Categories and channels in order; a cell is ``category * channels + channel``."""
+
+    categories: list
+    channels: list
+
+    @property
+    def size(self) -> int:
+        return len(self.categories) * len(self.channels)
+
+
+def cells_of(scored: DataFrame) -> Cells:
+    """The levels of both dimensions, which are few whatever the number of rows; ValueError beyond ``CELLS``."""
+    levels = []
+    for name in ("category", "channel"):
+        found = [r[0] for r in scored.select(name).distinct().limit(CELLS + 1).collect()]
+        levels.append(sorted(found, key=lambda v: (v is not None, v)))
+    if len(levels[0]) * len(levels[1]) > CELLS:
+        raise ValueError(f"more than {CELLS} cells of category and channel")
+    return Cells(*levels)
+
+
+def coded(scored: DataFrame, cells: Cells) -> DataFrame:
+    """Adds ``cell``; rows without a defined score go."""
+    spark = scored.sparkSession
+    kinds = {f.name: f.dataType for f in scored.schema.fields}
+    out = scored.withColumn("score", defined("score")).filter("score IS NOT NULL")
+    for name, levels in (("category", cells.categories), ("channel", cells.channels)):
+        schema = T.StructType([T.StructField(f"__{name}", kinds[name]), T.StructField(f"__{name}_code", T.IntegerType())])
+        codes = F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(levels)], schema))  # at most CELLS rows
+        out = out.join(codes, F.col(name).eqNullSafe(F.col(f"__{name}"))).drop(f"__{name}")
+    cell = F.col("__category_code") * len(cells.channels) + F.col("__channel_code")
+    return out.withColumn("cell", cell.cast("int")).drop("__category_code", "__channel_code")
+
+
+@dataclass
+class Border:
+    """What lies on the first or last score of a range: errors and correct rows per cell."""
+
+    score: float
+    p: np.ndarray
+    n: np.ndarray
+
+    def with_(self, other: Border) -> Border:
+        return Border(self.score, self.p + other.p, self.n + other.n)
+
+
+@dataclass
+class Cube:
+    """For one replicate: twice the pairs (error below correct row, ties half) between any two cells, and cell totals.
 
+    Cubes of score ranges that follow each other add up: every error of the earlier range is below every correct row
+    of the later one, but for a score that both hold, whose rows are ties.
+    """
+
+    wins: np.ndarray
+    p: np.ndarray
+    n: np.ndarray
+    first: Border
+    last: Border
+
+    def then(self, later: Cube) -> Cube:
+        wins = self.wins + later.wins + 2 * np.outer(self.p, later.n)
+        first, last = self.first, later.last
+        if self.last.score == later.first.score:
+            wins += np.outer(later.first.p, self.last.n) - np.outer(self.last.p, later.first.n)
+            if self.first.score == self.last.score:
+                first = self.first.with_(later.first)
+            if later.first.score == later.last.score:
+                last = self.last.with_(later.last)
+        return Cube(wins, self.p + later.p, self.n + later.n, first, last)
+
+    def packed(self) -> bytes:
+        scores = np.array([self.first.score, self.last.score]).view(np.int64)
+        return np.concatenate([scores, self.wins.ravel(), self.p, self.n, self.first.p, self.first.n, self.last.p, self.last.n]).tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes, size: int) -> Cube:
+        flat = np.frombuffer(data, np.int64)
+        scores, rest = flat[:2].view(np.float64), flat[2 + size * size :].reshape(6, size)
+        borders = Border(float(scores[0]), rest[2], rest[3]), Border(float(scores[1]), rest[4], rest[5])
+        return cls(flat[2 : 2 + size * size].reshape(size, size), rest[0], rest[1], *borders)
+
+
+def rows_cubes(cell: np.ndarray, score: np.ndarray, p: np.ndarray, n: np.ndarray, size: int) -> list[Cube]:
+    """A cube per column of the weights ``p, n`` of rows in score order."""
+    group = np.cumsum(np.r_[False, score[1:] != score[:-1]])
+
+    def above(groups: np.ndarray, of: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Per score group and cell twice the weight above it, its own once."""
+        table = np.bincount(groups * size + of, weights=weights, minlength=(groups[-1] + 1) * size).reshape(-1, size)
+        return 2 * (table.sum(0) - np.cumsum(table, axis=0)) + table
+
+    # where every column has the same rows, correct rows are all rows but the errors, and errors are few
+    both = p[:, 0] + n[:, 0]
+    same = bool((p + n == both[:, None]).all())
+    every = above(group, cell, both) if same else None
+    out = []
+    for c in range(p.shape[1]):
+        wp, wn = p[:, c], n[:, c]
+        mine = np.flatnonzero(wp)
+        wins = np.zeros((size, size), np.int64)
+        if len(mine):
+            if same:
+                groups, at = np.unique(group[mine], return_inverse=True)
+                correct = every[groups] - above(at, cell[mine], wp[mine])
+            else:
+                correct, at = above(group, cell, wn), group[mine]
+            order = np.argsort(cell[mine], kind="stable")
+            starts = np.flatnonzero(np.diff(cell[mine][order], prepend=-1))
+            wins[cell[mine][order][starts]] = np.add.reduceat(wp[mine][order][:, None] * correct[at[order]], starts, axis=0)
+        totals = [np.bincount(cell, weights=w, minlength=size).astype(np.int64) for w in (wp, wn)]
+        ends = []
+        for g in (0, group[-1]):
+            mine = group == g
+            ends.append(Border(float(score[mine][0]), *[np.bincount(cell[mine], weights=w[mine], minlength=size).astype(np.int64) for w in (wp, wn)]))
+        out.append(Cube(wins, *totals, *ends))
+    return out
 
-class _Climber:
-    """Coordinate ascent over sparse histograms: cells of (category, channel, bin) with p and n.
 
-    With one category set aside, the gain of each of its channels is a sum over that category's
-    own cells against running totals of the rest, so no candidate is evaluated from scratch.
+def climb(cube: Cube, categories: int, channels: int) -> tuple[np.ndarray, np.ndarray]:
+    """From every fixed channel, move single categories while the overall AUC gains: (AUC, picks) of each start.
+
+    All starts take a step together. With one category set aside, each of its channels adds what its cell has with
+    the cells picked elsewhere and with itself. Needs nothing but the cube.
     """
+    wins = cube.wins.astype(float).reshape(categories, channels, categories, channels)
+    p, n = (x.astype(float).reshape(categories, channels) for x in (cube.p, cube.n))
+    pick = np.repeat(np.arange(channels)[:, None], categories, axis=1)
+    every, all_categories = np.arange(channels), np.arange(categories)
+    own = wins[all_categories, :, all_categories, :][:, every, every]  # (category, channel)
+    best = np.full(channels, -1.0)
+    active = np.ones(channels, bool)
+
+    def totals() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = cube.wins.astype(float)
+        at = all_categories * channels + pick
+        return np.array([flat[np.ix_(a, a)].sum() for a in at]), p[all_categories, pick].sum(1), n[all_categories, pick].sum(1)
+
+    total, sum_p, sum_n = totals()
+    for sweep in range(SWEEPS):
+        moved = np.zeros(channels, bool)
+        for cat in range(categories):
+            rest = np.delete(all_categories, cat)
+            picked = pick[:, rest]
+            # (start, channel of cat): pairs with the cells picked elsewhere, both ways
+            cross = wins[cat][:, rest[None, :], picked].sum(2).T + wins[rest[None, :], picked, cat, :].sum(1)
+            now = pick[:, cat]
+            base = total - cross[every, now] - own[cat, now]
+            value = 0.5 * (base[:, None] + cross + own[cat][None])
+            pairs = (sum_p - p[cat, now])[:, None] + p[cat][None]
+            pairs = pairs * ((sum_n - n[cat, now])[:, None] + n[cat][None])
+            area = np.divide(value, pairs, out=np.full(value.shape, -1.0), where=pairs > 0)
+            if sweep == 0 and cat == 0:
+                best = area[every, now].copy()
+            # the first channel that is as good as the best other one, if that gains
+            area[every, now] = -1.0
+            most = area.max(1)
+            better = active & (most > best + GAIN)
+            new = np.where(better, (area >= most[:, None] - GAIN).argmax(1), now)
+            best = np.where(better, most, best)
+            moved |= better
+            total = base + cross[every, new] + own[cat, new]
+            sum_p, sum_n = sum_p - p[cat, now] + p[cat, new], sum_n - n[cat, now] + n[cat, new]
+            pick[:, cat] = new
+        active = moved
+        if not moved.any():
+            break
+    return best, pick
+
 
-    def __init__(self, cat: np.ndarray, chan: np.ndarray, bin_: np.ndarray, p: np.ndarray, n: np.ndarray):
-        order = np.lexsort((bin_, chan, cat))
-        cat, chan, self.bin, self.p, self.n = (v[order] for v in (cat, chan, bin_, p, n))
-        self.cats, self.chans, self.bins = cat.max() + 1, chan.max() + 1, bin_.max() + 1
-        flat = cat * self.chans + chan
-        self.start = np.searchsorted(flat, np.arange(self.cats * self.chans + 1))
-        size = self.cats * self.chans
-        # pairs inside one (category, channel): errors against its own correct rows above them
-        run = np.cumsum(self.n)
-        before = np.r_[0.0, run][self.start[:-1]][flat]
-        total_n = np.bincount(flat, weights=self.n, minlength=size)[flat]
-        own = self.p * (total_n - (run - before) + 0.5 * self.n)
-        self.own = np.bincount(flat, weights=own, minlength=size).reshape(self.cats, self.chans)
-        self.sum_p = np.bincount(flat, weights=self.p, minlength=size).reshape(self.cats, self.chans)
-        self.sum_n = np.bincount(flat, weights=self.n, minlength=size).reshape(self.cats, self.chans)
-        self.chan = chan
-
-    def _cells(self, cat: int, chan: int) -> slice:
-        at = cat * self.chans + chan
-        return slice(self.start[at], self.start[at + 1])
-
-    def climb(self, begin: int) -> tuple[float, np.ndarray]:
-        """From one channel everywhere, move single categories while the overall AUC gains."""
-        pick = np.full(self.cats, begin)
-        p, n = np.zeros(self.bins), np.zeros(self.bins)
-        for cat in range(self.cats):
-            cells = self._cells(cat, begin)
-            p[self.bin[cells]] += self.p[cells]
-            n[self.bin[cells]] += self.n[cells]
-        best = -1.0
-        for sweep in range(SWEEPS):
-            moved = False
-            for cat in range(self.cats):
-                mine = self._cells(cat, pick[cat])
-                p[self.bin[mine]] -= self.p[mine]
-                n[self.bin[mine]] -= self.n[mine]
-                up_n, up_p = np.cumsum(n), np.cumsum(p)
-                over, under = up_n[-1] - up_n + 0.5 * n, up_p - 0.5 * p
-                every = slice(self.start[cat * self.chans], self.start[(cat + 1) * self.chans])
-                b = self.bin[every]
-                cross = np.bincount(
-                    self.chan[every], weights=self.p[every] * over[b] + self.n[every] * under[b], minlength=self.chans
-                )
-                wins = float(p @ over) + cross + self.own[cat]
-                pairs = (up_p[-1] + self.sum_p[cat]) * (up_n[-1] + self.sum_n[cat])
-                area = np.divide(wins, pairs, out=np.full(self.chans, -1.0), where=pairs > 0)
-                if sweep == 0 and cat == 0:
-                    best = area[pick[cat]]
-                for chan in range(self.chans):
-                    if chan != pick[cat] and area[chan] > best + GAIN:
-                        best, pick[cat], moved = area[chan], chan, True
-                mine = self._cells(cat, pick[cat])
-                p[self.bin[mine]] += self.p[mine]
-                n[self.bin[mine]] += self.n[mine]
-            if not moved:
-                break
-        return float(best), pick
-
-    def best(self) -> tuple[float | None, np.ndarray, int]:
-        """The best of the restarts from every fixed channel, with where it started; None without both classes."""
-        tried = [(*self.climb(c), c) for c in range(self.chans)]
-        area, pick, start = max(tried, key=lambda t: t[0])
-        return (area if area >= 0 else None), pick, start
+def attained(cube: Cube, pick: np.ndarray, channels: int) -> float | None:
+    """AUC of a mapping on a cube; None with one class only."""
+    at = np.arange(len(pick)) * channels + pick
+    pairs = float(cube.p[at].sum()) * float(cube.n[at].sum())
+    return 0.5 * float(cube.wins[np.ix_(at, at)].sum()) / pairs if pairs else None
+
+
+def cubes(rows: DataFrame, keys: list[str], weigher, cells: Cells, groups: int = 1) -> DataFrame:
+    """``keys, column, piece, cube`` from rows of (keys, cell, score, what the weigher asks for).
+
+    Rows are range-partitioned by (key, score) and folded as a stream; a task sends one cube per key and column. The
+    columns of permuted labels are dealt into ``groups`` of as many replicates, each row's bits with them.
+    """
+    spark = rows.sparkSession
+    size = cells.size
+    kinds = dict(rows.dtypes)
+    count = rows.count()
+    pieces = groups * max(1, math.ceil(count * size / CELL_ROWS))
+    chosen = rows.select(*keys, "cell", "score", *weigher.payload)
+    if groups > 1:
+        step = weigher.bytes_of(groups)
+        part = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("__group")
+        bits = F.substring(F.col("mask"), F.col("__group") * step + 1, F.lit(step))
+        chosen = chosen.select("*", part).withColumn("mask", bits)
+    else:
+        chosen = chosen.withColumn("__group", F.lit(0))
+    order = [*keys, "__group", "score"]
+    spread_ties = F.xxhash64("cell", *weigher.payload)
+    ranged = chosen.repartitionByRange(pieces, *order, spread_ties).sortWithinPartitions(*order)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "column int, piece int, cube binary"])
+    out_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, most = TaskContext.get().partitionId(), max(1, CELL_ROWS // size)
+        held: list[pa.RecordBatch] = []
+        key, total, size_held = None, None, 0
+
+        def closed() -> None:
+            nonlocal total, held, size_held
+            if held:
+                table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                arrays = as_arrays(table, weigher.payload)
+                part = weigher if groups == 1 else weigher.part(groups, key[-1])
+                p, n = part.weights(arrays, 0, part.columns)
+                new = rows_cubes(table.column("cell").to_numpy(), table.column("score").to_numpy(), p, n, size)
+                total = new if total is None else [a.then(b) for a, b in zip(total, new)]
+                held, size_held = [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            base = 0 if groups == 1 else weigher.base_of(groups, key[-1])
+            for i, cube in enumerate(total):
+                columns = [pa.array([v], out_schema.field(k).type) for k, v in zip(keys, key)]
+                columns += [pa.array([base + i], pa.int32()), pa.array([piece], pa.int32()), pa.array([cube.packed()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
+
+        for batch in batches:
+            for values, a, b in key_runs(batch, [*keys, "__group"]):
+                if values != key:
+                    closed()
+                    if total is not None:
+                        yield from sent()
+                    key, total = values, None
+                for low in range(a, b, most):
+                    held.append(batch.slice(low, min(b, low + most) - low))
+                    size_held += held[-1].num_rows
+                    if size_held >= most:
+                        closed()
+        closed()
+        if total is not None:
+            yield from sent()
+
+    return ranged.mapInArrow(run, schema)
+
+
+def searched(found: DataFrame, keys: list[str], cells: Cells, answer, schema: str, unit: int = 1) -> DataFrame:
+    """``answer(columns, cubes)`` for the whole cubes of ``unit`` columns that belong together; ``keys`` and its table.
+
+    Cubes of one column are added up in the order of their pieces as they stream by.
+    """
+    size = cells.size
+    kinds = dict(found.dtypes)
+    full = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], schema])
+    out_schema = to_arrow_schema(found.sparkSession.createDataFrame([], full).schema)
+    units = found.withColumn("__unit", F.floor(F.col("column") / unit).cast("int"))
+    order = [*keys, "__unit", "column", "piece"]
+    dealt = spread(units, [*keys, "__unit"]).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, whole = None, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if key is not None:
+                table = answer(list(whole), list(whole.values()))
+                m = table.num_rows
+                columns = [pa.array([v] * m, out_schema.field(k).type) for k, v in zip(keys, key)]
+                yield from pa.table([*columns, *table.columns], [*keys, *table.column_names]).cast(out_schema).combine_chunks().to_batches()
+
+        for batch in batches:
+            for values, a, b in key_runs(batch, [*keys, "__unit"]):
+                if values != key:
+                    yield from done()
+                    key, whole = values, {}
+                for i in range(a, b):
+                    column = batch.column("column")[i].as_py()
+                    cube = Cube.unpacked(batch.column("cube")[i].as_buffer(), size)
+                    whole[column] = whole[column].then(cube) if column in whole else cube
+        yield from done()
+
+    return dealt.mapInArrow(run, full)
+
+
+def score_cells(scored: DataFrame, keys: list[str], extra: list[str], cells: Cells) -> DataFrame:
+    known = coded(scored.filter("wrong IS NOT NULL"), cells)
+    return cut(known.groupBy(*keys, *extra, "cell", "score").agg(F.count_if("wrong").alias("p"), F.count_if(~F.col("wrong")).alias("n")))
 
 
 def best_mapping(scored: DataFrame, keys: list[str]) -> DataFrame:
     """One channel per category, found by coordinate ascent from every fixed channel.
 
-    The rows are reduced in Spark to counts per (category, channel, distinct score) and key; each
-    key (a replicate, a fold) is searched on its own.  The result is attained by the mapping,
-    never a bound, and NULL where a key has one class only.  Returns (keys, category, channel,
-    search_auc, start); ``start`` is the channel the search began from, which categories without
-    a row of their own keep.
+    Spark reduces the rows to pairs between cells of (category, channel), a sum over score ranges; the search needs
+    only that, whatever the number of rows. The result is attained by the mapping, never a bound, and NULL where a key
+    has one class only. Returns (keys, category, channel, search_auc, start) for the categories with rows in the key;
+    ``start`` is the channel the search began from.
     """
-    counts = (
-        with_bins(scored.filter("wrong IS NOT NULL"))
-        .groupBy(*keys, "category", "channel", "bin")
-        .agg(F.count_if("wrong").cast("double").alias("p"), F.count_if(~F.col("wrong")).cast("double").alias("n"))
-    )
-
-    def search(head: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cats, c = np.unique(pdf["category"].to_numpy(str), return_inverse=True)
-        chans, h = np.unique(pdf["channel"].to_numpy(), return_inverse=True)
-        area, pick, start = _Climber(c, h, pdf["bin"].to_numpy(), pdf["p"].to_numpy(), pdf["n"].to_numpy()).best()
-        out = pd.DataFrame({"category": cats, "channel": chans[pick], "search_auc": pd.Series([area] * len(cats), dtype=float), "start": chans[start]})
-        for name, value in zip(keys, head):
-            out[name] = value
-        return out[[*keys, "category", "channel", "search_auc", "start"]]
-
-    types = dict(counts.dtypes)
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"category string, channel {types['channel']}, search_auc double, start {types['channel']}"])
-    return spread(counts, keys).groupBy(*keys).applyInPandas(search, schema)
-
-
-def mapping_null(scored: DataFrame, labels: DataFrame, item: str) -> DataFrame:
+    cells = cells_of(scored)
+    kind = dict(scored.dtypes)
+    found = cubes(score_cells(scored, keys, [], cells), keys, Once(), cells)
+
+    def answer(_: list[int], whole: list[Cube]) -> pa.Table:
+        best, pick = climb(whole[0], len(cells.categories), len(cells.channels))
+        at = int(best.argmax())
+        area = float(best[at]) if best[at] >= 0 else None
+        some = np.flatnonzero((whole[0].p + whole[0].n).reshape(len(cells.categories), -1).sum(1))
+        columns = [[cells.categories[c] for c in some], [cells.channels[h] for h in pick[at][some]], [area] * len(some), [cells.channels[at]] * len(some)]
+        return pa.table([pa.array(c) for c in columns], ["category", "channel", "search_auc", "start"])
+
+    schema = f"category {kind['category']}, channel {kind['channel']}, search_auc double, start {kind['channel']}"
+    return searched(found, keys, cells, answer, schema)
+
+
+def mapping_draws(rows: DataFrame, weigher, cells: Cells, groups: int = 8) -> DataFrame:
+    """``rep, auc``: the best mapping under every replicate's labels, from rows of (cell, score, mask)."""
+
+    def answer(columns: list[int], whole: list[Cube]) -> pa.Table:
+        best = [climb(c, len(cells.categories), len(cells.channels))[0].max() for c in whole]
+        return pa.table([pa.array(columns, pa.int32()), pa.array([float(b) if b >= 0 else None for b in best], pa.float64())], ["rep", "auc"])
+
+    groups = weigher.groups(groups)
+    return searched(cubes(rows, [], weigher, cells, groups), [], cells, answer, "rep int, auc double")
+
+
+def cell_pairs(rows: DataFrame, weigher, cells: Cells, groups: int = 8) -> DataFrame:
+    """``rep, category, channel, other_category, other_channel, pairs``: how often an error of one cell scores below a
+    correct row of the other, ties half; pairs of cells that never do are left out."""
+
+    def answer(columns: list[int], whole: list[Cube]) -> pa.Table:
+        rep = np.repeat(columns, [np.count_nonzero(c.wins) for c in whole])
+        a, b = np.concatenate([np.stack(np.nonzero(c.wins)) for c in whole], axis=1)
+        pairs = np.concatenate([c.wins[np.nonzero(c.wins)] for c in whole]) / 2
+        n = len(cells.channels)
+        names = [[cells.categories[i] for i in a // n], [cells.channels[i] for i in a % n], [cells.categories[i] for i in b // n], [cells.channels[i] for i in b % n]]
+        return pa.table([pa.array(rep), *[pa.array(x) for x in names], pa.array(pairs)], ["rep", "category", "channel", "other_category", "other_channel", "pairs"])
+
+    kinds = "rep bigint, category string, channel string, other_category string, other_channel string, pairs double"
+    return searched(cubes(rows, [], weigher, cells, weigher.groups(groups)), [], cells, answer, kinds)
+
+
+def held_out_mappings(rows: DataFrame, weigher, cells: Cells, groups: int = 1) -> DataFrame:
+    """``column, auc``: the best mapping of each half (columns 2s and 2s + 1) scored on the other half.
+
+    Halves that have one class only, fitted or scored, give no row.
+    """
+
+    def answer(columns: list[int], whole: list[Cube]) -> pa.Table:
+        held = dict(zip(columns, whole))
+        out = []
+        for column in columns:
+            if column ^ 1 in held:
+                best, pick = climb(held[column], len(cells.categories), len(cells.channels))
+                at = int(best.argmax())
+                area = attained(held[column ^ 1], pick[at], len(cells.channels)) if best[at] >= 0 else None
+                if area is not None:
+                    out.append((column, area))
+        return pa.table([pa.array([c for c, _ in out], pa.int32()), pa.array([a for _, a in out], pa.float64())], ["column", "auc"])
+
+    groups = weigher.groups(groups) if groups > 1 else 1
+    return searched(cubes(rows, [], weigher, cells, groups), [], cells, answer, "column int, auc double", unit=2)
+
+
+def mapping_null(scored: DataFrame, masks: DataFrame, item: str, reps: int) -> DataFrame:
     """The mapping search on every replicate of permuted labels: (rep, auc).
 
-    ``scored`` holds (item, category, channel, score), ``labels`` (rep, item, wrong).  The
-    histogram of all rows is the same in every replicate and goes to the tasks once; a replicate
-    only brings the cells of its errors.  A replicate without both classes has a NULL auc.
+    ``scored`` holds (item, category, channel, score), ``masks`` (item, mask) a bit per replicate. A replicate without
+    both classes has a NULL auc.
     """
-    reps = labels.select("rep").distinct()
-    binned = cut(with_bins(scored).select(item, "category", "channel", "bin"))
-    whole = binned.groupBy("category", "channel", "bin").agg(F.count(F.lit(1)).cast("double").alias("all"))
-    whole = cut(whole)
-    if whole.count() > setting(scored.sparkSession, BROADCAST_ROWS) * 10:
-        # a vocabulary too large to share: every replicate brings its whole histogram instead
-        found = best_mapping(scored.join(labels, item), ["rep"])
-        return reps.join(found.select("rep", F.col("search_auc").alias("auc")).distinct(), "rep", "left")
-    table = whole.toPandas()
-    cats, c = np.unique(table["category"].to_numpy(str), return_inverse=True)
-    chans, h = np.unique(table["channel"].to_numpy(), return_inverse=True)
-    shared = scored.sparkSession.sparkContext.broadcast((c, h, table["bin"].to_numpy(), table["all"].to_numpy()))
-    code = pd.DataFrame({"category": cats[c], "channel": chans[h], "bin": table["bin"], "cell": np.arange(len(table))})
-    cells = scored.sparkSession.createDataFrame(code)
-    marked = binned.join(small(cells), ["category", "channel", "bin"]).groupBy(item).agg(F.collect_list("cell").alias("cells"))
-    errors = labels.filter("wrong").select("rep", item)
-    hits = errors.join(marked, item).select("rep", F.explode("cells").alias("cell"))
-    counts = hits.groupBy("rep", "cell").agg(F.count(F.lit(1)).cast("double").alias("p"))
-
-    def search(head: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c, h, b, total = shared.value
-        p = np.zeros(len(total))
-        p[pdf["cell"].to_numpy()] = pdf["p"].to_numpy()
-        area, _, _ = _Climber(c, h, b, p, total - p).best()
-        return pd.DataFrame({"rep": [head[0]], "auc": pd.Series([area], dtype=float)})
-
-    found = spread(counts, ["rep"]).groupBy("rep").applyInPandas(search, f"rep {dict(counts.dtypes)['rep']}, auc double")
-    return reps.join(found, "rep", "left")
+    cells = cells_of(scored)
+    rows = cut(coded(scored, cells).join(masks.select(item, "mask"), item).select("cell", "score", "mask"))
+    return mapping_draws(rows, Labels(reps), cells)
 
 
 def mapping_auc(scored: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:

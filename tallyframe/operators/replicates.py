@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyframe.functions.draws import drawn
 from tallyframe.session import ship
@@ -68,8 +69,25 @@ class Labels:
 
     payload = ("mask",)
 
-    def __init__(self, columns: int):
-        self.columns = columns
+    def __init__(self, reps: int):
+        self.reps = self.columns = reps
+
+    # replicates dealt into groups of whole bytes, for work that is spread over replicates too
+    def groups(self, most: int) -> int:
+        return max(1, math.ceil(math.ceil(self.reps / 8) / math.ceil(math.ceil(self.reps / 8) / most)))
+
+    def bytes_of(self, groups: int) -> int:
+        return math.ceil(math.ceil(self.reps / 8) / groups)
+
+    def base_of(self, groups: int, group: int) -> int:
+        return group * self.bytes_of(groups) * 8 * (self.columns // self.reps)
+
+    def part(self, groups: int, group: int) -> Labels:
+        first = group * self.bytes_of(groups) * 8
+        return self.over(min(self.reps, first + self.bytes_of(groups) * 8) - first)
+
+    def over(self, reps: int) -> Labels:
+        return Labels(reps)
 
     def bits(self, rows: dict[str, np.ndarray], low: int, high: int) -> np.ndarray:
         return np.unpackbits(rows["mask"][:, low // 8 : (high + 7) // 8], axis=1, bitorder="little")[:, : high - low].astype(float)
@@ -85,9 +103,12 @@ class LabelsInHalves(Labels):
     payload = ("mask", "idx")
 
     def __init__(self, reps: int, halves: Halves):
-        self.halves = halves
+        self.halves, self.reps = halves, reps
         self.columns = reps * halves.columns
 
+    def over(self, reps: int) -> LabelsInHalves:
+        return LabelsInHalves(reps, self.halves)
+
     def weights(self, rows: dict[str, np.ndarray], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         folds = self.halves.columns
         side = self.halves.table(0, folds)
@@ -221,8 +242,6 @@ def replicate_auc(rows: DataFrame, keys: list[str], weigher, name: str = "rep",
             columns += [pa.array([score] * m, pa.float64()), pa.array([between] * m), pa.array(starts.astype(np.int32)), *lists]
             yield pa.RecordBatch.from_arrays(columns, schema=out_schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     parts = "score double, between boolean, base int, u array<double>, p array<double>, n array<double>"
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], parts])
     spark = rows.sparkSession
@@ -242,8 +261,6 @@ def replicate_auc(rows: DataFrame, keys: list[str], weigher, name: str = "rep",
 
 def replicate_sums(rows: DataFrame, keys: list[str], weigher: Draws) -> DataFrame:
     """``keys, rep, p, n``: weighted sums of ``p`` and ``n`` over rows with ``idx``; tasks send sums per key and strip."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     chosen = rows.select(*keys, *weigher.payload)
     kinds = dict(chosen.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "base int, p array<double>, n array<double>"])

@@ -374,9 +374,33 @@ def split_half_selection(spark, sf):
     )
 
 
-@query("best_mapping")
+def sql_best_mappings(keys: str, name: str) -> str:
+    """CTEs: pairs ``u`` between cells of ``cell_rows`` (keys, category, rule, score, wrong), every mapping of four
+    categories to channels, and ``name`` (keys, m, auc) for each mapping."""
+    return f"""
+ch AS (SELECT DISTINCT rule FROM cell_rows), cats AS (SELECT category, row_number() OVER (ORDER BY category) AS i FROM (SELECT DISTINCT category FROM cell_rows)),
+maps AS (SELECT row_number() OVER (ORDER BY a.rule, b.rule, c.rule, d.rule) AS m, [a.rule, b.rule, c.rule, d.rule] AS r FROM ch a, ch b, ch c, ch d),
+picks AS (SELECT m, category, r[i] AS rule FROM maps, cats),
+cell_counts AS (SELECT {keys}, category, rule, score, count(*) FILTER (WHERE wrong) AS p, count(*) FILTER (WHERE NOT wrong) AS n FROM cell_rows WHERE score IS NOT NULL AND wrong IS NOT NULL GROUP BY ALL),
+cell_totals AS (SELECT {keys}, category, rule, sum(p) AS p, sum(n) AS n FROM cell_counts GROUP BY ALL),
+u AS (SELECT {keys}, e.category AS c1, e.rule AS h1, q.category AS c2, q.rule AS h2, sum(e.p * q.n * CASE WHEN e.score < q.score THEN 1 WHEN e.score = q.score THEN 0.5 ELSE 0 END)::DOUBLE AS w
+  FROM (SELECT * FROM cell_counts WHERE p > 0) e JOIN (SELECT * FROM cell_counts WHERE n > 0) q USING ({keys}) GROUP BY ALL),
+map_totals AS (SELECT {keys}, m, sum(p)::DOUBLE AS p, sum(n)::DOUBLE AS n FROM cell_totals JOIN picks USING (category, rule) GROUP BY ALL),
+map_wins AS (SELECT {keys}, a.m, sum(w) AS w FROM u JOIN picks a ON a.category = c1 AND a.rule = h1 JOIN picks b ON b.m = a.m AND b.category = c2 AND b.rule = h2 GROUP BY ALL),
+{name} AS (SELECT {keys}, m, w / (p * n) AS auc FROM map_wins JOIN map_totals USING ({keys}, m) WHERE p * n > 0)"""
+
+
+@query(
+    "best_mapping",
+    "WITH"
+    + SQL_DOC
+    + ", cell_rows AS (SELECT 0 AS one, * FROM scored),"
+    + sql_best_mappings("one", "tried")
+    + """, top AS (SELECT m, auc FROM tried ORDER BY auc DESC, m LIMIT 1)
+SELECT category, rule AS channel, round(auc, 6) AS search_auc, round(auc, 6) AS auc FROM top JOIN picks USING (m)""",
+)
 def best_mapping(spark, sf):
-    """Best score per language: no SQL twin, the search is iterative; the AUC reported is exact."""
+    """Best score per language; the AUC reported is exact."""
     rows = cut(channel_scored(spark, sf).withColumn("rep", F.lit(0)).select("rep", "category", "channel", "score", "wrong"))
     found = cut(C.best_mapping(rows, ["rep"]))
     exact = C.mapping_auc(rows, found, ["rep"])
@@ -489,19 +513,81 @@ def permutation_draws(spark, sf):
     return rounded(out, "auc")
 
 
-MAPPING_REPS = 100
-
-
 @query("mapping_null")
 def mapping_null(spark, sf):
     """Null of the mapping search over matched items: labels permuted within each cluster."""
-    return mapping_null_draws(spark, sf, MAPPING_REPS)
+    rows = cut(analysis_items(spark, sf).filter("matched").select("vec_id", "cluster", "category", "wrong", "n_cells", "channels"))
+    masks = B.permuted_masks(rows, ["cluster"], "vec_id", "wrong", NULL_REPS, 31)
+    found = C.mapping_null(item_channels(rows), masks.select("vec_id", "mask"), "vec_id", NULL_REPS)
+    return rounded(found, "auc").withColumn("rep", F.col("rep").cast("bigint"))
 
 
-def mapping_null_draws(spark, sf, reps):
-    rows = cut(analysis_items(spark, sf).filter("matched").select("vec_id", "cluster", "category", "wrong", "n_cells", "channels"))
-    perm = B.permute_within(rows, ["cluster"], "vec_id", "wrong", reps, 31)
-    return rounded(C.mapping_null(item_channels(rows), perm, "vec_id"), "auc").withColumn("rep", F.col("rep").cast("bigint"))
+@query(
+    "mapping_pairs",
+    "WITH"
+    + SQL_DOC
+    + ","
+    + sql_permuted("cluster", 41, 64)
+    + " cell_rows AS (SELECT p.rep, s.category, s.rule, s.score, p.wrong FROM perm p JOIN scored s USING (doc_id)),"
+    + sql_best_mappings("rep", "tried")
+    + " SELECT rep::BIGINT AS rep, c1 AS category, h1 AS channel, c2 AS other_category, h2 AS other_channel, w AS pairs FROM u WHERE w > 0",
+)
+def mapping_pairs(spark, sf):
+    """What the mapping search works on, under 64 permutations: errors of one cell below correct rows of another."""
+    feats = cut(doc_features(spark, sf))
+    cells = C.cells_of(long_rules(feats, DOC_RULES, "channel"))
+    return C.cell_pairs(cell_masks(feats, cells, "cluster", 64), Labels(64), cells)
+
+
+MAPPING_NULLS = {"cluster": 41, "category": 42}
+def null_rows(draws, observed, kind):
+    """One summary row of a null: draws (auc) against the observed value."""
+    rows = draws.filter("auc IS NOT NULL").select(F.lit(kind).alias("kind"), "auc")
+    out = B.monte_carlo(rows.crossJoin(F.broadcast(observed.select("want"))), ["kind"], "auc", F.col("want") - 1e-9)  # one row
+    return rounded(out.withColumn("observed", F.col("observed") + 1e-9), "mean", "sd", "p95", "max", "observed", "monte_carlo_p")
+
+
+def cell_masks(feats, cells, group, reps, numbered=None):
+    """Every channel's cells with permuted labels as bits."""
+    masks = B.permuted_masks(feats, [group], "doc_id", "wrong", reps, MAPPING_NULLS[group]).select("doc_id", "mask")
+    rows = C.coded(long_rules(feats, DOC_RULES, "channel"), cells).join(masks, "doc_id")
+    rows = rows.join(small(numbered), "cluster") if numbered is not None else rows
+    return cut(rows.select("cell", "score", "mask", *(["idx"] if numbered is not None else [])))
+
+
+def mapping_null_within(group):
+    def run(spark, sf):
+        feats = cut(doc_features(spark, sf))
+        scored = long_rules(feats, DOC_RULES, "channel")
+        cells = C.cells_of(scored)
+        observed = C.best_mapping(scored.withColumn("one", F.lit(1)), ["one"]).agg(F.max("search_auc").alias("want"))
+        return null_rows(C.mapping_draws(cell_masks(feats, cells, group, NULL_REPS), Labels(NULL_REPS), cells), observed, group)
+
+    return run
+
+
+for _group in MAPPING_NULLS:
+    query(f"mapping_null_{_group}")(mapping_null_within(_group))
+
+
+def mapping_null_heldout(group):
+    def run(spark, sf):
+        feats = cut(doc_features(spark, sf))
+        cells = C.cells_of(long_rules(feats, DOC_RULES, "channel"))
+        clusters = B.index_clusters(feats, "cluster")
+        halves = Halves(clusters.count(), 2 * SPLITS, 3)
+        numbered = long_rules(feats, DOC_RULES, "channel").join(small(clusters), "cluster")
+        real = C.held_out_mappings(C.score_cells(numbered, [], ["idx"], cells), halves, cells).agg(F.avg("auc").alias("want"))
+        rows = cell_masks(feats, cells, group, HELD_REPS, clusters)
+        held = C.held_out_mappings(rows, LabelsInHalves(HELD_REPS, halves), cells, 8)
+        means = held.groupBy(F.floor(F.col("column") / (2 * SPLITS)).alias("rep")).agg(F.avg("auc").alias("auc"))
+        return null_rows(means, real, f"heldout_{group}")
+
+    return run
+
+
+for _group in MAPPING_NULLS:
+    query(f"mapping_null_heldout_{_group}")(mapping_null_heldout(_group))
 
 
 def item_channels(rows):
@@ -525,13 +611,11 @@ def best_item_mapping(spark, sf):
 @query("heldout_mapping")
 def heldout_mapping(spark, sf):
     """Mapping fitted on half the clusters, scored exactly on the other half, both directions."""
-    rows = cut(channel_scored(spark, sf).select("cluster", "category", "channel", "score", "wrong"))
-    clusters = B.index_clusters(rows, "cluster")
-    sides = B.half_weights(clusters, SPLITS, 3).join(small(clusters), "idx").select("cluster", "rep")
-    folds = cut(rows.join(small(cut(sides)), "cluster"))
-    found = C.best_mapping(folds, ["rep"]).withColumn("fold", F.col("rep")).withColumn("rep", F.expr("rep ^ 1"))
-    out = C.mapping_auc(folds, cut(found), ["rep"])
-    return rounded(out.select(F.expr("rep ^ 1").cast("bigint").alias("fold"), "auc", "n_wrong", "n_right"), "auc")
+    scored = cut(channel_scored(spark, sf).select("cluster", "category", "channel", "score", "wrong"))
+    cells, clusters = C.cells_of(scored), B.index_clusters(scored, "cluster")
+    rows = C.score_cells(scored.join(small(clusters), "cluster"), [], ["idx"], cells)
+    found = C.held_out_mappings(rows, Halves(clusters.count(), 2 * SPLITS, 3), cells)
+    return rounded(found.select(F.col("column").cast("bigint").alias("fold"), "auc"), "auc")
 
 
 @query(

@@ -347,8 +347,9 @@ def test_mapping_search_is_the_slow_search(spark):
     found = C.best_mapping(df, ["rep"]).collect()
     assert found[0].search_auc == pytest.approx(area, abs=1e-12)
     assert {r.category: r.channel for r in found} == mapping
-    labels = df.select("rep", "id", "wrong").distinct()
-    assert C.mapping_null(df.drop("rep", "wrong"), labels, "id").first().auc == pytest.approx(area, abs=1e-12)
+    # labels that permuting cannot change: one group per row
+    masks = B.permuted_masks(df.select("id", F.col("id").alias("g"), "wrong").distinct(), ["g"], "id", "wrong", 3, 1)
+    assert all(r.auc == pytest.approx(area, abs=1e-12) for r in C.mapping_null(df.drop("rep", "wrong"), masks.select("id", "mask"), "id", 3).collect())
 
 
 def brute_residuals(points, degree):
@@ -481,18 +482,55 @@ def test_quantiles_are_linear(spark):
     assert (row.a, row.b) == (pytest.approx(8.55), 4.5)
 
 
-def test_mapping_null_without_shared_histogram(spark):
+def mapping_rows(n=60, ties=20):
     rng = np.random.default_rng(4)
-    rows = [(i, f"v{i % 4}", j, float(np.round(rng.random(), 2))) for i in range(60) for j in range(3)]
-    df = spark.createDataFrame(rows, "id int, category string, channel int, score double")
-    labels = spark.createDataFrame([(r, i, bool(rng.random() < 0.4)) for r in range(3) for i in range(60)], "rep int, id int, wrong boolean")
-    one = {r.rep: r.auc for r in C.mapping_null(df, labels, "id").collect()}
-    spark.conf.set("spark.tallyframe.broadcastRows", "1")
-    try:
-        two = {r.rep: r.auc for r in C.mapping_null(df, labels, "id").collect()}
-    finally:
-        spark.conf.unset("spark.tallyframe.broadcastRows")
-    assert one == pytest.approx(two)
+    rows = [(i, f"v{i % 4}", j, float(np.round(rng.random() * ties) / ties), i % 7) for i in range(n) for j in range(3)]
+    wrong = [bool(rng.random() < 0.4) for _ in range(n)]
+    return rows, wrong
+
+
+@pytest.mark.parametrize("cell_rows", [150, 8_000_000])
+def test_mapping_search_over_pieces(spark, monkeypatch, cell_rows):
+    """Cubes of small ranges, tied scores in several of them, against the search from scratch."""
+    monkeypatch.setattr(C, "CELL_ROWS", cell_rows)
+    rows, wrong = mapping_rows()
+    df = spark.createDataFrame([(*r[:4], wrong[r[0]]) for r in rows], "id int, category string, channel int, score double, wrong boolean").withColumn("rep", F.lit(0))
+    m = np.array([r[3] for r in rows]).reshape(60, 3)
+    level = [f"v{i % 4}" for i in range(60)]
+    found = C.best_mapping(df, ["rep"]).collect()
+    area, mapping = slow_climb(m, np.array(wrong), level, 3)
+    assert found[0].search_auc == pytest.approx(area, abs=1e-12) and {r.category: r.channel for r in found} == mapping
+    # permuted labels, 20 replicates in groups
+    masks = B.permuted_masks(spark.createDataFrame(list(enumerate(wrong)), "id int, wrong boolean"), [], "id", "wrong", 20, 2)
+    held = {r.id: bits(r.mask, 20) for r in masks.collect()}
+    null = {r.rep: r.auc for r in C.mapping_null(df.drop("wrong", "rep"), masks, "id", 20).collect()}
+    assert sorted(null) == list(range(20))
+    for rep in (0, 7, 8, 19):
+        labels = np.array([held[i][rep] for i in range(60)])
+        assert null[rep] == pytest.approx(slow_climb(m, labels, level, 3)[0], abs=1e-12)
+
+
+@pytest.mark.parametrize("cell_rows", [400, 8_000_000])
+def test_held_out_mappings(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(C, "CELL_ROWS", cell_rows)
+    rows, wrong = mapping_rows()
+    df = spark.createDataFrame([(*r, wrong[r[0]]) for r in rows], "id int, category string, channel int, score double, idx int, wrong boolean")
+    cells = C.cells_of(df)
+    halves = E.Halves(7, 6, 1)
+    counted = C.score_cells(df, [], ["idx"], cells)
+    found = {r.column: r.auc for r in C.held_out_mappings(counted, halves, cells).collect()}
+    masks = B.permuted_masks(df.select("id", "wrong").distinct(), [], "id", "wrong", 9, 2)
+    held = {r.id: bits(r.mask, 9) for r in masks.collect()}
+    masked = C.coded(df, cells).join(masks, "id").select("cell", "score", "idx", "mask")
+    null = {r.column: r.auc for r in C.held_out_mappings(masked, E.LabelsInHalves(9, halves), cells, 4).collect()}
+    m, level = np.array([r[3] for r in rows]).reshape(60, 3), [f"v{i % 4}" for i in range(60)]
+    for column in range(6):
+        inside = halves.column(column)[np.arange(60) % 7].astype(bool)
+        for labels, got in [(np.array(wrong), found.get(column))] + [(np.array([held[i][r] for i in range(60)]), null.get(r * 6 + column)) for r in (0, 8)]:
+            _, mapping = slow_climb(m[inside], labels[inside], [v for v, k in zip(level, inside) if k], 3)
+            out = [i for i in range(60) if not inside[i]]
+            score = np.array([m[i, mapping[level[i]]] for i in out])
+            assert got == pytest.approx(pairwise(score, labels[out]), abs=1e-12)
 
 
 def test_worker_functions_travel_by_value():
@@ -552,15 +590,9 @@ def test_mapping_null_keeps_replicates_without_errors(spark):
     from tallyframe.operators.ceilings import mapping_null
 
     scored = spark.createDataFrame([(i, "a", c, float(i * c % 7)) for i in range(12) for c in (1, 2)], "item int, category string, channel int, score double")
-    labels = [(r, i, r == 1 and i % 3 == 0) for r in (0, 1) for i in range(12)]
-    df = spark.createDataFrame(labels, "rep int, item int, wrong boolean")
-    usual = {r.rep: r.auc for r in mapping_null(scored, df, "item").collect()}
-    spark.conf.set("spark.tallyframe.broadcastRows", "0")
-    try:
-        other = {r.rep: r.auc for r in mapping_null(scored, df, "item").collect()}
-    finally:
-        spark.conf.unset("spark.tallyframe.broadcastRows")
-    assert usual[0] is None and other[0] is None and other[1] == pytest.approx(usual[1])
+    masks = spark.createDataFrame([(i, bytearray([2 if i % 3 == 0 else 0])) for i in range(12)], "item int, mask binary")
+    found = {r.rep: r.auc for r in mapping_null(scored, masks, "item", 2).collect()}
+    assert found[0] is None and 0 <= found[1] <= 1
 
 
 def test_census_of_nothing_has_no_bound(spark):
