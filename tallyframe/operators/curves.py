@@ -24,6 +24,7 @@ MIN_POINTS = 4
 MIN_REGION = 4
 SAMPLES = 1000
 _BATCH = 256
+FLAT = 1e-12  # a polynomial of that size over the places says nothing
 
 # The four decision rules (score, z threshold, floor of the deviation, least residual).
 PRESETS = [
@@ -52,19 +53,41 @@ def _fit(points: np.ndarray, asked: np.ndarray, degree: int) -> tuple[np.ndarray
     for at in range(0, len(good), width):
         pick = good[at : at + width]
         t = chord[pick] / chord[pick, -1:]
-        basis = t[:, :, None] ** np.arange(k + 1)
         if k == 1:
-            coef = _line(t, points[pick])
+            basis, coef = t[:, :, None] ** np.arange(k + 1), _line(t, points[pick])
             resid[pick] = _to_line(coef, asked[pick])
         else:
-            coef = np.linalg.pinv(basis) @ points[pick]
-            curve = (np.linspace(0.0, 1.0, SAMPLES)[:, None] ** np.arange(k + 1))[None] @ coef
-            gaps = ((asked[pick][:, :, None, :] - curve[:, None]) ** 2).sum(axis=3)
+            basis, sampled = _orthogonal(t, k)
+            size = (basis**2).sum(axis=1)[:, :, None]
+            coef = np.divide(basis.transpose(0, 2, 1) @ points[pick], size, out=np.zeros((len(pick), k + 1, 2)), where=size > FLAT)
+            curve = sampled @ coef
+            gaps = (asked[pick][:, :, None, 0] - curve[:, None, :, 0]) ** 2
+            gaps += (asked[pick][:, :, None, 1] - curve[:, None, :, 1]) ** 2
             resid[pick] = np.sqrt(gaps.min(axis=2))
         rms[pick] = np.sqrt(((points[pick] - basis @ coef) ** 2).mean(axis=1))
     return resid, rms
 
 
+def _orthogonal(t: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomials orthogonal over the places ``t`` (B, m), by their three-term recurrence: their values at the places
+    (B, m, degree + 1) and at the samples. Coefficients are then plain sums, and a degree that the places cannot tell
+    apart (coincident points) has size 0."""
+    grid = np.broadcast_to(np.linspace(0.0, 1.0, SAMPLES), (len(t), SAMPLES))
+    at, on = [np.ones_like(t)], [np.ones_like(grid)]
+    size_before = None
+    for _ in range(degree):
+        size = (at[-1] ** 2).sum(axis=1, keepdims=True)
+        shift = np.divide((t * at[-1] ** 2).sum(axis=1, keepdims=True), size, out=np.zeros_like(size), where=size > FLAT)
+        new_at, new_on = (t - shift) * at[-1], (grid - shift) * on[-1]
+        if size_before is not None:
+            scale = np.divide(size, size_before, out=np.zeros_like(size), where=size_before > FLAT)
+            new_at, new_on = new_at - scale * at[-2], new_on - scale * on[-2]
+        at.append(new_at)
+        on.append(new_on)
+        size_before = size
+    return np.stack(at, axis=2), np.stack(on, axis=2)
+
+
 def _line(t: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Straight least-squares fit: (B, 2, 2) with intercepts first."""
     mid_t, mid = t.mean(axis=1, keepdims=True), points.mean(axis=1)

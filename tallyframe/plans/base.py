@@ -350,6 +350,43 @@ resid AS (
   LEFT JOIN dists b ON b.loo = 1 AND {on.replace('i.', 'p.').replace('m.', 'b.')} AND b.ord = p.ord)"""
 
 
+def sql_cubic_residuals(source: str, keys: str) -> str:
+    """CTEs ending in ``resid`` as ``sql_residuals``, with cubics: orthogonal polynomials by recurrence, 1000 samples."""
+    line = sql_residuals(source, keys)
+    head, tail = line[: line.index("lines AS (")], line[line.index("resid AS (") :]
+    own = f"PARTITION BY {keys}, item, loo"
+
+    def over(size: str) -> str:
+        return f"CASE WHEN {size} > 1e-12 THEN 1 / {size} ELSE 0 END"
+
+    def term(axis: str) -> str:
+        q2 = "(s - a1) * (s - a0) - b1"
+        q3 = f"((s - a2) * ({q2}) - b2 * (s - a0))"
+        return f"{axis}0 + {axis}1 * (s - a0) + {axis}2 * ({q2}) + {axis}3 * {q3}"
+
+    sums = ", ".join(f"sum({a} * q{i}) * any_value(i{i}) AS {a}{i}" for a in "xy" for i in range(4))
+    fit = {a: " + ".join(f"{a}{i} * q{i}" for i in range(4)) for a in "xy"}
+    on = " AND ".join(f"c.{k.strip()} = q.{k.strip()}" for k in keys.split(","))
+    return (
+        head
+        + f"""
+p0 AS (SELECT {keys}, item, loo, x, y, run / tot AS t, m, 1.0::DOUBLE AS q0, 1 / m::DOUBLE AS i0 FROM chords WHERE tot > 0 AND m >= 4),
+p1 AS (SELECT *, t - a0 AS q1 FROM (SELECT *, avg(t) OVER ({own}) AS a0 FROM p0)),
+p2 AS (SELECT *, (t - a1) * q1 - b1 AS q2 FROM (SELECT *, tq1 * i1 AS a1, n1 * i0 AS b1 FROM (SELECT *, {over('n1')} AS i1 FROM (
+  SELECT *, sum(q1 * q1) OVER ({own}) AS n1, sum(t * q1 * q1) OVER ({own}) AS tq1 FROM p1)))),
+p3 AS (SELECT *, (t - a2) * q2 - b2 * q1 AS q3 FROM (SELECT *, tq2 * i2 AS a2, n2 * i1 AS b2 FROM (SELECT *, {over('n2')} AS i2 FROM (
+  SELECT *, sum(q2 * q2) OVER ({own}) AS n2, sum(t * q2 * q2) OVER ({own}) AS tq2 FROM p2)))),
+p4 AS (SELECT *, {over('n3')} AS i3 FROM (SELECT *, sum(q3 * q3) OVER ({own}) AS n3 FROM p3)),
+cubics AS (SELECT {keys}, item, loo, any_value(a0) AS a0, any_value(a1) AS a1, any_value(b1) AS b1, any_value(a2) AS a2, any_value(b2) AS b2, {sums} FROM p4 GROUP BY {keys}, item, loo),
+spreads AS (SELECT {', '.join('q.' + k.strip() for k in keys.split(','))}, q.item, q.loo, sqrt(avg((q.x - ({fit['x'].replace('x', 'c.x').replace('q', 'q.q')}))^2)) AS rms_x, sqrt(avg((q.y - ({fit['y'].replace('y', 'c.y').replace('q', 'q.q')}))^2)) AS rms_y
+  FROM p4 q JOIN cubics c ON {on} AND c.item = q.item AND c.loo = q.loo GROUP BY ALL),
+dists AS (SELECT c.*, c.item AS ord, rms_x, rms_y, sqrt(list_min(list_transform(range(1000), lambda i: (p.x - ({term('c.x').replace('(s ', '(i / 999.0::DOUBLE ')}))^2 + (p.y - ({term('c.y').replace('(s ', '(i / 999.0::DOUBLE ')}))^2))) AS dist
+  FROM cubics c JOIN (SELECT *, ord AS item FROM placed_item) p USING ({keys}, item) JOIN spreads USING ({keys}, item, loo)),
+"""
+        + tail
+    )
+
+
 SQL_PRESETS = """
 rules AS (SELECT * FROM (VALUES ('deployed', 'z', 1.5::DOUBLE, 0.1::DOUBLE, 0::DOUBLE), ('guarded', 'z', 1.5, 1.0, 3.0),
   ('loo', 'z_loo', 1.5, 1.0, 3.0), ('loo_raw', 'z_loo', 1.5, 1.0, 0.0)) AS v(rule, uses, threshold, std_floor, least_mm))"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ from tallyframe.plans.base import (
     SQL_VARIANTS,
     centers,
     rounded,
+    sql_cubic_residuals,
     sql_residuals,
     sql_tested,
 )
-from tallyframe.plans.registry import query
+from tallyframe.plans.registry import REGISTRY, query
 from tallyframe.session import cut
 
 KEY = ["cluster"]
@@ -30,15 +33,15 @@ def residuals(spark, sf, degree=1):
     return C.curve_residuals(centers(spark, sf), KEY, degree)
 
 
-def tested(spark, sf):
-    return C.score_items(residuals(spark, sf), KEY)
+def tested(spark, sf, degree=1):
+    return C.score_items(residuals(spark, sf, degree), KEY)
 
 
-def tested_variants(spark, sf, offset=10.0):
+def tested_variants(spark, sf, degree=1, offset=10.0):
     """Every corruption fitted once; the marks of changed items ride along."""
     rows = C.inject(centers(spark, sf), KEY, offset)
     keys = ["variant", *KEY]
-    return C.score_items(C.curve_residuals(rows, keys, 1, ("perturbed", "site")), keys)
+    return C.score_items(C.curve_residuals(rows, keys, degree, ("perturbed", "site")), keys)
 
 
 RESIDUAL_COLUMNS = "cluster, ord::BIGINT AS ord, region, scope, n_fit::BIGINT AS n_fit, round(residual, 5) AS residual"
@@ -60,10 +63,53 @@ def loo_residual_linear(spark, sf):
     return residuals(spark, sf).select("cluster", F.col("ord").cast("bigint").alias("ord"), F.round("loo_residual", 5).alias("loo_residual"))
 
 
-@query("curve_residual_cubic")
+SQL_CUBIC = SQL_CENTERS + "," + sql_cubic_residuals("centers", "cluster")
+SQL_CUBIC_TESTED = SQL_CUBIC + "," + SQL_PRESETS + "," + sql_tested("cluster")
+
+
+@query(
+    "curve_residual_cubic",
+    "WITH" + SQL_CUBIC + f" SELECT {RESIDUAL_COLUMNS}, round(loo_residual, 5) AS loo_residual, round(deployed_residual, 5) AS deployed_residual FROM resid",
+)
 def curve_residual_cubic(spark, sf):
-    """Cubic fits: no SQL twin, SQL has no cubic regression; checked against NumPy in the tests."""
-    return shown(residuals(spark, sf, 3), r6("residual").alias("residual"), r6("loo_residual").alias("loo_residual"), r6("deployed_residual").alias("deployed_residual"))
+    """Cubic fits, in sample and leave-one-out."""
+    return shown(residuals(spark, sf, 3), *[F.round(c, 5).alias(c) for c in ("residual", "loo_residual", "deployed_residual")])
+
+
+FLAG_COUNTS_SQL = " SELECT rule, count(*)::BIGINT AS n, count(tested)::BIGINT AS n_tested, (count(*) FILTER (WHERE flagged))::BIGINT AS n_flagged, round(avg(tested), 4) AS mean_z FROM tested GROUP BY rule"
+
+
+@query("flag_rules_cubic", "WITH" + SQL_CUBIC_TESTED + FLAG_COUNTS_SQL)
+def flag_rules_cubic(spark, sf):
+    return C.score_items(residuals(spark, sf, 3), KEY).groupBy("rule").agg(
+        F.count(F.lit(1)).alias("n"), F.count("tested").alias("n_tested"), F.count_if(C.flag()).alias("n_flagged"), F.round(F.avg("tested"), 4).alias("mean_z")
+    )
+
+
+@query(
+    "size_contrast_cubic",
+    "WITH" + SQL_CUBIC + " SELECT scope, region_size = 4 AS of_four, count(residual)::BIGINT AS n, round(avg(residual), 4) AS mean_residual, round(avg(loo_residual), 4) AS mean_loo FROM resid WHERE residual IS NOT NULL GROUP BY ALL",
+)
+def size_contrast_cubic(spark, sf):
+    """A cubic goes through four points: regions of four against the rest, in sample and without the item."""
+    rows = residuals(spark, sf, 3).filter("residual IS NOT NULL")
+    return rows.groupBy("scope", (F.col("region_size") == 4).alias("of_four")).agg(
+        F.count("residual").alias("n"), F.round(F.avg("residual"), 4).alias("mean_residual"), F.round(F.avg("loo_residual"), 4).alias("mean_loo")
+    )
+
+
+@query(
+    "fit_rms_cubic",
+    "WITH"
+    + SQL_CUBIC
+    + """, g AS (SELECT cluster, region, any_value(region_size) AS region_size, avg(rms_x) AS rms_x, avg(rms_y) AS rms_y FROM resid WHERE scope = 'region' AND rms_x IS NOT NULL GROUP BY ALL)
+SELECT region_size::BIGINT AS region_size, count(*)::BIGINT AS n_fits, round(avg(rms_x), 4) AS mean_x, round(avg(rms_y), 4) AS mean_y FROM g GROUP BY 1""",
+)
+def fit_rms_cubic(spark, sf):
+    rows = residuals(spark, sf, 3).filter("scope = 'region' AND rms_x IS NOT NULL AND idx = 0")
+    return rows.groupBy(F.col("region_size").cast("bigint").alias("region_size")).agg(
+        F.count(F.lit(1)).alias("n_fits"), *[F.round(F.avg(f"rms_{a}"), 4).alias(f"mean_{a}") for a in "xy"]
+    )
 
 
 @query(
@@ -106,8 +152,8 @@ def flag_rules_robust(spark, sf):
   (count(DISTINCT cluster) FILTER (WHERE flagged))::BIGINT AS clusters_hit FROM tested WHERE tested IS NOT NULL AND tested_mm IS NOT NULL
 GROUP BY GROUPING SETS ((rule), (rule, endpoint), (rule, 3), (rule, region_size), (rule, scope))""",
 )
-def fp_profile(spark, sf):
-    out = C.false_positives(tested(spark, sf), KEY)
+def fp_profile(spark, sf, degree=1):
+    out = C.false_positives(tested(spark, sf, degree), KEY)
     out = out.withColumn("depth", F.col("depth").cast("bigint")).withColumn("region_size", F.col("region_size").cast("bigint"))
     return rounded(out, "fp_rate")
 
@@ -119,8 +165,8 @@ def fp_profile(spark, sf):
     + """ SELECT rule, round(median(residual), 4) AS residual_median, round(quantile_cont(residual, 0.95), 4) AS residual_p95, round(median(loo_residual), 4) AS loo_median, round(quantile_cont(loo_residual, 0.95), 4) AS loo_p95
 FROM tested WHERE tested IS NOT NULL AND tested_mm IS NOT NULL GROUP BY rule""",
 )
-def fp_residuals(spark, sf):
-    rows = cut(tested(spark, sf).filter("tested IS NOT NULL AND tested_mm IS NOT NULL").select("rule", "residual", "loo_residual"))
+def fp_residuals(spark, sf, degree=1):
+    rows = cut(tested(spark, sf, degree).filter("tested IS NOT NULL AND tested_mm IS NOT NULL").select("rule", "residual", "loo_residual"))
     group = Grouped(rows, ["rule"])
     inside = group.quantiles("residual", {"residual_median": 0.5, "residual_p95": 0.95})
     left = group.quantiles("loo_residual", {"loo_median": 0.5, "loo_p95": 0.95})
@@ -138,8 +184,8 @@ per AS (SELECT variant, rule, cluster, bool_or(flagged AND site) AS s, bool_or(c
 SELECT variant, rule, count(*)::BIGINT AS n, round(avg(s::INT), 6) AS site_rate, round(avg(s0::INT), 6) AS site_rate_clean, round(avg(a::INT), 6) AS any_rate, round(avg(a0::INT), 6) AS any_rate_clean,
   round(sum(rh) / nullif(sum(r), 0), 6) AS fp_on_rest FROM per GROUP BY ALL""",
 )
-def paired_injection(spark, sf):
-    out = C.paired_injection(tested_variants(spark, sf), KEY)
+def paired_injection(spark, sf, degree=1):
+    out = C.paired_injection(tested_variants(spark, sf, degree), KEY)
     return rounded(out, "site_rate", "site_rate_clean", "any_rate", "any_rate_clean", "fp_on_rest")
 
 
@@ -155,8 +201,8 @@ THRESHOLDS = [1.0 + 0.25 * i for i in range(13)]
 per AS (SELECT variant, rule, z_cut, cluster, count(*) FILTER (WHERE tested IS NOT NULL AND tested_mm IS NOT NULL) AS items, count(*) FILTER (WHERE f) AS flags, bool_or(f) AS hit, bool_or(f AND perturbed) AS found FROM st GROUP BY ALL)
 SELECT variant, rule, z_cut::DOUBLE AS z_cut, count(*)::BIGINT AS n, round(sum(flags) / nullif(sum(items), 0), 6) AS item_rate, round(avg(hit::INT), 6) AS cluster_rate, round(avg(found::INT), 6) AS detection FROM per GROUP BY ALL""",
 )
-def threshold_sweep(spark, sf):
-    out = C.threshold_sweep(tested_variants(spark, sf), KEY, THRESHOLDS)
+def threshold_sweep(spark, sf, degree=1):
+    out = C.threshold_sweep(tested_variants(spark, sf, degree), KEY, THRESHOLDS)
     return rounded(out, "item_rate", "cluster_rate", "detection")
 
 
@@ -180,14 +226,14 @@ moved AS (SELECT off AS variant, cluster, ord, region, x + CASE WHEN pos = n //
   round(avg(flagged::INT) FILTER (WHERE away = 0 AND rule = 'deployed'), 6) AS detect_deployed, round(avg(flagged::INT) FILTER (WHERE away = 0 AND rule = 'guarded'), 6) AS detect_guarded,
   round(avg(flagged::INT) FILTER (WHERE away = 0 AND rule = 'loo'), 6) AS detect_loo, round(avg(flagged::INT) FILTER (WHERE away = 0 AND rule = 'loo_raw'), 6) AS detect_loo_raw FROM tested GROUP BY 1""",
 )
-def masking_curve(spark, sf):
+def masking_curve(spark, sf, degree=1):
     along, whole = Window.partitionBy(*KEY).orderBy("ord"), Window.partitionBy(*KEY)
     away = (F.row_number().over(along) - 1 - F.floor(F.count(F.lit(1)).over(whole) / 2)).alias("away")
     rows = centers(spark, sf).select("*", away)
     moved = rows.withColumn("offset_mm", F.explode(F.array(*[F.lit(o) for o in OFFSETS])))
     moved = moved.withColumn("x", F.col("x") + F.when(F.col("away") == 0, F.col("offset_mm")).otherwise(0.0))
     keys = ["offset_mm", *KEY]
-    scored = C.score_items(C.curve_residuals(moved, keys, 1, ("away",)), keys).withColumn("flagged", C.flag().cast("double"))
+    scored = C.score_items(C.curve_residuals(moved, keys, degree, ("away",)), keys).withColumn("flagged", C.flag().cast("double"))
     # only the moved item and its two neighbours are reported
     scored = cut(scored.filter(F.abs("away") <= 1).select("offset_mm", "away", "rule", "residual", "loo_residual", "flagged"))
     site, one = F.col("away") == 0, F.col("rule") == "deployed"
@@ -237,3 +283,14 @@ def size_contrast(spark, sf):
         F.count("residual").alias("n"), F.round(F.avg("residual"), 4).alias("mean_residual")
     )
 
+
+# The same detectors on cubics: the fits differ, everything after them is the same.
+for _make, _source, _keys in (
+    (fp_profile, "centers", "cluster"),
+    (fp_residuals, "centers", "cluster"),
+    (paired_injection, "variants", "variant, cluster"),
+    (threshold_sweep, "variants", "variant, cluster"),
+    (masking_curve, "moved", "variant, cluster"),
+):
+    _sql = REGISTRY[_make.__name__][1].replace(sql_residuals(_source, _keys), sql_cubic_residuals(_source, _keys))
+    query(f"{_make.__name__}_cubic", _sql)(partial(_make, degree=3))
