@@ -5,10 +5,10 @@
 2. Bands of the signature put documents in buckets. Two documents of similarity ``threshold`` share none with
    probability (1 - threshold^rows)^bands, 3e-6 by default.
 3. Within a bucket not all pairs are formed. A hub is compared with every member, what is similar joins its component,
-   then another hub with those outside its component. Buckets that still hold several components are compared block
-   by block, members of different components only; what leaves a block is, for each document and component, the few
-   most similar survivors. Where those are confirmed the component is joined. Where none is, the document is compared
-   with the whole component, its full sets in blocks too, and one link is enough. So no link between components is
+   then other hubs with those outside theirs. Buckets that still hold several components are compared block
+   by block, members of different components only; what leaves a block is, for each document and component, the most
+   similar survivor. Where it is confirmed the component is joined. Where it is not, the document is compared with the
+   whole component, its full sets in blocks too, and one link is enough. So no link between components is
    lost, copies of one text cost a row each, and near copies a few.
 4. A pair is compared 16 hashes at a time and given up once the posterior probability that its similarity reaches the
    threshold is below ``miss``. Survivors are confirmed on their full sets.
@@ -39,7 +39,8 @@ ship(__name__)
 STEP = 16  # hashes compared before the next look at the posterior
 SIDE = 2048  # members of a bucket on one side of a block
 HELD = 64 << 20  # bytes of full sets on one side of a block
-NEAREST = 4  # survivors per document and component that leave a block of signatures
+NEAREST = 1  # survivors per document and component that leave a block of signatures
+HUBS = 3  # hubs of a bucket that its members are compared with before blocks
 
 
 @dataclass(frozen=True)
@@ -209,11 +210,11 @@ class Search:
         both = pairs.join(self.side(self.sets, "b"), "b").join(self.side(self.sets, "a"), "a")
         return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a bigint, b bigint")
 
-    def add(self, links: DataFrame, rounds: int | None = 2) -> None:
-        """Take in confirmed links and bring the labels nearer to the components; all the way without ``rounds``."""
+    def add(self, links: DataFrame) -> None:
+        """Take in confirmed links; the labels are the components they make, so a connected group carries one label."""
         links = written(links)
         self.links = links if self.links is None else self.links.unionByName(links)
-        self.labels = written(components(self.links, rounds))
+        self.labels = written(components(self.links))
 
     def labelled(self, rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         """``rows`` with the label of ``__key``; unlinked documents are their own."""
@@ -233,7 +234,7 @@ class Search:
         return self.survivors(pairs.select(F.least("a", KEY).alias("a"), F.greatest("a", KEY).alias("b")).distinct())
 
     def by_block(self, rows: DataFrame) -> DataFrame:
-        """``a, b, label``: a member, the label of others, and the few members of that label nearest to it by signature."""
+        """``a, b, label``: a member, the label of others, and the member of that label nearest to it by signature."""
         sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         sizes = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
         grid = sizes.select("bucket", "main", F.ceil(F.col("all") / SIDE).cast("int").alias("across"), F.ceil((F.col("all") - F.col("most")) / SIDE).cast("int").alias("down"))
@@ -357,15 +358,16 @@ class Search:
         first = self.members.filter(F.col(KEY) != F.col("hub")).select(F.col("hub").alias("a"), F.col(KEY).alias("b"))
         self.add(self.confirmed(self.survivors(first.distinct())))
         rows = self.open_members()
-        if rows.take(1):
-            self.add(self.confirmed(self.by_hub(rows, 1)))
+        for salt in range(1, HUBS + 1):
+            if not rows.take(1):
+                break
+            self.add(self.confirmed(self.by_hub(rows, salt)))
             rows = self.open_members()
         if rows.take(1):
             near, labels = written(self.by_block(rows)), self.labels
             pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            self.add(self.confirmed(pairs), None)
+            self.add(self.confirmed(pairs))
             self.add(self.by_component(near.select("a", "label").distinct(), labels))
-        self.labels = components(self.links)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
