@@ -542,8 +542,9 @@ def mapping_pairs(spark, sf):
 MAPPING_NULLS = {"cluster": 41, "category": 42}
 def null_rows(draws, observed, kind):
     """One summary row of a null: draws (auc) against the observed value."""
-    rows = draws.filter("auc IS NOT NULL").select(F.lit(kind).alias("kind"), "auc")
-    out = B.monte_carlo(rows.crossJoin(F.broadcast(observed.select("want"))), ["kind"], "auc", F.col("want") - 1e-9)  # one row
+    want = cut(observed).select("want").scalar() - 1e-9
+    rows = draws.filter("auc IS NOT NULL").select(F.lit(kind).alias("kind"), "auc", want.alias("want"))
+    out = B.monte_carlo(rows, ["kind"], "auc", F.col("want"))
     return rounded(out.withColumn("observed", F.col("observed") + 1e-9), "mean", "sd", "p95", "max", "observed", "monte_carlo_p")
 
 
