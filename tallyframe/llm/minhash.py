@@ -4,12 +4,11 @@
    class, and only its first document goes on.
 2. Bands of the signature put documents in buckets. Two documents of similarity ``threshold`` share none with
    probability (1 - threshold^rows)^bands, 3e-6 by default.
-3. Within a bucket not all pairs are formed. A hub is compared with every member, what is similar joins its component,
-   then another hub with those outside its component. Buckets that still hold several components are compared block
-   by block, members of different components only; what leaves a block is, for each document and component, the most
-   similar survivor. Where it is confirmed the component is joined. Where it is not, the document is compared with the
-   whole component, its full sets in blocks too, and one link is enough. So no link between components is
-   lost, copies of one text cost a row each, and near copies a few.
+3. Within a bucket not all pairs are formed. A hub is compared with every member, and what is similar joins its
+   component. Buckets that still hold several components are compared block by block, members of different components
+   only; buckets with the same members are one. A block carries full sets, so a survivor is confirmed where it is
+   found, and once two components are linked in a block their members are not compared there again: a block gives
+   fewer links than it holds components. No link between components is lost.
 4. A pair is compared 16 hashes at a time and given up once the posterior probability that its similarity reaches the
    threshold is below ``miss``. Survivors are confirmed on their full sets.
 
@@ -24,7 +23,6 @@ from dataclasses import dataclass
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +37,6 @@ ship(__name__)
 STEP = 16  # hashes compared before the next look at the posterior
 SIDE = 2048  # members of a bucket on one side of a block
 HELD = 64 << 20  # bytes of full sets on one side of a block
-NEAREST = 1  # survivors per document and component that leave a block of signatures
 
 
 @dataclass(frozen=True)
@@ -142,6 +139,13 @@ def surviving(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, needed
     return alive, matches
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` of their union."""
+    joint = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((joint[1:] == joint[:-1]).sum())
+    return 100 * shared >= percent * (len(joint) - shared)
+
+
 class Search:
     def __init__(self, docs: DataFrame, how: NearDuplicates):
         self.docs, self.how, self.needed = docs, how, how.needed()
@@ -150,14 +154,13 @@ class Search:
         first = full.groupBy("high", "low", "n").agg(F.min(KEY).alias("first"))
         self.classes = written(full.select(KEY, "high", "low", "n").join(first, ["high", "low", "n"]).select(KEY, "first"))
         firsts = self.classes.filter(F.col(KEY) == F.col("first")).select(KEY)
-        rows = full.join(firsts, KEY, "left_semi").select(KEY, F.posexplode("bands").alias("band", "hash"))
-        rows = rows.select(F.xxhash64("band", "hash").alias("bucket"), KEY)
+        rows = full.join(firsts, KEY, "left_semi").select(KEY, "n", F.posexplode("bands").alias("band", "hash"))
+        rows = rows.select(F.xxhash64("band", "hash").alias("bucket"), KEY, "n")
         hubs = rows.groupBy("bucket").agg(F.min(KEY).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-        self.members = written(rows.join(hubs, "bucket").select("bucket", KEY, "hub", "size"))
+        self.members = written(rows.join(hubs, "bucket").select("bucket", KEY, "n", "hub", "size"))
         some = self.members.select(KEY).distinct()
         self.signatures = written(full.join(some, KEY).select(KEY, "n", "signature"))
         self.sets = self.full_sets(docs.join(some, KEY))
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def full_sets(self, docs: DataFrame) -> DataFrame:
@@ -200,122 +203,50 @@ class Search:
             for batch in batches:
                 keep = []
                 for x, y in zip(batch.column(2), batch.column(3)):
-                    one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                    joint = np.sort(np.concatenate([one, two]), kind="stable")
-                    shared = int((joint[1:] == joint[:-1]).sum())
-                    keep.append(100 * shared >= percent * (len(joint) - shared))
+                    keep.append(similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), percent))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
         both = pairs.join(self.side(self.sets, "b"), "b").join(self.side(self.sets, "a"), "a")
         return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(run, "a bigint, b bigint")
 
-    def add(self, links: DataFrame, rounds: int | None = 2) -> None:
-        """Take in confirmed links and bring the labels nearer to the components; all the way without ``rounds``."""
-        links = written(links)
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.labels = written(components(self.links, rounds))
-
-    def labelled(self, rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-        """``rows`` with the label of ``__key``; unlinked documents are their own."""
-        both = rows.join((labels or self.labels).withColumnRenamed("node", KEY), KEY, "left")
-        return both.withColumn("label", F.coalesce("label", KEY))
-
     def open_members(self) -> DataFrame:
-        """``bucket, __key, label`` of the buckets that hold several labels and pairs never compared."""
-        rows = self.labelled(self.members.filter("size > 2").select("bucket", KEY))
-        mixed_buckets = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-        return written(rows.join(mixed_buckets.select("bucket"), "bucket"))
-
-    def by_hub(self, rows: DataFrame, salt: int) -> DataFrame:
-        pick = F.min(F.struct(F.xxhash64(F.lit(salt), KEY), KEY, "label")).alias("h")
-        hubs = rows.groupBy("bucket").agg(pick).select("bucket", F.col(f"h.{KEY}").alias("a"), F.col("h.label").alias("hub_label"))
-        pairs = rows.join(hubs, "bucket").filter("label <> hub_label")
-        return self.survivors(pairs.select(F.least("a", KEY).alias("a"), F.greatest("a", KEY).alias("b")).distinct())
+        """``bucket, __key, n, label`` of the buckets that hold several labels; unlinked documents are their own."""
+        rows = self.members.filter("size > 2").select("bucket", KEY, "n")
+        rows = rows.join(self.labels.withColumnRenamed("node", KEY), KEY, "left").withColumn("label", F.coalesce("label", KEY))
+        same = [F.bit_xor(F.xxhash64(F.lit(i), KEY)).alias(f"same_{i}") for i in (1, 2)]
+        size = F.count(F.lit(1)).alias("size")
+        kinds = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), size, *same).filter("x <> y")
+        chosen = kinds.groupBy("size", "same_1", "same_2").agg(F.min("bucket").alias("bucket"))
+        return written(rows.join(chosen.select("bucket"), "bucket"))
 
     def by_block(self, rows: DataFrame) -> DataFrame:
-        """``a, b, label``: a member, the label of others, and the member of that label nearest to it by signature."""
-        sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        sizes = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-        grid = sizes.select("bucket", "main", F.ceil(F.col("all") / SIDE).cast("int").alias("across"), F.ceil((F.col("all") - F.col("most")) / SIDE).cast("int").alias("down"))
-        full = rows.join(grid, "bucket").join(self.signatures, KEY)
+        """Links ``a, b`` between labels: in each block of a bucket, enough to join all labels that a link joins there.
+
+        The members of a bucket are dealt over ``across`` parts, those outside its largest label over ``down`` parts
+        as well; a block is one part of each, of about SIDE documents and HELD bytes of full sets a side.
+        """
+        sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("held"))
+        most = F.max_by(F.struct("label", "c", "held"), F.struct("c", "label")).alias("most")
+        sizes = sizes.groupBy("bucket").agg(most, F.sum("c").alias("c"), F.sum("held").alias("held"))
+        parts = lambda c, held: F.greatest(F.ceil(c / SIDE), F.ceil(held * 8 / HELD)).cast("int")
+        across = parts(F.col("c"), F.col("held")).alias("across")
+        down = parts(F.col("c") - F.col("most.c"), F.col("held") - F.col("most.held")).alias("down")
+        full = rows.join(sizes.select("bucket", F.col("most.label").alias("main"), across, down), "bucket")
         spot = lambda n: F.pmod(F.xxhash64(KEY), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        shared = ["bucket", KEY, "label", "n", "signature", "main"]
+        shared = ["bucket", KEY, "label", "n", "main"]
         builds = full.select(*shared, spot("across").alias("x"), every("down").alias("y"), F.lit(False).alias("probe"))
         probes = full.filter("label <> main").select(*shared, every("across").alias("x"), spot("down").alias("y"), F.lit(True).alias("probe"))
-        dealt = builds.unionByName(probes).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-        needed, width, percent = self.needed, self.how.hashes, self.how.percent
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in whole_groups(batches, 3):
-                yield from compare(table)
-
-        def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not table.num_rows:
-                return
-            bucket, x, y, keys, label, n, main, probe = (table.column(i).to_numpy() for i in range(8))
-            signature = np.concatenate([signature_rows(part, width) for part in table.column(8).chunks])
-            edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(bucket)]):
-                p, q = a + np.flatnonzero(probe[a:b]), a + np.flatnonzero(~probe[a:b])
-                for low in range(0, len(p), max(1, 500_000 // max(1, len(q)))):
-                    part = p[low : low + max(1, 500_000 // max(1, len(q)))]
-                    i, j = np.repeat(part, len(q)), np.tile(q, len(part))
-                    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                    fits = (label[i] != label[j]) & (100 * small >= percent * large) & ((label[j] == main[j]) | (keys[i] < keys[j]))
-                    i, j = i[fits], j[fits]
-                    alive, matches = surviving(signature, signature, i, j, needed)
-                    i, j = i[alive], j[alive]
-                    if len(i):
-                        order = pd.DataFrame({"i": i, "c": label[j], "m": -matches}).sort_values(["i", "c", "m"])
-                        top = order.groupby(["i", "c"], sort=False).head(NEAREST).index.to_numpy()
-                        i, j = i[top], j[top]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[i], keys[j], label[j])], ["a", "b", "label"])
-
-        columns = ["bucket", "x", "y", KEY, "label", "n", "main", "probe", "signature"]
-        return dealt.select(*columns).mapInArrow(run, "a bigint, b bigint, label bigint")
-
-    def by_component(self, asked: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links ``a, b`` of documents ``a`` with members of the components ``label`` they are asked about.
-
-        Members are those of ``labels``, which the question was asked with. The labels of now only tell what has been
-        joined since: nodes that shared a label may carry different ones after a few rounds on more links.
-        A document and a component share one link per block at most. Members of a large component are dealt into
-        parts of their own; small components share parts, so a document asked about many of them is sent but once to
-        each part. The documents asked about a part are dealt too: a block is a part of members and a part of those,
-        each of about SIDE documents and HELD bytes of full sets.
-        """
-        now = self.labels.select(F.col("node").alias("label"), F.col("label").alias("now"))
-        asked = asked.join(now, "label", "left").select(F.col("a").alias(KEY), F.col("label").alias("with"), F.coalesce("now", "label").alias("now"))
-        asked = written(self.labelled(asked).filter(F.col("label") != F.col("now")).select(KEY, "with").distinct())
-        members = self.labelled(self.signatures.select(KEY, "n"), labels).withColumnRenamed("label", "with")
-        members = written(members.join(asked.select("with").distinct(), "with"))
-        number = F.greatest(F.ceil(F.count(F.lit(1)) / SIDE), F.ceil(F.sum("n") * 8 / HELD)).cast("int")
-        sizes = members.groupBy("with").agg(number.alias("across"))
-        shared = members.agg(number).first()[0] or 1
-        whole = F.when(F.col("across") > 1, F.xxhash64("with", "part")).otherwise(F.pmod(F.xxhash64("with"), F.lit(shared)))
-        part = F.pmod(F.xxhash64(KEY), "across").cast("int").alias("part")
-        builds = members.join(sizes, "with").select("with", "across", part, KEY)
-        builds = builds.select(whole.alias("whole"), KEY, F.col("with").alias("label"), F.lit(None).cast("array<bigint>").alias("asked"))
-        probes = asked.join(sizes, "with").select("with", "across", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("part"), KEY)
-        probes = probes.groupBy(whole.alias("whole"), KEY).agg(F.collect_set("with").alias("asked"))
-        probes = written(probes.join(self.signatures.select(KEY, "n"), KEY))
-        down = probes.groupBy("whole").agg(number.alias("down"))
-        block = F.xxhash64("whole", "y").alias("block")
-        every = F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y")
-        builds = builds.join(down, "whole").select("whole", KEY, "label", "asked", every).select(block, KEY, "label", "asked")
-        probes = probes.join(down, "whole").select("whole", KEY, "asked", F.pmod(F.xxhash64(KEY), "down").cast("int").alias("y"))
-        probes = probes.select(block, KEY, F.lit(None).cast("bigint").alias("label"), "asked")
-        full = builds.unionByName(probes).join(self.signatures, KEY).join(self.sets, KEY)
-        dealt = full.repartition("block").sortWithinPartitions("block")
+        dealt = builds.unionByName(probes).join(self.signatures.drop("n"), KEY).join(self.sets, KEY)
+        dealt = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
         needed, width, percent = self.needed, self.how.hashes, self.how.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in whole_groups((b for batch in batches for b in slices(batch)), 1):
-                group = table.column(0).to_numpy()
-                edge = np.flatnonzero(group[1:] != group[:-1]) + 1
-                for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(group)]):
-                    found = linked(table.slice(a, b - a).to_batches())
+            for table in whole_groups((b for batch in batches for b in slices(batch)), 3):
+                bucket, x, y = (table.column(i).to_numpy() for i in range(3))
+                edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+                for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(bucket)]):
+                    found = linked(table.slice(a, b - a))
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
@@ -323,49 +254,33 @@ class Search:
             for low in range(0, batch.num_rows, 500):
                 yield batch.slice(low, 500)
 
-        def linked(parts: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-            keys, n = (np.concatenate([rows.column(c).to_numpy() for rows in parts]) for c in (1, 4))
-            label = np.concatenate([rows.column(2).fill_null(-1).to_numpy() for rows in parts])
-            probe = np.concatenate([rows.column(3).is_valid().to_numpy(zero_copy_only=False) for rows in parts])
-            asked = [v for rows in parts for v in rows.column(3)]
-            signature = np.concatenate([signature_rows(rows.column(5), width) for rows in parts])
-            p, q = np.flatnonzero(probe), np.flatnonzero(~probe)
-            sets = [np.frombuffer(v.as_buffer(), np.uint64) for rows in parts for v in rows.column(6)]
-            owner = np.repeat(np.arange(len(q)), n[q])
-            hashes = np.concatenate([sets[j] for j in q]) if len(q) else np.zeros(0, np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            hashes, owner = hashes[order], owner[order]
-            out = []
-            for i in p.tolist():
-                wanted = np.isin(label[q], asked[i].values.to_numpy())
-                j = q[wanted & (100 * np.minimum(n[q], n[i]) >= percent * np.maximum(n[q], n[i]))]
+        def linked(block: pa.Table) -> list[tuple[int, int]]:
+            keys, label, n, main, probe = (block.column(i).to_numpy() for i in range(3, 8))
+            signature = np.concatenate([signature_rows(part, width) for part in block.column(8).chunks])
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for part in block.column(9).chunks for v in part]
+            root = np.unique(label, return_inverse=True)[1]  # of each row, the component found so far
+            q, out = np.flatnonzero(~probe), []
+            for i in np.flatnonzero(probe).tolist():
+                fits = (root[q] != root[i]) & (100 * np.minimum(n[q], n[i]) >= percent * np.maximum(n[q], n[i]))
+                j = q[fits & ((label[q] == main[q]) | (keys[i] < keys[q]))]
                 alive, _ = surviving(signature, signature, np.full(len(j), i), j, needed)
-                if not len(alive):
-                    continue
-                low, high = np.searchsorted(hashes, sets[i]), np.searchsorted(hashes, sets[i], side="right")
-                at = np.repeat(low - np.cumsum(np.append(0, (high - low)[:-1])), high - low) + np.arange((high - low).sum())
-                shared = np.bincount(owner[at], minlength=len(q))[np.searchsorted(q, j[alive])]
-                good = j[alive[100 * shared >= percent * (n[j[alive]] + n[i] - shared)]]
-                _, first = np.unique(label[good], return_index=True)
-                out += [(int(keys[i]), int(keys[k])) for k in good[first].tolist()]
+                for k in j[alive].tolist():
+                    if root[k] != root[i] and similar(sets[i], sets[k], percent):
+                        out.append((int(keys[i]), int(keys[k])))
+                        root[root == root[k]] = root[i]
             return out
 
-        columns = ["block", KEY, "label", "asked", "n", "signature", "shingles"]
+        columns = ["bucket", "x", "y", KEY, "label", "n", "main", "probe", "signature", "shingles"]
         return dealt.select(*columns).mapInArrow(run, "a bigint, b bigint")
 
     def run(self) -> None:
         first = self.members.filter(F.col(KEY) != F.col("hub")).select(F.col("hub").alias("a"), F.col(KEY).alias("b"))
-        self.add(self.confirmed(self.survivors(first.distinct())))
+        links = written(self.confirmed(self.survivors(first.distinct())))
+        self.labels = written(components(links, 2))
         rows = self.open_members()
         if rows.take(1):
-            self.add(self.confirmed(self.by_hub(rows, 1)))
-            rows = self.open_members()
-        if rows.take(1):
-            near, labels = written(self.by_block(rows)), self.labels
-            pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            self.add(self.confirmed(pairs), None)
-            self.add(self.by_component(near.select("a", "label").distinct(), labels))
-        self.labels = components(self.links)
+            links = links.unionByName(written(self.by_block(rows)))
+        self.labels = components(links)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:

@@ -133,54 +133,46 @@ def test_near_duplicates(spark, size):
 
 
 def test_near_duplicates_block_by_block(spark, monkeypatch):
-    """Groups in one bucket that are not similar to each other; without hubs, only blocks can link them."""
+    """Groups in one bucket that are not similar to each other; after one hub only blocks can link them."""
     monkeypatch.setattr(minhash, "SIDE", 8)
-    monkeypatch.setattr(minhash, "NEAREST", 1)
-    monkeypatch.setattr(minhash.Search, "by_hub", lambda self, rows, salt: self.survivors(self.members.select(F.col(KEY).alias("a"), F.col(KEY).alias("b")).limit(1)))
     docs = near_corpus()
     how = minhash.NearDuplicates(shingle=4, rows=1, bands=32)
     found = {r[KEY]: r["component"] for r in rows(minhash.near_duplicates(keyed(frame(spark, docs)), how))}
     assert [found[i] for i, _ in docs] == near_by_force([t for _, t in docs], 4)[1]
 
 
-def test_a_component_is_asked_by_the_labels_of_its_blocks(spark, monkeypatch):
-    """first and j share a label when the last document is asked about it; the links found next give them different ones."""
+@pytest.mark.parametrize("side", [2, 2048])
+def test_blocks_join_what_two_rounds_of_labels_leave_apart(spark, monkeypatch, side):
+    """A chain: neighbours are similar, others are not; one hub links two of them, blocks must find the other links."""
+    monkeypatch.setattr(minhash, "SIDE", side)
     words = [f"w{i}" for i in range(400)]
-    chain = [" ".join(words[10 * i : 10 * i + 120]) for i in range(7)]  # neighbours are similar, others are not
-    docs = spark.createDataFrame(list(enumerate(chain)), f"{KEY} bigint, text string")
-    search = minhash.Search(docs, minhash.NearDuplicates(shingle=1))
-    assert search.signatures.count() == 7
-    d, c, b, a, first, j, last = range(7)
-    near = [(a, first, first), (b, a, a), (c, b, b), (d, c, c), *[(last, first, first)] * minhash.NEAREST]
-    partial = spark.createDataFrame([(first, j), (a, first), (b, a), (c, b), (d, c)], "a bigint, b bigint")
-    labels = {r["node"]: r["label"] for r in rows(components(partial, rounds=2))}
-    assert labels[first] != labels[j]
-    search.members = spark.createDataFrame([(first, j)], f"hub bigint, {KEY} bigint")
-    monkeypatch.setattr(search, "open_members", lambda: search.members)
-    monkeypatch.setattr(search, "by_hub", lambda rows, salt: spark.createDataFrame([], "a bigint, b bigint"))
-    monkeypatch.setattr(search, "by_block", lambda rows: spark.createDataFrame(near, "a bigint, b bigint, label bigint"))
-    search.run()
-    assert {r["node"]: r["label"] for r in rows(search.labels)} == dict.fromkeys(range(7), d)
+    texts = [" ".join(words[10 * i : 10 * i + 120]) for i in (3, 0, 6, 1, 5, 2, 4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), f"{KEY} bigint, text string")
+    found = {r[KEY]: r["component"] for r in rows(minhash.near_duplicates(docs, minhash.NearDuplicates(shingle=1, rows=1, bands=96)))}
+    assert found == dict.fromkeys(range(7), 0)
 
 
 @pytest.mark.parametrize("side, held", [(8, 64 << 20), (2048, 8 * 8 * 150)])
-def test_documents_asked_about_a_component_are_dealt(spark, monkeypatch, side, held):
+def test_blocks_are_bounded_and_give_few_links(spark, monkeypatch, side, held):
+    """All in one bucket: 30 near copies of one text with labels of their own, 20 of another under one label."""
     monkeypatch.setattr(minhash, "SIDE", side)
-    monkeypatch.setattr(minhash, "HELD", held, raising=False)
-    base = prose(50, 150)
-    docs = spark.createDataFrame([(i, edited(base, i, 1)) for i in range(60)], f"{KEY} bigint, text string")
+    monkeypatch.setattr(minhash, "HELD", held)
+    texts = [edited(prose(50, 150), i, 1) for i in range(30)] + [edited(prose(70, 150), i, 1) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), f"{KEY} bigint, text string")
     search = minhash.Search(docs, minhash.NearDuplicates(shingle=4))
-    search.labels = spark.createDataFrame([(i, 0) for i in range(20)], "node bigint, label bigint")
-    asked = spark.createDataFrame([(i, 0) for i in range(20, 60)], "a bigint, label bigint")
+    assert search.signatures.count() == 50
+    label = F.least(F.col(KEY), F.lit(30)).alias("label")
+    members = search.signatures.select(F.lit(1).alias("bucket"), KEY, "n", label)
     mapped, kind = [], type(docs)
     plain = kind.mapInArrow
     monkeypatch.setattr(kind, "mapInArrow", lambda self, *how: mapped.append(self) or plain(self, *how))
-    links = rows(search.by_component(asked, search.labels))
-    assert {r["a"] for r in links} == set(range(20, 60)) and all(r["b"] < 20 for r in links)
-    blocks = rows(mapped[-1].groupBy("block").agg(F.count("asked").alias("asked"), F.count("label").alias("members")))
-    assert max(r["asked"] for r in blocks) <= 20 and max(r["members"] for r in blocks) < 20
-    pairs = sum(r["asked"] * r["members"] for r in blocks)
-    assert pairs == 40 * 20
+    links = rows(search.by_block(members))
+    blocks = rows(mapped[-1].groupBy("x", "y").agg(F.count_if("probe").alias("p"), F.count_if(~F.col("probe")).alias("q"), F.count_distinct("label").alias("labels")))
+    assert len(blocks) > 4 and max(max(r["p"], r["q"]) for r in blocks) <= 20
+    assert sum(r["p"] * r["q"] for r in blocks) == 30 * 50
+    assert len(links) <= sum(r["labels"] - 1 for r in blocks) and all(max(r["a"], r["b"]) < 30 for r in links)
+    joined = {r["node"]: r["label"] for r in rows(components(spark.createDataFrame(links)))}
+    assert joined == dict.fromkeys(range(30), 0)
 
 
 @pytest.mark.parametrize("make", [odd_documents, list])
