@@ -290,6 +290,26 @@ def test_induced_sorting_spills(limit):
     assert got == sorted(want)
 
 
+def test_cuts_drop_only_broken_characters(spark, tmp_path):
+    """The second text repeats 120 bytes that begin and end inside characters; its own U+FFFD stay."""
+    import corpus_pipeline
+
+    shared = prose(90, 40)[:118]
+    texts = ["\u4e00" + shared + "\u20ac", "a\ufffdb " + "\u4e80" + shared + "\u20ad" + " \ufffd\U0001f600 end" + "\u00e9z" * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["text"] for r in rows(corpus_pipeline.repeated_substrings(spark, docs, str(tmp_path)))}
+    joint = [t.encode() for t in texts]
+    at = joint[1].index(shared.encode())
+    low, high = at, at + len(shared)
+    while joint[1][low - 1 : high] in joint[0]:
+        low -= 1
+    while joint[1][low : high + 1] in joint[0]:
+        high += 1
+    assert low < at or high > at + len(shared)  # a character is broken
+    want = joint[1][:low].decode(errors="ignore") + joint[1][high:].decode(errors="ignore")
+    assert found == {0: texts[0], 1: want} and want.count("\ufffd") == 2
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
