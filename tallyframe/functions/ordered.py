@@ -21,9 +21,12 @@ PIECE = "__piece"
 ALL = "__all"
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast when the table was written and its stored size is within the bound; else Spark decides."""
-    size = stored_bytes(df)
+def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Hint a broadcast when the table was written and its stored size is within the bound; else Spark decides.
+
+    ``of`` is the written table that ``df`` selects from, where that is another one.
+    """
+    size = stored_bytes(df if of is None else of)
     return F.broadcast(df) if size is not None and size <= setting(df.sparkSession, BROADCAST_BYTES) else df
 
 

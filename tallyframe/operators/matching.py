@@ -8,54 +8,79 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import distance
-from tallyframe.functions.ordered import Grouped, small
+from tallyframe.functions.ordered import Grouped, Ordered, small
 from tallyframe.session import cut
 
-LEAF = 64  # reference points a cell may hold before it is split further
-DEPTH = 24
+WHOLE = 512  # reference points of a block that is one leaf
+LEAF = 64  # reference points of a leaf in larger blocks, and children of a node
+BITS = 8  # bits of a quantile rank per axis in the order of the leaves
+SLACK = 1 + 1e-9  # keeps rounding in the bounds from dropping an exact tie
 
 
-def _cell(axis: str, level: int) -> Column:
-    """Index of a point's cell along one axis when the block is halved `level` times."""
-    unit = F.when(F.col("side") > 0, (F.col(axis) - F.col(f"from_{axis}")) / F.col("side")).otherwise(0.0)
-    top = 2**level
-    return F.least(F.lit(top - 1), F.floor(unit * F.lit(float(top)))).cast("long")
+def _placed(axes: list[str]) -> Column:
+    """Rows with a place: every coordinate is a finite number."""
+    return reduce(lambda a, b: a & b, [F.abs(F.col(a)) < F.lit(float("inf")) for a in axes])
 
 
-def _tree(points: DataFrame, block: list[str], axes: list[str]) -> tuple[list[DataFrame], DataFrame]:
-    """Halve crowded cells level by level.
+def _rank(value: Column, cuts: Column) -> Column:
+    """How many of the 2^BITS - 1 ascending cuts are not above the value, by bisection."""
+    steps = F.array(*[F.lit(2**b) for b in reversed(range(BITS))])
+    return F.aggregate(steps, F.lit(0), lambda r, s: r + F.when(F.get(cuts, r + s - 1) <= value, s).otherwise(0))
 
-    Returns the cells of each level (with their tight bounds) and the points with the leaf
-    they ended in.  Only points of crowded cells go one level down.
+
+def _leaf_of(points: DataFrame, block: list[str], axes: list[str]) -> DataFrame:
+    """Number the leaves of crowded blocks: places in Z-order of their quantile ranks, LEAF to a leaf.
+
+    Ranks follow the points' own distribution, so a far outlier moves nothing, and leaves are cut by position, so
+    none can be overfull. The order only decides how tight the boxes are; results never depend on it.
     """
-    cell = [f"c_{a}" for a in axes]
-    bounds = points.groupBy(*block).agg(
-        *[F.min(a).alias(f"from_{a}") for a in axes],
-        F.greatest(*[F.max(a) - F.min(a) for a in axes]).alias("side"),
+    cuts = [i / 2**BITS for i in range(1, 2**BITS)]
+    sketch = points.groupBy(*block).agg(*[F.percentile_approx(a, cuts).alias(f"__t_{a}") for a in axes])
+    ranked = Grouped(points, block).join_stats(cut(sketch), axes)
+    ranked = ranked.select(*points.columns, *[_rank(F.col(a), F.col(f"__t_{a}")).alias(f"__r_{a}") for a in axes])
+    order = reduce(
+        lambda a, b: a.bitwiseOR(b),
+        [
+            F.shiftleft(F.shiftright(f"__r_{a}", bit).bitwiseAND(F.lit(1)).cast("long"), bit * len(axes) + i)
+            for bit in range(BITS)
+            for i, a in enumerate(axes)
+        ],
     )
-    rest = cut(Grouped(points, block).join_stats(bounds, axes))
-    levels, leaves = [], []
-    for level in range(DEPTH + 1):
-        here = rest.select("*", *[_cell(a, level).alias(c) for a, c in zip(axes, cell)])
-        cells = cut(
-            here.groupBy(*block, *cell).agg(
-                F.count(F.lit(1)).alias("held"),
-                *[F.min(a).alias(f"low_{a}") for a in axes],
-                *[F.max(a).alias(f"high_{a}") for a in axes],
-            )
-        )
-        crowded = cells.filter((F.col("held") > LEAF) & F.lit(level < DEPTH))
-        levels.append(cells.withColumn("open", (F.col("held") > LEAF) & F.lit(level < DEPTH)))
-        names = crowded.select(*block, *cell)
-        if not crowded.take(1):
-            leaves.append(here.withColumn("level", F.lit(level)))
-            break
-        at = [*block, *cell]
-        leaves.append(here.join(small(names), at, "left_anti").withColumn("level", F.lit(level)))
-        rest = cut(here.join(small(names), at, "left_semi").drop(*cell))
-    drop = ["side", *[f"from_{a}" for a in axes]]
-    found = reduce(lambda a, b: a.unionByName(b), leaves).drop(*drop)
-    return levels, found
+    rows = ranked.select(*points.columns, order.alias("__z"))
+    rows = Ordered(rows, block, ["__z", *axes]).position("__node").drop("__z")
+    return rows.withColumn("__node", F.expr(f"__node div {LEAF}"))
+
+
+def _tree(points: DataFrame, block: list[str], axes: list[str]) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """Leaves with their points, the levels of nodes above them (lowest first), and the blocks that have such nodes.
+
+    The height follows from one count. A node is one row that holds its children and their tight boxes.
+    """
+    sizes = points.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"))
+    most = sizes.agg(F.max("__n")).first()[0] or 0
+    rows = points.withColumn("__node", F.lit(0).cast("long"))
+    if most > WHOLE:
+        crowded = cut(sizes.filter(F.col("__n") > WHOLE).select(*block))
+        rows = points.join(small(crowded), block, "left_anti").withColumn("__node", F.lit(0).cast("long"))
+        rows = rows.unionByName(_leaf_of(cut(points.join(small(crowded), block, "left_semi")), block, axes))
+    boxes = [f(a).alias(f"{side}_{a}") for a in axes for side, f in (("low", F.min), ("high", F.max))]
+    held = F.collect_list(F.struct(*axes, "nearest")).alias("__points")
+    leaves = rows.groupBy(*block, "__node").agg(*boxes, held)
+    if most <= WHOLE:
+        return leaves, [], None
+    leaves = cut(leaves)
+    sides = [f"{side}_{a}" for a in axes for side in ("low", "high")]
+    upper = [F.min(s).alias(s) if s.startswith("low_") else F.max(s).alias(s) for s in sides]
+    below = leaves.select(*block, "__node", *sides).join(small(crowded), block, "left_semi")
+    levels, last = [], (most - 1) // LEAF
+    while last > 0:
+        kids = F.collect_list(F.struct("__node", *sides)).alias("__kids")
+        parent = F.expr(f"__node div {LEAF}").alias("__parent")
+        level = cut(below.select("*", parent).groupBy(*block, "__parent").agg(*upper, kids))
+        levels.append(level)
+        below = level.select(*block, F.col("__parent").alias("__node"), *sides)
+        last //= LEAF
+    return leaves, levels, crowded
 
 
 def nearest(
@@ -68,67 +93,53 @@ def nearest(
 ) -> DataFrame:
     """Nearest reference of every prediction inside its block, exactly; ties take the lowest label.
 
-    Reference points are sorted into cells of at most LEAF points.  Each distinct prediction
-    place walks down the cells and drops those that cannot hold its nearest point, so it meets
-    a handful of cells rather than every reference of its block.  Copies of a place are asked
-    once.  With ``within`` nothing farther is looked for.  Adds ``nearest`` and ``dist``.
+    Blocks of at most WHOLE reference points are one leaf. The others are leaves of LEAF points under a tree with LEAF
+    children a node: each distinct prediction place walks down and drops nodes that cannot hold its nearest point, so it
+    meets a handful of leaves rather than every reference of its block.  Copies of a place are asked once.  With ``within`` nothing farther is
+    looked for.  Rows without a finite place neither find anything nor are found.  Adds ``nearest`` and ``dist``.
     """
-    copies = ref.groupBy(*block, *axes).agg(F.min(label).alias("nearest"))
-    levels, leaves = _tree(copies, block, axes)
-    asked = pred.filter(reduce(lambda a, b: a & b, [F.col(a).isNotNull() for a in axes]))
-    asked = asked.select(*block, *[F.col(a).alias(f"q_{a}") for a in axes]).distinct()
-    query, cell = [*block, *[f"q_{a}" for a in axes]], [f"c_{a}" for a in axes]
+    copies = ref.filter(_placed(axes)).groupBy(*block, *axes).agg(F.min(label).alias("nearest"))
+    leaves, levels, crowded = _tree(cut(copies), block, axes)
+    asked = pred.filter(_placed(axes)).select(*block, *[F.col(a).alias(f"q_{a}") for a in axes]).distinct()
+    query = [*block, *[f"q_{a}" for a in axes]]
     at = [F.col(f"q_{a}") for a in axes]
 
-    def bounded(rows: DataFrame) -> DataFrame:
+    def bounded(kid: Column) -> Column:
+        low, high = [kid[f"low_{a}"] for a in axes], [kid[f"high_{a}"] for a in axes]
         zero = F.lit(0.0)
-        near = [F.greatest(F.col(f"low_{a}") - q, q - F.col(f"high_{a}"), zero) for a, q in zip(axes, at)]
-        far = [F.greatest(F.abs(q - F.col(f"low_{a}")), F.abs(q - F.col(f"high_{a}"))) for a, q in zip(axes, at)]
-        return rows.select(
-            *query,
-            "level",
-            "open",
-            *cell,
-            distance(near, [zero] * len(axes)).alias("least"),
-            distance(far, [zero] * len(axes)).alias("most"),
-        )
-
-    def pruned(rows: DataFrame) -> DataFrame:
-        # a query holds a few cells at a time, so its window stays small; the slack keeps
-        # rounding in the bounds from dropping an exact tie
-        best = F.min("most").over(Window.partitionBy(*query))
-        kept = rows.withColumn("__best", best).filter(F.col("least") <= F.col("__best") * (1 + 1e-9))
-        if within is not None:
-            kept = kept.filter(F.col("least") <= within * (1 + 1e-9))
-        return kept.drop("__best")
-
-    front = pruned(bounded(asked.join(small(levels[0]), block).withColumn("level", F.lit(0))))
-    for level in range(1, len(levels)):
-        front = cut(front)
-        parents = levels[level].select(
-            *block,
-            *[F.shiftright(c, 1).alias(c) for c in cell],
-            *[F.col(c).alias(f"next_{c}") for c in cell],
-            F.col("open").alias("next_open"),
-            *[f"{side}_{a}" for a in axes for side in ("low", "high")],
-        )
-        inner = front.filter("open").drop("open", "level", "least", "most")
-        down = inner.join(small(parents), [*block, *cell]).select(
-            *query,
-            F.lit(level).alias("level"),
-            F.col("next_open").alias("open"),
-            *[F.col(f"next_{c}").alias(c) for c in cell],
-            *[f"{side}_{a}" for a in axes for side in ("low", "high")],
-        )
-        front = pruned(front.filter("NOT open").unionByName(bounded(down)))
-    gap = distance(at, [F.col(a) for a in axes])
-    pairs = front.select(*query, "level", *cell).join(
-        small(leaves.drop("held")), [*block, "level", *cell]
-    )
-    pairs = pairs.withColumn("dist", gap)
+        near = [F.greatest(lo - q, q - hi, zero) for lo, hi, q in zip(low, high, at)]
+        far = [F.greatest(F.abs(q - lo), F.abs(q - hi)) for lo, hi, q in zip(low, high, at)]
+        least, most = distance(near, [zero] * len(axes)), distance(far, [zero] * len(axes))
+        return F.struct(kid["__node"].alias("__node"), least.alias("__least"), most.alias("__most"))
+
+    def found(front: DataFrame) -> DataFrame:
+        """The best point of every leaf a query stands before."""
+        gaps = F.transform("__points", lambda p: F.struct(distance(at, [p[a] for a in axes]).alias("dist"), p["nearest"].alias("nearest")))
+        held = small(leaves.select(*block, "__node", "__points"), leaves)
+        return front.join(held, [*block, "__node"]).select(*query, F.array_min(gaps).alias("__m"))
+
+    root = F.lit(0).cast("long").alias("__node")
+    if crowded is None:
+        best = found(asked.select("*", root))
+    else:
+        front = asked.join(small(crowded), block, "left_semi").select("*", root)
+        for level in reversed(levels):
+            nodes = small(level.select(*block, F.col("__parent").alias("__node"), "__kids"), level)
+            seen = front.join(nodes, [*block, "__node"]).select(*query, F.transform("__kids", bounded).alias("__kids"))
+            bound = F.array_min(F.transform("__kids", lambda k: k["__most"])) * SLACK
+            kept = seen.withColumn("__bound", bound)
+            kept = kept.select(*query, F.inline(F.filter("__kids", lambda k: k["__least"] <= F.col("__bound"))))
+            # a query stands before a few nodes at a time, so its window stays small
+            best = F.min("__most").over(Window.partitionBy(*query)) * SLACK
+            kept = kept.withColumn("__bound", best).filter(F.col("__least") <= F.col("__bound"))
+            if within is not None:
+                kept = kept.filter(F.col("__least") <= within * SLACK)
+            front = kept.select(*query, "__node")
+        deep = found(front).groupBy(*query).agg(F.min("__m").alias("__m"))
+        flat = found(asked.join(small(crowded), block, "left_anti").select("*", root))
+        best = flat.unionByName(deep)
     if within is not None:
-        pairs = pairs.filter(F.col("dist") <= within)
-    best = pairs.groupBy(*query).agg(F.min(F.struct("dist", "nearest")).alias("__m"))
+        best = best.filter(F.col("__m.dist") <= within)
     best = best.select(
         *block, *[F.col(f"q_{a}").alias(a) for a in axes], F.col("__m.nearest").alias("nearest"), F.col("__m.dist").alias("dist")
     )

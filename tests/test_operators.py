@@ -218,6 +218,7 @@ def test_permutation_keeps_group_totals(spark, scored, tiny_groups):
 @pytest.mark.parametrize("leaf", [64, 3])
 def test_nearest_is_brute_force(spark, leaf, monkeypatch):
     monkeypatch.setattr(M, "LEAF", leaf)
+    monkeypatch.setattr(M, "WHOLE", leaf)
     rng = np.random.default_rng(1)
     ref = pd.DataFrame(rng.random((120, 3)).round(2), columns=["x", "y", "z"])
     ref.loc[:40, ["x", "y", "z"]] = 0.5  # copies of one place
@@ -240,6 +241,52 @@ def test_nearest_is_brute_force(spark, leaf, monkeypatch):
                 assert r.nearest == best[1]
 
 
+def _brute_nearest(pred, ref, axes):
+    out = {}
+    for q in pred.itertuples():
+        part = ref[(ref.b == q.b) & np.isfinite(ref[axes].to_numpy(float)).all(axis=1)]
+        place = np.array([getattr(q, a) for a in axes], float)
+        if len(part) and np.isfinite(place).all():
+            out[q.id] = min(zip(np.sqrt(((part[axes].to_numpy(float) - place) ** 2).sum(axis=1)), part.label))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 50])
+@pytest.mark.parametrize("axes", [["x", "y", "z"], ["x"]])
+def test_nearest_with_far_outliers_and_missing_places(spark, axes, limit, monkeypatch):
+    monkeypatch.setattr(M, "LEAF", 4)
+    monkeypatch.setattr(M, "WHOLE", 4)
+    rng = np.random.default_rng(5)
+    ref = pd.DataFrame(rng.normal(0, 1e-6, (500, 3)), columns=["x", "y", "z"])
+    ref.loc[0, "x"], ref.loc[1, "y"] = 1e300, -1e12  # nearly all points lie in a speck beside these
+    ref.loc[2, "x"], ref.loc[3, "x"], ref.loc[4, "x"] = np.nan, np.inf, -np.inf
+    ref["b"], ref["label"] = np.where(np.arange(500) < 460, 0, 1 + np.arange(500) % 15), np.arange(500)
+    pred = pd.DataFrame(rng.normal(0, 2e-6, (80, 3)), columns=["x", "y", "z"])
+    pred.loc[0, "x"], pred.loc[1, "x"], pred.loc[2, "x"] = 1e12, np.nan, np.inf
+    pred["b"], pred["id"] = np.arange(80) % 2 * np.arange(80) % 20, np.arange(80)
+    spark.conf.set("spark.tallyframe.groupRows", str(limit))
+    try:
+        rows = M.nearest(spark.createDataFrame(pred), spark.createDataFrame(ref), ["b"], axes, "label").collect()
+    finally:
+        spark.conf.unset("spark.tallyframe.groupRows")
+    want = _brute_nearest(pred, ref, axes)
+    assert len(rows) == 80 and len(want) < 80
+    for r in rows:
+        assert (r.dist, r.nearest) == ((None, None) if r.id not in want else (pytest.approx(want[r.id][0], rel=1e-12), want[r.id][1]))
+
+
+def test_leaves_are_never_overfull_and_height_follows_the_count(spark, monkeypatch):
+    monkeypatch.setattr(M, "LEAF", 4)
+    monkeypatch.setattr(M, "WHOLE", 4)
+    rows = [(0, 10.0 ** (i % 300), float(i), i) for i in range(257)] + [(1, 0.0, float(i), i) for i in range(4)]
+    points = spark.createDataFrame(rows, "b int, x double, y double, nearest int")
+    leaves, levels, crowded = M._tree(points, ["b"], ["x", "y"])
+    sizes = leaves.select("b", F.size("__points").alias("n")).collect()
+    assert max(r.n for r in sizes) == 4 and sum(r.n for r in sizes) == 261
+    assert len(sizes) == 65 + 1 and [r.b for r in crowded.collect()] == [0]
+    assert [level.count() for level in levels] == [17, 5, 2, 1]
+
+
 def test_identification_direction_and_tolerance(spark):
     schema = "cluster string, label int, x double, y double, z double"
     truth = spark.createDataFrame([("a", 1, 0.0, 0.0, 0.0), ("a", 2, 10.0, 0.0, 0.0), ("a", 3, 100.0, 0.0, 0.0), ("b", 1, 0.0, 0.0, 0.0), ("c", 1, 0.0, 0.0, 0.0)], schema)
