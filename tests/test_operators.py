@@ -241,6 +241,21 @@ def test_nearest_is_brute_force(spark, leaf, monkeypatch):
                 assert r.nearest == best[1]
 
 
+def test_nearest_reads_predictions_once(spark):
+    """Places that come out otherwise each time they are worked out, as averages may on executors, are still found."""
+
+    def anew(batches):
+        for pdf in batches:
+            yield pdf.assign(x=np.random.default_rng().random(len(pdf)))
+
+    pred = spark.range(0, 40, 1, 2).selectExpr("cast(id % 3 as int) as b", "id", "0D as x").mapInPandas(anew, "b int, id long, x double")
+    ref = spark.createDataFrame([(b, i / 10, i) for b in range(3) for i in range(10)], "b int, x double, label int")
+    rows = M.nearest(pred, ref, ["b"], ["x"], "label").collect()
+    assert len(rows) == 40
+    for r in rows:
+        assert (r.dist, r.nearest) == min((abs(r.x - i / 10), i) for i in range(10))
+
+
 def _brute_nearest(pred, ref, axes):
     out = {}
     for q in pred.itertuples():
