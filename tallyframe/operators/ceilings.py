@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tallyframe.functions.columns import defined
 from tallyframe.functions.ordered import spread
 from tallyframe.operators.detection import auc
-from tallyframe.operators.replicates import Labels, as_arrays, key_runs
+from tallyframe.operators.replicates import STRIP, Labels, as_arrays, key_runs
 from tallyframe.session import cut, ship
 
 ship(__name__)
@@ -25,7 +25,9 @@ ship(__name__)
 SWEEPS = 8
 GAIN = 1e-12
 CELLS = 5_000  # most cells of category and channel; a cube holds the square of that
-CELL_ROWS = 8_000_000  # rows times cells worked on at once
+CELL_ROWS = 8_000_000  # rows times cells, or times columns of weights, worked on at once
+PIECE_CHUNKS = 32  # such chunks in a piece
+GROUPS = 32  # most groups of replicates
 
 
 def best_fixed_channel(scored: DataFrame, keys: list[str], channel: str = "channel") -> DataFrame:
@@ -130,40 +132,64 @@ class Cube:
         return cls(flat[2 : 2 + size * size].reshape(size, size), rest[0], rest[1], *borders)
 
 
-def rows_cubes(cell: np.ndarray, score: np.ndarray, p: np.ndarray, n: np.ndarray, size: int) -> list[Cube]:
-    """A cube per column of the weights ``p, n`` of rows in score order."""
-    group = np.cumsum(np.r_[False, score[1:] != score[:-1]])
-
-    def above(groups: np.ndarray, of: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Per score group and cell twice the weight above it, its own once."""
-        table = np.bincount(groups * size + of, weights=weights, minlength=(groups[-1] + 1) * size).reshape(-1, size)
-        return 2 * (table.sum(0) - np.cumsum(table, axis=0)) + table
-
-    # where every column has the same rows, correct rows are all rows but the errors, and errors are few
-    both = p[:, 0] + n[:, 0]
-    same = bool((p + n == both[:, None]).all())
-    every = above(group, cell, both) if same else None
-    out = []
-    for c in range(p.shape[1]):
-        wp, wn = p[:, c], n[:, c]
-        mine = np.flatnonzero(wp)
-        wins = np.zeros((size, size), np.int64)
-        if len(mine):
-            if same:
-                groups, at = np.unique(group[mine], return_inverse=True)
-                correct = every[groups] - above(at, cell[mine], wp[mine])
-            else:
-                correct, at = above(group, cell, wn), group[mine]
-            order = np.argsort(cell[mine], kind="stable")
-            starts = np.flatnonzero(np.diff(cell[mine][order], prepend=-1))
-            wins[cell[mine][order][starts]] = np.add.reduceat(wp[mine][order][:, None] * correct[at[order]], starts, axis=0)
-        totals = [np.bincount(cell, weights=w, minlength=size).astype(np.int64) for w in (wp, wn)]
-        ends = []
-        for g in (0, group[-1]):
-            mine = group == g
-            ends.append(Border(float(score[mine][0]), *[np.bincount(cell[mine], weights=w[mine], minlength=size).astype(np.int64) for w in (wp, wn)]))
-        out.append(Cube(wins, *totals, *ends))
-    return out
+class Chunk:
+    """Rows in score order, cut into blocks of few rows: the pairs inside a block are listed once for all columns, the
+    pairs between blocks are a product of the blocks' cell counts. Tied scores are never cut; a score with many rows is
+    a block of its own, where every pair is a tie."""
+
+    def __init__(self, cell: np.ndarray, score: np.ndarray, size: int):
+        self.cell, self.score, self.size = cell.astype(np.int64), score, size
+        width = max(8, size // 8)  # listing pairs grows with the rows of a block, the product with the number of blocks
+        starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+        self.starts, sizes = starts, np.diff(np.r_[starts, len(score)])
+        group = np.repeat(np.arange(len(starts)), sizes)
+        big = sizes >= width
+        edge = big.copy()
+        edge[0] = False
+        edge[1:] |= big[:-1] | (starts[1:] // width != starts[:-1] // width)
+        of_group = np.cumsum(edge)
+        block, self.blocks = of_group[group], int(of_group[-1]) + 1
+        self.place = block * size + self.cell
+        self.lone = np.bincount(of_group) == 1
+        mixed = ~self.lone[block]
+        less, same = [], [np.flatnonzero(mixed)[None].repeat(2, 0)]
+        for step in range(1, 2 * width):
+            low = np.flatnonzero(mixed[:-step] & (block[step:] == block[:-step])) if step < len(block) else np.empty(0, np.int64)
+            if not len(low):
+                break
+            tied = group[low] == group[low + step]
+            less.append(np.stack([low, low + step])[:, ~tied])
+            ties = np.stack([low, low + step])[:, tied]
+            same += [ties, ties[::-1]]
+        self.strict = sum(x.shape[1] for x in less)
+        self.error, self.correct = np.concatenate([*less, *same], axis=1)
+        self.code = self.cell[self.error] * size + self.cell[self.correct]
+
+    def cube(self, p: np.ndarray, n: np.ndarray) -> Cube:
+        size = self.size
+        table_p, table_n = (np.bincount(self.place, weights=w, minlength=self.blocks * size).reshape(-1, size) for w in (p, n))
+        sum_p, sum_n = table_p.sum(0), table_n.sum(0)
+        beside = 2 * (sum_n - np.cumsum(table_n, axis=0))
+        beside[self.lone] += table_n[self.lone]
+        wins = table_p.T @ beside
+        if len(self.code):
+            pairs = p[self.error] * n[self.correct]
+            pairs[: self.strict] *= 2
+            wins += np.bincount(self.code, weights=pairs, minlength=size * size).reshape(size, size)
+        first, last = (
+            Border(float(self.score[at][0]), *[np.bincount(self.cell[at], weights=w[at], minlength=size).astype(np.int64) for w in (p, n)])
+            for at in (slice(0, self.starts[1] if len(self.starts) > 1 else None), slice(self.starts[-1], None))
+        )
+        return Cube(wins.astype(np.int64), sum_p.astype(np.int64), sum_n.astype(np.int64), first, last)
+
+
+def rows_cubes(cell: np.ndarray, score: np.ndarray, arrays: dict[str, np.ndarray], weigher, size: int) -> Iterator[Cube]:
+    """A cube per column of the weigher from rows in score order; a strip of columns has its weights at a time."""
+    chunk = Chunk(cell, score, size)
+    for low in range(0, weigher.columns, STRIP):
+        high = min(weigher.columns, low + STRIP)
+        p, n = (np.ascontiguousarray(w.T) for w in weigher.weights(arrays, low, high))
+        yield from map(chunk.cube, p, n)
 
 
 def climb(cube: Cube, categories: int, channels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +260,8 @@ def cubes(rows: DataFrame, keys: list[str], weigher, cells: Cells, groups: int =
     size = cells.size
     kinds = dict(rows.dtypes)
     count = rows.count()
-    pieces = groups * max(1, math.ceil(count * size / CELL_ROWS))
+    # a piece of many chunks sends as many bytes as one of few, so pieces of many columns are long
+    pieces = groups * max(1, math.ceil(count * size / CELL_ROWS / (PIECE_CHUNKS if groups > 1 else 1)))
     chosen = rows.select(*keys, "cell", "score", *weigher.payload)
     if groups > 1:
         step = weigher.bytes_of(groups)
@@ -250,7 +277,7 @@ def cubes(rows: DataFrame, keys: list[str], weigher, cells: Cells, groups: int =
     out_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, most = TaskContext.get().partitionId(), max(1, CELL_ROWS // size)
+        piece, most = TaskContext.get().partitionId(), max(1, CELL_ROWS // max(size, 4 * STRIP))
         held: list[pa.RecordBatch] = []
         key, total, size_held = None, None, 0
 
@@ -260,9 +287,8 @@ def cubes(rows: DataFrame, keys: list[str], weigher, cells: Cells, groups: int =
                 table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 arrays = as_arrays(table, weigher.payload)
                 part = weigher if groups == 1 else weigher.part(groups, key[-1])
-                p, n = part.weights(arrays, 0, part.columns)
-                new = rows_cubes(table.column("cell").to_numpy(), table.column("score").to_numpy(), p, n, size)
-                total = new if total is None else [a.then(b) for a, b in zip(total, new)]
+                new = rows_cubes(table.column("cell").to_numpy(), table.column("score").to_numpy(), arrays, part, size)
+                total = list(new) if total is None else [a.then(b) for a, b in zip(total, new)]
                 held, size_held = [], 0
 
         def sent() -> Iterator[pa.RecordBatch]:
@@ -357,7 +383,7 @@ def best_mapping(scored: DataFrame, keys: list[str]) -> DataFrame:
     return searched(found, keys, cells, answer, schema)
 
 
-def mapping_draws(rows: DataFrame, weigher, cells: Cells, groups: int = 8) -> DataFrame:
+def mapping_draws(rows: DataFrame, weigher, cells: Cells, groups: int = GROUPS) -> DataFrame:
     """``rep, auc``: the best mapping under every replicate's labels, from rows of (cell, score, mask)."""
 
     def answer(columns: list[int], whole: list[Cube]) -> pa.Table:
@@ -368,7 +394,7 @@ def mapping_draws(rows: DataFrame, weigher, cells: Cells, groups: int = 8) -> Da
     return searched(cubes(rows, [], weigher, cells, groups), [], cells, answer, "rep int, auc double")
 
 
-def cell_pairs(rows: DataFrame, weigher, cells: Cells, groups: int = 8) -> DataFrame:
+def cell_pairs(rows: DataFrame, weigher, cells: Cells, groups: int = GROUPS) -> DataFrame:
     """``rep, category, channel, other_category, other_channel, pairs``: how often an error of one cell scores below a
     correct row of the other, ties half; pairs of cells that never do are left out."""
 

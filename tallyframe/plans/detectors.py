@@ -580,7 +580,7 @@ def mapping_null_heldout(group):
         numbered = long_rules(feats, DOC_RULES, "channel").join(small(clusters), "cluster")
         real = C.held_out_mappings(C.score_cells(numbered, [], ["idx"], cells), halves, cells).agg(F.avg("auc").alias("want"))
         rows = cell_masks(feats, cells, group, HELD_REPS, clusters)
-        held = C.held_out_mappings(rows, LabelsInHalves(HELD_REPS, halves), cells, 8)
+        held = C.held_out_mappings(rows, LabelsInHalves(HELD_REPS, halves), cells, C.GROUPS)
         means = held.groupBy(F.floor(F.col("column") / (2 * SPLITS)).alias("rep")).agg(F.avg("auc").alias("auc"))
         return null_rows(means, real, f"heldout_{group}")
 

@@ -595,6 +595,45 @@ def test_held_out_mappings(spark, monkeypatch, cell_rows):
             assert got == pytest.approx(pairwise(score, labels[out]), abs=1e-12)
 
 
+@pytest.mark.parametrize("size, rows, ties", [(3, 1, 3), (3, 40, 5), (12, 300, 40), (70, 900, 300), (5, 300, 2), (40, 700, 10**6)])
+def test_cubes_are_all_pairs_a_strip_of_columns_at_a_time(size, rows, ties):
+    rng = np.random.default_rng(rows)
+    cell, score = rng.integers(0, size, rows), np.sort(rng.integers(0, ties, rows) / ties)
+    p, n = rng.integers(0, 3, (2, rows, 2 * E.STRIP + 3)).astype(float)
+
+    class Weigher:
+        columns, widest = p.shape[1], 0
+
+        def weights(self, arrays, low, high):
+            self.widest = max(self.widest, high - low)
+            return p[:, low:high], n[:, low:high]
+
+    weigher = Weigher()
+    found = list(C.rows_cubes(cell, score, {}, weigher, size))
+    assert weigher.widest == E.STRIP and len(found) == weigher.columns
+    twice = 2 * (score[:, None] < score) + (score[:, None] == score)
+    for column in (0, E.STRIP, 2 * E.STRIP + 2):
+        want = np.zeros((size, size), np.int64)
+        np.add.at(want, (cell[:, None], cell[None]), (twice * p[:, column][:, None] * n[:, column]).astype(int))
+        assert (found[column].wins == want).all()
+        for got, weight in ((found[column].p, p), (found[column].n, n)):
+            assert (got == np.bincount(cell, weights=weight[:, column], minlength=size)).all()
+        for border in (found[column].first, found[column].last):
+            there = score == border.score
+            assert (border.p == np.bincount(cell[there], weights=p[there, column], minlength=size)).all()
+
+
+def test_mapping_null_over_pieces_of_many_chunks(spark, monkeypatch):
+    """Replicates in groups, several ranges of scores each, and several chunks in a range."""
+    rows, wrong = mapping_rows()
+    df = spark.createDataFrame([r[:4] for r in rows], "id int, category string, channel int, score double")
+    masks = B.permuted_masks(spark.createDataFrame(list(enumerate(wrong)), "id int, wrong boolean"), [], "id", "wrong", 20, 2)
+    whole = {r.rep: r.auc for r in C.mapping_null(df, masks, "id", 20).collect()}
+    monkeypatch.setattr(C, "CELL_ROWS", 2048)
+    monkeypatch.setattr(C, "PIECE_CHUNKS", 0.4)
+    assert {r.rep: r.auc for r in C.mapping_null(df, masks, "id", 20).collect()} == whole
+
+
 def test_worker_functions_travel_by_value():
     from pyspark import cloudpickle
 
