@@ -256,6 +256,15 @@ def test_nearest_reads_predictions_once(spark):
         assert (r.dist, r.nearest) == min((abs(r.x - i / 10), i) for i in range(10))
 
 
+def test_nearest_keeps_the_number_of_its_tasks(spark):
+    """Few bytes and much work a row: what the walk starts from is dealt into a fixed number of partitions."""
+    rows = [(0, float(i % 37), float(i % 101), i) for i in range(700)]
+    points = spark.createDataFrame(rows, "b int, x double, y double, label int")
+    out = M.nearest(points.drop("label"), points, ["b"], ["x", "y"], "label")
+    assert all(r.dist == 0 for r in out.collect())
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
+
+
 def _brute_nearest(pred, ref, axes):
     out = {}
     for q in pred.itertuples():
