@@ -7,6 +7,7 @@ The curve is a least-squares polynomial of degree min(degree, n-1) in chord leng
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ MIN_POINTS = 4
 MIN_REGION = 4
 SAMPLES = 1000
 _BATCH = 256
+PART_ROWS = 250_000  # items of a partition that is folded cluster by cluster
 FLAT = 1e-12  # a polynomial of that size over the places says nothing
 
 # The four decision rules (score, z threshold, floor of the deviation, least residual).
@@ -159,11 +161,26 @@ def _residual_arrays(cluster: np.ndarray, region: np.ndarray, xy: np.ndarray, de
     return out
 
 
+STATS = {f"__{s}{k}": v for s, v in (("r", "residual"), ("l", "loo_residual")) for k in "msk"}
+
+
+def _cluster_stats(cluster: np.ndarray, clusters: int, values: np.ndarray) -> list[np.ndarray]:
+    """Mean, population deviation and number of the defined values of each point's cluster, one per point."""
+    known = ~np.isnan(values)
+    at = cluster[known]
+    k = np.bincount(at, minlength=clusters)
+    mean = np.divide(np.bincount(at, weights=values[known], minlength=clusters), k, out=np.full(clusters, np.nan), where=k > 0)
+    spread = np.bincount(at, weights=(values[known] - mean[at]) ** 2, minlength=clusters)
+    spread = np.sqrt(np.divide(spread, k, out=np.full(clusters, np.nan), where=k > 0))
+    return [mean[cluster], spread[cluster], k[cluster].astype(np.int64)]
+
+
 def curve_residuals(centers: DataFrame, keys: list[str], degree: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Residual facts per item of (keys, ord, region, x, y); items without a region only shape fits.
 
     There is one row per cluster and category, so a cluster is a short list whatever the table's
-    size.  Columns named in ``carry`` ride along.
+    size.  Columns named in ``carry`` ride along.  ``__rm, __rs, __rk`` and ``__lm, __ls, __lk``: mean, population
+    deviation and number of both residuals in the cluster, which is whole here, for ``score_items``.
 
     A region of at least four members is fitted on its own, in sample; smaller ones use the
     whole cluster.  ``loo_residual`` always refits without the item.  ``deployed_residual`` is
@@ -174,6 +191,7 @@ def curve_residuals(centers: DataFrame, keys: list[str], degree: int, carry: tup
     packed = centers.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("pts"))
     kinds = {f.name: f.dataType.simpleString() for f in centers.schema.fields}
     facts = "idx int, region_size int, n_fit int, residual double, loo_residual double, rms_x double, rms_y double"
+    facts += ", " + ", ".join(f"{c} {'bigint' if c.endswith('k') else 'double'}" for c in STATS)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*keys, "ord", "region", *carry]], facts])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +208,9 @@ def curve_residuals(centers: DataFrame, keys: list[str], degree: int, carry: tup
             columns += [flat.field(c).take(pa.array(keep)) for c in ("ord", "region", *carry)]
             names = ["idx", "region_size", "n_fit", "residual", "loo_residual", "rms_x", "rms_y"]
             columns += [pa.array(found[c][keep]) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "ord", "region", *carry, *names])
+            for c in ("residual", "loo_residual"):
+                columns += [pa.array(x) for x in _cluster_stats(cluster[keep], len(lists), found[c][keep])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "ord", "region", *carry, *names, *STATS])
 
     out = packed.mapInArrow(solve, schema)
     for name in ("residual", "loo_residual", "rms_x", "rms_y"):
@@ -231,6 +251,12 @@ def robust_z(rows: DataFrame, keys: list[str], value: str, floor: Column | float
     return out.withColumn(name, (F.col(value) - F.col("__med")) / scale).drop("__med", "__dev", "__mad")
 
 
+def by_cluster(rows: DataFrame, cluster: list[str], count: int) -> DataFrame:
+    """All rows of a cluster in one partition; partitions grow in number with ``count``, not in size."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / PART_ROWS)), *cluster)
+
+
 def with_rules(rows: DataFrame, presets: list[tuple] = PRESETS) -> DataFrame:
     """Every item once per decision rule (a short fixed list)."""
     options = F.array(
@@ -248,11 +274,12 @@ def with_rules(rows: DataFrame, presets: list[tuple] = PRESETS) -> DataFrame:
     return rows.withColumn("__r", F.explode(options)).select(*rows.columns, "__r.*")
 
 
-def score_items(resid: DataFrame, keys: list[str], px_mm: float = 1.0, presets: list[tuple] = PRESETS) -> DataFrame:
+def score_items(resid: DataFrame, keys: list[str], px_mm: float = 1.0, presets: list[tuple] = PRESETS, whole: bool = False) -> DataFrame:
     """Pooled z of both residuals under each rule's floor, and the pair each rule tests.
 
     Mean and deviation do not depend on the rule, so they are taken once per cluster (one row
-    per category) before the rules multiply the rows.  ``z_robust`` takes median and 1.4826 times the median
+    per category) before the rules multiply the rows; ``whole`` rows bring them: all that ``curve_residuals`` gave for the
+    same keys.  ``z_robust`` takes median and 1.4826 times the median
     absolute deviation of the cluster instead. z is rounded to nine places: with two
     items it is exactly 1, and whether it passes a threshold of 1 must not hang on the order
     of summation.
@@ -261,10 +288,10 @@ def score_items(resid: DataFrame, keys: list[str], px_mm: float = 1.0, presets:
     if unknown:
         raise ValueError(f"unknown scores: {sorted(unknown)}")
     over = Window.partitionBy(*keys)
-    stats = {}
-    for name, col in (("r", "residual"), ("l", "loo_residual")):
-        stats |= {f"__{name}m": F.avg(col), f"__{name}s": F.stddev_pop(col), f"__{name}k": F.count(col)}
-    rows = resid.select("*", *[a.over(over).alias(n) for n, a in stats.items()])
+    rows = resid
+    if not whole:
+        how = {"m": F.avg, "s": F.stddev_pop, "k": F.count}
+        rows = resid.drop(*STATS).select("*", *[how[n[-1]](c).over(over).alias(n) for n, c in STATS.items()])
     if any(uses == "z_robust" for _, uses, *_ in presets):
         rows = rows.withColumn("__med", F.percentile("residual", F.lit(0.5)).over(over))
         rows = rows.withColumn("__mad", F.percentile(F.abs(F.col("residual") - F.col("__med")), F.lit(0.5)).over(over))
@@ -281,7 +308,7 @@ def score_items(resid: DataFrame, keys: list[str], px_mm: float = 1.0, presets:
     scale = F.greatest(F.lit(1.4826) * F.col("__mad"), F.col("std_floor"))
     robust = F.round((F.col("residual") - F.col("__med")) / scale, 9)
     tested = F.when(loo, z("loo_residual", "l")).when(F.col("uses") == "z_robust", robust).otherwise(z("residual", "r"))
-    return rows.withColumn("tested", tested).withColumn("tested_mm", mm).drop(*stats, "__med", "__mad")
+    return rows.withColumn("tested", tested).withColumn("tested_mm", mm).drop(*STATS, "__med", "__mad")
 
 
 def flag(threshold: Column | None = None) -> Column:
@@ -358,9 +385,9 @@ def false_positives(scored: DataFrame, cluster: list[str]) -> DataFrame:
 def paired_injection(scored: DataFrame, cluster: list[str]) -> DataFrame:
     """Detection per corruption and rule, next to the same clusters before corruption.
 
-    All variants of a cluster are brought together once; everything after is local to it.
+    Everything is local to a cluster with all its variants: rows that are partitioned by cluster stay where they are.
     """
-    rows = scored.repartition(*cluster).withColumn("flagged", flag())
+    rows = scored.withColumn("flagged", flag())
     before = F.max(F.when(F.col("variant") == "clean", F.col("flagged")))
     pair = Window.partitionBy(*cluster, "ord", "rule")
     marked = rows.withColumn("was", F.coalesce(before.over(pair), F.lit(False))).filter("variant <> 'clean'")

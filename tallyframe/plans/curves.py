@@ -22,6 +22,7 @@ from tallyframe.plans.base import (
 )
 from tallyframe.plans.registry import REGISTRY, query
 from tallyframe.session import cut
+from tallyframe.sources.tables import table
 
 KEY = ["cluster"]
 SQL_RESID = SQL_CENTERS + "," + sql_residuals("centers", "cluster")
@@ -34,14 +35,15 @@ def residuals(spark, sf, degree=1):
 
 
 def tested(spark, sf, degree=1):
-    return C.score_items(residuals(spark, sf, degree), KEY)
+    return C.score_items(residuals(spark, sf, degree), KEY, whole=True)
 
 
 def tested_variants(spark, sf, degree=1, offset=10.0):
     """Every corruption fitted once; the marks of changed items ride along."""
     rows = C.inject(centers(spark, sf), KEY, offset)
     keys = ["variant", *KEY]
-    return C.score_items(C.curve_residuals(rows, keys, degree, ("perturbed", "site")), keys)
+    resid = C.by_cluster(C.curve_residuals(rows, keys, degree, ("perturbed", "site")), KEY, table(spark, sf, "lineitem").count())
+    return C.score_items(resid, keys, whole=True)
 
 
 RESIDUAL_COLUMNS = "cluster, ord::BIGINT AS ord, region, scope, n_fit::BIGINT AS n_fit, round(residual, 5) AS residual"
@@ -81,7 +83,7 @@ FLAG_COUNTS_SQL = " SELECT rule, count(*)::BIGINT AS n, count(tested)::BIGINT AS
 
 @query("flag_rules_cubic", "WITH" + SQL_CUBIC_TESTED + FLAG_COUNTS_SQL)
 def flag_rules_cubic(spark, sf):
-    return C.score_items(residuals(spark, sf, 3), KEY).groupBy("rule").agg(
+    return C.score_items(residuals(spark, sf, 3), KEY, whole=True).groupBy("rule").agg(
         F.count(F.lit(1)).alias("n"), F.count("tested").alias("n_tested"), F.count_if(C.flag()).alias("n_flagged"), F.round(F.avg("tested"), 4).alias("mean_z")
     )
 
@@ -137,7 +139,7 @@ SELECT rule, count(*)::BIGINT AS n, count(z)::BIGINT AS n_tested, (count(*) FILT
 )
 def flag_rules_robust(spark, sf):
     """The decision rules on robust z."""
-    scored = C.score_items(residuals(spark, sf), KEY, presets=ROBUST)
+    scored = C.score_items(residuals(spark, sf), KEY, presets=ROBUST, whole=True)
     return scored.groupBy("rule").agg(
         F.count(F.lit(1)).alias("n"), F.count("tested").alias("n_tested"), F.count_if(C.flag()).alias("n_flagged"), F.round(F.avg("tested"), 4).alias("mean_z")
     )
@@ -233,7 +235,7 @@ def masking_curve(spark, sf, degree=1):
     moved = rows.withColumn("offset_mm", F.explode(F.array(*[F.lit(o) for o in OFFSETS])))
     moved = moved.withColumn("x", F.col("x") + F.when(F.col("away") == 0, F.col("offset_mm")).otherwise(0.0))
     keys = ["offset_mm", *KEY]
-    scored = C.score_items(C.curve_residuals(moved, keys, degree, ("away",)), keys).withColumn("flagged", C.flag().cast("double"))
+    scored = C.score_items(C.curve_residuals(moved, keys, degree, ("away",)), keys, whole=True).withColumn("flagged", C.flag().cast("double"))
     # only the moved item and its two neighbours are reported
     scored = cut(scored.filter(F.abs("away") <= 1).select("offset_mm", "away", "rule", "residual", "loo_residual", "flagged"))
     site, one = F.col("away") == 0, F.col("rule") == "deployed"

@@ -661,6 +661,19 @@ def test_robust_preset_uses_median_and_deviation(spark):
         score_items(df, ["cluster"], presets=[("x", "z_other", 1.5, 0.1, 0.0)])
 
 
+def test_residuals_bring_the_statistics_of_their_cluster(spark):
+    rng = np.random.default_rng(6)
+    rows = [(c, o, "A" if o < 3 else "B" if o < 8 else None, *map(float, rng.random(2))) for c in range(30) for o in range(1 + c % 11)]
+    centers = spark.createDataFrame(rows, "c int, ord int, region string, x double, y double")
+    resid = K.curve_residuals(centers, ["c"], 1)
+    mine, want = ({(r.c, r.ord, r.rule): r for r in K.score_items(resid, ["c"], whole=w).collect()} for w in (True, False))
+    assert mine.keys() == want.keys() and any(r.tested is None for r in want.values())
+    for at, r in want.items():
+        assert mine[at].tested == (None if r.tested is None else pytest.approx(r.tested, abs=2e-9))
+    parts = K.by_cluster(resid, ["c"], 40 * K.PART_ROWS)
+    assert parts.rdd.getNumPartitions() == 40
+
+
 def test_null_channel_mean_counts_as_zero(spark):
     from tallyframe.operators.rules import score_rules
 
