@@ -34,7 +34,7 @@ from tallyframe.session import ship
 
 ship(__name__)
 
-LIMIT = 4 << 20
+LIMIT = 2 << 20
 # Links written out pair by pair at once; larger groups are worked on by their distinct ids.
 GROUP_LINKS = 1 << 12
 B_BITS = 20  # an id pair is a << B_BITS | b
