@@ -24,7 +24,9 @@ ship(__name__)
 MIN_POINTS = 4
 MIN_REGION = 4
 SAMPLES = 1000
-_BATCH = 256
+STRETCHES = 27  # of 37 steps between samples each
+_BATCH = 512  # searches at a time, so that their tables stay in a core's cache
+ROUNDING = 1e-12  # of the squared reach of a curve: far above the rounding of a squared distance
 PART_ROWS = 250_000  # items of a partition that is folded cluster by cluster
 FLAT = 1e-12  # a polynomial of that size over the places says nothing
 
@@ -37,82 +39,138 @@ PRESETS = [
 ]
 
 
-def _fit(points: np.ndarray, asked: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+def _fit(points: np.ndarray, of: np.ndarray, asked: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
     """Distances of asked points to the curves through points, and fit RMS per axis.
 
-    points is (B, m, 2), asked is (B, q, 2); undefined fits give NaN.
+    points is (B, m, 2); asked is (N, 2), each with the number of its curve in ``of``. Undefined fits give NaN.
     """
     count, m = points.shape[:2]
-    resid = np.full(asked.shape[:2], np.nan)
-    rms = np.full((count, 2), np.nan)
-    if m < MIN_POINTS:
+    resid, rms = np.full(len(of), np.nan), np.full((count, 2), np.nan)
+    if m < MIN_POINTS or not count:
         return resid, rms
-    steps = np.sqrt((np.diff(points, axis=1) ** 2).sum(axis=2))
-    chord = np.concatenate([np.zeros((count, 1)), np.cumsum(steps, axis=1)], axis=1)
-    good = np.flatnonzero(chord[:, -1] > 0)
-    k = min(degree, m - 1)
-    width = _BATCH if k > 1 else 64 * _BATCH
-    for at in range(0, len(good), width):
-        pick = good[at : at + width]
-        t = chord[pick] / chord[pick, -1:]
-        if k == 1:
-            basis, coef = t[:, :, None] ** np.arange(k + 1), _line(t, points[pick])
-            resid[pick] = _to_line(coef, asked[pick])
-        else:
-            basis, sampled = _orthogonal(t, k)
-            size = (basis**2).sum(axis=1)[:, :, None]
-            coef = np.divide(basis.transpose(0, 2, 1) @ points[pick], size, out=np.zeros((len(pick), k + 1, 2)), where=size > FLAT)
-            curve = sampled @ coef
-            gaps = (asked[pick][:, :, None, 0] - curve[:, None, :, 0]) ** 2
-            gaps += (asked[pick][:, :, None, 1] - curve[:, None, :, 1]) ** 2
-            resid[pick] = np.sqrt(gaps.min(axis=2))
-        rms[pick] = np.sqrt(((points[pick] - basis @ coef) ** 2).mean(axis=1))
+    place = np.ascontiguousarray(points.transpose(2, 1, 0))  # (2, m, B): sums over the few points of a fit run along fits
+    steps = np.sqrt((np.diff(place, axis=1) ** 2).sum(axis=0))
+    chord = np.concatenate([np.zeros((1, count)), np.cumsum(steps, axis=0)])
+    good = chord[-1] > 0
+    place, t = place[:, :, good], chord[:, good] / chord[-1, good]
+    used = good[of]
+    curve = (np.cumsum(good) - 1)[of[used]]
+    if min(degree, m - 1) == 1:
+        coef = _line(t, place)
+        at_places = coef[0][:, None] + coef[1][:, None] * t
+        resid[used] = _to_line(coef, curve, asked[used].T)
+    else:
+        basis, shift, scale = _orthogonal(t, min(degree, m - 1))
+        size = [(q**2).sum(axis=0) for q in basis]
+        coef = [np.divide((q * place).sum(axis=1), n, out=np.zeros_like(place[:, 0]), where=n > FLAT) for q, n in zip(basis, size)]
+        at_places = sum(c[:, None] * q for c, q in zip(coef, basis))
+        resid[used] = _to_curve(np.stack(coef), shift, scale, curve, asked[used].T)
+    rms[good] = np.sqrt(((place - at_places) ** 2).mean(axis=1)).T
     return resid, rms
 
 
-def _orthogonal(t: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Polynomials orthogonal over the places ``t`` (B, m), by their three-term recurrence: their values at the places
-    (B, m, degree + 1) and at the samples. Coefficients are then plain sums, and a degree that the places cannot tell
-    apart (coincident points) has size 0."""
-    grid = np.broadcast_to(np.linspace(0.0, 1.0, SAMPLES), (len(t), SAMPLES))
-    at, on = [np.ones_like(t)], [np.ones_like(grid)]
-    size_before = None
-    for _ in range(degree):
-        size = (at[-1] ** 2).sum(axis=1, keepdims=True)
-        shift = np.divide((t * at[-1] ** 2).sum(axis=1, keepdims=True), size, out=np.zeros_like(size), where=size > FLAT)
-        new_at, new_on = (t - shift) * at[-1], (grid - shift) * on[-1]
+def _orthogonal(t: np.ndarray, degree: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Polynomials orthogonal over the places ``t`` (m, B), by their three-term recurrence: their values at the places
+    and the shifts and scales (degree, B) of the recurrence. Coefficients are then plain sums, and a degree that the
+    places cannot tell apart (coincident points) has size 0."""
+    at, size_before = [np.ones_like(t)], None
+    shift, scale = np.zeros((2, degree, t.shape[1]))
+    for d in range(degree):
+        size = (at[-1] ** 2).sum(axis=0)
+        shift[d] = np.divide((t * at[-1] ** 2).sum(axis=0), size, out=np.zeros_like(size), where=size > FLAT)
+        new = (t - shift[d]) * at[-1]
         if size_before is not None:
-            scale = np.divide(size, size_before, out=np.zeros_like(size), where=size_before > FLAT)
-            new_at, new_on = new_at - scale * at[-2], new_on - scale * on[-2]
-        at.append(new_at)
-        on.append(new_on)
+            scale[d] = np.divide(size, size_before, out=np.zeros_like(size), where=size_before > FLAT)
+            new = new - scale[d] * at[-2]
+        at.append(new)
         size_before = size
-    return np.stack(at, axis=2), np.stack(on, axis=2)
-
-
-def _line(t: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Straight least-squares fit: (B, 2, 2) with intercepts first."""
-    mid_t, mid = t.mean(axis=1, keepdims=True), points.mean(axis=1)
+    return at, shift, scale
+
+
+def _powers(coef: np.ndarray, shift: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The curves as sums of powers: their coefficients (degree + 1, 2, B), and how large the summands can get (2, B)."""
+    degree, count = shift.shape
+    out, reach = np.zeros_like(coef), np.zeros_like(coef[0])
+    before, own = np.zeros((degree + 1, count)), np.zeros((degree + 1, count))
+    own[0] = 1.0
+    for d in range(degree + 1):
+        out += coef[d] * own[:, None]
+        reach += np.abs(coef[d]) * np.abs(own).sum(axis=0)
+        if d < degree:
+            new = -shift[d] * own - scale[d] * before
+            new[1:] += own[:-1]
+            before, own = own, new
+    return out, reach
+
+
+def _stretches(degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of powers to Bernstein coefficients on each stretch of samples, (degree + 1, STRETCHES, degree + 1), and
+    those to the values at the samples of a stretch, both of its ends included."""
+    every = range(degree + 1)
+    local = np.array([[math.comb(r, j) / math.comb(degree, j) if j <= r else 0.0 for j in every] for r in every])
+    start, step = np.arange(STRETCHES) / STRETCHES, 1 / STRETCHES
+    moved = np.array([[math.comb(i, j) * start ** max(i - j, 0) * step**j for i in every] for j in every])  # comb is 0 for j > i
+    w = np.linspace(0.0, 1.0, (SAMPLES - 1) // STRETCHES + 1)
+    values = np.stack([math.comb(degree, r) * w**r * (1 - w) ** (degree - r) for r in every], axis=1)
+    return np.einsum("rj,jis->rsi", local, moved), values
+
+
+def _to_curve(coef: np.ndarray, shift: np.ndarray, scale: np.ndarray, curve: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Distance of each asked point (2, N) to the nearest of the samples of its curve.
+
+    The squared distance is a polynomial along the curve. On a stretch of samples it is nowhere below its least Bernstein
+    coefficient there, so only stretches that can hold the nearest sample are looked at, and of them only samples that
+    rounding cannot tell from the nearest are worked out as points of the curve. What is not a number drops nothing.
+    """
+    degree = len(shift)
+    powers, reach = _powers(coef, shift, scale)
+    square = np.zeros((2 * degree + 1, powers.shape[2]))
+    for i in range(degree + 1):
+        square[i : i + degree + 1] += (powers[i] * powers).sum(axis=1)
+    bounds, values = _stretches(2 * degree)
+    per, grid = len(values) - 1, np.linspace(0.0, 1.0, SAMPLES)
+    out = np.empty(len(curve))
+    for first in range(0, len(curve), _BATCH):
+        own, a = curve[first : first + _BATCH], asked[:, first : first + _BATCH]
+        gap = square[:, own]
+        gap[: degree + 1] -= 2 * (powers[:, :, own] * a).sum(axis=1)
+        gap[0] += (a**2).sum(axis=0)
+        doubt = ROUNDING * ((reach[:, own] + np.abs(a)) ** 2).sum(axis=0)
+        bern = (bounds.reshape(-1, 2 * degree + 1) @ gap).reshape(2 * degree + 1, STRETCHES, -1)
+        most = np.minimum(bern[0].min(axis=0), bern[-1, -1]) + doubt
+        search, stretch = np.nonzero(~(bern.min(axis=0) > most).T)
+        near = values @ bern[:, stretch, search]
+        begin = np.flatnonzero(np.diff(search, prepend=-1))
+        most = np.minimum.reduceat(near.min(axis=0), begin) + doubt
+        which, sample = np.nonzero(~(near > most[search]).T)
+        search = search[which]
+        s, c = grid[stretch[which] * per + sample], own[search]
+        x = coef[0][:, c]
+        before, at = 0.0, np.ones_like(s)
+        for d in range(degree):
+            before, at = at, (s - shift[d, c]) * at - scale[d, c] * before
+            x = x + coef[d + 1][:, c] * at
+        exact = ((a[:, search] - x) ** 2).sum(axis=0)
+        out[first : first + _BATCH] = np.minimum.reduceat(exact, np.flatnonzero(np.diff(search, prepend=-1)))
+    return np.sqrt(out)
+
+
+def _line(t: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Straight least-squares fit: intercepts and slopes, both (2, B)."""
+    mid_t, mid = t.mean(axis=0), place.mean(axis=1)
     off = t - mid_t
-    slope = (off[:, :, None] * (points - mid[:, None])).sum(axis=1) / (off**2).sum(axis=1)[:, None]
-    return np.stack([mid - slope * mid_t, slope], axis=1)
+    slope = (off * (place - mid[:, None])).sum(axis=1) / (off**2).sum(axis=0)
+    return mid - slope * mid_t, slope
 
 
-def _to_line(coef: np.ndarray, asked: np.ndarray) -> np.ndarray:
+def _to_line(coef: tuple[np.ndarray, np.ndarray], curve: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Distance to the nearest of the samples of a line: the sample next to the foot point."""
-    start, slope = coef[:, :1], coef[:, 1:]
-    size = (slope**2).sum(axis=2)
-    along = ((asked - start) * slope).sum(axis=2)
+    away, slope = asked - coef[0][:, curve], coef[1][:, curve]
+    size = (slope**2).sum(axis=0)
+    along = (away * slope).sum(axis=0)
     foot = np.divide(along, size, out=np.zeros_like(along), where=size > 0)
     at = np.rint(np.clip(foot, 0.0, 1.0) * (SAMPLES - 1)) / (SAMPLES - 1)
-    return np.sqrt(((asked - start - slope * at[:, :, None]) ** 2).sum(axis=2))
-
-
-def _without(index: np.ndarray) -> np.ndarray:
-    """(S, m) index rows -> (S, m, m-1): each row once without each of its members."""
-    m = index.shape[1]
-    rest = np.array([[j for j in range(m) if j != i] for i in range(m)], dtype=int).reshape(m, m - 1)
-    return index[:, rest]
+    return np.sqrt(((away - slope * at) ** 2).sum(axis=0))
 
 
 def _residual_arrays(cluster: np.ndarray, region: np.ndarray, xy: np.ndarray, degree: int) -> dict[str, np.ndarray]:
@@ -124,14 +182,16 @@ def _residual_arrays(cluster: np.ndarray, region: np.ndarray, xy: np.ndarray, de
     def settle(index: np.ndarray, keep: np.ndarray) -> None:
         """Fit each row of `index`; results go to the members marked in `keep`."""
         m = index.shape[1]
-        resid, rms = _fit(xy[index], xy[index], degree)
         rows, cols = np.nonzero(keep)
         to = index[rows, cols]
-        out["residual"][to] = resid[rows, cols]
+        resid, rms = _fit(xy[index], rows, xy[to], degree)
+        out["residual"][to] = resid
         out["rms_x"][to], out["rms_y"][to] = rms[rows, 0], rms[rows, 1]
         out["n_fit"][to] = m
-        rest = _without(index)[rows, cols]
-        out["loo_residual"][to] = _fit(xy[rest], xy[to][:, None], degree)[0][:, 0]
+        if m > MIN_POINTS:
+            others = np.array([[j for j in range(m) if j != i] for i in range(m)])
+            rest = index[rows[:, None], others[cols]]
+            out["loo_residual"][to] = _fit(xy[rest], np.arange(len(to)), xy[to], degree)[0]
 
     def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge = np.zeros(len(keys[0]), dtype=bool)

@@ -1,6 +1,7 @@
 """Operators against small fixed tables, brute force and published arithmetic."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -480,6 +481,52 @@ def test_pooled_z_bound_and_guard(spark):
     assert {r.rule: r.f for r in flags} == {"deployed": True, "guarded": False, "loo": False, "loo_raw": True}
 
 
+def _places(seed, clusters):
+    """Clusters of seven or fewer points in places of every kind: copies, straight rows, very large and undefined ones."""
+    rng = np.random.default_rng(seed)
+    cluster = np.repeat(np.arange(clusters), rng.integers(1, 8, clusters))
+    xy = np.stack([rng.integers(1, 51, len(cluster)).astype(float), rng.uniform(1, 100, len(cluster))], axis=1)
+    xy[rng.random(len(xy)) < 0.1] = 7.0
+    xy[cluster % 7 == 0, 1] = 3.0
+    xy[cluster % 11 == 0] *= 1e6
+    xy[rng.random(len(xy)) < 0.01, 0] = np.nan
+    return cluster, xy
+
+
+@pytest.mark.parametrize("degree", [2, 3, 5])
+def test_nearest_sample_is_that_of_all_samples(degree):
+    cluster, xy = _places(3, 400)
+    found = K._residual_arrays(cluster, np.zeros(len(cluster), dtype=int), xy, degree)
+    grid, seen = np.linspace(0, 1, K.SAMPLES), 0
+    for c in range(400):
+        own = np.flatnonzero(cluster == c)
+        points = xy[own]
+        chord = np.r_[0, np.cumsum(np.sqrt((np.diff(points, axis=0) ** 2).sum(axis=1)))]
+        if len(own) < K.MIN_POINTS or not chord[-1] > 0:
+            assert np.isnan(found["residual"][own]).all()
+            continue
+        t, size = chord / chord[-1], min(degree, len(own) - 1)
+        if len(np.unique(t)) <= size:  # coincident points: no unique polynomial
+            continue
+        far = np.abs(points).max()
+        curve = np.stack([np.polynomial.Chebyshev.fit(t, points[:, a], size, domain=[0, 1])(grid) for a in (0, 1)], axis=1)
+        brute = np.sqrt(((points[:, None] - curve) ** 2).sum(axis=2).min(axis=1))
+        assert found["residual"][own] == pytest.approx(brute, rel=1e-6, abs=1e-8 * far)
+        seen += 1
+    assert seen > 100
+
+
+def test_search_for_the_nearest_sample_holds_no_table_of_samples():
+    cluster, xy = _places(4, 1500)
+    region = np.zeros(len(cluster), dtype=int)
+    K._residual_arrays(cluster, region, xy, 3)
+    tracemalloc.start()
+    K._residual_arrays(cluster, region, xy, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1e7  # a thousand samples for one batch of fits alone take more
+
+
 def test_inject_shapes(spark):
     df = spark.createDataFrame([(1, o, "A", float(o), 0.0) for o in range(5)] + [(2, 0, "A", 0.0, 0.0)], "c int, ord int, region string, x double, y double")
     out = K.inject(df, ["c"])
