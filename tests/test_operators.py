@@ -266,6 +266,28 @@ def test_nearest_keeps_the_number_of_its_tasks(spark):
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
 
 
+def test_nearest_looks_into_the_nearest_leaf_before_the_others(spark, monkeypatch):
+    """Leaves that are farther than the best point of the first one are dropped before their points are met."""
+    rng = np.random.default_rng(12)
+    rows = [(0, *map(float, p), i) for i, p in enumerate(rng.random((3000, 2)))]
+    points = spark.createDataFrame(rows, "b int, x double, y double, label int")
+    asked = spark.createDataFrame([(0, *map(float, p)) for p in rng.random((200, 2))], "b int, x double, y double")
+    left, cut = [], M.cut
+
+    def seen(df):
+        out = cut(df)
+        if "__rest" in df.columns:
+            left.extend(r.n for r in out.select(F.size("__rest").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(M, "cut", seen)
+    places = np.array([r[1:3] for r in rows])
+    for r in M.nearest(asked, points, ["b"], ["x", "y"], "label").collect():
+        gaps = np.sqrt(((places - [r.x, r.y]) ** 2).sum(axis=1))
+        assert r.nearest == gaps.argmin() and r.dist == pytest.approx(gaps.min(), abs=1e-15)
+    assert len(left) == 200 and sum(left) < 3 * 200
+
+
 def _brute_nearest(pred, ref, axes):
     out = {}
     for q in pred.itertuples():
