@@ -360,6 +360,48 @@ def test_dice_known_answers(spark):
     assert {(r.c, r.label): r.dice for r in per.collect()} == {(1, 1): 1.0, (1, 2): 1.0, (2, 1): 0.0}
 
 
+def test_dice_of_empty_masks_is_one(spark):
+    a = spark.createDataFrame([(1, 1, None), (2, 1, 1)], "c int, x int, label int")
+    fore, per = A.dice(a, a.filter("c = 2"), ["c"], ["x"], "label")
+    assert {r.c: r.dice_fg for r in fore.collect()} == {1: 1.0, 2: 1.0}
+    assert [(r.c, r.dice) for r in per.collect()] == [(2, 1.0)]
+
+
+@pytest.mark.parametrize("limit", ["2", "1000"])
+def test_pooling_over_cases(spark, limit):
+    """Means and medians over cases beside the pooled figures; undefined values skipped, a case of masks alone counted."""
+    nan = float("nan")
+    hits = [("a", 1, 1, 2.0), ("a", 2, 0, None), ("a", 3, 1, 6.0), ("b", 1, 0, 9.0), ("b", 2, 0, nan), (None, 1, 1, 1.0), ("c", 3, 0, None)]
+    fore = [("a", 0.5), ("b", 1.0), (None, 0.25), ("c", 0.75), ("d", 0.0)]
+    per = [("a", 1, 0.5), ("a", 2, 0.0), ("b", 1, 1.0), (None, 1, 0.5), ("c", 3, 0.0)]
+    spark.conf.set("spark.tallyframe.groupRows", limit)
+    try:
+        out = A.pooled_rates(
+            spark.createDataFrame(hits, "case string, level int, hit int, dist double"),
+            spark.createDataFrame(fore, "case string, dice_fg double"),
+            spark.createDataFrame(per, "case string, level int, dice double"),
+            "case",
+            "level",
+        ).collect()
+    finally:
+        spark.conf.unset("spark.tallyframe.groupRows")
+    whole = next(r for r in out if r.grain == 3)
+    rates, overlaps, labels = [2 / 3, 0.0, 1.0, 0.0], [0.5, 1.0, 0.25, 0.75, 0.0], [0.25, 1.0, 0.5, 0.0]
+    want = {
+        "n": 7, "hits": 3, "rate": 3 / 7, "mean_dist": 18 / 4, "n_cases": 5,
+        "mean_rate": np.mean(rates), "median_rate": np.median(rates), "mean_case_dist": np.mean([4.0, 9.0, 1.0]),
+        "dice_fg": np.mean(overlaps), "median_dice_fg": np.median(overlaps), "dice_label": np.mean(labels), "median_dice_label": np.median(labels),
+    }
+    assert {c: whole[c] for c in want} == pytest.approx(want)
+    cases = {r.case: (r.n, r.hits, r.rate, r.mean_dist, r.dice_fg, r.dice_label) for r in out if r.grain == 1}
+    assert cases == {
+        "a": (3, 2, 2 / 3, 4.0, 0.5, 0.25), "b": (2, 0, 0.0, 9.0, 1.0, 1.0), None: (1, 1, 1.0, 1.0, 0.25, 0.5),
+        "c": (1, 0, 0.0, None, 0.75, 0.0), "d": (0, 0, None, None, 0.0, None),
+    }
+    levels = {r.level: (r.n, r.hits, r.rate, r.mean_dist, r.n_cases) for r in out if r.grain == 2}
+    assert levels == {1: (3, 2, 2 / 3, 4.0, None), 2: (2, 0, 0.0, None, None), 3: (2, 1, 0.5, 6.0, None)}
+
+
 def test_rule_channels(spark):
     names = ["C1", "C7", "T1", "T12", "L1", "L5", "SACRUM", "T13", "L6", "COCCYX", "S2"]
     df = spark.createDataFrame([(n,) for n in names], "category string")

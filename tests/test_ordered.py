@@ -66,6 +66,11 @@ def test_stats_and_quantiles(rows):
     assert usual == forced
 
 
+def test_quantiles_of_one_oversized_table(rows):
+    usual, forced = both(lambda lim: Grouped(rows, [], lim).quantiles("v", {"q": 0.5, "r": 0.9}).select(F.round("q", 9), F.round("r", 9)))
+    assert usual == forced
+
+
 def test_pieces_of_long_prefixes_null_keys_and_one_sort_column(spark):
     """Strings with a common start, a NULL key and a single sort column are all cut within the limit."""
     urls = spark.range(4000).select(F.lit("u").alias("k"), F.concat(F.lit("https://x/"), F.format_string("%06d", "id")).alias("t"), F.lit(1).alias("v"))
